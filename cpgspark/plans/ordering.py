@@ -62,7 +62,7 @@ def value_bounds(df: DataFrame, value_col: str, buckets: int = 256) -> list[floa
     """Cut points that split the rows into about equal shares (at most ``buckets``)."""
     shares = [i / buckets for i in range(1, buckets)]
     cuts = df.approxQuantile(value_col, shares, 1.0 / (4 * buckets))
-    return sorted(set(cuts))
+    return sorted({c for c in cuts if abs(c) != float("inf")})
 
 
 def with_bucket(df: DataFrame, value_col: str, bounds: Sequence[float]) -> DataFrame:
