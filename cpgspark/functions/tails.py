@@ -95,28 +95,26 @@ def fisher_f_p(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return _nullable(f_upper(f.to_numpy(float), df1.to_numpy(float), df2.to_numpy(float)))
 
 
-def digamma(x: float) -> float:
-    """Derivative of log gamma: recurrence up to 10, then the asymptotic series."""
-    shift = 0.0
-    while x < 10:
-        shift -= 1 / x
-        x += 1
+def _shifted(x: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ten steps of the recurrence: the sum they contribute and the raised argument."""
+    x = np.asarray(x, float)
+    return sum(1.0 / (x + i) ** power for i in range(10)), x + 10
+
+
+def digamma(x: np.ndarray | float) -> np.ndarray:
+    """Derivative of log gamma: recurrence, then the asymptotic series."""
+    steps, x = _shifted(x, 1)
     y = 1 / (x * x)
-    return shift + math.log(x) - 0.5 / x - y * (
-        1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132)))
-    )
+    tail = y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
+    return np.log(x) - 0.5 / x - tail - steps
 
 
-def trigamma(x: float) -> float:
+def trigamma(x: np.ndarray | float) -> np.ndarray:
     """Second derivative of log gamma."""
-    shift = 0.0
-    while x < 10:
-        shift += 1 / (x * x)
-        x += 1
+    steps, x = _shifted(x, 2)
     y = 1 / (x * x)
-    return shift + 1 / x + y / 2 + y / x * (
-        1 / 6 - y * (1 / 30 - y * (1 / 42 - y * (1 / 30 - y * 5 / 66)))
-    )
+    tail = y / x * (1 / 6 - y * (1 / 30 - y * (1 / 42 - y * (1 / 30 - y * 5 / 66))))
+    return steps + 1 / x + y / 2 + tail
 
 
 def inverse_trigamma(target: float) -> float:
@@ -129,3 +127,16 @@ def inverse_trigamma(target: float) -> float:
         else:
             high = mid
     return math.sqrt(low * high)
+
+
+@F.pandas_udf("double")
+def log_variance_shift(df: pd.Series) -> pd.Series:
+    """Mean of the log of a unit variance estimate on ``df`` degrees of freedom."""
+    half = df.to_numpy(float) / 2
+    return pd.Series(digamma(half) - np.log(half))
+
+
+@F.pandas_udf("double")
+def log_variance_noise(df: pd.Series) -> pd.Series:
+    """Variance of the log of a variance estimate on ``df`` degrees of freedom."""
+    return pd.Series(trigamma(df.to_numpy(float) / 2))

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cpgspark.functions.tails import (
     digamma,
     inverse_trigamma,
+    log_variance_noise,
+    log_variance_shift,
     student_t_p,
-    trigamma,
 )
 from cpgspark.plans.ordering import running_totals
 from cpgspark.plans.sizing import small_side
@@ -232,7 +233,7 @@ def moderated_stats(labelled: DataFrame) -> DataFrame:
     """Moderated one-vs-rest statistics: ``probe_id, class, t_mod, df_total, p_value``.
 
     Each class has its own prior variance, fitted by moments to the log variances
-    of all its probes.  Only the two moments per class reach the driver.
+    of all its probes.  One row of moments per class reaches the driver.
     """
     stats = one_vs_rest(class_moments(labelled))
     n, nr = F.col("n_class"), F.col("n_rest")
@@ -240,51 +241,39 @@ def moderated_stats(labelled: DataFrame) -> DataFrame:
     rows = stats.filter((n > 0) & (nr > 0) & (n + nr > 2)).select(
         "*", df.alias("df"), ((F.col("m2_class") + F.col("m2_rest")) / df).alias("s2")
     )
-    # Probes share few distinct degrees of freedom, so the log-variance moments are
-    # taken per (class, df) and joined on the driver: classes x distinct df rows.
-    parts = (
+    excess = F.log("s2") - log_variance_shift("df")
+    moments = (
         rows.filter("s2 > 0")
-        .groupBy("class", "df")
-        .agg(
-            F.count(F.lit(1)).alias("k"),
-            F.avg(F.log("s2")).alias("mean"),
-            F.var_pop(F.log("s2")).alias("var"),
-        )
+        .select("class", excess.alias("e"), log_variance_noise("df").alias("noise"))
+        .groupBy("class")
+        .agg(F.avg("e").alias("centre"), F.var_samp("e").alias("var"), F.avg("noise").alias("noise"))
         .collect()
     )
-    priors = []
-    for cls in sorted({p["class"] for p in parts}):
-        mine = [p for p in parts if p["class"] == cls]
-        priors.append((cls, *_fit_prior([(p["k"], p["mean"], p["var"], p["df"]) for p in mine])))
+    priors = [(r["class"], *_fit_prior(r["centre"], r["var"], r["noise"])) for r in moments]
     prior = labelled.sparkSession.createDataFrame(priors, "class string, d0 double, s02 double")
-    pooled = F.when(F.col("d0") == float("inf"), F.col("s02")).otherwise(
-        (F.col("d0") * F.col("s02") + F.col("df") * F.col("s2")) / (F.col("d0") + F.col("df"))
+    d0, s02 = F.col("d0"), F.col("s02")
+    pooled = F.when(d0 == float("inf"), s02).otherwise(
+        (d0 * s02 + F.col("df") * F.col("s2")) / (d0 + F.col("df"))
     )
     t = (F.col("mean_class") - F.col("mean_rest")) / (
         F.sqrt(pooled) * F.sqrt(1 / F.col("n_class") + 1 / F.col("n_rest"))
     )
     return (
-        rows.join(F.broadcast(prior), "class")
+        rows.join(F.broadcast(prior), "class")  # one row per class
         .withColumn("t_mod", F.when(pooled > 0, t))
-        .withColumn("df_total", F.col("d0") + F.col("df"))
+        .withColumn("df_total", d0 + F.col("df"))
         .withColumn("p_value", student_t_p(F.col("t_mod"), F.col("df_total")))
         .select("probe_id", "class", "t_mod", "df_total", "p_value")
     )
 
 
-def _fit_prior(parts: Sequence[tuple[int, float, float, float]]) -> tuple[float, float]:
+def _fit_prior(centre: float, var: float | None, noise: float) -> tuple[float, float]:
     """Prior degrees of freedom and variance from moments of the log variances."""
-    count = sum(k for k, *_ in parts)
-    shifted = [(k, m - digamma(d / 2) + math.log(d / 2), v, d) for k, m, v, d in parts]
-    centre = sum(k * e for k, e, _, _ in shifted) / count
-    if count < 2:
-        return float("inf"), math.exp(centre)
-    spread = sum(k * (v + (e - centre) ** 2) for k, e, v, _ in shifted) / (count - 1)
-    excess = spread - sum(k * trigamma(d / 2) for k, _, _, d in shifted) / count
-    if excess <= 0:
+    surplus = (var or 0.0) - noise
+    if surplus <= 0:
         return float("inf"), math.exp(centre)
-    half = inverse_trigamma(excess)
-    return 2 * half, math.exp(centre + digamma(half) - math.log(half))
+    half = inverse_trigamma(surplus)
+    return 2 * half, math.exp(centre + float(digamma(half)) - math.log(half))
 
 
 def moderated_dm(labelled: DataFrame, top: int = TOP_PER_CLASS) -> DataFrame:
@@ -301,38 +290,39 @@ def moderated_dm(labelled: DataFrame, top: int = TOP_PER_CLASS) -> DataFrame:
     )
 
 
+def _zero_filled(parts: Column, size: Column) -> Column:
+    """Moments of one class after its missing values are counted as 0."""
+    known = F.get(F.filter(parts, lambda p: p["class"] == size["class"]), F.lit(0))
+    n = size["n_samples"]
+    held = F.coalesce(known["n"], F.lit(0))
+    old = F.coalesce(known["mean"], F.lit(0.0))
+    mean = old * held / n
+    m2 = (
+        F.coalesce(known["m2"], F.lit(0.0))
+        + held * F.pow(old - mean, F.lit(2))
+        + (n - held) * mean * mean
+    )
+    return F.struct(
+        size["class"].alias("class"), n.alias("n"), mean.alias("mean"), m2.alias("m2")
+    )
+
+
 def anova_f(labelled: DataFrame, zero_fill: bool = False) -> DataFrame:
     """One-way F per probe over the classes.
 
     ``zero_fill`` counts a missing value as 0, as the cleaning step before the
     in-fold selector does, also where the row is absent.
     """
-    moments = class_moments(labelled)
+    entry = F.struct("class", "n", "mean", "m2")
+    arrays = (
+        class_moments(labelled).groupBy("probe_id").agg(F.collect_list(entry).alias("parts"))
+    )
     if zero_fill:
-        sizes = class_sizes(labelled)
-        classes = F.broadcast(sizes)  # one row per class
-        moments = (
-            labelled.select("probe_id")
-            .distinct()
-            .withColumn("__all", F.lit(1))
-            .join(classes.withColumn("__all", F.lit(1)), "__all")
-            .drop("__all")
-            .join(moments, ["probe_id", "class"], "left")
-        )
-        n, known = F.col("n_samples"), F.coalesce("n", F.lit(0))
-        total = F.coalesce(F.col("mean") * known, F.lit(0.0))
-        mean = total / n
-        gap = n - known
-        m2 = (
-            F.coalesce("m2", F.lit(0.0))
-            + known * F.pow(F.coalesce("mean", F.lit(0.0)) - mean, F.lit(2))
-            + gap * mean * mean
+        sizes = class_sizes(labelled).agg(F.collect_list(F.struct("class", "n_samples")))
+        arrays = arrays.withColumn("sizes", sizes.scalar()).withColumn(
+            "parts", F.transform("sizes", lambda s: _zero_filled(F.col("parts"), s))
         )
-        moments = moments.select(
-            "probe_id", "class", n.alias("n"), mean.alias("mean"), m2.alias("m2")
-        )
-    entry = F.struct("class", "n", "mean", "m2")
-    arrays = moments.filter("n > 0").groupBy("probe_id").agg(F.collect_list(entry).alias("parts"))
+    arrays = arrays.withColumn("parts", F.filter("parts", lambda p: p["n"] > 0))
     pooled = arrays.withColumn("pool", _merged(F.col("parts")))
     within = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["m2"])
     between = F.aggregate(
