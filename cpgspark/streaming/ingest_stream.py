@@ -33,38 +33,31 @@ def report_stream(spark: SparkSession, root: str, suffix: str = REPORT_SUFFIX) -
     return rows.select(name.alias("meth_sample_id"), *REPORT_V2.names)
 
 
+def open_table(spark: SparkSession, path: str) -> DataFrame:
+    """The target table; made empty if it does not exist yet."""
+    empty = spark.createDataFrame([], TABLE_SCHEMA)
+    empty.write.mode("ignore").parquet(f"{path}/batch_id=-1")
+    return spark.read.schema(TABLE_SCHEMA + ", batch_id long").parquet(path)
+
+
 def append_new(batch: DataFrame, batch_id: int, target: str) -> None:
     """Append the rows of samples the table lacks.
 
     A batch owns the folder of its number and overwrites only that, so a batch that
     is run again after a failure replaces its own half-written files.
     """
-    spark = batch.sparkSession
-    folder = f"{target}/batch_id={batch_id}"
-    stored = _stored_before(spark, target, batch_id)
-    fresh = batch.join(stored, "meth_sample_id", "left_anti")
-    fresh.select("sample_id", "meth_sample_id", "probe_id", "value").write.mode(
-        "overwrite"
-    ).parquet(folder)
-
-
-def _stored_before(spark: SparkSession, target: str, batch_id: int) -> DataFrame:
-    """Samples of earlier batches; the folder of this batch does not count."""
-    return (
-        _raw_table(spark, target)
+    earlier = (
+        open_table(batch.sparkSession, target)
         .filter(F.col("batch_id") != batch_id)
         .select("meth_sample_id")
         .distinct()
     )
-
-
-def _raw_table(spark: SparkSession, path: str) -> DataFrame:
-    schema = TABLE_SCHEMA + ", batch_id long"
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(hadoop_path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    (
+        batch.join(earlier, "meth_sample_id", "left_anti")
+        .select("sample_id", "meth_sample_id", "probe_id", "value")
+        .write.mode("overwrite")
+        .parquet(f"{target}/batch_id={batch_id}")
+    )
 
 
 def run_available(
@@ -115,4 +108,4 @@ def ingest_reports(
 
 def loaded(spark: SparkSession, target: str) -> DataFrame:
     """The table as loaded so far."""
-    return _raw_table(spark, target).drop("batch_id")
+    return open_table(spark, target).drop("batch_id")
