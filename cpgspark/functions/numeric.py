@@ -34,9 +34,9 @@ def m_to_beta(m: Column) -> Column:
 
 def signal_to_m(methylated: Column, unmethylated: Column, offset: float) -> Column:
     """log2 ratio of the two signals, each raised by ``offset``."""
-    return F.log2((methylated + offset) / (unmethylated + offset))
+    return F.log2(F.try_divide(methylated + offset, unmethylated + offset))
 
 
 def signal_to_beta(methylated: Column, unmethylated: Column, offset: float) -> Column:
     """Methylated share of the total signal."""
-    return methylated / (methylated + unmethylated + offset)
+    return F.try_divide(methylated, methylated + unmethylated + offset)

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 _log_gamma = np.frompyfunc(math.lgamma, 1, 1)
 
@@ -85,12 +85,12 @@ def _nullable(values: np.ndarray) -> pd.Series:
     return pd.Series(values).where(~np.isnan(values), None).astype("Float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return _nullable(t_two_sided(t.to_numpy(float), df.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fisher_f_p(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return _nullable(f_upper(f.to_numpy(float), df1.to_numpy(float), df2.to_numpy(float)))
 
@@ -129,14 +129,14 @@ def inverse_trigamma(target: float) -> float:
     return math.sqrt(low * high)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def log_variance_shift(df: pd.Series) -> pd.Series:
     """Mean of the log of a unit variance estimate on ``df`` degrees of freedom."""
     half = df.to_numpy(float) / 2
     return pd.Series(digamma(half) - np.log(half))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def log_variance_noise(df: pd.Series) -> pd.Series:
     """Variance of the log of a variance estimate on ``df`` degrees of freedom."""
     return pd.Series(trigamma(df.to_numpy(float) / 2))

@@ -59,16 +59,15 @@ def split_manifest(
     id_col: str,
     ratios: Sequence[float] = RATIOS,
     seed: int = SEED,
-    parts: int = 256,
 ) -> DataFrame:
     """Counts, ratios, seed and id lists of a split.
 
-    The id lists are written as ordered parts (``split, part, ids``), so no row
-    ever holds the ids of a whole split.  Counts and settings repeat per row.
+    The id lists are cut into 256 parts per split by digest (``split, part, ids``),
+    so no row holds the ids of a whole split.  Counts and settings repeat per row.
     """
     _check_ratios(ratios)
     counts = assignments.groupBy("split").agg(F.count(F.lit(1)).alias("n_ids"))
-    part = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(parts)).alias("part")
+    part = F.substring(F.md5(F.col(id_col).cast("string")), 1, 2).alias("part")
     lists = assignments.groupBy("split", part).agg(
         F.sort_array(F.collect_list(F.col(id_col).cast("string"))).alias("ids")
     )

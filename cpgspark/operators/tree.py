@@ -8,7 +8,7 @@ a path sorts before its extensions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 ROOT = "ROOT"
 
@@ -201,6 +201,11 @@ def preorder_nodes(nodes: DataFrame, tree_samples: DataFrame | None = None) -> D
     return nodes.orderBy("order_path")
 
 
+def preorder_window() -> WindowSpec:
+    """Window over the nodes of one tree in pre-order, to number them."""
+    return Window.orderBy("order_path")
+
+
 def leaves(nodes: DataFrame, tree_samples: DataFrame) -> DataFrame:
     """Nodes without children that hold at least one sample."""
     parents = nodes.filter(F.col("parent_path").isNotNull()).select(

@@ -37,7 +37,7 @@ def _dense(cells: Column, size: int, fill: float) -> Column:
         gap = F.array_repeat(F.lit(fill), cell["place"] - previous - 1)
         return F.concat(gap, F.array(cell["value"]))
 
-    last = F.coalesce(F.element_at(cells, -1)["place"], F.lit(-1))
+    last = F.coalesce(F.get(cells, F.size(cells) - 1)["place"], F.lit(-1))
     tail = F.array_repeat(F.lit(fill), F.lit(size - 1) - last)
     return F.concat(F.flatten(F.transform(cells, piece)), tail)
 

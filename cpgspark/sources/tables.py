@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from cpgspark.functions.identifiers import REPORT_SUFFIX, base_name, sample_id_from_file
 
@@ -54,43 +54,62 @@ PROBE_METADATA = T.StructType(
 )
 
 
-def discover_reports(spark: SparkSession, root: str, suffix: str = REPORT_SUFFIX) -> DataFrame:
+def _report_location(root: str, suffix: str, folders: bool) -> tuple[str, dict[str, object]]:
+    """Where the reports are: files anywhere below ``root`` whose name has the
+    suffix, or, with ``folders``, folders of part files whose name has it."""
+    options: dict[str, object] = {"recursiveFileLookup": True}
+    if folders:
+        return f"{root}/*{suffix}", options
+    return root, {**options, "pathGlobFilter": f"*{suffix}"}
+
+
+def report_sample_id(path: Column, suffix: str, folders: bool) -> Column:
+    """Sample id out of the path of a report."""
+    if folders:
+        return F.regexp_extract(path, "([^/=]+)" + suffix.replace(".", "[.]") + "/", 1)
+    return sample_id_from_file(base_name(path), [suffix])
+
+
+def discover_reports(
+    spark: SparkSession, root: str, suffix: str = REPORT_SUFFIX, folders: bool = False
+) -> DataFrame:
     """``file_name, meth_sample_id`` of every report below a folder.
 
     Only names are listed; file contents are never read.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*{suffix}")
-        .load(root)
-    )
+    where, options = _report_location(root, suffix, folders)
+    files = spark.read.format("binaryFile").options(**options).load(where)
     return files.select(
         F.col("path").alias("file_name"),
-        sample_id_from_file(base_name(F.col("path")), [suffix]).alias("meth_sample_id"),
+        report_sample_id(F.col("path"), suffix, folders).alias("meth_sample_id"),
     )
 
 
 def read_array_report(
-    spark: SparkSession, root: str, v2: bool = True, suffix: str = REPORT_SUFFIX
+    spark: SparkSession,
+    root: str,
+    v2: bool = True,
+    suffix: str = REPORT_SUFFIX,
+    folders: bool = False,
+    stream: bool = False,
 ) -> DataFrame:
     """All raw reports below a folder as one typed frame with the sample id.
 
-    Columns are found by name, so their order in the file is free, and one that a
-    file does not use is not needed.
+    The files must have the columns of the schema in its order; ``NA`` is null.
+    With ``stream`` the reports are read as they arrive.
     """
     schema = REPORT_V2 if v2 else REPORT_V1
+    where, options = _report_location(root, suffix, folders)
+    reader = spark.readStream if stream else spark.read
     rows = (
-        spark.read.option("sep", "\t")
+        reader.option("sep", "\t")
         .option("header", True)
         .option("nullValue", "NA")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*{suffix}")
-        .option("enforceSchema", False)
+        .options(**options)
         .schema(schema)
-        .csv(root)
+        .csv(where)
     )
-    name = sample_id_from_file(base_name(F.col("_metadata.file_path")), [suffix])
+    name = report_sample_id(F.col("_metadata.file_path"), suffix, folders)
     return rows.select(name.alias("meth_sample_id"), *schema.names)
 
 

@@ -11,28 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cpgspark.functions.identifiers import REPORT_SUFFIX, base_name, sample_id_from_file
 from cpgspark.operators.harmonise import harmonise_v2
-from cpgspark.sources.tables import REPORT_V2
+from cpgspark.sources.tables import read_array_report
 
 TABLE_SCHEMA = "sample_id string, meth_sample_id string, probe_id string, value double"
 
 
-def report_stream(spark: SparkSession, root: str, suffix: str = REPORT_SUFFIX) -> DataFrame:
-    """Raw reports as they arrive below a folder."""
-    rows = (
-        spark.readStream.option("sep", "\t")
-        .option("header", True)
-        .option("nullValue", "NA")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*{suffix}")
-        .schema(REPORT_V2)
-        .csv(root)
-    )
-    name = sample_id_from_file(base_name(F.col("_metadata.file_path")), [suffix])
-    return rows.select(name.alias("meth_sample_id"), *REPORT_V2.names)
-
-
 def open_table(spark: SparkSession, path: str) -> DataFrame:
     """The target table; made empty if it does not exist yet."""
     empty = spark.createDataFrame([], TABLE_SCHEMA)
@@ -89,6 +73,7 @@ def ingest_reports(
     mapping: DataFrame,
     features: DataFrame,
     samples: DataFrame,
+    folders: bool = False,
 ) -> None:
     """New reports to measurements: sample id, harmonised loci, model features.
 
@@ -103,7 +88,8 @@ def ingest_reports(
         wanted = values.join(features.select("probe_id").distinct(), "probe_id", "left_semi")
         return wanted.join(samples.select("sample_id", "meth_sample_id"), "meth_sample_id")
 
-    run_available(report_stream(spark, root), to_long, target, checkpoint).awaitTermination()
+    reports = read_array_report(spark, root, folders=folders, stream=True)
+    run_available(reports, to_long, target, checkpoint).awaitTermination()
 
 
 def loaded(spark: SparkSession, target: str) -> DataFrame:
