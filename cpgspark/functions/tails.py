@@ -8,11 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F, types as T
 
-_log_gamma = np.frompyfunc(math.lgamma, 1, 1)
-
-
 def _lgamma(x: np.ndarray) -> np.ndarray:
-    return _log_gamma(x).astype(float)
+    return np.frompyfunc(math.lgamma, 1, 1)(x).astype(float)
 
 
 def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray, steps: int = 300) -> np.ndarray:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cpgspark.operators.ingest import missing_probes
 from cpgspark.operators.vectors import feature_places, sample_arrays, sample_vectors
+from cpgspark.plans.durable import store
 
 NEIGHBOURS = 5
 _BLOCK = 512
@@ -82,10 +83,10 @@ def _nearest(
     Distance is Euclidean over the shared probes, scaled up by the share that is
     shared.
     """
-    a, b = np.stack(targets["values"]), np.stack(donors["values"])
+    a, b = np.stack(targets["values"]), np.stack(donors["donor_values"])
     ka, kb = ~np.isnan(a), ~np.isnan(b)
     a0, b0 = np.where(ka, a, 0.0), np.where(kb, b, 0.0)
-    names = donors["sample_id"].to_numpy()
+    names = donors["donor"].to_numpy()
     for i, target in enumerate(targets["sample_id"]):
         common = kb[:, ka[i]].sum(axis=1)
         gap = np.where(kb & ka[i], b0 - a0[i], 0.0)
@@ -108,16 +109,18 @@ def knn_impute(m: DataFrame, targets: DataFrame, k: int = NEIGHBOURS) -> DataFra
     missing cell, so pairs of samples are never written out.
     """
     features = feature_places(m)
-    arrays = sample_arrays(m, features, fill=float("nan"))
+    arrays = store(sample_arrays(m, features, fill=float("nan")), "arrays")
     blocks = max(1, math.ceil(m.select("sample_id").distinct().count() / _BLOCK))
     block = F.pmod(F.xxhash64("sample_id"), F.lit(blocks))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
 
     wanted = targets.select("sample_id").distinct()
     gappy = F.exists("values", F.isnan)
     asked = arrays.join(wanted, "sample_id", "left_semi").filter(gappy)
     left = asked.withColumn("tblock", block).withColumn("dblock", every)
-    right = arrays.withColumn("dblock", block).withColumn("tblock", every)
+    right = arrays.select(
+        F.col("sample_id").alias("donor"), F.col("values").alias("donor_values"), block.alias("dblock")
+    ).withColumn("tblock", every)
 
     def pair(t: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         columns = ["sample_id", "place", "distance", "donor", "value"]

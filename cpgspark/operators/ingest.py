@@ -91,11 +91,11 @@ def missing_probes(incoming: DataFrame, features: DataFrame) -> DataFrame:
         .groupBy("sample_id", bucket)
         .agg(F.collect_set("probe_id").alias("held"))
     )
-    buckets = F.sequence(F.lit(0), F.lit(_FEATURE_BUCKETS - 1))
+    buckets = F.sequence(F.lit(0).cast("long"), F.lit(_FEATURE_BUCKETS - 1).cast("long"))
     slots = (
         incoming.select("sample_id")
         .distinct()
-        .select("sample_id", F.explode(buckets).cast("long").alias("bucket"))
+        .select("sample_id", F.explode(buckets).alias("bucket"))
     )
     lacking = F.array_except("wanted", F.coalesce("held", F.array().cast("array<string>")))
     return (

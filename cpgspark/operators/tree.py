@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from cpgspark.plans.durable import store
+
 ROOT = "ROOT"
 
 
@@ -58,8 +60,12 @@ def attach_samples(nodes: DataFrame, samples: DataFrame) -> DataFrame:
 def build_tree(
     edges: DataFrame, samples: DataFrame, root: str = ROOT
 ) -> tuple[DataFrame, DataFrame]:
-    """``(nodes, tree_samples)``; a node stays if its subtree holds a sample."""
-    nodes = expand_edges(edges, root)
+    """``(nodes, tree_samples)``; a node stays if its subtree holds a sample.
+
+    The walk down the edges runs once and is stored: the tree is a small table that
+    every later step joins, and its stored size lets Spark choose the join.
+    """
+    nodes = store(expand_edges(edges, root), "tree")
     held = attach_samples(nodes, samples)
     # Distinct first: one row per sampled node, not per sample.
     occupied = (
@@ -68,9 +74,8 @@ def build_tree(
         .select(F.explode(prefixes(F.col("node_path"))).alias("node_path"))
         .distinct()
     )
-    is_root = F.size("node_path") == 1
-    kept = nodes.filter(~is_root).join(occupied, "node_path", "left_semi")
-    return nodes.filter(is_root).unionByName(kept), held
+    kept = nodes.join(occupied.withColumn("occupied", F.lit(True)), "node_path", "left")
+    return kept.filter((F.col("level") == 1) | F.col("occupied")).drop("occupied"), held
 
 
 def tree_from_labels(
