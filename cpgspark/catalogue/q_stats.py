@@ -80,17 +80,12 @@ def welch_p(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "bh_fdr",
-    """WITH s AS (SELECT o_orderkey, o_orderpriority AS grp, o_orderstatus, (o_totalprice % 1000) / 1000 AS p
-                  FROM orders),
-    r AS (SELECT *, count(*) OVER (PARTITION BY grp, o_orderstatus) AS n,
-                 row_number() OVER (PARTITION BY grp, o_orderstatus ORDER BY p) AS r FROM s)
-    SELECT o_orderkey, round(least(1e0, min(p * n / r) OVER (PARTITION BY grp, o_orderstatus ORDER BY r
-      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) + 0.0 AS q_value FROM r""",
+    f"WITH RECURSIVE {_BEST} SELECT probe_id, class, round(q, 6) + 0.0 AS q_value FROM qv",
 )
 def bh_fdr(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _p_like(spark, sf)
-    out = dm.bh_fdr(rows, ["o_orderpriority", "o_orderstatus"])
-    return out.select("o_orderkey", rounded("q_value").alias("q_value"))
+    stats = dm.welch_p(dm.dm_class_stats(fx.labelled(spark, sf)))
+    out = dm.bh_fdr(stats, ["probe_id"])
+    return out.select("probe_id", "class", rounded("q_value").alias("q_value"))
 
 
 def _p_like(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,15 +96,24 @@ def _p_like(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "bh_fdr_all",
-    """WITH s AS (SELECT o_orderkey, (o_totalprice % 1000) / 1000 AS p FROM orders),
-    r AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY p) AS r FROM s)
-    SELECT o_orderkey, round(least(1e0, min(p * n / r) OVER (ORDER BY r
-      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) + 0.0 AS q_value FROM r""",
-)
+def _large_sql(keys: str) -> str:
+    part = f"PARTITION BY {keys}" if keys else ""
+    return f"""WITH s AS (SELECT o_orderkey, o_orderpriority, o_orderstatus,
+                         (o_totalprice % 1000) / 1000 AS p FROM orders),
+    r AS (SELECT *, count(*) OVER ({part}) AS n, row_number() OVER ({part} ORDER BY p) AS r FROM s)
+    SELECT o_orderkey, round(least(1e0, min(p * n / r) OVER ({part} ORDER BY r
+      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) + 0.0 AS q_value FROM r"""
+
+
+@query("bh_fdr_all", _large_sql(""))
 def bh_fdr_all(spark: SparkSession, sf: str) -> DataFrame:
-    out = dm.bh_fdr_all(_p_like(spark, sf))
+    out = dm.bh_fdr_large(_p_like(spark, sf))
+    return out.select("o_orderkey", rounded("q_value").alias("q_value"))
+
+
+@query("bh_fdr_groups", _large_sql("o_orderpriority, o_orderstatus"))
+def bh_fdr_groups(spark: SparkSession, sf: str) -> DataFrame:
+    out = dm.bh_fdr_large(_p_like(spark, sf), ["o_orderpriority", "o_orderstatus"])
     return out.select("o_orderkey", rounded("q_value").alias("q_value"))
 
 

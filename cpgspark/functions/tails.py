@@ -72,24 +72,17 @@ def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return out
 
 
-def f_upper(f: np.ndarray, df1: np.ndarray, df2: np.ndarray) -> np.ndarray:
-    """P(F >= f)."""
-    f, df1, df2 = (np.asarray(v, float) for v in (f, df1, df2))
-    return incomplete_beta(df2 / 2, df1 / 2, df2 / (df2 + df1 * f))
-
-
 def _nullable(values: np.ndarray) -> pd.Series:
     return pd.Series(values).where(~np.isnan(values), None).astype("Float64")
 
 
-@F.pandas_udf(T.DoubleType())
-def student_t_p(t: pd.Series, df: pd.Series) -> pd.Series:
+def _student_t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return _nullable(t_two_sided(t.to_numpy(float), df.to_numpy(float)))
 
 
-@F.pandas_udf(T.DoubleType())
-def fisher_f_p(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
-    return _nullable(f_upper(f.to_numpy(float), df1.to_numpy(float), df2.to_numpy(float)))
+# Marked so that a filter on the result is not pushed below and the tail worked out
+# a second time; the values do not vary.
+student_t_p = F.pandas_udf(_student_t_p, T.DoubleType()).asNondeterministic()
 
 
 def _shifted(x: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:

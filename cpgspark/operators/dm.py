@@ -60,15 +60,18 @@ def _pooled_m2(pool: Column) -> Column:
     )
 
 
-def one_vs_rest(moments: DataFrame) -> DataFrame:
+def one_vs_rest(moments: DataFrame, classes: Column | None = None) -> DataFrame:
     """Each class against all others of the probe.
 
     The array per probe has one entry per class, so it is as short as the class
-    list whatever the number of samples.
+    list whatever the number of samples.  ``classes``, an array, limits the classes
+    reported; the rest is always made of all of them.
     """
     entry = F.struct("class", "n", "mean", "m2")
     per_probe = moments.groupBy("probe_id").agg(F.collect_list(entry).alias("classes"))
     own = per_probe.select("probe_id", "classes", F.explode("classes").alias("own"))
+    if classes is not None:
+        own = own.filter(F.array_contains(classes, F.col("own.class")))
     others = F.filter("classes", lambda p: p["class"] != F.col("own.class"))
     return (
         own.withColumn("rest", _merged(others))
@@ -86,21 +89,25 @@ def one_vs_rest(moments: DataFrame) -> DataFrame:
     )
 
 
-def dm_class_stats(labelled: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def dm_class_stats(
+    labelled: DataFrame, min_group: int = MIN_GROUP, sizes: DataFrame | None = None
+) -> DataFrame:
     """Welch t, its degrees of freedom, the means and Cohen's d, class against rest.
 
     ``labelled`` is ``sample_id, probe_id, value, class``.  A class is skipped if it
-    or its rest has fewer than ``min_group`` samples, known or not.
+    or its rest has fewer than ``min_group`` samples, known or not.  Give ``sizes``
+    (see :func:`class_sizes`) where they are known, to save a pass over the ids.
     """
-    sizes = class_sizes(labelled)
-    # One row per class.
+    sizes = class_sizes(labelled) if sizes is None else sizes
+    # One row per class, turned into one array value: nothing is joined by class.
     everyone = Window.partitionBy()
-    allowed = sizes.withColumn("rest", F.sum("n_samples").over(everyone) - F.col("n_samples"))
-    allowed = allowed.filter(
-        (F.col("n_samples") >= min_group) & (F.col("rest") >= min_group)
-    ).select("class")
-
-    stats = one_vs_rest(class_moments(labelled)).join(allowed, "class", "left_semi")
+    rest = F.sum("n_samples").over(everyone) - F.col("n_samples")
+    allowed = (
+        sizes.withColumn("rest", rest)
+        .filter((F.col("n_samples") >= min_group) & (F.col("rest") >= min_group))
+        .agg(F.collect_set("class").alias("classes"))
+    )
+    stats = one_vs_rest(class_moments(labelled), allowed.scalar())
     n, nr = F.col("n_class"), F.col("n_rest")
     var_c = F.when(n > 1, F.col("m2_class") / (n - 1))
     var_r = F.when(nr > 1, F.col("m2_rest") / (nr - 1))
@@ -132,17 +139,18 @@ def bh_fdr(
 ) -> DataFrame:
     """Benjamini-Hochberg q-values inside each group of ``within``; null p drop out.
 
-    For groups that stay short, such as the classes of one probe.  Use
-    :func:`bh_fdr_all` to correct over a whole table.
+    For groups that stay short, such as the classes of one probe.
+    :func:`bh_fdr_large` takes groups of any size, or the whole table.
     """
     if not within:
-        raise ValueError("give the group columns, or use bh_fdr_all")
+        raise ValueError("give the group columns, or use bh_fdr_large")
     group = Window.partitionBy(*within)
     n = F.count(F.lit(1)).over(group)
     rank = F.row_number().over(group.orderBy(p_col))
     raw = F.col(p_col) * F.col("__n") / F.col("__rank")
+    # From the largest p down, so that each row adds to a running minimum.
     best = F.min("__raw").over(
-        group.orderBy("__rank").rowsBetween(0, Window.unboundedFollowing)
+        group.orderBy(F.col("__rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
         stats.filter(F.col(p_col).isNotNull())
@@ -154,35 +162,45 @@ def bh_fdr(
     )
 
 
-def bh_fdr_all(stats: DataFrame, p_col: str = "p_value", q_col: str = "q_value") -> DataFrame:
-    """Benjamini-Hochberg q-values over the whole table, in parallel.
+def bh_fdr_large(
+    stats: DataFrame,
+    within: Sequence[str] = (),
+    p_col: str = "p_value",
+    q_col: str = "q_value",
+) -> DataFrame:
+    """Benjamini-Hochberg q-values over the whole table or over groups of any size.
 
     Rows are first counted per distinct p; the rank of a p is its running count, and
-    the reverse running minimum is taken per bucket and then across buckets.
+    the running minimum from above is taken per bucket and then across buckets.
     """
+    group = list(within)
     rows = stats.filter(F.col(p_col).isNotNull())
-    ties = rows.groupBy(p_col).agg(F.count(F.lit(1)).alias("__ties"))
-    ranked = running_totals(ties, [], p_col, {"__ties": "__rank"}, descending=False)
-    raw = ranked.withColumn("__raw", F.col(p_col) * F.col("__rank_all") / F.col("__rank"))
-    # Suffix minimum: bucket by rank share, which is uniform by construction.
-    share = F.floor((F.col("__rank") - 1) * 256 / F.col("__rank_all"))
-    raw = raw.withColumn("__share", share)
+    ties = rows.groupBy(*group, p_col).agg(F.count(F.lit(1)).alias("__ties"))
+    ranked = running_totals(ties, group, p_col, {"__ties": "__rank"}, descending=False)
+    n = F.col("__rank_all")
+    # The share of rows at or below a p cuts a group into at most 257 even pieces.
+    raw = ranked.withColumn("__raw", F.col(p_col) * n / F.col("__rank")).withColumn(
+        "__piece", F.floor(F.col("__rank") * 256 / n)
+    )
+    from_above = F.col("__rank").desc()
     inside = (
-        Window.partitionBy("__share").orderBy("__rank").rowsBetween(0, Window.unboundedFollowing)
+        Window.partitionBy(*group, "__piece")
+        .orderBy(from_above)
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
-    # At most 256 rows.
-    later = Window.orderBy("__share").rowsBetween(1, Window.unboundedFollowing)
+    whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
+    above = whole.orderBy(F.col("__piece").desc()).rowsBetween(Window.unboundedPreceding, -1)
     beyond = (
-        raw.groupBy("__share")
+        raw.groupBy(*group, "__piece")
         .agg(F.min("__raw").alias("__low"))
-        .select("__share", F.min("__low").over(later).alias("__later"))
+        .select(*group, "__piece", F.min("__low").over(above).alias("__above"))
     )
     q = (
         raw.withColumn("__here", F.min("__raw").over(inside))
-        .join(beyond, "__share")
-        .select(p_col, F.least("__here", "__later", F.lit(1.0)).alias(q_col))
+        .join(beyond, [*group, "__piece"])
+        .select(*group, p_col, F.least("__here", "__above", F.lit(1.0)).alias(q_col))
     )
-    return rows.join(q, p_col)
+    return rows.join(q, [*group, p_col])
 
 
 def dm_best_class(stats: DataFrame, class_order: Sequence[str] | None = None) -> DataFrame:

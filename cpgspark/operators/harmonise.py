@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from cpgspark.plans.sizing import small_side
+
 # Replicate counts that are resolved, and the result texts.
 REPLICATE_SIZES = (2, 3, 4, 5, 6, 10)
 SUPERIOR_TEXT = "Superior probe"
@@ -76,7 +78,7 @@ def replace_with_mean(reports: DataFrame, mapping: DataFrame, value_col: str) ->
     )
     means = (
         rows.select("meth_sample_id", "Name", value_col)
-        .join(chosen, "Name")
+        .join(small_side(chosen), "Name")
         .groupBy("meth_sample_id", "EPICv1_Loci")
         .agg(F.avg(value_col).alias("__mean"), F.lit(True).alias("__found"))
     )

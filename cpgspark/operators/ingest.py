@@ -48,11 +48,10 @@ def convert_ids(samples: DataFrame, ids: DataFrame, source: str, target: str) ->
 
 
 def _require_ids(incoming: DataFrame) -> None:
-    for column in ("sample_id", "meth_sample_id"):
-        if column not in incoming.columns:
-            raise ValueError(f"a {column} must be provided")
-        if incoming.filter(F.col(column).isNull()).limit(1).count():
-            raise ValueError(f"a {column} must be provided")
+    lacking = [c for c in ("sample_id", "meth_sample_id") if c not in incoming.columns]
+    unnamed = F.col("sample_id").isNull() | F.col("meth_sample_id").isNull()
+    if lacking or incoming.filter(unnamed).limit(1).count():
+        raise ValueError("every sample needs a sample_id and a meth_sample_id")
 
 
 def append_samples(matrix: DataFrame, incoming: DataFrame, features: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def train_linear_svm(
     indexer, classes = _indexed(vectors)
     rows = indexer.transform(vectors)
     svc = LinearSVC(maxIter=max_iter, regParam=1.0 / (c * rows.count()))
-    model = OneVsRest(classifier=svc).fit(rows)
+    model = OneVsRest(classifier=svc, parallelism=4).fit(rows)
     return NodeModel(name, features, classes, model)
 
 

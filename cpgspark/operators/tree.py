@@ -29,6 +29,7 @@ def expand_edges(edges: DataFrame, root: str = ROOT) -> DataFrame:
     """
     columns = "parent, child, " + ("ordinal" if "ordinal" in edges.columns else "child AS ordinal")
     typed = edges.selectExpr(*[c.strip() for c in columns.split(",")]).distinct()
+    typed = store(typed, "edges")  # read once per level
     kind = dict(typed.dtypes)["ordinal"]
     start = f"CAST(array() AS array<{kind}>)"
     return edges.sparkSession.sql(

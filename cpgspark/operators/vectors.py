@@ -74,14 +74,15 @@ def class_weights(labelled: DataFrame, label_col: str = "class") -> DataFrame:
     """Add ``weight`` = n / (classes * n of the class)."""
     sizes = labelled.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_class"))
     everyone = Window.partitionBy()  # one row per class
-    weights = sizes.select(
-        label_col,
-        (
-            F.sum("n_class").over(everyone)
-            / (F.count(F.lit(1)).over(everyone) * F.col("n_class"))
-        ).alias("weight"),
+    weight = F.sum("n_class").over(everyone) / (
+        F.count(F.lit(1)).over(everyone) * F.col("n_class")
     )
-    return labelled.join(weights, label_col)
+    # One map value with an entry per class: no shuffle by class, however uneven.
+    entry = F.struct(F.col(label_col).alias("key"), F.col("weight").alias("value"))
+    table = sizes.withColumn("weight", weight).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("weights")
+    )
+    return labelled.withColumn("weight", F.element_at(table.scalar(), F.col(label_col)))
 
 
 def standard_scale(m: DataFrame) -> DataFrame:

@@ -15,33 +15,36 @@ from cpgspark.operators.harmonise import harmonise_v2
 from cpgspark.sources.tables import read_array_report
 
 TABLE_SCHEMA = "sample_id string, meth_sample_id string, probe_id string, value double"
+SAMPLES_SCHEMA = "meth_sample_id string"
 
 
-def open_table(spark: SparkSession, path: str) -> DataFrame:
-    """The target table; made empty if it does not exist yet."""
-    empty = spark.createDataFrame([], TABLE_SCHEMA)
-    empty.write.mode("ignore").parquet(f"{path}/batch_id=-1")
-    return spark.read.schema(TABLE_SCHEMA + ", batch_id long").parquet(path)
+def _part(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One part of the target table; made empty if it does not exist yet."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch_id=-1")
+    return spark.read.schema(schema + ", batch_id long").parquet(path)
 
 
 def append_new(batch: DataFrame, batch_id: int, target: str) -> None:
     """Append the rows of samples the table lacks.
 
-    A batch owns the folder of its number and overwrites only that, so a batch that
-    is run again after a failure replaces its own half-written files.
+    Beside the rows the table keeps a list of its samples, so a batch never scans
+    the rows loaded before.  A batch owns the folder of its number in both and
+    overwrites only that: run again after a failure it replaces its own files.
     """
-    earlier = (
-        open_table(batch.sparkSession, target)
-        .filter(F.col("batch_id") != batch_id)
-        .select("meth_sample_id")
-        .distinct()
+    spark = batch.sparkSession
+    earlier = _part(spark, f"{target}/samples", SAMPLES_SCHEMA).filter(
+        F.col("batch_id") != batch_id
     )
+    _part(spark, f"{target}/rows", TABLE_SCHEMA)
+    folder = f"{target}/rows/batch_id={batch_id}"
     (
-        batch.join(earlier, "meth_sample_id", "left_anti")
+        batch.join(earlier.select("meth_sample_id").distinct(), "meth_sample_id", "left_anti")
         .select("sample_id", "meth_sample_id", "probe_id", "value")
         .write.mode("overwrite")
-        .parquet(f"{target}/batch_id={batch_id}")
+        .parquet(folder)
     )
+    added = spark.read.schema(TABLE_SCHEMA).parquet(folder).select("meth_sample_id").distinct()
+    added.write.mode("overwrite").parquet(f"{target}/samples/batch_id={batch_id}")
 
 
 def run_available(
@@ -94,4 +97,4 @@ def ingest_reports(
 
 def loaded(spark: SparkSession, target: str) -> DataFrame:
     """The table as loaded so far."""
-    return open_table(spark, target).drop("batch_id")
+    return _part(spark, f"{target}/rows", TABLE_SCHEMA).drop("batch_id")

@@ -102,7 +102,10 @@ def main() -> int:
                 bad += problem is not None
         except Exception as error:  # noqa: BLE001
             took = time.perf_counter() - start
-            verdict = f"ERROR {type(error).__name__}: {str(error)[:600]}"
+            text = str(error)
+            cause = text.rfind("Caused by")
+            verdict = f"ERROR {type(error).__name__}: {text[:300]}"
+            verdict += f" ... {text[cause:cause + 400]}" if cause > 0 else ""
             bad += 1
         print(f"{name:28s} {took:6.1f}s {verdict}", flush=True)
     print(f"{len(names)} queries, {bad} bad")
