@@ -8,12 +8,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cpgspark.operators.harmonise import BEST_TEXT, SUPERIOR_TEXT
+from cpgspark.operators.harmonise import BEST_TEXT, SUPERIOR_TEXT, probe_map
 from cpgspark.operators.tree import ROOT, build_tree
+from cpgspark.plans.durable import store
+from cpgspark.plans.sizing import spread
+
+
+# Tables with many rows per file.
+_LONG_TABLES = {"lineitem", "orders", "embeddings", "documents", "events"}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(rows) if name in _LONG_TABLES else rows
 
 
 def text(column: str):
@@ -69,11 +76,17 @@ PROBES = [f"p{i:02d}" for i in range(64)]
 
 
 def qc_measurements(spark: SparkSession, sf: str) -> DataFrame:
-    return (
+    """Stored, as measurements are: the filters pass over them several times."""
+    known = F.when(F.col("l_discount") > 0, F.col("l_extendedprice"))
+    best = (
         table(spark, sf, "lineitem")
-        .groupBy(text("l_suppkey").alias("sample_id"), text("l_partkey").alias("probe_id"))
-        .agg(F.max(F.when(F.col("l_discount") > 0, F.col("l_extendedprice"))).alias("value"))
+        .groupBy("l_suppkey", "l_partkey")
+        .agg(F.max(known).alias("value"))
     )
+    rows = best.select(
+        text("l_suppkey").alias("sample_id"), text("l_partkey").alias("probe_id"), "value"
+    )
+    return store(rows, "qc")
 
 
 def probe_metadata(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,6 +151,11 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_probe_map(spark: SparkSession, sf: str) -> DataFrame:
+    """The probe map is made once per manifest and then reused."""
+    return store(probe_map(manifest(spark, sf)), "probe-map")
+
+
 def reports(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(
         F.concat(F.lit("S"), text_of(F.col("l_suppkey") % 5)).alias("meth_sample_id"),

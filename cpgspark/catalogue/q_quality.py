@@ -150,7 +150,7 @@ _HARMONISED_ROWS = (
 
 
 def _harmonised(spark: SparkSession, sf: str) -> DataFrame:
-    mapping = harmonise.probe_map(fx.manifest(spark, sf))
+    mapping = fx.stored_probe_map(spark, sf)
     return harmonise.harmonise(fx.reports(spark, sf), None, mapping)
 
 
@@ -476,7 +476,7 @@ def probe_map_unresolved(spark: SparkSession, sf: str) -> DataFrame:
     count(*) AS n FROM repl GROUP BY 1, 2, 3""",
 )
 def replace_with_mean(spark: SparkSession, sf: str) -> DataFrame:
-    mapping = harmonise.probe_map(fx.manifest(spark, sf))
+    mapping = fx.stored_probe_map(spark, sf)
     rows = harmonise.replace_with_mean(fx.reports(spark, sf), mapping, "MValue")
     return rows.groupBy(
         "meth_sample_id", "EPICv1_Loci", rounded("MValue").alias("MValue")
@@ -509,7 +509,7 @@ def harmonise_all(spark: SparkSession, sf: str) -> DataFrame:
         price.alias("MValue"),
         (price / (price + 100)).alias("Beta"),
     )
-    mapping = harmonise.probe_map(fx.manifest(spark, sf))
+    mapping = fx.stored_probe_map(spark, sf)
     rows = harmonise.harmonise(fx.reports(spark, sf), v1, mapping)
     return rows.withColumn("value", rounded("value"))
 
@@ -615,7 +615,7 @@ def ingest_reports(spark: SparkSession, sf: str) -> DataFrame:
     """Streaming run over report files; the second run must add nothing."""
     root = _report_folder(spark, sf)
     target, checkpoint = scratch_path(spark, "table"), scratch_path(spark, "offsets")
-    mapping = harmonise.probe_map(fx.manifest(spark, sf))
+    mapping = fx.stored_probe_map(spark, sf)
     features = (
         fx.table(spark, sf, "orders")
         .filter("o_orderstatus <> 'P'")

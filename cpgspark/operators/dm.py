@@ -19,6 +19,7 @@ from cpgspark.functions.tails import (
     log_variance_shift,
     student_t_p,
 )
+from cpgspark.plans.durable import store
 from cpgspark.plans.ordering import running_totals
 from cpgspark.plans.sizing import small_side
 
@@ -259,6 +260,8 @@ def moderated_stats(labelled: DataFrame) -> DataFrame:
     rows = stats.filter((n > 0) & (nr > 0) & (n + nr > 2)).select(
         "*", df.alias("df"), ((F.col("m2_class") + F.col("m2_rest")) / df).alias("s2")
     )
+    # One row per probe and class, read twice below: the measurements only once.
+    rows = store(rows, "moments")
     excess = F.log("s2") - log_variance_shift("df")
     moments = (
         rows.filter("s2 > 0")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cpgspark.plans.sizing import small_side
 
@@ -111,10 +111,52 @@ def resolve_loci(rows: DataFrame, value_col: str) -> DataFrame:
     )
 
 
-def harmonise_v2(reports: DataFrame, mapping: DataFrame, value_col: str) -> DataFrame:
-    """Second-generation reports to ``meth_sample_id, probeName, value``."""
-    means = replace_with_mean(reports, mapping, value_col)
-    return resolve_loci(means, value_col).withColumnRenamed("EPICv1_Loci", "probeName")
+def harmonise_v2(
+    reports: DataFrame, mapping: DataFrame, value_cols: Sequence[str]
+) -> DataFrame:
+    """Second-generation reports to ``meth_sample_id, probeName, column, value``.
+
+    The same rows as :func:`replace_with_mean` and :func:`resolve_loci` for each
+    column, in one pass for all columns: a locus with a chosen probe takes their
+    mean, any other must have a single value.  Both sides are aggregated by (sample,
+    locus) before they meet, so the raw rows are never shuffled for the join.
+    """
+    rows = reports.filter(F.col("EPICv1_Loci").isNotNull())
+    chosen = mapping.select(
+        F.col("EPICv1locmatch").alias("EPICv1_Loci"), F.explode("IlmnID").alias("Name")
+    )
+    keys = ["meth_sample_id", "EPICv1_Loci"]
+    means = (
+        rows.select("meth_sample_id", "Name", *value_cols)
+        .join(small_side(chosen), "Name")
+        .groupBy(*keys)
+        .agg(F.lit(True).alias("found"), *[F.avg(c).alias(f"mean_{c}") for c in value_cols])
+    )
+    sizes = [F.count(F.lit(1)).alias("rows")]
+    for c in value_cols:
+        sizes += [F.min(c).alias(f"low_{c}"), F.max(c).alias(f"high_{c}"), F.count(c).alias(f"n_{c}")]
+    joined = rows.groupBy(*keys).agg(*sizes).join(means, keys, "left")
+
+    def cell(c: str) -> Column:
+        n, low = F.col(f"n_{c}"), F.col(f"low_{c}")
+        single = (n == 0) | ((n == F.col("rows")) & (low == F.col(f"high_{c}")))
+        found = F.coalesce("found", F.lit(False))
+        return F.struct(
+            F.lit(c).alias("column"),
+            F.when(found, F.col(f"mean_{c}")).otherwise(low).alias("value"),
+            (found | single).alias("kept"),
+        )
+
+    cells = F.explode(F.array(*[cell(c) for c in value_cols]))
+    return (
+        joined.select(*keys, cells.alias("c"))
+        .filter("c.kept")
+        .select("meth_sample_id", F.col("EPICv1_Loci").alias("probeName"), "c.column", "c.value")
+    )
+
+
+# Output kinds and the report columns they come from.
+KINDS = {"M": "MValue", "Beta": "Beta"}
 
 
 def harmonise(
@@ -125,26 +167,24 @@ def harmonise(
     ``kind`` is ``M`` or ``Beta``.  First-generation reports are only renamed; one
     without an ``MValue`` column is skipped.
     """
+    names = {column: kind for kind, column in KINDS.items()}
     parts: list[DataFrame] = []
-    for kind, column in (("M", "MValue"), ("Beta", "Beta")):
-        if v2_reports is not None:
-            parts.append(
-                harmonise_v2(v2_reports, mapping, column).select(
-                    F.lit(kind).alias("kind"),
-                    "meth_sample_id",
-                    "probeName",
-                    F.col(column).alias("value"),
-                )
-            )
-        if v1_reports is not None and "MValue" in v1_reports.columns:
-            parts.append(
-                v1_reports.select(
-                    F.lit(kind).alias("kind"),
-                    "meth_sample_id",
-                    F.col("Name").alias("probeName"),
-                    F.col(column).alias("value"),
-                )
-            )
+    if v2_reports is not None:
+        values = harmonise_v2(v2_reports, mapping, list(names))
+        kind = F.when(F.col("column") == KINDS["M"], "M").otherwise("Beta")
+        parts.append(values.select(kind.alias("kind"), "meth_sample_id", "probeName", "value"))
+    if v1_reports is not None and KINDS["M"] in v1_reports.columns:
+        both = F.array(
+            *[
+                F.struct(F.lit(kind).alias("kind"), F.col(column).alias("value"))
+                for kind, column in KINDS.items()
+            ]
+        )
+        parts.append(
+            v1_reports.select(
+                "meth_sample_id", F.col("Name").alias("probeName"), F.explode(both).alias("c")
+            ).select("c.kind", "meth_sample_id", "probeName", "c.value")
+        )
     if not parts:
         raise ValueError("no report with an MValue column")
     out = parts[0]

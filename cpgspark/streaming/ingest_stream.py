@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cpgspark.operators.harmonise import harmonise_v2
+from cpgspark.plans.durable import store
+from cpgspark.plans.sizing import small_side
 from cpgspark.sources.tables import read_array_report
 
 TABLE_SCHEMA = "sample_id string, meth_sample_id string, probe_id string, value double"
@@ -84,11 +86,15 @@ def ingest_reports(
     entry is not loaded.
     """
 
+    # The lists are the same for every batch: work them out once.
+    mapping = store(mapping, "probe-map")
+    features = store(features.select("probe_id").distinct(), "features")
+
     def to_long(batch: DataFrame) -> DataFrame:
-        values = harmonise_v2(batch, mapping, "MValue").select(
-            "meth_sample_id", F.col("probeName").alias("probe_id"), F.col("MValue").alias("value")
+        values = harmonise_v2(batch, mapping, ["MValue"]).select(
+            "meth_sample_id", F.col("probeName").alias("probe_id"), "value"
         )
-        wanted = values.join(features.select("probe_id").distinct(), "probe_id", "left_semi")
+        wanted = values.join(small_side(features), "probe_id", "left_semi")
         return wanted.join(samples.select("sample_id", "meth_sample_id"), "meth_sample_id")
 
     reports = read_array_report(spark, root, folders=folders, stream=True)
