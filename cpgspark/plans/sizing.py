@@ -19,12 +19,3 @@ def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     seen = df.limit(max_rows + 1).count()
     return F.broadcast(df) if seen <= max_rows else df
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Share out a scan that yields fewer tasks than there are cores.
-
-    A file written as one row group is read by one task, and everything up to the
-    first shuffle would run there.  A table of many files is returned unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
