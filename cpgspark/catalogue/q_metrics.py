@@ -127,6 +127,22 @@ def brier(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.brier(fx.scores(spark, sf)).select(rounded("brier_score").alias("brier_score"))
 
 
+@query(
+    "binary_metrics",
+    f"""WITH {fx.SCORES}, a AS (SELECT class, sum((fp - fq) * (tp + tq)) / 2e0 / any_value(p) / any_value(n) AS auc
+      FROM (SELECT *, lag(fp, 1, 0) OVER w AS fq, lag(tp, 1, 0) OVER w AS tq FROM cum
+            WHERE p > 0 AND n > 0 WINDOW w AS (PARTITION BY class ORDER BY score DESC)) GROUP BY class),
+    b AS (SELECT class, avg(CAST(CAST(score >= 0.5 AS INTEGER) = truth AS INTEGER)) AS acc,
+                 avg(pow(score - truth, 2)) AS br FROM scored GROUP BY class)
+    SELECT b.class, round(acc, 6) + 0.0 AS accuracy, round(br, 6) + 0.0 AS brier_score,
+           round(auc, 6) + 0.0 AS roc_auc FROM b LEFT JOIN a ON a.class = b.class""",
+)
+def binary_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    out = metrics.binary_metrics(fx.scores(spark, sf))
+    names = ("accuracy", "brier_score", "roc_auc")
+    return out.select("class", *[rounded(c).alias(c) for c in names])
+
+
 @query(
     "share_above",
     "SELECT round(avg(CAST(o_totalprice > 250000 AS INTEGER)), 6) AS share FROM orders",

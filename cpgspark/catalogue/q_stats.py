@@ -151,6 +151,12 @@ def moderated_stats(spark: SparkSession, sf: str) -> DataFrame:
     return dm.moderated_stats(rows.join(fx.labels(spark, sf), "sample_id"))
 
 
+@query("moderated_stats_robust")
+def moderated_stats_robust(spark: SparkSession, sf: str) -> DataFrame:
+    rows = qc.drop_nonfinite_probes(fx.measurements(spark, sf))
+    return dm.moderated_stats(rows.join(fx.labels(spark, sf), "sample_id"), robust=True)
+
+
 @query("moderated_dm")
 def moderated_dm(spark: SparkSession, sf: str) -> DataFrame:
     rows = qc.drop_nonfinite_probes(fx.measurements(spark, sf))

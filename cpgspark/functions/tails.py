@@ -119,6 +119,27 @@ def inverse_trigamma(target: float) -> float:
     return math.sqrt(low * high)
 
 
+def winsorised_log_ratio(
+    df: float, prior_df: float, tails: tuple[float, float], points: int = 1500
+) -> tuple[float, float]:
+    """Mean and variance of log F(df, prior_df) with both tails pulled in.
+
+    The lower share ``tails[0]`` and the upper share ``tails[1]`` are set to the
+    quantiles where they start.  Sums over a fine grid of the distribution.
+    """
+    half = 12 * math.sqrt(float(trigamma(df / 2)) + float(trigamma(prior_df / 2)))
+    centre = float(digamma(df / 2) - digamma(prior_df / 2)) - math.log(df / prior_df)
+    z = np.linspace(centre - half, centre + half, points)
+    scaled = df * np.exp(z)
+    below = incomplete_beta(df / 2, prior_df / 2, scaled / (scaled + prior_df))
+    low, high = np.interp([tails[0], 1 - tails[1]], below, z)
+    values = np.clip((z[1:] + z[:-1]) / 2, low, high)
+    share = np.diff(below)
+    share = share / share.sum()
+    mean = float((values * share).sum())
+    return mean, float((share * (values - mean) ** 2).sum())
+
+
 @F.pandas_udf(T.DoubleType())
 def log_variance_shift(df: pd.Series) -> pd.Series:
     """Mean of the log of a unit variance estimate on ``df`` degrees of freedom."""

@@ -18,6 +18,7 @@ from cpgspark.functions.tails import (
     log_variance_noise,
     log_variance_shift,
     student_t_p,
+    winsorised_log_ratio,
 )
 from cpgspark.plans.durable import store
 from cpgspark.plans.ordering import running_totals
@@ -248,11 +249,13 @@ def differential_methylation(
     return summary, dm_select(summary, alpha, min_effect)
 
 
-def moderated_stats(labelled: DataFrame) -> DataFrame:
+def moderated_stats(labelled: DataFrame, robust: bool = False) -> DataFrame:
     """Moderated one-vs-rest statistics: ``probe_id, class, t_mod, df_total, p_value``.
 
     Each class has its own prior variance, fitted by moments to the log variances
-    of all its probes.  One row of moments per class reaches the driver.
+    of all its probes.  One row of moments per class reaches the driver.  With
+    ``robust`` the moments are those of the winsorised log variances, so that a few
+    probes of extreme variance do not widen the prior; all probes share that prior.
     """
     stats = one_vs_rest(class_moments(labelled))
     n, nr = F.col("n_class"), F.col("n_rest")
@@ -262,15 +265,7 @@ def moderated_stats(labelled: DataFrame) -> DataFrame:
     )
     # One row per probe and class, read twice below: the measurements only once.
     rows = store(rows, "moments")
-    excess = F.log("s2") - log_variance_shift("df")
-    moments = (
-        rows.filter("s2 > 0")
-        .select("class", excess.alias("e"), log_variance_noise("df").alias("noise"))
-        .groupBy("class")
-        .agg(F.avg("e").alias("centre"), F.var_samp("e").alias("var"), F.avg("noise").alias("noise"))
-        .collect()
-    )
-    priors = [(r["class"], *_fit_prior(r["centre"], r["var"], r["noise"])) for r in moments]
+    priors = _robust_priors(rows) if robust else _moment_priors(rows)
     prior = labelled.sparkSession.createDataFrame(priors, "class string, d0 double, s02 double")
     d0, s02 = F.col("d0"), F.col("s02")
     pooled = F.when(d0 == float("inf"), s02).otherwise(
@@ -288,18 +283,66 @@ def moderated_stats(labelled: DataFrame) -> DataFrame:
     )
 
 
-def _fit_prior(centre: float, var: float | None, noise: float) -> tuple[float, float]:
-    """Prior degrees of freedom and variance from moments of the log variances."""
-    surplus = (var or 0.0) - noise
-    if surplus <= 0:
-        return float("inf"), math.exp(centre)
-    half = inverse_trigamma(surplus)
-    return 2 * half, math.exp(centre + float(digamma(half)) - math.log(half))
-
-
-def moderated_dm(labelled: DataFrame, top: int = TOP_PER_CLASS) -> DataFrame:
+def _moment_priors(rows: DataFrame) -> list[tuple[str, float, float]]:
+    """``(class, d0, s02)`` from mean and variance of the log variances."""
+    excess = F.log("s2") - log_variance_shift("df")
+    moments = (
+        rows.filter("s2 > 0")
+        .select("class", excess.alias("e"), log_variance_noise("df").alias("noise"))
+        .groupBy("class")
+        .agg(F.avg("e").alias("centre"), F.var_samp("e").alias("var"), F.avg("noise").alias("noise"))
+    )
+    priors = []
+    for r in moments.collect():
+        surplus = (r["var"] or 0.0) - r["noise"]
+        if surplus <= 0:
+            priors.append((r["class"], float("inf"), math.exp(r["centre"])))
+            continue
+        half = inverse_trigamma(surplus)
+        s02 = math.exp(r["centre"] + float(digamma(half)) - math.log(half))
+        priors.append((r["class"], 2 * half, s02))
+    return priors
+
+
+# Shares of the log variances pulled in below and above.
+WINSOR_TAILS = (0.05, 0.1)
+
+
+def _robust_priors(rows: DataFrame) -> list[tuple[str, float, float]]:
+    """``(class, d0, s02)`` that give the winsorised moments which are observed."""
+    z = rows.filter("s2 > 0").select("class", "df", F.log("s2").alias("z"))
+    cuts = F.percentile_approx("z", [WINSOR_TAILS[0], 1 - WINSOR_TAILS[1]], 10_000)
+    limits = z.groupBy("class").agg(cuts.alias("cuts"))
+    held = F.greatest(F.least("z", F.get("cuts", F.lit(1))), F.get("cuts", F.lit(0)))
+    moments = (
+        z.join(F.broadcast(limits), "class")  # one row per class
+        .groupBy("class")
+        .agg(F.avg(held).alias("mean"), F.var_samp(held).alias("var"), F.avg("df").alias("df"))
+    )
+    priors = []
+    for r in moments.collect():
+        low, high = 1e-2, 1e6
+        flat = winsorised_log_ratio(r["df"], high, WINSOR_TAILS)
+        if (r["var"] or 0.0) <= flat[1]:
+            priors.append((r["class"], float("inf"), math.exp(r["mean"] - flat[0])))
+            continue
+        for _ in range(36):  # the spread falls as the prior grows
+            mid = math.sqrt(low * high)
+            if winsorised_log_ratio(r["df"], mid, WINSOR_TAILS)[1] > r["var"]:
+                low = mid
+            else:
+                high = mid
+        d0 = math.sqrt(low * high)
+        centre, _ = winsorised_log_ratio(r["df"], d0, WINSOR_TAILS)
+        priors.append((r["class"], d0, math.exp(r["mean"] - centre)))
+    return priors
+
+
+def moderated_dm(
+    labelled: DataFrame, top: int = TOP_PER_CLASS, robust: bool = False
+) -> DataFrame:
     """The ``top`` probes of each class by moderated p; union over the classes."""
-    stats = moderated_stats(labelled)
+    stats = moderated_stats(labelled, robust)
     best = Window.partitionBy("class").orderBy(
         F.col("p_value").asc_nulls_last(), F.abs("t_mod").desc_nulls_last(), "probe_id"
     )

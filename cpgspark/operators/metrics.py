@@ -239,6 +239,16 @@ def brier(scored: DataFrame) -> DataFrame:
     return scored.agg(F.avg(F.pow(F.col("score") - F.col("truth"), F.lit(2))).alias("brier_score"))
 
 
+def binary_metrics(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Per class: accuracy of the thresholded score, ROC area and Brier score."""
+    called = (F.col("score") >= threshold).cast("int")
+    simple = scored.groupBy("class").agg(
+        F.avg((called == F.col("truth")).cast("double")).alias("accuracy"),
+        F.avg(F.pow(F.col("score") - F.col("truth"), F.lit(2))).alias("brier_score"),
+    )
+    return simple.join(roc_auc(scored), "class", "left")  # one row per class
+
+
 def share_above(values: DataFrame, column: str, threshold: float) -> DataFrame:
     """Fraction of values above the threshold, 0 for none at all."""
     above = F.avg((F.col(column) > threshold).cast("double"))

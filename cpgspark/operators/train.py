@@ -110,6 +110,39 @@ def train_linear_svm(
     return NodeModel(name, features, classes, model)
 
 
+def search_linear_svm(
+    vectors: DataFrame,
+    features: list[str],
+    name: str = "ROOT",
+    c: Sequence[float] = (0.1, 1.0, 10.0),
+    k: int = 3,
+    score: str = "accuracy",
+    max_iter: int = 50,
+    seed: int = SEED,
+) -> tuple[NodeModel, DataFrame]:
+    """Cross-validated choice of ``c``, refitted on all rows; and ``c, mean_test_score``."""
+    if score == "roc_auc":
+        raise ValueError("the one-against-rest classifier gives no class probabilities")
+    indexer, _ = _indexed(vectors)
+    folded = store(indexer.transform(stratified_folds(vectors, "sample_id", "class", k, seed)), "folds")
+    fitted_rows = folded.count() * (k - 1) / k
+    svc = LinearSVC(maxIter=max_iter)
+    grid = ParamGridBuilder().addGrid(svc.regParam, [1.0 / (v * fitted_rows) for v in c]).build()
+    search = CrossValidator(
+        estimator=OneVsRest(classifier=svc),
+        estimatorParamMaps=grid,
+        evaluator=ClassScore(score),
+        numFolds=k,
+        foldCol="fold",
+        parallelism=2,
+    ).fit(folded)
+    scores = [float(v) for v in search.avgMetrics]
+    best = train_linear_svm(vectors, features, name, c[scores.index(max(scores))], max_iter)
+    best.metrics["cv_best"] = max(scores)
+    rows = [(float(v), s) for v, s in zip(c, scores, strict=True)]
+    return best, vectors.sparkSession.createDataFrame(rows, "c double, mean_test_score double")
+
+
 class ClassScore(Evaluator):
     """Macro F1, accuracy or macro one-against-rest area, for ``CrossValidator``."""
 

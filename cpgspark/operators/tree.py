@@ -94,7 +94,7 @@ def tree_from_labels(
     )
     leaves = held.select("node_path").distinct().select(
         "node_path",
-        F.element_at("node_path", 2).alias("name"),
+        F.get("node_path", F.lit(1)).alias("name"),
         F.array(F.lit(root)).alias("parent_path"),
         F.lit(2).alias("level"),
         F.slice("node_path", 2, 1).alias("order_path"),
@@ -165,7 +165,7 @@ def samples_at_level(tree_samples: DataFrame, level: int, below: list[str] | Non
         shift = len(below) - 1
     at = level + shift
     return rows.filter(F.size("node_path") >= at).select(
-        "sample_id", F.element_at("node_path", at).alias("cancerType")
+        "sample_id", F.get("node_path", F.lit(at - 1)).alias("cancerType")
     )
 
 

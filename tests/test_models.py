@@ -209,3 +209,16 @@ def test_right_calls_take_the_largest_probability(spark):
 def test_select_all_without_k(spark):
     df = spark.createDataFrame([("p", 1.0)], "probe_id string, f_score double")
     assert dm.select_k_best(df, None).count() == 1
+
+
+def test_svm_choice_of_c(spark, grown):
+    m, _, held, models = grown
+    labels = held.select("sample_id", F.get("node_path", F.lit(1)).alias("class"))
+    features = models["ROOT"].features
+    vectors = sample_vectors(m, features).join(labels, "sample_id")
+    best, table = train.search_linear_svm(vectors, features, c=(0.01, 1.0), k=2, max_iter=5)
+    assert table.count() == 2 and best.metrics["cv_best"] >= 0.9
+    calls = best.predict(vectors)
+    assert calls.filter(F.col("class") == F.col("prediction")).count() >= 55
+    with pytest.raises(ValueError):
+        train.search_linear_svm(vectors, features, score="roc_auc")

@@ -191,3 +191,29 @@ def test_udf_runs_once_when_filtered(spark):
     plan = dm.welch_p(dm.dm_class_stats(df)).filter(F.col("p_value") < 0.5)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("ArrowEvalPython") == 1
+
+
+def test_winsorised_moments_without_tails_are_the_plain_ones():
+    mean, var = tails.winsorised_log_ratio(8.0, 12.0, (0.0, 0.0))
+    assert mean == pytest.approx(float(tails.digamma(4) - tails.digamma(6)) - math.log(8 / 12), abs=1e-4)
+    assert var == pytest.approx(float(tails.trigamma(4) + tails.trigamma(6)), rel=1e-3)
+
+
+def test_robust_prior_resists_wild_probes(spark):
+    rng = np.random.default_rng(9)
+    n, probes, d0, s0 = 20, 400, 10.0, 2.0
+    var = d0 * s0 / rng.chisquare(d0, probes)
+    x = rng.normal(size=(probes, n)) * np.sqrt(var)[:, None]
+
+    def rows(data):
+        cells = [(f"s{j}", f"p{i}", float(data[i, j]), "a" if j < 9 else "b") for i in range(probes) for j in range(n)]
+        return spark.createDataFrame(cells, "sample_id string, probe_id string, value double, class string")
+
+    wild = x.copy()
+    wild[:16] *= 30.0  # four probes in a hundred
+    def df_total(df, robust):
+        return dm.moderated_stats(df, robust).filter("class = 'a'").first()["df_total"] - (n - 2)
+
+    clean, spoilt, held = df_total(rows(x), False), df_total(rows(wild), False), df_total(rows(wild), True)
+    assert spoilt < clean / 3
+    assert clean / 2 < held < clean * 2
