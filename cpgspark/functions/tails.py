@@ -12,9 +12,13 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return np.frompyfunc(math.lgamma, 1, 1)(x).astype(float)
 
 
-def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray, steps: int = 300) -> np.ndarray:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
+def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Continued fraction of the incomplete beta function (modified Lentz).
+
+    The number of steps it needs grows with the root of the larger parameter.
+    """
     tiny = 1e-300
+    steps = 300 + int(5 * math.sqrt(max(a.max(), b.max())))
     c = np.ones_like(x)
     d = 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)

@@ -321,12 +321,12 @@ def _robust_priors(rows: DataFrame) -> list[tuple[str, float, float]]:
     )
     priors = []
     for r in moments.collect():
-        low, high = 1e-2, 1e6
+        low, high = 0.2, 1e4
         flat = winsorised_log_ratio(r["df"], high, WINSOR_TAILS)
         if (r["var"] or 0.0) <= flat[1]:
             priors.append((r["class"], float("inf"), math.exp(r["mean"] - flat[0])))
             continue
-        for _ in range(36):  # the spread falls as the prior grows
+        for _ in range(30):  # the spread falls as the prior grows
             mid = math.sqrt(low * high)
             if winsorised_log_ratio(r["df"], mid, WINSOR_TAILS)[1] > r["var"]:
                 low = mid
