@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cpgspark.llm import repetition as repetition_rules
+from cpgspark.llm import bpe, repetition as repetition_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,3 +85,13 @@ def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed",
         "kept",
     )
+
+
+@query("op3_bpe")
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, and decoded again from its ids."""
+    tables = bpe.share_tables(spark)
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(documents, tables).select(
+        "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"
+    )
