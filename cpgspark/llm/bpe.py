@@ -28,6 +28,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
@@ -384,9 +385,9 @@ def decode(df: DataFrame, tables: Any, ids_col: str = "ids", text_col: str = "te
                 lists = part.column(len(keep))
                 counts = np.diff(np.asarray(lists.offsets))
                 raw = tokens.take(lists.flatten())
-                ends = np.r_[0, np.cumsum(np.asarray(raw.value_lengths(), dtype=np.int64))]
+                ends = np.r_[0, np.cumsum(np.asarray(pc.binary_length(raw), dtype=np.int64))]
                 rows = ends[np.r_[0, np.cumsum(counts)]]
-                data = b"".join(raw.to_pylist()) if raw.offset else raw.buffers()[2]
+                data = raw.buffers()[2] or pa.py_buffer(b"")
                 whole = pa.Array.from_buffers(
                     pa.large_binary(), part.num_rows, [None, pa.py_buffer(rows.tobytes()), data]
                 )
