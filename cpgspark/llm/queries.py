@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cpgspark.llm import bpe, quality, repetition as repetition_rules
+from cpgspark.llm import bpe, quality, repetition as repetition_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -105,3 +105,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents, model, keep=["doc_id"]).select(
         "doc_id", quality.held_out().alias("held_out"), "score", "predicted"
     )
+
+
+@query("op8_simhash")
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the component it belongs to."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
