@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cpgspark.llm import bpe, quality, repetition as repetition_rules, simhash
+from cpgspark.llm import bpe, mixing, quality, repetition as repetition_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -111,3 +111,51 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and the component it belongs to."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_MIX_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight,
+         row_number() OVER (ORDER BY source NULLS LAST) AS source_rank,
+         {mixing.MAX_PASSES} * source_size AS most
+  FROM s
+), f AS (
+  SELECT *, most::DOUBLE / weight AS fill,
+         coalesce(sum(most) OVER o, 0)::BIGINT AS most_before,
+         coalesce(sum(weight) OVER o, 0)::BIGINT AS weight_before,
+         row_number() OVER (ORDER BY most::DOUBLE / weight, source_rank) AS n
+  FROM w WINDOW o AS (ORDER BY most::DOUBLE / weight, source_rank
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (
+  SELECT *, ((SELECT sum(source_size) FROM w) - most_before)::DOUBLE
+            / ((SELECT sum(weight) FROM w) - weight_before)::DOUBLE AS lev
+  FROM f
+), g AS (
+  SELECT source, source_size,
+         least(most::DOUBLE, (SELECT arg_min(lev, n) FROM l WHERE fill >= lev) * weight) AS target
+  FROM f
+), q AS (
+  SELECT d.doc_id, d.size, g.source_size, g.target, round(g.target)::BIGINT AS quota,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest, d.doc_id, d.size
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN source_size = 0 THEN 0
+            ELSE (quota // source_size) * size
+                 + greatest(least(begins + size, quota % source_size) - begins, 0) END::BIGINT AS taken
+FROM q
+"""
+
+
+@query("op1_mixing", _MIX_SQL)
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
