@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cpgspark.llm import bpe, mixing, quality, repetition as repetition_rules, simhash
+from cpgspark.llm import bpe, mixing, quality, sharding, simhash, warc
+from cpgspark.llm import repetition as repetition_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -159,3 +160,52 @@ FROM q
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op2_sharding")
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; shards are near equal in bytes."""
+    placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+_WARC_SQL = """
+WITH p AS (
+  SELECT row_number() OVER () AS rid, page_id, coalesce(html, '') AS body,
+         sha1(coalesce(html, '')) AS h
+  FROM pages
+), bits AS (
+  SELECT rid, array_to_string(list_transform(string_split(h, ''), lambda c:
+           lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '') AS b
+  FROM p
+), digest AS (
+  SELECT rid, array_to_string(list_transform(range(32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  1 + 16 * substr(b, CAST(i * 5 + 1 AS INT), 1)::INT
+                    + 8 * substr(b, CAST(i * 5 + 2 AS INT), 1)::INT
+                    + 4 * substr(b, CAST(i * 5 + 3 AS INT), 1)::INT
+                    + 2 * substr(b, CAST(i * 5 + 4 AS INT), 1)::INT
+                    + substr(b, CAST(i * 5 + 5 AS INT), 1)::INT, 1)), '') AS d
+  FROM bits
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY body) AS last FROM p
+)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM m JOIN digest USING (rid)
+"""
+
+
+@query("op4_warc", _WARC_SQL)
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a record and read back from the archives."""
+    return warc.archived_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
