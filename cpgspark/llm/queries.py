@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cpgspark.llm import bpe, mixing, quality, sharding, simhash, warc
+from cpgspark.llm import bpe, mixing, nearest, quality, sharding, simhash, warc
 from cpgspark.llm import repetition as repetition_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,10 @@ FROM m JOIN digest USING (rid)
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a record and read back from the archives."""
     return warc.archived_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op9_nearest")
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest rows to every vector whose id 20 divides."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
