@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cpgspark.llm import bpe, mixing, nearest, quality, sharding, simhash, warc
+from cpgspark.llm import bpe, mixing, nearest, quality, sharding, simhash, substrings, warc
 from cpgspark.llm import repetition as repetition_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,3 +216,10 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest rows to every vector whose id 20 divides."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@query("op10_substrings")
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier document holds."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeated(documents)

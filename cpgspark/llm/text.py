@@ -44,9 +44,18 @@ def as_bytes(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_binary()), b"")
 
 
+def whole(column: pa.Array) -> pa.Array:
+    """A string array in memory of its own, nulls as empty.
+
+    Some Arrow functions misread arrays whose offsets do not start at zero (slices).
+    """
+    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    return texts.take(pa.array(np.arange(len(texts))))
+
+
 def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of a string array in order, and each word's row number."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(column.cast(pa.large_string()), ""))
+    lists = pc.ascii_split_whitespace(whole(column))
     flat = lists.flatten()
     parents = np.asarray(pc.list_parent_indices(lists), dtype=np.int64)
     full = np.asarray(pc.binary_length(flat)) > 0
