@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cpgspark.llm import bpe, mixing, nearest, quality, sharding, simhash, substrings, warc
+from cpgspark.llm import bpe, language_model, mixing, nearest, quality, sharding, simhash, substrings, warc
 from cpgspark.llm import repetition as repetition_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,3 +223,19 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that an earlier document holds."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.remove_repeated(documents)
+
+
+@query("op7_language_model")
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a trigram model of the training part."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = language_model.train(documents.where(language_model.learns()))
+    return language_model.score(documents, model).select(
+        "doc_id",
+        language_model.held_out().alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
