@@ -29,7 +29,7 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from cpgspark.plans.durable import scratch_path, store
 
@@ -40,7 +40,7 @@ VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 DATE = "1970-01-01T00:00:00Z"
-#: Payload bytes per archive, and what the dictionary is learned from and may hold.
+#: Record bytes per archive before packing, and what the dictionary is learned from and may hold.
 ARCHIVE_BYTES = 64 << 20
 SAMPLE_BYTES = 4 << 20
 DICTIONARY_BYTES = 32 << 10
@@ -195,11 +195,12 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def write_records(records: DataFrame, folder: str, archives: int) -> DataFrame:
-    """Write records into ``archives`` files; one row per file: path and records.
+def write_records(records: DataFrame, folder: str) -> DataFrame:
+    """Write records into archives; one row per file: path and records.
 
     Needs ``record_id``, ``record_type``, ``target_uri``, ``refers_to_id``, ``payload``,
-    ``payload_bytes`` and ``sha1`` (hexadecimal).  The files exist once this returns.
+    ``payload_bytes`` and ``sha1`` (hexadecimal).  Every partition becomes one archive, or
+    more of :data:`ARCHIVE_BYTES`.  The files exist once this returns.
     """
     columns = (
         "record_id", "record_type", "target_uri", "refers_to_id", "payload", "payload_bytes", "sha1"
@@ -216,32 +217,29 @@ def write_records(records: DataFrame, folder: str, archives: int) -> DataFrame:
                 )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source = rows(batches)
-        first = next(source, None)
-        if first is None:
-            return
         context = TaskContext.get()
-        system, base = _open(folder)
-        system.create_dir(base, recursive=True)
-        name = f"{base}/part-{context.partitionId():05d}.warc.zst"
-        own = f"{name}.{context.taskAttemptId()}"
-        with system.open_output_stream(own, compression=None) as out:
-            count = write_archive(out, _chain(first, source))
-        system.move(own, name)
-        yield pa.RecordBatch.from_pydict({"path": [name], "records": [count]})
-
-    written = (
-        records.select(*columns)
-        .repartition(archives, F.xxhash64("record_id"))
-        .sortWithinPartitions("record_id")
-        .mapInArrow(run, "path string, records long")
-    )
-    return store(written, "warc-written")
-
-
-def _chain(first: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
-    yield first
-    yield from rest
+        source, file = rows(batches), 0
+        while (first := next(source, None)) is not None:
+            system, base = _open(folder)
+            system.create_dir(base, recursive=True)
+            name = f"{base}/part-{context.partitionId():05d}-{file:04d}.warc.zst"
+            own = f"{name}.{context.taskAttemptId()}"
+            with system.open_output_stream(own, compression=None) as out:
+                count = write_archive(out, _up_to(first, source))
+            system.move(own, name)
+            yield pa.RecordBatch.from_pydict({"path": [name], "records": [count]})
+            file += 1
+
+    return store(records.select(*columns).mapInArrow(run, "path string, records long"), "warc-written")
+
+
+def _up_to(first: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
+    """Records until an archive is full."""
+    size, item = 0, first
+    while item is not None:
+        yield item
+        size += len(item)
+        item = next(rest, None) if size < ARCHIVE_BYTES else None
 
 
 RECORD = (
@@ -298,8 +296,9 @@ def page_records(
 ) -> DataFrame:
     """Records of a page table with responses and revisits decided.
 
-    Equal payloads meet only in a maximum and in a join on their digest, whose hot keys
-    adaptive execution splits; the payload is dropped from revisits after it.
+    Equal payloads meet only in a maximum over digests.  Digests that occur once drop out,
+    so pages are joined with those of copies alone; hot keys of the join are split by
+    adaptive execution, and the payload is dropped from revisits after it.
     """
     pages = df.select(
         F.col(id_col).alias("page"),
@@ -307,17 +306,35 @@ def page_records(
         F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("sha1", F.sha1("payload"))
     # A null id counts as the smallest and prints as "-".
-    latest = pages.groupBy(F.col("sha1").alias("same")).agg(F.max("page").alias("last"))
-    repeats = Window.partitionBy("sha1", "page").orderBy("target_uri")
-    name = lambda page, turn: F.concat(
-        F.lit("urn:page:"), F.coalesce(F.col(page).cast("string"), F.lit("-")),
-        F.lit(":"), F.col("sha1"), F.lit(":"), turn.cast("string"),
-    )
-    joined = (
-        pages.withColumn("turn", F.row_number().over(repeats))
-        .join(latest, F.col("sha1") == F.col("same"))
-        .withColumn("first", F.col("page").eqNullSafe(F.col("last")) & (F.col("turn") == 1))
+    latest = store(
+        pages.groupBy("sha1", "page")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("sha1")
+        .agg(
+            F.max("page").alias("last"),
+            F.sum("n").alias("copies"),
+            F.coalesce(F.max_by("n", "page"), F.sum("n")).alias("ties"),
+        )
+        .where("copies > 1")
+        .withColumnRenamed("sha1", "same"),
+        "warc-copies",
     )
+    joined = pages.join(latest, F.col("sha1") == F.col("same"), "left").withColumn(
+        "first", F.col("same").isNull() | F.col("page").eqNullSafe(F.col("last"))
+    ).withColumn("turn", F.lit(1))
+    if latest.where("ties > 1").head(1):
+        # Rows equal in id and payload: one of them responds.
+        tied = F.col("first") & (F.coalesce("ties", F.lit(1)) > 1)
+        order = Window.partitionBy("sha1").orderBy("target_uri")
+        turns = joined.where(tied).withColumn("turn", F.row_number().over(order))
+        joined = joined.where(~tied).unionByName(turns.withColumn("first", F.col("turn") == 1))
+
+    def name(page: str, turn: Column) -> Column:
+        return F.concat(
+            F.lit("urn:page:"), F.coalesce(F.col(page).cast("string"), F.lit("-")),
+            F.lit(":"), F.col("sha1"), F.lit(":"), turn.cast("string"),
+        )
+
     return joined.select(
         name("page", F.col("turn")).alias("record_id"),
         F.when(F.col("first"), "response").otherwise("revisit").alias("record_type"),
@@ -330,12 +347,12 @@ def page_records(
 
 
 def write_pages(df: DataFrame, payload_col: str = "html", **columns: str) -> str:
-    """Write a page table as archives in a new folder of the shared place; its path."""
-    size = df.agg(F.sum(F.octet_length(payload_col))).first()[0] or 0
+    """Write a page table as archives in a new folder of the shared place; its path.
+
+    An empty table writes none and gives an empty path.
+    """
     folder = scratch_path(df.sparkSession, "warc")
-    written = write_records(
-        page_records(df, payload_col=payload_col, **columns), folder, 1 + size // ARCHIVE_BYTES
-    )
+    written = write_records(page_records(df, payload_col=payload_col, **columns), folder)
     return folder if written.head(1) else ""
 
 
