@@ -367,22 +367,33 @@ def encode(df: DataFrame, tables: Any, text_col: str = "text") -> DataFrame:
     return df.select(*keep, text_col).mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, tables: Any, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
+def decode(
+    df: DataFrame,
+    tables: Any,
+    ids_col: str = "ids",
+    text_col: str = "text",
+    keep_ids: bool = False,
+) -> DataFrame:
     """Replace the ids by the text they stand for, special tokens' strings included.
 
+    With ``keep_ids`` both are returned.
+
     Bytes that form no UTF-8 come out as replacement characters; null ids give null.
     """
-    keep = [c for c in df.columns if c != ids_col]
+    keep = [c for c in df.columns if keep_ids or c != ids_col]
     if text_col in keep:
         raise ValueError(f"column to be added exists already: {text_col}")
     schema = StructType([df.schema[c] for c in keep] + [StructField(text_col, StringType())])
 
+    read = keep if keep_ids else [*keep, ids_col]
+    at = read.index(ids_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = pa.array(tables.value.tokens, pa.large_binary())
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                lists = part.column(len(keep))
+                lists = part.column(at)
                 counts = np.diff(np.asarray(lists.offsets))
                 raw = tokens.take(lists.flatten())
                 ends = np.r_[0, np.cumsum(np.asarray(pc.binary_length(raw), dtype=np.int64))]
@@ -404,7 +415,7 @@ def decode(df: DataFrame, tables: Any, ids_col: str = "ids", text_col: str = "te
                     {name: part.column(i) for i, name in enumerate(keep)} | {text_col: texts}
                 )
 
-    return df.select(*keep, ids_col).mapInArrow(run, schema)
+    return df.select(*read).mapInArrow(run, schema)
 
 
 def round_trip(df: DataFrame, tables: Any, text_col: str = "text") -> DataFrame:

@@ -26,7 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cpgspark.llm.ordered import ordered_totals
-from cpgspark.llm.text import word_count
+from cpgspark.llm.rows import row_key
+from cpgspark.llm.text import WORD, word_count
 from cpgspark.plans.durable import store
 
 WEIGHTS = (1, 2, 3)
@@ -38,8 +39,13 @@ _CHUNK = 4096
 
 
 def sized(df: DataFrame, seed: int = 0) -> DataFrame:
-    """``doc_id``, ``source``, ``size`` in words and the shuffling digest, stored once."""
-    rows = df.select("doc_id", "source", word_count("text").alias("size"))
+    """``doc_id``, ``source``, a key of the row, ``size`` in words and the shuffling digest.
+
+    Stored once, as all further work is on these narrow rows.
+    """
+    rows = df.select(
+        "doc_id", "source", row_key().alias("key"), word_count("text").alias("size")
+    )
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     return store(rows.withColumn("digest", digest), "mix-sizes")
 
@@ -157,6 +163,42 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
+def _lined(docs: DataFrame, goals: DataFrame) -> DataFrame:
+    """Documents with their goal and their place ``at`` on the source's line of words."""
+    lined = ordered_totals(docs, ["source", "digest", "doc_id", "size", "key"], {"size": "at"}, "row")
+    starts = ordered_totals(
+        goals.select("source", "source_size"), ["source"], {"source_size": "begin"}, "place"
+    ).select("source", "begin")
+    full_goals = goals.alias("g").join(
+        starts.alias("s"), F.col("g.source").eqNullSafe(F.col("s.source"))
+    ).select("g.*", "begin")
+    known = lined.alias("d").join(
+        full_goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))
+    )
+    return store(
+        known.select(
+            "row", "doc_id", "key", "size", "source_size", "target", "source_rank",
+            (F.col("at") - F.col("begin")).alias("at"),
+        ),
+        "mix-lined",
+    )
+
+
+def _spans(known: DataFrame, block: int) -> DataFrame:
+    """One row for each document and block that it has words in."""
+    first, last = F.col("at") / block, (F.col("at") + F.col("size") - 1) / block
+    return known.where("size > 0").select(
+        "row", "at", "size", "source_rank",
+        F.explode(F.sequence(F.floor(first), F.floor(last))).alias("block"),
+    )
+
+
+def _overlap(stop: Column, block: int) -> Column:
+    """Words of a document in its block up to ``stop`` on the line."""
+    begin = F.greatest(F.col("at"), F.col("block") * block)
+    return F.greatest(F.least(F.col("at") + F.col("size"), stop) - begin, F.lit(0))
+
+
 def mix(
     df: DataFrame,
     weights: Sequence[int] = WEIGHTS,
@@ -171,41 +213,18 @@ def mix(
     docs = sized(df, seed)
     goals = store(targets(docs, weights, max_passes), "mix-targets")
     taken = schedule(goals, block).groupBy("source_rank", "block").agg(
-        F.count(F.lit(1)).alias("times"), F.min("stop").alias("least_stop"), F.max("stop").alias("stop")
+        F.count(F.lit(1)).alias("times"),
+        F.min("stop").alias("least_stop"),
+        F.max("stop").alias("stop"),
     )
-    lined = ordered_totals(docs, ["source", "digest", "doc_id", "size"], {"size": "at"}, "row")
-    starts = ordered_totals(
-        goals.select("source", "source_size"), ["source"], {"source_size": "begin"}, "place"
-    ).select("source", "begin")
-    full_goals = goals.alias("g").join(
-        starts.alias("s"), F.col("g.source").eqNullSafe(F.col("s.source"))
-    ).select("g.*", "begin")
-    known = lined.alias("d").join(
-        full_goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))
-    ).select(
-        "row", "doc_id", "size", "source_size", "target", "source_rank",
-        (F.col("at") - F.col("begin")).alias("at"),
-    )
-    known = store(known, "mix-lined")
-    spans = known.where("size > 0").select(
-        "row",
-        "at",
-        "size",
-        "source_rank",
-        F.explode(
-            F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))
-        ).alias("block"),
-    )
-    end = F.col("at") + F.col("size")
-    begin = F.greatest(F.col("at"), F.col("block") * block)
-
-    def overlap(stop: Column) -> Column:
-        return F.greatest(F.least(end, stop) - begin, F.lit(0))
-
+    known = _lined(docs, goals)
     # Only the last slot of a source is cut short, so a block has at most one such slot.
-    words = overlap(F.col("stop")) * (F.col("times") - 1) + overlap(F.col("least_stop"))
+    words = _overlap(F.col("stop"), block) * (F.col("times") - 1) + _overlap(
+        F.col("least_stop"), block
+    )
     got = (
-        spans.join(taken, ["source_rank", "block"])
+        _spans(known, block)
+        .join(taken, ["source_rank", "block"])
         .groupBy("row")
         .agg(F.sum(words).cast("long").alias("taken"))
     )
@@ -216,3 +235,53 @@ def mix(
         "target",
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
     )
+
+
+def mixed(
+    df: DataFrame,
+    weights: Sequence[int] = WEIGHTS,
+    max_passes: int = MAX_PASSES,
+    block: int = BLOCK,
+    seed: int = 0,
+) -> DataFrame:
+    """The mix itself: the rows of ``df``, once for each pass that takes words of them.
+
+    The one document of a source at which its target ends is cut to the words taken.
+    """
+    docs = sized(df, seed)
+    goals = store(targets(docs, weights, max_passes), "mix-targets")
+    known = _lined(docs, goals)
+    slots = schedule(goals, block).select("source_rank", "block", "pass", "stop")
+    passes = (
+        _spans(known, block)
+        .join(slots, ["source_rank", "block"])
+        .groupBy("row", "pass")
+        .agg(F.sum(_overlap(F.col("stop"), block)).cast("long").alias("words"))
+        .where("words > 0")
+    )
+    taken = (
+        known.join(passes, "row")
+        .groupBy(F.col("key").alias("__row"))
+        .agg(
+            F.collect_list(F.struct("words", "size")).alias("__taken"),
+        )
+    )
+    # Rows equal in id and text share a key: one of them stands for all their passes.
+    taken = store(taken, "mix-taken")
+    keyed = df.withColumn("__row", row_key()).join(taken, "__row")
+    equal = docs.groupBy("key").count().where("count > 1")
+    if equal.head(1):
+        several = equal.select(F.col("key").alias("__row"))
+        keyed = keyed.join(several, "__row", "left_anti").unionByName(
+            keyed.join(several, "__row", "left_semi").dropDuplicates(["__row"])
+        )
+    cut = F.array_join(
+        F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), F.col("__one.words").cast("int")),
+        " ",
+    )
+    whole = F.col("__one.words") >= F.col("__one.size")
+    return (
+        keyed.withColumn("__one", F.explode("__taken"))
+        .withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
+        .select(*df.columns)
+    )

@@ -264,16 +264,18 @@ def held_out(id_col: str = "doc_id") -> Column:
 def _map_features(df: DataFrame, keep: list[str], text_col: str, fields: list[StructField], make):
     """Run ``make(features) -> columns`` over pieces of whole texts."""
     schema = StructType([df.schema[c] for c in keep] + fields)
+    read = keep if text_col in keep else [*keep, text_col]
+    at = read.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop in pieces(batch.column(len(keep)), _PIECE):
+            for start, stop in pieces(batch.column(at), _PIECE):
                 part = batch.slice(start, stop - start)
-                added = make(text_features(part.column(len(keep))))
+                added = make(text_features(part.column(at)))
                 kept = {name: part.column(i) for i, name in enumerate(keep)}
                 yield pa.RecordBatch.from_pydict({**kept, **added})
 
-    return df.select(*keep, text_col).mapInArrow(run, schema)
+    return df.select(*read).mapInArrow(run, schema)
 
 
 def train(
@@ -317,7 +319,6 @@ def score(
     ``model`` is an :class:`AdditiveModel`; it holds a few thousand numbers.
     """
     kept = [c for c in (keep or df.columns) if c not in ("score", "predicted")]
-    named = df.select(*kept, F.col(text_col).alias("__text"))
 
     def make(x: np.ndarray) -> dict[str, pa.Array]:
         values = model.score(x)
@@ -327,4 +328,11 @@ def score(
         }
 
     fields = [StructField("score", DoubleType()), StructField("predicted", IntegerType())]
-    return _map_features(named, kept, "__text", fields, make)
+    return _map_features(df, kept, text_col, fields, make)
+
+
+def accepted(df: DataFrame, model: AdditiveModel, text_col: str = "text") -> DataFrame:
+    """The rows the model accepts, with their own columns."""
+    marked = df.withColumnsRenamed({"score": "__score", "predicted": "__predicted"})
+    kept = score(marked, model, text_col).where(F.col("predicted") == 1).drop("score", "predicted")
+    return kept.withColumnsRenamed({"__score": "score", "__predicted": "predicted"})

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from cpgspark.llm.components import connected_components
+from cpgspark.llm.rows import one_per_key, row_key
 from cpgspark.llm.text import as_bytes, map_text
 from cpgspark.plans.durable import store
 
@@ -66,15 +67,21 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint as a signed long) of every row."""
-    named = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
-    schema = StructType([named.schema["doc_id"], StructField("fp", LongType())])
+    """``doc_id``, ``row`` (a key of id and text) and ``fp``, the fingerprint as a signed long."""
+    named = df.select(
+        F.col(id_col).alias("doc_id"),
+        row_key(id_col, text_col).alias("row"),
+        F.col(text_col).alias("__text"),
+    )
+    schema = StructType(
+        [named.schema["doc_id"], named.schema["row"], StructField("fp", LongType())]
+    )
 
     def make(column: pa.Array) -> dict[str, pa.Array]:
         found = [fingerprint(t) for t in as_bytes(column).to_pylist()]
         return {"fp": pa.array(np.array(found, dtype=np.uint64).view(np.int64))}
 
-    return map_text(named, ["doc_id"], "__text", schema, make)
+    return map_text(named, ["doc_id", "row"], "__text", schema, make)
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -241,16 +248,39 @@ def linked(distinct: DataFrame, budget: int = BUDGET, blocks: int | None = None)
     )
 
 
+def _classes(prints: DataFrame) -> DataFrame:
+    """``fp`` and ``root``, the component of every fingerprint."""
+    nodes = store(prints.select("fp").distinct(), "simhash-nodes")
+    roots = connected_components(linked(nodes))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``fingerprint`` and ``component_id``, the smallest id it reaches."""
     prints = store(fingerprints(df, id_col, text_col), "simhash")
-    nodes = store(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
-    roots = connected_components(linked(nodes.select("fp")))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
+    placed = _classes(prints)
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    placed = store(placed.join(first, "fp"), "simhash-classes")
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = placed.join(named, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select(
         "doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, one of each component: that with the smallest id, nulls last."""
+    prints = store(fingerprints(df, id_col, text_col), "simhash")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = prints.groupBy("fp").agg(F.min(order).alias("first"))
+    stay = (
+        first.join(_classes(prints), "fp")
+        .groupBy("root")
+        .agg(F.min("first").alias("first"))
+        .select(F.col("first.row").alias("__row"))
+    )
+    equal = prints.groupBy(F.col("row").alias("__row")).agg(F.count(F.lit(1)).alias("__equal"))
+    keyed = df.withColumn("__row", row_key(id_col, text_col))
+    return one_per_key(keyed, stay.join(equal, "__row"))

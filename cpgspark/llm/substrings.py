@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
 from cpgspark.llm.components import connected_components
+from cpgspark.llm.rows import row_key
 from cpgspark.llm.text import pieces, split_words, whole
 from cpgspark.plans.durable import store
 
@@ -347,7 +348,7 @@ def repeated_paragraphs(
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"),
+        row_key(id_col, text_col).alias("row"),
         F.col(id_col).alias("doc_id"),
         F.col(text_col).alias("text"),
     )
@@ -378,7 +379,7 @@ def remove_repeated(
     )
     none = F.array().cast("array<long>")
     return (
-        df.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col)))
+        df.withColumn("__row", row_key(id_col, text_col))
         .join(removed, "__row", "left")
         .withColumn(
             text_col,
