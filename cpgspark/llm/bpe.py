@@ -333,11 +333,9 @@ def share_tables(spark: SparkSession, path: str | None = None) -> Any:
 def encode(df: DataFrame, tables: Any, text_col: str = "text") -> DataFrame:
     """Replace the text column by ``ids`` (array), ``n_tokens`` and ``ids_sha256``.
 
-    All other columns are kept.  A column of one of these three names is refused.
+    All other columns are kept, but for those of these three names, which are replaced.
     """
-    keep = [c for c in df.columns if c != text_col]
-    if clash := {"ids", "n_tokens", "ids_sha256"} & set(keep):
-        raise ValueError(f"columns to be added exist already: {sorted(clash)}")
+    keep = [c for c in df.columns if c not in (text_col, "ids", "n_tokens", "ids_sha256")]
     schema = StructType(
         [df.schema[c] for c in keep]
         + [
@@ -376,13 +374,11 @@ def decode(
 ) -> DataFrame:
     """Replace the ids by the text they stand for, special tokens' strings included.
 
-    With ``keep_ids`` both are returned.
+    With ``keep_ids`` both are returned.  A column of the text's name is replaced.
 
     Bytes that form no UTF-8 come out as replacement characters; null ids give null.
     """
-    keep = [c for c in df.columns if keep_ids or c != ids_col]
-    if text_col in keep:
-        raise ValueError(f"column to be added exists already: {text_col}")
+    keep = [c for c in df.columns if c != text_col and (keep_ids or c != ids_col)]
     schema = StructType([df.schema[c] for c in keep] + [StructField(text_col, StringType())])
 
     read = keep if keep_ids else [*keep, ids_col]

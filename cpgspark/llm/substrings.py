@@ -360,8 +360,9 @@ def remove_repeated(
     """All columns of ``df`` with the text cleaned, and what was taken out of it.
 
     Adds ``removed_paragraphs``, ``removed_words``, ``class_ids`` and ``kept_in`` (ids of
-    the documents that keep the removed passages).
+    the documents that keep the removed passages); columns of these names are replaced.
     """
+    df = df.drop("removed_paragraphs", "removed_words", "class_ids", "kept_in")
     removed = (
         repeated_paragraphs(df, id_col, text_col, min_words)
         .groupBy("row")
