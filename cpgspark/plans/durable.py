@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) is a local folder made.
+    Only where the session names none and runs in one process (tests, a laptop) is a
+    local folder made, once; a cluster without a shared folder is refused.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -19,6 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return _local_dir()
+
+
+@functools.cache
+def _local_dir() -> str:
     return tempfile.mkdtemp(prefix="cpgspark-")
 
 
@@ -27,14 +36,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later jobs read the stored rows, never recompute."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write once as Parquet under the shared folder and read back.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from cpgspark.functions.identifiers import REPORT_SUFFIX, base_name, sample_id_from_file
+from cpgspark.functions.numeric import finite
 
 # Column names of the input files.
 REPORT_V1 = T.StructType(
@@ -85,32 +86,77 @@ def discover_reports(
     )
 
 
-def read_array_report(
+def report_lines(
     spark: SparkSession,
     root: str,
-    v2: bool = True,
     suffix: str = REPORT_SUFFIX,
     folders: bool = False,
     stream: bool = False,
 ) -> DataFrame:
-    """All raw reports below a folder as one typed frame with the sample id.
+    """``meth_sample_id, file, value``: the lines of all raw reports below a folder.
 
-    The files must have the columns of the schema in its order; ``NA`` is null.
-    With ``stream`` the reports are read as they arrive.
+    With ``stream`` the files are read as they arrive, each whole in one batch.
     """
-    schema = REPORT_V2 if v2 else REPORT_V1
     where, options = _report_location(root, suffix, folders)
     reader = spark.readStream if stream else spark.read
-    rows = (
-        reader.option("sep", "\t")
-        .option("header", True)
-        .option("nullValue", "NA")
-        .options(**options)
-        .schema(schema)
-        .csv(where)
+    rows = reader.options(**options).text(where)
+    path = F.col("_metadata.file_path")
+    return rows.select(
+        report_sample_id(path, suffix, folders).alias("meth_sample_id"),
+        path.alias("file"),
+        F.rtrim(F.col("value"), F.lit("\r")).alias("value"),
+    )
+
+
+def parse_reports(lines: DataFrame) -> DataFrame:
+    """Report lines as typed rows, each file by its own header.
+
+    A file with the column ``EPICv1_Loci`` is ``version`` v2, any other v1; one without
+    ``MValue`` is skipped.  Columns are found by name, so their order is free and a
+    lacking one is null, as are ``NA`` and numbers that are not finite.  The header is
+    the line that has ``Name`` as a cell; a file has one, so headers are few and small.
+    """
+    quote = F.lit('"')
+    cells = F.transform(F.split("value", "\t", -1), lambda x: F.btrim(x, quote))
+    split = lines.filter(F.col("value") != "").withColumn("cells", cells).drop("value")
+    is_header = F.array_contains("cells", "Name")
+    headers = (
+        split.filter(is_header)
+        .groupBy("file")
+        .agg(F.min("cells").alias("header"))
+        .filter(F.array_contains("header", "MValue"))
+    )
+
+    def cell(field: T.StructField) -> Column:
+        place = F.array_position("header", field.name)
+        text = F.when(place > 0, F.get("cells", (place - 1).cast("int")))
+        known = F.when(~text.isin("NA", ""), text)
+        if isinstance(field.dataType, T.DoubleType):
+            known = finite(known.try_cast("double"))
+        return known.alias(field.name)
+
+    version = F.when(F.array_contains("header", "EPICv1_Loci"), "v2").otherwise("v1")
+    return split.filter(~is_header).join(headers, "file").select(
+        "meth_sample_id", "file", version.alias("version"), *[cell(f) for f in REPORT_V2.fields]
+    )
+
+
+def read_array_report(
+    spark: SparkSession,
+    root: str,
+    v2: bool = True,
+    suffix: str = REPORT_SUFFIX,
+    folders: bool = False,
+) -> DataFrame:
+    """All raw reports of one array version below a folder, with the sample id.
+
+    Reports of the other version, and those without ``MValue``, are left out.
+    """
+    rows = parse_reports(report_lines(spark, root, suffix, folders))
+    schema = REPORT_V2 if v2 else REPORT_V1
+    return rows.filter(F.col("version") == ("v2" if v2 else "v1")).select(
+        "meth_sample_id", *schema.names
     )
-    name = report_sample_id(F.col("_metadata.file_path"), suffix, folders)
-    return rows.select(name.alias("meth_sample_id"), *schema.names)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -218,6 +218,28 @@ def test_reports_as_files(spark, tmp_path):
     assert rows["n2"]["EPICv1_Loci"] is None and rows["n2"]["MValue"] is None
 
 
+def test_each_report_is_read_by_its_own_header(spark, tmp_path):
+    end = ids.REPORT_SUFFIX
+    files = {
+        "V2": "Name\tEPICv1_Loci\tMValue\tBeta\nn1\tL1\t1.5\t0.5\n",
+        "V1": "Name\tMValue\tBeta\tStart_hg38\nn1\t2.5\t0.8\t7\r\nn2\tNaN\t-Inf\tNA\n",
+        "MIXED": 'Beta\tMValue\t"EPICv1_Loci"\tName\n0.25\t-1.0\t"L2"\t"n3"\n',
+        "NONE": "Name\tEPICv1_Loci\tBeta\nn1\tL1\t0.5\n",
+        "EMPTY": "",
+    }
+    for name, text in files.items():
+        _write(tmp_path / f"r/{name}{end}", text)
+    root = str(tmp_path / "r")
+    second = tables.read_array_report(spark, root)
+    assert second.columns == ["meth_sample_id", *tables.REPORT_V2.names]
+    assert _rows(second, "meth_sample_id", "Name", "EPICv1_Loci", "MValue", "Beta") == [
+        ("MIXED", "n3", "L2", -1.0, 0.25), ("V2", "n1", "L1", 1.5, 0.5)]
+    first = {r["Name"]: r for r in tables.read_array_report(spark, root, v2=False).collect()}
+    assert set(first) == {"n1", "n2"} and first["n1"]["MValue"] == 2.5
+    assert first["n1"]["Beta"] == 0.8 and first["n1"]["Start_hg38"] == 7.0
+    assert first["n2"]["MValue"] is None and first["n2"]["Beta"] is None
+
+
 def test_labels_need_their_columns(spark, tmp_path):
     with pytest.raises(ValueError, match="missing"):
         tables.read_labels(spark, _write(tmp_path / "l.csv", "biosample_id,x\na,1\n"))
@@ -270,6 +292,32 @@ def test_stream_loads_each_sample_once(spark, tmp_path):
     assert run() == [("a", "L1", 2.0), ("b", "L1", 5.0)]
 
 
+def test_stream_takes_both_versions_later_parts_and_late_ids(spark, tmp_path):
+    root, table, marks = (str(tmp_path / d) for d in ("raw", "table", "marks"))
+    end = ids.REPORT_SUFFIX
+    second = "Name\tEPICv1_Loci\tMValue\tBeta\n"
+    _write(tmp_path / f"raw/A{end}/part-0", second + "n1\tL1\t1.0\t0.5\nn8\tL8\t4.0\t0.5\n")
+    _write(tmp_path / f"raw/V{end}/part-0", "Beta\tName\tMValue\n0.5\tL1\t9.0\n")
+    _write(tmp_path / f"raw/C{end}/part-0", second + "n8\tL8\t6.0\t0.5\n")
+    features = spark.createDataFrame([("L1",), ("L8",)], "probe_id string")
+    schema = "sample_id string, meth_sample_id string"
+
+    def run(*named):
+        samples = spark.createDataFrame(list(named), schema)
+        ingest_stream.ingest_reports(
+            spark, root, table, marks, _mapping(spark), features, samples, folders=True
+        )
+        return _rows(ingest_stream.loaded(spark, table), "sample_id", "probe_id", "value")
+
+    some = [("a", "A"), ("v", "V")]
+    assert run(*some) == [("a", "L1", 1.0), ("a", "L8", 4.0), ("v", "L1", 9.0)]
+    # A later part: the mean over both probes of the locus, not over the later one.
+    _write(tmp_path / f"raw/A{end}/part-1", second + "n2\tL1\t3.0\t0.5\n")
+    want = [("a", "L1", 2.0), ("a", "L8", 4.0), ("c", "L8", 6.0), ("v", "L1", 9.0)]
+    assert run(*some, ("c", "C")) == want
+    assert run(*some, ("c", "C")) == want
+
+
 def test_repeated_batch_replaces_itself(spark, tmp_path):
     batch = spark.createDataFrame([("a", "A", "p", 1.0)], ingest_stream.TABLE_SCHEMA)
     for _ in range(2):

@@ -58,9 +58,24 @@ def test_scratch_is_in_the_named_folder(spark):
     assert durable.scratch_path(spark, "x") != durable.scratch_path(spark, "x")
 
 
+def test_a_cluster_needs_a_shared_folder():
+    class Fake:
+        def __init__(self, master):
+            self.sparkContext, self.conf, self.master = self, self, master
+
+        def get(self, *_):
+            return None
+
+        getCheckpointDir = get  # noqa: N815
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            durable.shared_dir(Fake(master))
+    assert durable.shared_dir(Fake("local[2]")) == durable.shared_dir(Fake("local[*]"))
+
+
 def test_store_keeps_rows_and_types(spark):
     df = spark.createDataFrame([(1, ["a"]), (2, None)], "i int, a array<string>")
     back = durable.store(df, "t")
     assert back.schema == df.schema
     assert sorted(map(tuple, back.collect()), key=lambda r: r[0]) == [(1, ["a"]), (2, None)]
-    assert durable.cut_lineage(df).count() == 2
