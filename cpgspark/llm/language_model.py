@@ -1,16 +1,18 @@
 """LM scoring with an n-gram trie whose pointers are Elias-Fano coded.
 
 Training tokens are counted by Spark: words by a 64-bit hash, then trigrams by word
-numbers, combined within each piece of text before the one shuffle.  Sampled bounds cut
-the grams into ranges of equal weight by their first two words, so a frequent word or pair
-spreads over several files.  A task writes a range as one trie file per ``FILE_GRAMS``
-grams: first words, second words, third words, each level with quantised smoothed
-probabilities, and the pointers from one level to the next as Elias-Fano sequences.
+numbers.  Each piece of text sends one sorted, packed run of its grams to every range of
+grams, and a range's runs are merged by one task; with very many pieces a salted round
+merges some of them first.  Sampled bounds cut the grams into ranges of equal weight by
+their first two words, so a frequent word or pair spreads over several files.  A range
+becomes one trie file: first words, second words, third words, each level with quantised
+smoothed probabilities, and the pointers from one level to the next as Elias-Fano
+sequences.  Word numbers are packed to the bits they need.
 
 Smoothing is interpolated absolute discounting over the add-one unigram:
 ``p3 = max(c3 - d, 0) / c2 + d * kinds2 / c2 * p2``, the same one level down, and
 ``p1 = (c + 1) / (n + v + 1)``.  Files hold the discounted shares and the back-off weights;
-scores add them up.  Quantising is uniform in log10, 1/4096 a step.
+scores add them up.  A share takes one byte, by a book of each file.
 
 A query finds the file of a pair, the first word in it, and then the first word number not
 below the wanted one among the successors that the pointers bound for this context.  Each
@@ -39,13 +41,13 @@ from cpgspark.llm.text import as_bytes, pieces, split_words
 from cpgspark.plans.durable import scratch_path, store
 
 DISCOUNT = 0.75
-#: Grams in a trie file, and words in a vocabulary file, about.
+#: Training tokens for each trie file, and for each vocabulary file.
 FILE_GRAMS = 1 << 20
-FILE_WORDS = 1 << 20
-_PIECE = 12 << 20
+FILE_WORDS = 1 << 24
+#: Runs merged at once.
+MERGED_RUNS = 4096
+_PIECE = 6 << 20
 _SEED = 7
-_NONE = np.uint16(65535)
-_STEPS = 4096.0
 _UNKNOWN = np.int64(0x7FFFFFFE)
 #: A byte no word can hold names the end token.
 _END = np.uint64(xxhash.xxh64_intdigest(b"\n", _SEED))
@@ -54,23 +56,41 @@ _END = np.uint64(xxhash.xxh64_intdigest(b"\n", _SEED))
 # ---- Elias-Fano and quantising ---------------------------------------------------------
 
 
+def pack(values: np.ndarray, bits: int) -> np.ndarray:
+    """Numbers of at most ``bits`` bits each, one after another in 64-bit words."""
+    flat = np.zeros(-(-max(len(values) * bits, 1) // 64) * 64 + 64, dtype=np.uint8)
+    for start in range(0, len(values), 1 << 16):
+        some = values[start : start + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        rows = np.unpackbits(some, axis=1, bitorder="little")[:, :bits]
+        flat[start * bits : start * bits + rows.size] = rows.ravel()
+    return np.packbits(flat, bitorder="little").view("<u8")
+
+
+def unpack(words: np.ndarray, bits: int, at: np.ndarray) -> np.ndarray:
+    """The packed numbers at the given places."""
+    if not bits:
+        return np.zeros(len(at), dtype=np.int64)
+    first, shift = at * bits // 64, (at * bits % 64).astype(np.uint64)
+    low = words[first] >> shift
+    over = np.flatnonzero(shift + np.uint64(bits) > 64)
+    low[over] |= words[first[over] + 1] << (np.uint64(64) - shift[over])
+    return (low & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 def elias_fano(values: np.ndarray) -> dict[str, np.ndarray]:
     """Never-falling numbers as packed low bits and a bit vector of the high parts."""
-    values = values.astype(np.uint64)
+    values = values.astype(np.int64)
     n, top = len(values), int(values[-1]) if len(values) else 0
-    low_bits = max((top // max(n, 1)).bit_length() - 1, 0)
-    places = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
-    bits = np.zeros((int(places[-1]) // 64 + 1 if n else 1) * 64, dtype=np.uint8)
-    bits[places] = 1
-    high = np.packbits(bits, bitorder="little").view("<u8")
-    low = ((values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-    flat = np.zeros(-(-max(n * low_bits, 1) // 64) * 64 + 64, dtype=np.uint8)
-    flat[: n * low_bits] = low.ravel()
+    bits = max((top // max(n, 1)).bit_length() - 1, 0)
+    places = (values >> bits) + np.arange(n)
+    flags = np.zeros((int(places[-1]) // 64 + 1 if n else 1) * 64, dtype=np.uint8)
+    flags[places] = 1
+    high = np.packbits(flags, bitorder="little").view("<u8")
     return {
         "high": high,
         "ones": np.r_[0, np.cumsum(np.bitwise_count(high))].astype(np.uint32),
-        "low": np.packbits(flat, bitorder="little").view("<u8"),
-        "bits": np.array([low_bits], dtype=np.uint32),
+        "low": pack(values & ((1 << bits) - 1), bits),
+        "bits": np.array([bits], dtype=np.uint32),
     }
 
 
@@ -82,45 +102,47 @@ def elias_fano_at(code: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
         i = at[start : start + (1 << 16)].astype(np.int64)
         word = np.searchsorted(code["ones"], i, side="right") - 1
         rank = i - code["ones"][word]
-        ones = np.unpackbits(
+        flags = np.unpackbits(
             np.ascontiguousarray(code["high"][word]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"
         )
-        place = word * 64 + np.argmax(np.cumsum(ones, axis=1, dtype=np.uint8) > rank[:, None], axis=1)
-        value = (place - i) << bits
-        if bits:
-            first, shift = i * bits // 64, (i * bits % 64).astype(np.uint64)
-            low = code["low"][first] >> shift
-            over = shift + np.uint64(bits) > 64
-            low[over] |= code["low"][first[over] + 1] << (np.uint64(64) - shift[over])
-            value |= (low & np.uint64((1 << bits) - 1)).astype(np.int64)
-        out[start : start + (1 << 16)] = value
+        place = word * 64 + np.argmax(np.cumsum(flags, axis=1, dtype=np.uint8) > rank[:, None], axis=1)
+        out[start : start + (1 << 16)] = (place - i) << bits | unpack(code["low"], bits, i)
     return out
 
 
-def quantise(share: np.ndarray) -> np.ndarray:
-    """Shares in (0, 1] by the negative logarithm; zero has a code of its own."""
-    with np.errstate(divide="ignore"):
-        steps = np.rint(-np.log10(share) * _STEPS)
-    return np.where(share > 0, np.minimum(steps, 65534), 65535).astype(np.uint16)
+def quantise(name: str, share: np.ndarray) -> dict[str, np.ndarray]:
+    """Shares in (0, 1] as one byte each, and the book of values the bytes stand for.
+
+    Half of the book holds the most frequent values as they are, the other half is an even
+    grid of logarithms for the rest.
+    """
+    logs = np.log10(share)
+    steps = np.linspace(0, 1, 128)
+    grid = logs.min() + steps * (logs.max() - logs.min())
+    book = np.unique(np.r_[grid, np.quantile(logs, steps, method="nearest")])
+    codes = np.searchsorted((book[1:] + book[:-1]) / 2, logs)
+    return {name: codes.astype(np.uint8), name + "_book": 10.0**book}
 
 
-def restore(code: np.ndarray) -> np.ndarray:
-    return np.where(code == _NONE, 0.0, 10.0 ** (-code.astype(np.float64) / _STEPS))
+def restore(file: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    return file[name + "_book"][file[name][at]]
 
 
-def successors(words: np.ndarray, start: np.ndarray, stop: np.ndarray, wanted: np.ndarray):
-    """Place of each wanted number within its own range of ``words``; -1 if not there."""
+def successors(
+    words: np.ndarray, bits: int, start: np.ndarray, stop: np.ndarray, wanted: np.ndarray
+) -> np.ndarray:
+    """Place of each wanted number within its own range of packed words; -1 if not there."""
     low, high = start.copy(), stop.copy()
     live = np.flatnonzero(low < high)
     while len(live):
         middle = (low[live] + high[live]) >> 1
-        below = words[middle] < wanted[live]
+        below = unpack(words, bits, middle) < wanted[live]
         low[live] = np.where(below, middle + 1, low[live])
         high[live] = np.where(below, high[live], middle)
         live = live[low[live] < high[live]]
     found = np.full(len(wanted), -1, dtype=np.int64)
     inside = np.flatnonzero(low < stop)
-    hit = inside[words[low[inside]] == wanted[inside]]
+    hit = inside[unpack(words, bits, low[inside]) == wanted[inside]]
     found[hit] = low[hit]
     return found
 
@@ -199,26 +221,27 @@ class Model:
             known = np.flatnonzero(file["first"][at] == first)
             at = at[known]
             weight = np.ones(len(first))
-            weight[known] = restore(file["back1"][at])
+            weight[known] = restore(file, "back1", at)
             back1[here] = weight
             code = {k[2:]: v for k, v in file.items() if k.startswith("p2")}
             place = np.full(len(first), -1, dtype=np.int64)
+            width = int(file["width"][0])
             place[known] = successors(
-                file["second"], elias_fano_at(code, at), elias_fano_at(code, at + 1), second[known]
+                file["second"], width, elias_fano_at(code, at), elias_fano_at(code, at + 1), second[known]
             )
             found = np.flatnonzero(place >= 0)
             share, weight = np.zeros(len(first)), np.ones(len(first))
-            share[found] = restore(file["share2"][place[found]])
-            weight[found] = restore(file["back2"][place[found]])
+            share[found] = restore(file, "share2", place[found])
+            weight[found] = restore(file, "back2", place[found])
             share2[here], back2[here] = share, weight
             asked = triple_order[slice(*np.searchsorted(triple_file[triple_order], [f, f + 1]))]
             parent = place[pair_of[asked] - here.start]
             asked, parent = asked[parent >= 0], parent[parent >= 0]
             code = {k[2:]: v for k, v in file.items() if k.startswith("p3")}
             third = successors(
-                file["third"], elias_fano_at(code, parent), elias_fano_at(code, parent + 1), thirds[asked]
+                file["third"], width, elias_fano_at(code, parent), elias_fano_at(code, parent + 1), thirds[asked]
             )
-            share3[asked[third >= 0]] = restore(file["share3"][third[third >= 0]])
+            share3[asked[third >= 0]] = restore(file, "share3", third[third >= 0])
         if len(split):  # their kinds are summed over files
             first = pairs[is_split] >> 32
             kinds = np.array([self.split_kinds[int(w)] for w in split])
@@ -269,98 +292,157 @@ def _sequence(codes: np.ndarray, counts: np.ndarray, end: int, start: int):
 # ---- training --------------------------------------------------------------------------
 
 
-def _map_pieces(df: DataFrame, schema: str, make) -> DataFrame:
+def _runs(df: DataFrame, make) -> DataFrame:
+    """Rows (part, run): what ``make(texts)`` gives for each piece of text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in pieces(batch.column(0), _PIECE):
-                yield make(batch.column(0).slice(start, stop - start))
+                parts, blobs = make(batch.column(0).slice(start, stop - start))
+                yield pa.RecordBatch.from_pydict(
+                    {"part": pa.array(parts, pa.int64()), "run": pa.array(blobs, pa.binary())}
+                )
 
-    return df.select("__text").mapInArrow(run, schema)
+    return df.select("__text").mapInArrow(run, "part long, run binary")
 
 
-def _count_words(texts: DataFrame) -> DataFrame:
-    def make(column: pa.Array) -> pa.RecordBatch:
-        hashes, codes, counts = _coded(column)
-        return pa.RecordBatch.from_pydict(
-            {
-                "hash": pa.array(np.r_[hashes, _END].view(np.int64)),
-                "count": pa.array(np.r_[np.bincount(codes, minlength=len(hashes)), len(counts)].astype(np.int64)),
-            }
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers; the first never falls and goes as differences."""
+    steps = np.diff(columns[0], prepend=columns[0].dtype.type(0))
+    data = steps.tobytes() + b"".join(c.tobytes() for c in columns[1:])
+    return len(steps).to_bytes(4, "little") + bytes(pa.compress(data, "zstd", asbytes=True))
+
+
+def _unpacked(run: bytes, *kinds: str) -> list[np.ndarray]:
+    n = int.from_bytes(run[:4], "little")
+    size = n * sum(np.dtype(k).itemsize for k in kinds)
+    data = pa.decompress(run[4:], size, "zstd", asbytes=True)
+    out, at = [], 0
+    for kind in kinds:
+        out.append(np.frombuffer(data, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return [np.cumsum(out[0], dtype=kinds[0]), *out[1:]]
+
+
+def _merged(runs: DataFrame, pieces_about: int, merge, finish, columns: str) -> DataFrame:
+    """``finish(part, runs)`` for each part, after salted rounds of ``merge(runs)``."""
+
+    def combine(table: pa.Table) -> pa.Table:
+        part, blobs = table.column("part")[0].as_py(), table.column("run").to_pylist()
+        return pa.table({"part": pa.array([part], pa.int64()), "run": pa.array([merge(blobs)], pa.binary())})
+
+    def end(table: pa.Table) -> pa.Table:
+        return finish(table.column("part")[0].as_py(), table.column("run").to_pylist())
+
+    salts = 1 + pieces_about // MERGED_RUNS
+    if salts > 1:
+        salt = F.pmod(F.xxhash64("run"), F.lit(salts))
+        runs = runs.withColumn("salt", salt).groupBy("part", "salt").applyInArrow(
+            combine, "part long, run binary"
         )
+    return runs.groupBy("part").applyInArrow(end, columns)
 
-    rows = _map_pieces(texts, "hash long, count long", make)
-    return rows.groupBy("hash").agg(F.sum("count").alias("count"))
 
+_WORD_KINDS = ("<u8", "<u4")
+_GRAM_KINDS = ("<i8", "<i4", "<u4")
 
-def _write_vocabulary(words: DataFrame, folder: str, bits: int) -> DataFrame:
-    """One file for each value of the hashes' leading bits; rows (shard, words, path)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        current = None
+def _merge_words(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    hashes, counts = map(np.concatenate, zip(*(_unpacked(r, *_WORD_KINDS) for r in runs)))
+    kinds, at = np.unique(hashes, return_inverse=True)
+    return kinds, np.bincount(at, counts, len(kinds)).astype(np.int64)
 
-        def flush() -> pa.RecordBatch:
-            hashes, counts = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(hashes)
-            path = f"{folder}/words-{current}"
-            write_arrays(path, {"hash": hashes[order], "count": counts[order]})
-            return pa.RecordBatch.from_pydict({"shard": [current], "words": [len(order)], "path": [path]})
 
-        for batch in batches:
-            hashes = np.asarray(batch.column(1)).view(np.uint64)
-            shards, counts = np.asarray(batch.column(0)), np.asarray(batch.column(2))
-            cuts = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]) if len(shards) else []
-            for a, b in zip(cuts, [*cuts[1:], len(shards)]):
-                if shards[a] != current and held:
-                    yield flush()
-                    held = []
-                current = int(shards[a])
-                held.append((hashes[a:b].copy(), counts[a:b].copy()))
-        if held:
-            yield flush()
-
-    shard = F.shiftrightunsigned("hash", 64 - bits) if bits else F.lit(0).cast("long")
-    placed = words.select(shard.alias("shard"), "hash", "count")
-    return store(
-        placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(
-            run, "shard long, words long, path string"
-        ),
-        "lm-words",
-    )
+def _merge_grams(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    pair, third, count = map(np.concatenate, zip(*(_unpacked(r, *_GRAM_KINDS) for r in runs)))
+    order = np.lexsort((third, pair))
+    pair, third, count = pair[order], third[order], count[order].astype(np.int64)
+    first = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (third[1:] != third[:-1])])
+    return pair[first], third[first], np.add.reduceat(count, first)
 
 
-def _count_grams(texts: DataFrame, model: Model, bounds: np.ndarray) -> DataFrame:
-    """Rows (part, pair, third, count), combined within each piece of text.
+def _cut_runs(part: np.ndarray, *columns: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """One packed run for each value of ``part``, which never falls."""
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    stops = [*starts[1:].tolist(), len(part)]
+    blobs = [_packed(*(c[a:b] for c in columns)) for a, b in zip(starts.tolist(), stops)]
+    return part[starts].tolist(), blobs
 
-    ``third`` is -1 for the pair of a last word and the end, which nothing follows.
-    """
 
-    def make(column: pa.Array) -> pa.RecordBatch:
+def _write_vocabulary(texts: DataFrame, folder: str, bits: int, pieces_about: int) -> DataFrame:
+    """One file of words and counts for each value of the hashes' leading bits."""
+
+    def make(column: pa.Array):
         hashes, codes, counts = _coded(column)
-        number, _ = model.numbers(np.r_[hashes, _END])
-        flow, ends = _sequence(number[codes], counts, number[-1], model.words)
-        pair = flow[:-1] << 32 | flow[1:]
-        last = np.zeros(len(pair), dtype=bool)
-        last[ends - 1] = True
-        between = np.zeros(len(pair), dtype=bool)
-        between[ends[:-1]] = True  # from one text's end to the next one's start
-        third = np.full(len(pair), -1, dtype=np.int64)
-        third[:-1] = flow[2:]
-        third[last] = -1
-        pair, third = pair[~between], third[~between]
+        hashes = np.r_[hashes, _END]
+        count = np.r_[np.bincount(codes, minlength=len(hashes) - 1), len(counts)]
+        order = np.argsort(hashes)
+        return _cut_runs(_top(hashes[order], bits), hashes[order], count[order].astype("<u4"))
+
+    def finish(part: int, runs: list[bytes]) -> pa.Table:
+        hashes, counts = _merge_words(runs)
+        path = f"{folder}/words-{part}"
+        small = counts.max() < 1 << 32
+        write_arrays(path, {"hash": hashes, "count": counts.astype(np.uint32) if small else counts})
+        ends = int(counts[hashes == _END].sum())
+        return pa.table(
+            {"part": [part], "words": [len(hashes)], "tokens": [int(counts.sum())], "ends": [ends], "path": [path]}
+        )
+
+    def merge(runs: list[bytes]) -> bytes:
+        hashes, counts = _merge_words(runs)
+        return _packed(hashes, counts.astype("<u4"))
+
+    columns = "part long, words long, tokens long, ends long, path string"
+    return store(_merged(_runs(texts, make), pieces_about, merge, finish, columns), "lm-words")
+
+
+def _grams(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs and the word after each, over all texts.
+
+    The third is -1 for the pair of a last word and the end, which nothing follows.
+    """
+    hashes, codes, counts = _coded(column)
+    number, _ = model.numbers(np.r_[hashes, _END])
+    flow, ends = _sequence(number[codes], counts, number[-1], model.words)
+    pair = flow[:-1] << 32 | flow[1:]
+    third = np.full(len(pair), -1, dtype=np.int64)
+    third[:-1] = flow[2:]
+    third[ends - 1] = -1
+    between = np.ones(len(pair), dtype=bool)
+    between[ends[:-1]] = False  # from one text's end to the next one's start
+    return pair[between], third[between]
+
+
+def _gram_runs(texts: DataFrame, model: Model, bounds: np.ndarray) -> DataFrame:
+    def make(column: pa.Array):
+        pair, third = _grams(column, model)
         kinds, at = np.unique(pair, return_inverse=True)
         keys, count = np.unique(at << 32 | (third + 1), return_counts=True)
         pair = kinds[keys >> 32]
-        return pa.RecordBatch.from_pydict(
-            {
-                "part": pa.array(np.searchsorted(bounds, pair).astype(np.int32)),
-                "pair": pa.array(pair),
-                "third": pa.array(((keys & 0xFFFFFFFF) - 1).astype(np.int32)),
-                "count": pa.array(count.astype(np.int32)),
-            }
+        third = (keys & 0xFFFFFFFF) - 1
+        return _cut_runs(
+            np.searchsorted(bounds, pair), pair, third.astype("<i4"), count.astype("<u4")
         )
 
-    return _map_pieces(texts, "part int, pair long, third int, count int", make)
+    return _runs(texts, make)
+
+
+def _bounds(texts: DataFrame, model: Model, parts: int) -> np.ndarray:
+    """Pairs at equal steps of a sixty-fourth of the texts; they only set file sizes."""
+    if parts < 2:
+        return np.zeros(0, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop in pieces(batch.column(0), _PIECE):
+                pair, _ = _grams(batch.column(0).slice(start, stop - start), model)
+                yield pa.RecordBatch.from_pydict({"pair": pa.array(np.unique(pair))})
+
+    some = texts.where(F.pmod(F.xxhash64("__text"), F.lit(64)) == 0)
+    shares = [i / parts for i in range(1, parts)]
+    found = some.mapInArrow(run, "pair long").agg(F.percentile_approx("pair", shares, 10_000)).first()[0]
+    return np.unique(np.array(found or [], dtype=np.int64))
 
 
 def trie_arrays(pair: np.ndarray, third: np.ndarray, count: np.ndarray, model: Model):
@@ -373,18 +455,23 @@ def trie_arrays(pair: np.ndarray, third: np.ndarray, count: np.ndarray, model: M
     first, starts = np.unique(pairs >> 32, return_index=True)
     first_count = model.counts_of(first)
     kinds1 = np.diff(np.r_[starts, len(pairs)])
-    d = model.discount
+    d, width = model.discount, (model.words + 1).bit_length()
     owner = np.repeat(np.arange(len(first)), kinds1)
     parent = np.repeat(np.arange(len(pairs)), np.diff(np.r_[fresh, len(pair)]))
     levels = {
         "first": first,
-        "back1": quantise(d * kinds1 / first_count),
-        "second": (pairs & 0xFFFFFFFF).astype(np.uint32),
-        "share2": quantise(np.maximum(total - d, 0) / first_count[owner]),
-        "back2": np.where(kinds > 0, quantise(d * kinds / total), np.uint16(0)).astype(np.uint16),
-        "third": third[inner].astype(np.uint32),
-        "share3": quantise(np.maximum(count - d, 0) / total[parent])[inner],
+        "width": np.array([width], dtype=np.uint32),
+        "second": pack(pairs & 0xFFFFFFFF, width),
+        "third": pack(third[inner], width),
     }
+    levels |= quantise("back1", d * kinds1 / first_count)
+    levels |= quantise("share2", (total - d) / first_count[owner])
+    # A pair that ends a text is no context: its weight is 1.
+    levels |= quantise("back2", np.where(kinds > 0, d * kinds / total, 1.0))
+    if inner.any():
+        levels |= quantise("share3", ((count - d) / total[parent])[inner])
+    else:
+        levels |= quantise("share3", np.ones(1))
     for name, pointers in (
         ("p2", np.r_[starts, len(pairs)]),
         ("p3", np.r_[0, np.cumsum(kinds)]),
@@ -393,90 +480,55 @@ def trie_arrays(pair: np.ndarray, third: np.ndarray, count: np.ndarray, model: M
     return levels, (int(first[0]), int(kinds1[0]), int(first[-1]), int(kinds1[-1]), int(pairs[-1]))
 
 
-def _write_tries(grams: DataFrame, folder: str, model: Model) -> DataFrame:
-    """Trie files of all grams in order of pairs; a row with the ends of each file."""
+def _write_tries(runs: DataFrame, folder: str, model: Model, pieces_about: int) -> DataFrame:
+    """A trie file for each part; a row with its path and ends."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size, file = 0, 0
-
-        def write(part, pair, third, count) -> pa.RecordBatch:
-            nonlocal file
-            fresh = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (third[1:] != third[:-1])])
-            path = f"{folder}/grams-{part[0]}-{file}"
-            file += 1
-            levels, ends = trie_arrays(pair[fresh], third[fresh], np.add.reduceat(count, fresh), model)
-            write_arrays(path, levels)
-            names = ("first", "first_kinds", "last", "last_kinds", "last_pair")
-            return pa.RecordBatch.from_pydict({"path": [path], **{n: [v] for n, v in zip(names, ends)}})
+    def merge(blobs: list[bytes]) -> bytes:
+        pair, third, count = _merge_grams(blobs)
+        return _packed(pair, third.astype("<i4"), count.astype("<u4"))
 
-        for batch in batches:
-            columns = [np.asarray(batch.column(i)).astype(np.int64) for i in range(4)]
-            if not len(columns[0]):
-                continue
-            held.append(tuple(columns))
-            size += len(columns[0])
-            while True:
-                part, pair, third, count = (np.concatenate(x) for x in zip(*held))
-                done = int(np.searchsorted(part, part[0], side="right"))
-                if done == size:
-                    # Cut a long part between pairs, and go on reading a short one.
-                    done = int(np.searchsorted(pair, pair[-1])) if size > FILE_GRAMS else 0
-                if not done:
-                    held = [(part, pair, third, count)]
-                    break
-                yield write(part[:done], pair[:done], third[:done], count[:done])
-                held, size = [(part[done:], pair[done:], third[done:], count[done:])], size - done
-        if held:
-            yield write(*(np.concatenate(x) for x in zip(*held)))
+    def finish(part: int, blobs: list[bytes]) -> pa.Table:
+        pair, third, count = _merge_grams(blobs)
+        path = f"{folder}/grams-{part}"
+        levels, ends = trie_arrays(pair, third, count, model)
+        write_arrays(path, levels)
+        names = ("first", "first_kinds", "last", "last_kinds", "last_pair")
+        return pa.table({"path": [path], **{n: [v] for n, v in zip(names, ends)}})
 
     columns = "path string, first long, first_kinds long, last long, last_kinds long, last_pair long"
-    return store(
-        grams.repartition("part").sortWithinPartitions("part", "pair", "third").mapInArrow(run, columns),
-        "lm-grams",
-    )
+    return store(_merged(runs, pieces_about, merge, finish, columns), "lm-grams")
 
 
 def train(
-    df: DataFrame, text_col: str = "text", discount: float = DISCOUNT, file_grams: int = FILE_GRAMS
+    df: DataFrame,
+    text_col: str = "text",
+    discount: float = DISCOUNT,
+    file_grams: int = FILE_GRAMS,
+    file_words: int = FILE_WORDS,
 ) -> Model:
     """Count the texts of ``df`` and write the model's files under the shared folder."""
-    spark = df.sparkSession
-    folder = scratch_path(spark, "lm")
+    folder = scratch_path(df.sparkSession, "lm")
     texts = df.select(F.col(text_col).alias("__text"))
-    words = store(_count_words(texts), "lm-counts")
-    end = int(_END.view(np.int64))
-    size, tokens, ends = words.agg(
-        F.count(F.lit(1)), F.sum("count"), F.sum(F.when(F.col("hash") == end, F.col("count")))
-    ).first()
-    if not tokens or not ends:
+    size = texts.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    pieces_about = size // _PIECE
+    bits = int(size // 6 // file_words).bit_length()
+    written = {r["part"]: r for r in _write_vocabulary(texts, folder, bits, pieces_about).collect()}
+    if not written:
         return Model(discount=discount)
-    bits = max(int(size) // FILE_WORDS, 0).bit_length()
-    written = {r["shard"]: r for r in _write_vocabulary(words, folder, bits).collect()}
-    files = [written[s]["path"] if s in written else "" for s in range(1 << bits)]
-    held = [written[s]["words"] if s in written else 0 for s in range(1 << bits)]
+    shards = range(1 << bits)
+    held = [written[s]["words"] if s in written else 0 for s in shards]
     model = Model(
-        tokens=int(tokens),
-        words=int(size),
-        texts=int(ends),
+        tokens=sum(r["tokens"] for r in written.values()),
+        words=sum(held),
+        texts=sum(r["ends"] for r in written.values()),
         discount=discount,
         vocabulary_bits=bits,
-        vocabulary_files=files,
+        vocabulary_files=[written[s]["path"] if s in written else "" for s in shards],
         vocabulary_starts=np.cumsum([0, *held])[:-1],
     )
-
-    # Bounds of equal weight from a sixty-fourth of the texts; they only set file sizes.
-    parts = 1 + int(tokens) // file_grams
-    sample = _count_grams(
-        texts.where(F.pmod(F.xxhash64("__text"), F.lit(64)) == 0), model, np.zeros(0, np.int64)
-    )
-    shares = [i / parts for i in range(1, parts)]
-    found = sample.agg(F.percentile_approx("pair", shares, 10_000)).first()[0] if shares else None
-    bounds = np.unique(np.array(found or [], dtype=np.int64))
-    rows = sorted(
-        _write_tries(_count_grams(texts, model, bounds), folder, model).collect(),
-        key=lambda r: r["last_pair"],
-    )
+    bounds = _bounds(texts, model, 1 + model.tokens // file_grams)
+    tries = _write_tries(_gram_runs(texts, model, bounds), folder, model, pieces_about)
+    rows = sorted(tries.collect(), key=lambda r: r["last_pair"])
     model.trie_files = [r["path"] for r in rows]
     model.trie_last = np.array([r["last_pair"] for r in rows], dtype=np.int64)
     kinds: dict[int, list[int]] = {}
