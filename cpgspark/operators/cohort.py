@@ -12,11 +12,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cpgspark.operators.ingest import missing_probes
-from cpgspark.operators.vectors import feature_places, sample_arrays, sample_vectors
+from cpgspark.operators.vectors import (
+    feature_places,
+    probe_names,
+    sample_arrays,
+    sample_vectors,
+)
 from cpgspark.plans.durable import store
 
 NEIGHBOURS = 5
-_BLOCK = 512
+#: Bytes of one block's values in a task; a block has at least one sample.
+_BLOCK_BYTES = 64 << 20
 
 
 def _coordinates(vectors: DataFrame, model: PCAModel) -> DataFrame:
@@ -95,9 +101,12 @@ def _nearest(
         distance[(common == 0) | (names == target)] = np.nan
         order = np.lexsort((names, distance))
         order = order[~np.isnan(distance[order])]
-        for place in np.flatnonzero(~ka[i]):
-            for j in order[kb[order, place]][:k]:
-                yield target, int(place), float(distance[j]), names[j], float(b[j, place])
+        gaps = np.flatnonzero(~ka[i])
+        have = kb[np.ix_(order, gaps)]
+        # Of each gap the first k donors that have the cell.
+        row, gap_at = np.nonzero(have & (np.cumsum(have, axis=0) <= k))
+        for j, place in zip(order[row].tolist(), gaps[gap_at].tolist()):
+            yield target, place, float(distance[j]), names[j], float(b[j, place])
 
 
 def knn_impute(m: DataFrame, targets: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
@@ -108,9 +117,10 @@ def knn_impute(m: DataFrame, targets: DataFrame, k: int = NEIGHBOURS) -> DataFra
     meets each block of donors in one task that hands on at most ``k`` donors per
     missing cell, so pairs of samples are never written out.
     """
-    features = feature_places(m)
+    features = probe_names(m)
     arrays = store(sample_arrays(m, features, fill=float("nan")), "arrays")
-    blocks = max(1, math.ceil(m.select("sample_id").distinct().count() / _BLOCK))
+    per_block = max(1, _BLOCK_BYTES // (8 * max(len(features), 1)))
+    blocks = max(1, math.ceil(arrays.count() / per_block))
     block = F.pmod(F.xxhash64("sample_id"), F.lit(blocks))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
 

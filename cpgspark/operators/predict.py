@@ -5,27 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cpgspark.operators.metrics import class_report
-from cpgspark.operators.train import NodeModel
+from cpgspark.operators.train import NodeModel, key_part, path_key
 from cpgspark.operators.tree import samples_at_level
-from cpgspark.operators.vectors import sample_vectors
+from cpgspark.operators.vectors import pick, sample_arrays, sample_vectors
 from cpgspark.plans.durable import store
 
-MAX_DEPTH = 50
-
-
-def _model_steps(
-    m: DataFrame, frontier: DataFrame, model: NodeModel, depth: int
-) -> DataFrame:
-    """Predictions of one model for the samples of the frontier that go to it."""
-    mine = frontier.filter(F.col("model_name") == model.name).select("sample_id")
-    vectors = sample_vectors(m.join(mine, "sample_id", "left_semi"), model.features)
-    return model.predict(vectors).select(
-        "sample_id",
-        F.lit(depth).alias("depth"),
-        F.lit(model.name).alias("model_name"),
-        "prediction",
-        "probability",
-    )
+STEPS = (
+    "sample_id string, depth int, model_name string, prediction string, probability double"
+)
 
 
 def predict_tree(
@@ -33,36 +20,52 @@ def predict_tree(
 ) -> DataFrame:
     """``sample_id, depth, model_name, prediction, probability``: every step.
 
-    All samples move down together, one level per round.  The steps of a level are
-    stored before the next, so a plan never holds more than one level.  A sample
-    stops where the predicted class has no model or is the model's own name; one
-    without measurements is left out.
+    ``models`` has a model for each :func:`path_key`; names may repeat in a tree, paths do
+    not.  The measurements are read once, cut to the samples and to the features of all
+    models, one stored array per sample; each model picks its places.  All samples move
+    down together, one level per round, and every level lengthens the path, so the rounds
+    end with the deepest model.  A sample stops where the predicted class has no model or
+    is the model's own name; one without measurements is left out.  A model without class
+    probabilities gives null.
     """
-    frontier = samples.select("sample_id", F.lit(root).alias("model_name"))
-    active = {root} & set(models)
+    spark = m.sparkSession
+    active = {(root,)} & {x.path for x in models.values()}
+    if not active:
+        return spark.createDataFrame([], STEPS)
+    by_path = {x.path: x for x in models.values()}
+    names = sorted({f for x in models.values() for f in x.features})
+    wanted = samples.select("sample_id").distinct()
+    arrays = store(
+        sample_arrays(m.join(wanted, "sample_id", "left_semi"), names), "arrays"
+    )
+    frontier = wanted.select("sample_id", F.lit(path_key([root])).alias("key"))
     levels: list[DataFrame] = []
-    depth = 1
-    while active and depth <= MAX_DEPTH:
+    while active:
         steps = None
-        for name in sorted(active):
-            part = _model_steps(m, frontier, models[name], depth)
+        for path in sorted(active):
+            model = by_path[path]
+            mine = frontier.filter(F.col("key") == path_key(path)).select("sample_id")
+            rows = arrays.join(mine, "sample_id", "left_semi")
+            calls = model.predict(pick(rows, names, model.features))
+            known = "probability" in calls.columns
+            part = calls.select(
+                "sample_id",
+                F.lit(len(levels) + 1).alias("depth"),
+                F.lit(model.name).alias("model_name"),
+                "prediction",
+                (F.col("probability") if known else F.lit(None).cast("double")).alias("probability"),
+                F.concat(F.lit(path_key(path) + "/"), key_part(F.col("prediction"))).alias("key"),
+            )
             steps = part if steps is None else steps.unionByName(part)
-        done = store(steps, f"level-{depth}")
+        done = store(steps, f"level-{len(levels) + 1}")
         levels.append(done)
-        onward = done.filter(F.col("prediction") != F.col("model_name"))
-        frontier = onward.select("sample_id", F.col("prediction").alias("model_name"))
-        active = {c for n in active for c in models[n].classes if c != n} & set(models)
-        depth += 1
-    if not levels:
-        return m.sparkSession.createDataFrame(
-            [],
-            "sample_id string, depth int, model_name string, prediction string, "
-            "probability double",
-        )
+        frontier = done.filter(F.col("prediction") != F.col("model_name")).select("sample_id", "key")
+        onward = {(*p, c) for p in active for c in by_path[p].classes if c != by_path[p].name}
+        active = onward & set(by_path)
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
-    return out
+    return out.drop("key")
 
 
 def final_prediction(steps: DataFrame) -> DataFrame:

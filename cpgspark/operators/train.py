@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from urllib.parse import quote
 
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
@@ -19,7 +20,7 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cpgspark.operators import design as design_ops
 from cpgspark.operators.dm import anova_f, moderated_dm, restrict_to, select_k_best
@@ -29,18 +30,36 @@ from cpgspark.operators.vectors import class_weights, feature_places, sample_vec
 from cpgspark.plans.durable import store
 
 TREES = (200, 400)
+#: Spark's deepest tree; a forest is otherwise not limited in depth.
+MAX_DEPTH = 30
 SCORES = ("f1_macro", "accuracy", "roc_auc")
 
 
+def path_key(path: Sequence[str]) -> str:
+    """A node's path as one text; slashes inside names are doubled."""
+    return "/".join(name.replace("/", "//") for name in path)
+
+
+def key_part(name: Column) -> Column:
+    return F.replace(name, F.lit("/"), F.lit("//"))
+
+
 @dataclass
 class NodeModel:
-    """A fitted classifier of one node: its features, its classes, its model."""
+    """A fitted classifier of one node: its features, its classes, its model.
+
+    ``path`` leads from the root to the node; names repeat in a tree, paths do not.
+    """
 
     name: str
     features: list[str]
     classes: list[str]
     model: Model
     metrics: dict[str, float] = field(default_factory=dict)
+    path: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        self.path = tuple(self.path) or (self.name,)
 
     def predict(self, vectors: DataFrame) -> DataFrame:
         """``sample_id, prediction, probability, scores`` (scores in class order)."""
@@ -82,7 +101,7 @@ def train_forest(
     features: list[str],
     name: str = "ROOT",
     n_trees: int = TREES[0],
-    max_depth: int = 10,
+    max_depth: int = MAX_DEPTH,
     seed: int = SEED,
 ) -> NodeModel:
     """Class-weighted random forest on ``sample_id, features, class``."""
@@ -172,7 +191,7 @@ def grid_search(
     features: list[str],
     name: str = "ROOT",
     n_trees: Sequence[int] = TREES,
-    max_depth: Sequence[int] = (10,),
+    max_depth: Sequence[int] = (MAX_DEPTH,),
     impurity: Sequence[str] = ("gini",),
     k: int = 3,
     score: str = "f1_macro",
@@ -397,6 +416,7 @@ def train_node(
     )
     scores = core_metrics(calls).first().asDict()
     model.metrics = {k: v for k, v in scores.items() if v is not None}
+    model.path = tuple(path)
     return model
 
 
@@ -410,7 +430,7 @@ def train_tree(
     parallel: int = 4,
     seed: int = SEED,
 ) -> dict[str, NodeModel]:
-    """Train every node that passes the gates; models by node name.
+    """Train every node that passes the gates; models by :func:`path_key`.
 
     The gates are one aggregate for all nodes.  The nodes then run as concurrent
     Spark jobs; each is distributed in itself.
@@ -426,7 +446,7 @@ def train_tree(
 
     with ThreadPoolExecutor(max(1, parallel)) as pool:
         fitted = list(pool.map(one, paths))
-    return {f.name: f for f in fitted if f is not None}
+    return {path_key(f.path): f for f in fitted if f is not None}
 
 
 def model_table(models: dict[str, NodeModel], spark: SparkSession) -> DataFrame:
@@ -434,6 +454,7 @@ def model_table(models: dict[str, NodeModel], spark: SparkSession) -> DataFrame:
     rows = [
         (
             x.name,
+            list(x.path),
             len(x.classes),
             len(x.features),
             x.metrics.get("accuracy"),
@@ -444,7 +465,7 @@ def model_table(models: dict[str, NodeModel], spark: SparkSession) -> DataFrame:
     ]
     return spark.createDataFrame(
         rows,
-        "model_name string, n_classes int, n_features int, accuracy double, f1_macro double, "
+        "model_name string, node_path array<string>, n_classes int, n_features int, accuracy double, f1_macro double, "
         "balanced_accuracy double",
     )
 
@@ -471,25 +492,36 @@ def refit_full(
         features,
         name,
         int(parameters.get("n_trees", TREES[0])),
-        int(parameters.get("max_depth", 10)),
+        int(parameters.get("max_depth", MAX_DEPTH)),
         seed,
     )
 
 
+def _folder(folder: str, path: Sequence[str]) -> str:
+    """A folder for each path, whatever characters its names have."""
+    return "/".join([folder, *(quote(name, safe="") for name in path), "@model"])
+
+
 def save_model(model: NodeModel, folder: str, spark: SparkSession) -> None:
-    """Write the fitted model and one metadata row below ``folder/<name>``."""
-    PipelineModel([model.model]).write().overwrite().save(f"{folder}/{model.name}/model")
-    row = [(model.name, model.features, model.classes, json.dumps(model.metrics))]
-    schema = "name string, features array<string>, classes array<string>, metrics string"
-    spark.createDataFrame(row, schema).write.mode("overwrite").parquet(
-        f"{folder}/{model.name}/meta"
+    """Write the fitted model and one metadata row below a folder of its path."""
+    place = _folder(folder, model.path)
+    PipelineModel([model.model]).write().overwrite().save(f"{place}/model")
+    row = [
+        (model.name, list(model.path), model.features, model.classes, json.dumps(model.metrics))
+    ]
+    schema = (
+        "name string, path array<string>, features array<string>, classes array<string>, "
+        "metrics string"
     )
+    spark.createDataFrame(row, schema).write.mode("overwrite").parquet(f"{place}/meta")
 
 
-def load_model(name: str, folder: str, spark: SparkSession) -> NodeModel:
-    meta = spark.read.parquet(f"{folder}/{name}/meta").first()
-    model = PipelineModel.load(f"{folder}/{name}/model").stages[0]
+def load_model(path: Sequence[str], folder: str, spark: SparkSession) -> NodeModel:
+    """The model of a node's path."""
+    place = _folder(folder, path)
+    meta = spark.read.parquet(f"{place}/meta").first()
+    model = PipelineModel.load(f"{place}/model").stages[0]
     return NodeModel(
         meta["name"], list(meta["features"]), list(meta["classes"]), model,
-        json.loads(meta["metrics"]),
+        json.loads(meta["metrics"]), tuple(meta["path"]),
     )

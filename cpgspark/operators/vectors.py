@@ -8,17 +8,22 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cpgspark.functions.numeric import finite
 from cpgspark.plans.sizing import small_side
 
+#: Probes in one model's vector: the limit of a dense vector that many trees share.
 MAX_FEATURES = 65_535
 
 
+def probe_names(probes: DataFrame) -> list[str]:
+    """All probes in name order; an array has below a million."""
+    rows = probes.select("probe_id").distinct().orderBy("probe_id")
+    return [r["probe_id"] for r in rows.collect()]
+
+
 def feature_places(probes: DataFrame) -> list[str]:
-    """The selected probes in name order.
+    """The selected probes of a model in name order.
 
-    This list is part of a model.  Selection bounds it, and more than a dense
-    vector can serve is refused.
+    This list is part of the model.  More than one vector can serve is refused.
     """
-    rows = probes.select("probe_id").distinct().orderBy("probe_id").limit(MAX_FEATURES + 1)
-    names = [r["probe_id"] for r in rows.collect()]
+    names = probe_names(probes)
     if len(names) > MAX_FEATURES:
         raise ValueError("select fewer probes before building vectors")
     return names
@@ -45,17 +50,22 @@ def _dense(cells: Column, size: int, fill: float) -> Column:
 def sample_arrays(m: DataFrame, features: list[str], fill: float = 0.0) -> DataFrame:
     """``sample_id, values``: one array per sample in feature order.
 
-    A missing value, or one that is no finite number, takes ``fill``.  The group of
-    a sample holds at most one cell per feature.
+    A missing value, or one that is no finite number, takes ``fill``.  A sample with
+    rows for other probes only has ``fill`` everywhere: the join keeps such rows, and
+    they fold into their sample before the shuffle.  The group of a sample holds at most
+    one cell per feature.
     """
     known = (
         m.withColumn("value", finite(F.col("value").cast("double")))
-        .join(_places(m, features), "probe_id")
+        .join(_places(m, features), "probe_id", "left")
         .groupBy("sample_id")
         .agg(
             F.array_sort(
                 F.collect_list(
-                    F.when(F.col("value").isNotNull(), F.struct("place", "value"))
+                    F.when(
+                        F.col("value").isNotNull() & F.col("place").isNotNull(),
+                        F.struct("place", "value"),
+                    )
                 )
             ).alias("cells")
         )
@@ -70,6 +80,14 @@ def sample_vectors(m: DataFrame, features: list[str]) -> DataFrame:
     )
 
 
+def pick(arrays: DataFrame, names: list[str], features: list[str]) -> DataFrame:
+    """``features`` vectors of one model out of arrays over ``names``; other columns stay."""
+    place = {name: i for i, name in enumerate(names)}
+    places = F.array(*[F.lit(place[f]) for f in features])
+    values = F.transform(places, lambda i: F.get("values", i))
+    return arrays.withColumn("features", array_to_vector(values)).drop("values")
+
+
 def class_weights(labelled: DataFrame, label_col: str = "class") -> DataFrame:
     """Add ``weight`` = n / (classes * n of the class)."""
     sizes = labelled.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_class"))

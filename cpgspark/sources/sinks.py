@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cpgspark.operators.qc import drop_probes, keep_probes
 
-# Above this, one column per probe costs more in planning than it saves.
-MAX_PIVOT = 2_000
-
 
 def scan_filter_sink(
     spark: SparkSession,
@@ -66,13 +63,18 @@ def write_measurements(m: DataFrame, target: str) -> None:
     )
 
 
-def long_to_wide(m: DataFrame, probes: Sequence[str] | None = None) -> DataFrame:
-    """One row per sample: a column per listed probe, or a map for long lists.
+def long_to_wide(
+    m: DataFrame, probes: Sequence[str] | None = None, as_map: bool | None = None
+) -> DataFrame:
+    """One row per sample: with ``as_map`` the known cells as ``values
+    map<string,double>``, else a column for each listed probe.
 
-    ``probes`` of at most 2,000 names become columns.  Without a list, or with a
-    longer one, the values come as ``values map<string,double>``, known cells only.
+    Columns are for lists that a table can have as columns; Spark plans each one.
     """
-    if probes is not None and len(probes) <= MAX_PIVOT:
+    as_map = probes is None if as_map is None else as_map
+    if probes is None and not as_map:
+        raise ValueError("columns need a list of probes")
+    if not as_map:
         return m.groupBy("sample_id").pivot("probe_id", list(probes)).agg(F.max("value"))
     rows = m.filter(F.col("value").isNotNull())
     if probes is not None:

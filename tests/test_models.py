@@ -98,7 +98,7 @@ def test_knn_does_not_depend_on_blocks(spark, monkeypatch):
     rows = [(f"s{i}", f"p{j}", None if (i + j) % 6 == 0 else float(rng.normal())) for i in range(30) for j in range(5)]
     m = spark.createDataFrame(rows, M)
     whole = sorted(map(tuple, cohort.knn_impute(m, m).select("sample_id", "probe_id", "value").collect()))
-    monkeypatch.setattr(cohort, "_BLOCK", 7)
+    monkeypatch.setattr(cohort, "_BLOCK_BYTES", 8 * 5 * 7)
     cut = sorted(map(tuple, cohort.knn_impute(m, m).select("sample_id", "probe_id", "value").collect()))
     assert [r[:2] for r in whole] == [r[:2] for r in cut]
     assert np.allclose([r[2] for r in whole], [r[2] for r in cut])
@@ -128,7 +128,7 @@ def grown(spark):
 
 def test_tree_of_models_predicts_the_leaves(spark, grown):
     m, nodes, held, models = grown
-    assert set(models) == {"ROOT", "g0", "g1"}
+    assert set(models) == {"ROOT", "ROOT/g0", "ROOT/g1"}
     ids = held.select("sample_id").unionByName(spark.createDataFrame([("ghost",)], "sample_id string"))
     steps = predict.predict_tree(m, ids, models, "ROOT")
     assert steps.filter("sample_id = 'ghost'").count() == 0
@@ -145,24 +145,72 @@ def test_prediction_stops_at_its_own_name(spark, grown):
     m, _, held, models = grown
     root = models["ROOT"]
     loop = train.NodeModel("ROOT", root.features, ["ROOT", "g1"], root.model)
-    steps = predict.predict_tree(m, held, {"ROOT": loop, "g1": models["g1"]}, "ROOT")
+    steps = predict.predict_tree(m, held, {"ROOT": loop, "ROOT/g1": models["ROOT/g1"]}, "ROOT")
     assert steps.filter("prediction = 'ROOT' AND depth > 1").count() == 0
     assert steps.agg(F.max("depth")).first()[0] == 2
 
 
+def test_equal_names_on_other_paths_are_other_models(spark, grown, tmp_path):
+    m, _, held, models = grown
+    right, wrong = models["ROOT/g0"], models["ROOT/g1"]
+    same = [
+        train.NodeModel("same", x.features, x.classes, x.model, path=("ROOT", g, "same"))
+        for x, g in ((right, "g0"), (wrong, "g1"))
+    ]
+    assert len({train.path_key(x.path) for x in same}) == 2
+    for x in same:
+        train.save_model(x, str(tmp_path), spark)
+    back = [train.load_model(x.path, str(tmp_path), spark) for x in same]
+    assert [x.classes for x in back] == [["c0", "c1"], ["c2", "c3"]]
+    assert train.path_key(["a/b", "c"]) != train.path_key(["a", "b", "c"])
+
+
+def test_linear_machines_and_samples_without_model_probes(spark, grown):
+    m, _, held, models = grown
+    root = models["ROOT"]
+    labels = held.select("sample_id", F.element_at("node_path", 2).alias("class"))
+    vectors = sample_vectors(m, root.features).join(labels, "sample_id")
+    linear = train.train_linear_svm(vectors, root.features, max_iter=10)
+    other = spark.createDataFrame([("elsewhere", "no model probe", 1.0)], M)
+    ids = held.select("sample_id").unionByName(other.select("sample_id"))
+    steps = predict.predict_tree(m.unionByName(other), ids, {**models, "ROOT": linear}, "ROOT")
+    first = steps.filter("depth = 1")
+    assert first.count() == 61 and first.filter("probability IS NOT NULL").count() == 0
+    assert steps.filter("sample_id = 'elsewhere'").count() >= 1
+    assert steps.filter("depth = 2 AND probability IS NULL").count() == 0
+
+
+def test_neighbours_over_many_probes_go_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=700)
+    rows = []
+    for s in range(30):
+        for p, v in enumerate(base + 0.01 * s):
+            if (s, p) != (3, 5):
+                rows.append((f"s{s:02d}", f"p{p:03d}", float(v)))
+    m = spark.createDataFrame(rows, M)
+    wanted = spark.createDataFrame([("s03",)], "sample_id string")
+    whole = cohort.knn_impute(m, wanted).filter("probe_id = 'p005'").first()["value"]
+    monkeypatch.setattr(cohort, "_BLOCK_BYTES", 8 * 700 * 4)
+    blocked = cohort.knn_impute(m, wanted)
+    assert blocked.count() == 700
+    assert blocked.filter("probe_id = 'p005'").first()["value"] == pytest.approx(whole)
+    assert whole == pytest.approx(base[5] + 0.01 * np.mean([1, 2, 4, 5, 0]), abs=0.02)
+
+
 def test_models_survive_storage(spark, grown):
     m, _, held, models = grown
     folder = scratch_path(spark, "models")
-    train.save_model(models["g0"], folder, spark)
-    back = train.load_model("g0", folder, spark)
+    train.save_model(models["ROOT/g0"], folder, spark)
+    back = train.load_model(["ROOT", "g0"], folder, spark)
     vectors = sample_vectors(m, back.features)
-    a = sorted(map(tuple, models["g0"].predict(vectors).select("sample_id", "prediction").collect()))
+    a = sorted(map(tuple, models["ROOT/g0"].predict(vectors).select("sample_id", "prediction").collect()))
     assert a == sorted(map(tuple, back.predict(vectors).select("sample_id", "prediction").collect()))
 
 
 def test_node_report(spark, grown):
     m, _, held, models = grown
-    out = predict.validate_node(m, models["g1"], held, held.select("sample_id"), ["ROOT", "g1"])
+    out = predict.validate_node(m, models["ROOT/g1"], held, held.select("sample_id"), ["ROOT", "g1"])
     rep = {r["class"]: r for r in out.collect()}
     assert {"c2", "c3", "accuracy"} <= set(rep) and rep["c2"]["support"] == 15
 
