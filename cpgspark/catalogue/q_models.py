@@ -14,8 +14,8 @@ from cpgspark.operators.tree import ROOT, samples_at_level
 from cpgspark.operators.vectors import feature_places, sample_vectors
 from cpgspark.plans.durable import store
 
-_TREES = 20
-_TOP = 32
+_TREES = train.TREES[0]
+_TOP = 64
 
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
@@ -58,9 +58,7 @@ def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
 @query("grid_search")
 def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     vectors, features = _vectors(spark, sf)
-    _, table = train.grid_search(
-        _part(vectors, "train"), features, n_trees=(10, 20), max_depth=(5,), k=3
-    )
+    _, table = train.grid_search(_part(vectors, "train"), features)
     return table
 
 
@@ -68,7 +66,7 @@ def grid_search(spark: SparkSession, sf: str) -> DataFrame:
 def select_on_validation(spark: SparkSession, sf: str) -> DataFrame:
     vectors, features = _vectors(spark, sf)
     _, table = train.select_on_validation(
-        _part(vectors, "train"), _part(vectors, "val"), features, n_trees=(10, 20)
+        _part(vectors, "train"), _part(vectors, "val"), features
     )
     return table
 
@@ -76,7 +74,7 @@ def select_on_validation(spark: SparkSession, sf: str) -> DataFrame:
 @query("train_linear_svm")
 def train_linear_svm(spark: SparkSession, sf: str) -> DataFrame:
     vectors, features = _vectors(spark, sf)
-    model = train.train_linear_svm(_part(vectors, "train"), features, max_iter=10)
+    model = train.train_linear_svm(_part(vectors, "train"), features)
     return metrics.core_metrics(_calls(model, _part(vectors, "val")))
 
 

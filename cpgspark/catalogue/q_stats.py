@@ -148,7 +148,7 @@ def dm_select(spark: SparkSession, sf: str) -> DataFrame:
 @query("moderated_stats")
 def moderated_stats(spark: SparkSession, sf: str) -> DataFrame:
     rows = qc.drop_nonfinite_probes(fx.measurements(spark, sf))
-    return dm.moderated_stats(rows.join(fx.labels(spark, sf), "sample_id"))
+    return dm.moderated_stats(rows.join(fx.labels(spark, sf), "sample_id"), robust=False)
 
 
 @query("moderated_stats_robust")
@@ -160,7 +160,7 @@ def moderated_stats_robust(spark: SparkSession, sf: str) -> DataFrame:
 @query("moderated_dm")
 def moderated_dm(spark: SparkSession, sf: str) -> DataFrame:
     rows = qc.drop_nonfinite_probes(fx.measurements(spark, sf))
-    return dm.moderated_dm(rows.join(fx.labels(spark, sf), "sample_id"), top=5)
+    return dm.moderated_dm(rows.join(fx.labels(spark, sf), "sample_id"))
 
 
 _ANOVA = """

@@ -249,13 +249,19 @@ def differential_methylation(
     return summary, dm_select(summary, alpha, min_effect)
 
 
-def moderated_stats(labelled: DataFrame, robust: bool = False) -> DataFrame:
+# A variance below this share of the class's median counts as that share of it.
+VARIANCE_FLOOR = 1e-5
+
+
+def moderated_stats(labelled: DataFrame, robust: bool = True) -> DataFrame:
     """Moderated one-vs-rest statistics: ``probe_id, class, t_mod, df_total, p_value``.
 
     Each class has its own prior variance, fitted by moments to the log variances
-    of all its probes.  One row of moments per class reaches the driver.  With
-    ``robust`` the moments are those of the winsorised log variances, so that a few
-    probes of extreme variance do not widen the prior; all probes share that prior.
+    of all its probes, tiny ones raised to a floor.  One row of moments per class
+    reaches the driver.  With ``robust`` the moments are those of the winsorised log
+    variances, so that a few probes of extreme variance do not widen the prior; all
+    probes share that prior.  The degrees of freedom are at most those of all probes of
+    the class pooled, so an infinite prior leaves a t tail.
     """
     stats = one_vs_rest(class_moments(labelled))
     n, nr = F.col("n_class"), F.col("n_rest")
@@ -265,8 +271,17 @@ def moderated_stats(labelled: DataFrame, robust: bool = False) -> DataFrame:
     )
     # One row per probe and class, read twice below: the measurements only once.
     rows = store(rows, "moments")
-    priors = _robust_priors(rows) if robust else _moment_priors(rows)
-    prior = labelled.sparkSession.createDataFrame(priors, "class string, d0 double, s02 double")
+    spread = rows.groupBy("class").agg(
+        F.percentile_approx("s2", 0.5, 10_000).alias("middle"), F.sum("df").alias("df_pooled")
+    )
+    middle = F.when(F.col("middle") > 0, F.col("middle")).otherwise(1.0)
+    raised = rows.join(F.broadcast(spread), "class").withColumn(  # one row per class
+        "s2", F.greatest("s2", VARIANCE_FLOOR * middle)
+    )
+    priors = _robust_priors(raised) if robust else _moment_priors(raised)
+    prior = labelled.sparkSession.createDataFrame(
+        priors, "class string, d0 double, s02 double"
+    ).join(spread.select("class", "df_pooled"), "class")
     d0, s02 = F.col("d0"), F.col("s02")
     pooled = F.when(d0 == float("inf"), s02).otherwise(
         (d0 * s02 + F.col("df") * F.col("s2")) / (d0 + F.col("df"))
@@ -277,7 +292,7 @@ def moderated_stats(labelled: DataFrame, robust: bool = False) -> DataFrame:
     return (
         rows.join(F.broadcast(prior), "class")  # one row per class
         .withColumn("t_mod", F.when(pooled > 0, t))
-        .withColumn("df_total", d0 + F.col("df"))
+        .withColumn("df_total", F.least(d0 + F.col("df"), F.col("df_pooled")))
         .withColumn("p_value", student_t_p(F.col("t_mod"), F.col("df_total")))
         .select("probe_id", "class", "t_mod", "df_total", "p_value")
     )
@@ -339,7 +354,7 @@ def _robust_priors(rows: DataFrame) -> list[tuple[str, float, float]]:
 
 
 def moderated_dm(
-    labelled: DataFrame, top: int = TOP_PER_CLASS, robust: bool = False
+    labelled: DataFrame, top: int = TOP_PER_CLASS, robust: bool = True
 ) -> DataFrame:
     """The ``top`` probes of each class by moderated p; union over the classes."""
     stats = moderated_stats(labelled, robust)

@@ -128,7 +128,7 @@ def test_moderated_against_numpy(spark):
     s0 = math.exp(e.mean() + float(tails.digamma(d0 / 2)) - math.log(d0 / 2))
     post = (d0 * s0 + d * s2) / (d0 + d)
     t = (a.mean(1) - b.mean(1)) / np.sqrt(post * (1 / 10 + 1 / 14))
-    got = {r["probe_id"]: r for r in dm.moderated_stats(df).filter("class = 'a'").collect()}
+    got = {r["probe_id"]: r for r in dm.moderated_stats(df, robust=False).filter("class = 'a'").collect()}
     for i in range(probes):
         assert got[f"p{i:02d}"]["t_mod"] == pytest.approx(t[i], rel=1e-8)
         assert got[f"p{i:02d}"]["df_total"] == pytest.approx(d0 + d, rel=1e-8)
@@ -217,3 +217,26 @@ def test_robust_prior_resists_wild_probes(spark):
     clean, spoilt, held = df_total(rows(x), False), df_total(rows(wild), False), df_total(rows(wild), True)
     assert spoilt < clean / 3
     assert clean / 2 < held < clean * 2
+
+
+def test_tails_against_the_standard_library():
+    x = np.logspace(-3, 8, 2000)
+    assert np.allclose(tails._lgamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12)
+    z = np.linspace(-37, 37, 1501)
+    exact = [math.erfc(abs(v) / math.sqrt(2)) for v in z]
+    assert np.allclose(tails._normal_two_sided(z), exact, rtol=1e-11, atol=0)
+
+
+def test_degrees_of_freedom_are_those_of_the_pool_at_most(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for p in range(5):
+        for j in range(12):
+            value = 3.0 if p == 4 else float(rng.normal())
+            rows.append((f"s{j}", f"p{p}", value, "ab"[j % 2]))
+    df = spark.createDataFrame(rows, "sample_id string, probe_id string, value double, class string")
+    for robust in (False, True):
+        got = dm.moderated_stats(df, robust).collect()
+        assert len(got) == 10 and all(10 < r["df_total"] <= 50 for r in got)
+        # A probe without variance takes the prior's and gives no difference.
+        assert all(r["t_mod"] == 0 for r in got if r["probe_id"] == "p4")
