@@ -12,7 +12,7 @@ from cpgspark.llm import nearest, quality
 def test_tables_find_steps_and_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 3))
-    y = ((x[:, 0] > 0.6) ^ (x[:, 1] > 0.5)).astype(float)
+    y = ((x[:, 0] > 0.625) ^ (x[:, 1] > 0.5)).astype(float)
     model = quality.fit(x[:3000], y[:3000])
     assert (0, 1) in model.pairs
     assert ((model.score(x[3000:]) >= 0.5) == y[3000:]).mean() > 0.97
