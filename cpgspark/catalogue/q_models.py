@@ -18,7 +18,7 @@ _TREES = train.TREES[0]
 _TOP = 64
 
 
-def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+def chosen_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     """``sample_id, features, class, split`` with the best probes of the training part."""
     rows = fx.labelled(spark, sf)
     parts = splits.split_ids(fx.labels(spark, sf), "sample_id")
@@ -30,7 +30,7 @@ def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     return store(named, "vectors"), features
 
 
-def _part(vectors: DataFrame, name: str) -> DataFrame:
+def part_of(vectors: DataFrame, name: str) -> DataFrame:
     return vectors.filter(F.col("split") == name).drop("split")
 
 
@@ -42,48 +42,48 @@ def _calls(model: train.NodeModel, rows: DataFrame) -> DataFrame:
 
 @query("train_forest")
 def train_forest(spark: SparkSession, sf: str) -> DataFrame:
-    vectors, features = _vectors(spark, sf)
-    model = train.train_forest(_part(vectors, "train"), features, n_trees=_TREES)
-    val, test = (_calls(model, _part(vectors, p)) for p in ("val", "test"))
+    vectors, features = chosen_vectors(spark, sf)
+    model = train.train_forest(part_of(vectors, "train"), features, n_trees=_TREES)
+    val, test = (_calls(model, part_of(vectors, p)) for p in ("val", "test"))
     return metrics.metrics_summary(val, test)
 
 
 @query("feature_importance")
 def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
-    vectors, features = _vectors(spark, sf)
-    model = train.train_forest(_part(vectors, "train"), features, n_trees=_TREES)
+    vectors, features = chosen_vectors(spark, sf)
+    model = train.train_forest(part_of(vectors, "train"), features, n_trees=_TREES)
     return train.top_importance(train.feature_importance(model, spark), 30)
 
 
 @query("grid_search")
 def grid_search(spark: SparkSession, sf: str) -> DataFrame:
-    vectors, features = _vectors(spark, sf)
-    _, table = train.grid_search(_part(vectors, "train"), features)
+    vectors, features = chosen_vectors(spark, sf)
+    _, table = train.grid_search(part_of(vectors, "train"), features)
     return table
 
 
 @query("select_on_validation")
 def select_on_validation(spark: SparkSession, sf: str) -> DataFrame:
-    vectors, features = _vectors(spark, sf)
+    vectors, features = chosen_vectors(spark, sf)
     _, table = train.select_on_validation(
-        _part(vectors, "train"), _part(vectors, "val"), features
+        part_of(vectors, "train"), part_of(vectors, "val"), features
     )
     return table
 
 
 @query("train_linear_svm")
 def train_linear_svm(spark: SparkSession, sf: str) -> DataFrame:
-    vectors, features = _vectors(spark, sf)
-    model = train.train_linear_svm(_part(vectors, "train"), features)
-    return metrics.core_metrics(_calls(model, _part(vectors, "val")))
+    vectors, features = chosen_vectors(spark, sf)
+    model = train.train_linear_svm(part_of(vectors, "train"), features)
+    return metrics.core_metrics(_calls(model, part_of(vectors, "val")))
 
 
 def _calibrated(spark: SparkSession, sf: str, method: str) -> DataFrame:
-    vectors, features = _vectors(spark, sf)
-    model = train.train_forest(_part(vectors, "train"), features, n_trees=_TREES)
-    scored = model.predict(_part(vectors, "train"))
+    vectors, features = chosen_vectors(spark, sf)
+    model = train.train_forest(part_of(vectors, "train"), features, n_trees=_TREES)
+    scored = model.predict(part_of(vectors, "train"))
     fitted = train.calibrate(scored, model.classes, method)
-    out = fitted.transform(model.predict(_part(vectors, "val")))
+    out = fitted.transform(model.predict(part_of(vectors, "val")))
     return out.select("sample_id", "class", "prediction", "probability")
 
 

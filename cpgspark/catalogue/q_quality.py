@@ -172,16 +172,41 @@ asg AS (SELECT id, CASE WHEN r <= greatest(1, floor(n * 0.7e0)) THEN 'train'
                         ELSE 'test' END AS split FROM ranked)"""
 
 
+def written_splits(spark: SparkSession, sf: str) -> str:
+    """The wide matrix cut into split files; their folder."""
+    source, target = _wide_file(spark, sf), scratch_path(spark, "splits")
+    found = wide_csv.read_ids(spark, source)
+    wide_csv.write_splits(spark, source, target, splits.split_ids(found, wide_csv.ID_COL))
+    return target
+
+
+def split_file_rows(spark: SparkSession, target: str) -> DataFrame:
+    """``split, n_rows`` of written split files; only the ids are read."""
+    out = None
+    for name in ("train", "val", "test"):
+        rows = wide_csv.read_ids(spark, f"{target}/split={name}")
+        part = rows.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("split"), "n_rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "written_split_rows",
+    f"""WITH ids AS (SELECT CAST(vec_id AS VARCHAR) AS id FROM embeddings), {_SPLIT_IDS},
+    names AS (SELECT unnest(['train', 'val', 'test']) AS split)
+    SELECT split, count(id) AS n_rows FROM names LEFT JOIN asg USING (split) GROUP BY 1""",
+)
+def written_split_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return split_file_rows(spark, written_splits(spark, sf))
+
+
 @query(
     "write_splits",
     f"""WITH {fx.M}, ids AS (SELECT CAST(vec_id AS VARCHAR) AS id FROM embeddings), {_SPLIT_IDS}
     SELECT split, sample_id, probe_id, value FROM m JOIN asg ON asg.id = m.sample_id""",
 )
 def write_splits(spark: SparkSession, sf: str) -> DataFrame:
-    source, target = _wide_file(spark, sf), scratch_path(spark, "splits")
-    found = wide_csv.read_ids(spark, source)
-    parts = splits.split_ids(found, wide_csv.ID_COL)
-    wide_csv.write_splits(spark, source, target, parts)
+    target = written_splits(spark, sf)
     out = None
     for name in ("train", "val", "test"):
         rows = wide_csv.read_wide(spark, f"{target}/split={name}")
