@@ -39,13 +39,17 @@ WITH d AS (
          list_filter(string_split(t, chr(10)),
                      lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM d
-), starts AS (
-  SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM d
+), words AS (
+  SELECT rid, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS n FROM d
 ), windows AS (
-  SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS w,
-         CASE WHEN i + {repetition_rules.MAX_LONGEST} <= len(ws)
-              THEN array_to_string(ws[i:i + {repetition_rules.MAX_LONGEST}], ' ') END AS long_w
-  FROM starts
+  SELECT rid, i, string_agg(w, ' ') OVER short AS w,
+         CASE WHEN i + {repetition_rules.MAX_LONGEST} <= n
+              THEN string_agg(w, ' ') OVER long END AS long_w
+  FROM words
+  WINDOW short AS (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING),
+         long AS (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW
+                  AND {repetition_rules.MAX_LONGEST} FOLLOWING)
+  QUALIFY i + 7 <= n
 ), repeated AS (
   SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS c FROM windows)
   WHERE c > 1
