@@ -40,7 +40,7 @@ WORD_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 #: Words kept ready in one Python worker; on reaching it the store starts afresh.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 CACHE_WORD_CHARS = 64
 #: Words up to this many bytes are merged by scanning, longer ones with a heap.
 SHORT_WORD = 64

@@ -41,7 +41,7 @@ SEED = 42
 #: Fingerprints that a sub-trie should hold at most on average.
 SUBTRIE = 4096
 #: Node pairs handled at once.
-_FRONTIER = 1 << 19
+_FRONTIER = 1 << 17
 _HASHES = 1 << 16
 
 
@@ -192,7 +192,7 @@ def _children(fps: np.ndarray, pairs: np.ndarray, depth: int, allowed: int) -> n
     return found[:, full & ~alone]
 
 
-_BATCH = 1 << 18
+_BATCH = 1 << 17
 
 
 def _join_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

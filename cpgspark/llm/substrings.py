@@ -46,7 +46,7 @@ ROWS = 3
 RECALL = 0.996
 #: Texts that meet in one block of a group.
 GROUP = 1024
-_PIECE = 2 << 20
+_PIECE = 1 << 20
 _SEED = 20
 _LONG = (1 << 64) - 1
 

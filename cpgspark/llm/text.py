@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text handled at once inside a task.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 WORD = r"[^\x20\x09-\x0D]+"
 
