@@ -20,7 +20,6 @@ with a null id belong to a component but never name one, unless all of it has nu
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
