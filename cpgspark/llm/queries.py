@@ -226,7 +226,7 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that an earlier document holds."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substrings.remove_repeated(documents)
+    return substrings.remove_passages(documents)
 
 
 @query("op7_language_model")

@@ -9,6 +9,13 @@ at least ``min_words`` words, so that common short lines stay everywhere.
 
 Below eight words a similarity of 0.8 means equal shingles, and the exact key serves.
 
+:func:`remove_passages` then also cuts passages out of lines, wherever they begin and end:
+every window of ``MIN_WORDS`` words of a text, unless it lies in removed paragraphs alone,
+stays in the document with the smallest id that holds it and goes from the others.  A
+window is named by the least hash of its ``GRAM``-word shingles, so equal windows share a
+name; only windows whose name occurs in several documents are hashed whole and compared.
+A window kept there may still lose words that overlap one kept in an earlier document.
+
 Band keys are shuffled once as pairs of numbers; only keys with two or more different
 texts go on, each group of equal members once.  Groups beyond ``GROUP`` texts are cut into
 blocks that meet block by block.  Texts are fetched only for paragraphs in such groups, one
@@ -22,6 +29,7 @@ repeated within one document only are left alone; all columns are kept.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +37,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from cpgspark.llm.components import connected_components
 from cpgspark.llm.rows import row_key
 from cpgspark.llm.text import pieces, split_words, whole
 from cpgspark.plans.durable import store
+from cpgspark.plans.sizing import small_side
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -44,6 +53,8 @@ MIN_WORDS = 50
 SIGNED_WORDS = 8
 ROWS = 3
 RECALL = 0.996
+#: Words of the shingles that name a window of ``MIN_WORDS``.
+GRAM = 16
 #: Texts that meet in one block of a group.
 GROUP = 1024
 _PIECE = 1 << 20
@@ -396,3 +407,260 @@ def remove_repeated(
         )
         .drop("__row", "__lines")
     )
+
+
+_FACTOR = _factors(8, 4)
+
+
+def _windows(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Name and hash of each window of ``MIN_WORDS`` words, whatever texts it spans."""
+    coded = words.dictionary_encode()
+    kinds = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    of_kind = np.array([xxhash.xxh64_intdigest(w, _SEED) for w in kinds], dtype=np.uint64)
+    if len(words) < MIN_WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    grams = _spans(of_kind[np.asarray(coded.indices)], GRAM)
+    width = MIN_WORDS - GRAM + 1
+    least, reach = grams, 1
+    while 2 * reach <= width:
+        least, reach = np.minimum(least[:-reach], least[reach:]), 2 * reach
+    if reach < width:
+        least = np.minimum(least[: reach - width], least[width - reach :])
+    # Shingles that lie end to end, the last one set back, hold every word.
+    whole_hash = np.zeros(len(least), dtype=np.uint64)
+    for at in [*range(0, MIN_WORDS - GRAM, GRAM), MIN_WORDS - GRAM]:
+        whole_hash = (whole_hash ^ grams[at : at + len(least)]) * _FACTOR[6]
+        whole_hash ^= whole_hash >> np.uint64(32)
+    return least.view(np.int64), whole_hash.view(np.int64)
+
+
+def _spans(h: np.ndarray, words: int) -> np.ndarray:
+    """Hash of each run of so many words, a power of two."""
+    reach = 1
+    for factor in _FACTOR[: words.bit_length() - 1]:
+        h = h[:-reach] * factor + h[reach:] * _FACTOR[7]
+        h = h ^ (h >> np.uint64(31))
+        reach *= 2
+    return h
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of windows of one name: ``row``, ``name`` and the lines from first to last."""
+    for batch in batches:
+        for start, stop in pieces(batch.column(1), _PIECE):
+            part = batch.slice(start, stop - start)
+            row, number, words, owner = _paragraph_words(part.column(1))
+            name, _ = _windows(words)
+            n, text = len(name), row[owner]
+            inside = np.flatnonzero(text[:n] == text[MIN_WORDS - 1 :]) if n else np.zeros(0, np.int64)
+            name, of = name[inside], text[inside]
+            fresh = np.r_[True, (name[1:] != name[:-1]) | (of[1:] != of[:-1])][: len(name)]
+            first = np.flatnonzero(fresh)
+            last = np.r_[first[1:], len(name)][: len(first)] - 1
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "row": part.column(0).take(pa.array(of[first])),
+                    "name": pa.array(name[first]),
+                    "low": pa.array(number[owner[inside[first]]].astype(np.int32)),
+                    "high": pa.array(number[owner[inside[last] + MIN_WORDS - 1]].astype(np.int32)),
+                }
+            )
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Place and hash of the windows of wanted names outside removed lines."""
+    for batch in batches:
+        for start, stop in pieces(batch.column(2), _PIECE):
+            part = batch.slice(start, stop - start)
+            row, number, words, owner = _paragraph_words(part.column(2))
+            name, hashed = _windows(words)
+            n, text = len(name), row[owner]
+            taken, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            bounds = np.searchsorted(text, np.arange(part.num_rows + 1))
+            for i, (wanted, lines) in enumerate(zip(*(part.column(c).to_pylist() for c in (3, 4)))):
+                a, b = bounds[i], bounds[i + 1] - MIN_WORDS + 1
+                if b <= a:
+                    continue
+                gone = np.isin(number[owner[a : bounds[i + 1]]], np.array(lines or [], np.int64))
+                sums = np.r_[0, np.cumsum(gone)]
+                here = np.isin(name[a:b], np.array(wanted, np.int64))
+                here &= sums[MIN_WORDS:] - sums[:-MIN_WORDS] < MIN_WORDS
+                places.append(np.flatnonzero(here))
+                taken.append(a + places[-1])
+            taken, places = np.concatenate(taken), np.concatenate(places)
+            of = pa.array(text[taken])
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "row": part.column(0).take(of),
+                    "doc_id": part.column(1).take(of),
+                    "at": pa.array(places.astype(np.int32)),
+                    "hash": pa.array(hashed[taken]),
+                }
+            )
+
+
+def repeated_windows(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``row``, ``at`` (the first word) and ``kept_in`` of each window that goes.
+
+    ``docs`` has ``row``, ``doc_id`` and ``text``; ``lines`` the removed lines of a ``row``
+    as an array.
+    """
+    runs = docs.select("row", "text").mapInArrow(_named, "row long, name long, low int, high int")
+    stands = F.col("lines").isNull() | (
+        F.size(F.array_except(F.sequence("low", "high"), "lines")) > 0
+    )
+    names = store(
+        runs.join(lines, "row", "left").where(stands).select("row", "name").distinct(), "window-names"
+    )
+    shared = (
+        names.groupBy("name")
+        .agg(F.min("row").alias("a"), F.max("row").alias("b"))
+        .where("a != b")
+        .select("name")
+    )
+    shared = store(shared, "window-shared")
+    wanted = (
+        names.join(small_side(shared), "name")
+        .groupBy("row")
+        .agg(F.collect_list("name").alias("wanted"))
+        .join(lines, "row", "left")
+    )
+    wanted = store(wanted, "window-wanted")
+    kinds = [docs.schema["row"], docs.schema["doc_id"], *StructType.fromDDL("at int, hash long").fields]
+    windows = (
+        docs.join(small_side(wanted.select("row")), "row", "left_semi")
+        .dropDuplicates(["row"])
+        .join(wanted, "row")
+        .select("row", "doc_id", "text", "wanted", "lines")
+        .mapInArrow(_compared, StructType(kinds))
+    )
+    windows = store(windows, "windows")
+    owner = F.struct("doc_id", "row")
+    first = (
+        windows.groupBy("hash")
+        .agg(F.min(owner).alias("first"), F.max(owner).alias("last"))
+        .where("first.row != last.row")
+        .select("hash", "first")
+    )
+    return (
+        windows.join(first, "hash")
+        .where(F.col("row") != F.col("first.row"))
+        .select("row", "at", F.col("first.doc_id").alias("kept_in"))
+    )
+
+
+_CUT = StructType(
+    [StructField("text", StringType()), StructField("words", LongType()), StructField("runs", LongType())]
+)
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def cut_windows(text: str, lines: list[int], starts: list[int]) -> tuple[str, int, int]:
+    """The text without these lines and windows, and the words and runs cut from its lines."""
+    texts, dropped = text.split("\n"), set(lines)
+    spans = [[m.span() for m in _WORD.finditer(x)] for x in texts]
+    steps = np.zeros(sum(map(len, spans)) + 1, np.int64)
+    np.add.at(steps, starts, 1)
+    np.add.at(steps, np.asarray(starts) + MIN_WORDS, -1)
+    cut = np.cumsum(steps)[:-1] > 0
+    kept, words, runs, place, before = [], 0, 0, 0, False
+    for i, (line, found) in enumerate(zip(texts, spans)):
+        gone = cut[place : place + len(found)]
+        place += len(found)
+        if i in dropped:
+            before = False
+            continue
+        if not gone.any():
+            kept.append(line)
+            before = before and not found
+            continue
+        words += int(gone.sum())
+        runs += int((gone & ~np.r_[before, gone[:-1]]).sum())
+        before = bool(gone[-1])
+        if gone.all():
+            continue
+        out, at, n = [], 0, 0
+        while n < len(found):
+            if not gone[n]:
+                n += 1
+                continue
+            end = n
+            while end < len(found) and gone[end]:
+                end += 1
+            if end < len(found):
+                out.append(line[at : found[n][0]])
+                at = found[end][0]
+            else:
+                out.append(line[at : found[n - 1][1]])
+                at = found[-1][1]
+            n = end
+        kept.append("".join(out) + line[at:])
+    return "\n".join(kept), words, runs
+
+
+@F.arrow_udf(_CUT)
+def _cut(text: pa.Array, lines: pa.Array, starts: pa.Array) -> pa.Array:
+    rows = zip(*(x.to_pylist() for x in (text, lines, starts)))
+    found = [(None, None, None) if s is None else cut_windows(t, x or [], s) for t, x, s in rows]
+    return pa.array(
+        [dict(zip(("text", "words", "runs"), x)) for x in found],
+        pa.struct([("text", pa.string()), ("words", pa.int64()), ("runs", pa.int64())]),
+    )
+
+
+def remove_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As :func:`remove_repeated`, and without the passages inside lines that others keep.
+
+    Adds ``removed_passages``, the runs of words cut from lines; ``removed_words`` and
+    ``kept_in`` count them too.
+    """
+    added = ["removed_paragraphs", "removed_words", "class_ids", "kept_in", "removed_passages"]
+    df = df.drop(*added)
+    removed = store(
+        repeated_paragraphs(df, id_col, text_col)
+        .groupBy("row")
+        .agg(
+            F.collect_set("line").alias("lines"),
+            F.count(F.lit(1)).alias("removed_paragraphs"),
+            F.sum("words").cast("long").alias("removed_words"),
+            F.array_sort(F.collect_set("class_id")).alias("class_ids"),
+            F.collect_set("kept_in").alias("kept_in"),
+        ),
+        "para-removed",
+    )
+    windows = repeated_windows(_keyed(df, id_col, text_col), removed.select("row", "lines"))
+    cuts = windows.groupBy("row").agg(
+        F.collect_set("at").alias("__starts"), F.collect_set("kept_in").alias("__keepers")
+    )
+    changes = removed.join(cuts, "row", "full").withColumnsRenamed({"row": "__row", "lines": "__lines"})
+    changes = store(changes, "passages")
+    left = F.filter(
+        F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__lines"), i)
+    )
+    is_cut = F.col("__starts").isNotNull()
+    ids = F.array().cast(changes.schema["kept_in"].dataType)
+    none = F.array().cast("array<long>")
+    return (
+        df.withColumn("__row", row_key(id_col, text_col))
+        .join(changes, "__row", "left")
+        .withColumn("__cut", _cut(F.when(is_cut, F.col(text_col)), "__lines", "__starts"))
+        .withColumn(
+            text_col,
+            F.when(is_cut, F.col("__cut.text"))
+            .when(F.col("__lines").isNull(), F.col(text_col))
+            .otherwise(F.array_join(left, "\n")),
+        )
+        .withColumns(
+            {
+                "removed_paragraphs": F.coalesce("removed_paragraphs", F.lit(0)),
+                "removed_words": F.coalesce("removed_words", F.lit(0))
+                + F.coalesce("__cut.words", F.lit(0)),
+                "class_ids": F.coalesce("class_ids", none),
+                "kept_in": F.array_sort(
+                    F.array_union(F.coalesce("kept_in", ids), F.coalesce("__keepers", ids))
+                ),
+                "removed_passages": F.coalesce("__cut.runs", F.lit(0)),
+            }
+        )
+        .drop("__row", "__lines", "__starts", "__keepers", "__cut")
+    )

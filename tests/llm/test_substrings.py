@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -135,3 +136,70 @@ def test_spanning_links_join_all_similar():
     sets = [np.arange(i, i + 40) for i in range(0, 30, 2)] + [np.arange(500, 540)]
     links = ss.spanning_links(list(range(16)), sets)
     assert len(links) == 14 and {x for link in links for x in link} == set(range(15))
+
+
+def brute_windows(rows) -> dict:
+    """Text left of each (id, text), by a table of all windows of 50 words."""
+    gone, docs = brute(rows), sorted({(r.doc_id is not None, r.doc_id or 0, r.text or "") for r in rows})
+    owner, left = {}, {}
+    for doc in docs:
+        lines = doc[2].split("\n")
+        words = [(i, m) for i, x in enumerate(lines) for m in re.finditer(r"[^\x20\x09-\x0D]+", x)]
+        lower = [m.group().encode().lower() for _, m in words]
+        cut = set()
+        for at in range(len(words) - 49):
+            if all(i in gone.get(doc, ()) for i, _ in words[at : at + 50]):
+                continue
+            if owner.setdefault(tuple(lower[at : at + 50]), doc) != doc:
+                cut.update(range(at, at + 50))
+        kept = [[] for _ in lines]
+        for n, (i, m) in enumerate(words):
+            if n not in cut and i not in gone.get(doc, ()):
+                kept[i].append(m.group())
+        left[doc] = kept
+    return left
+
+
+def check_windows(frame):
+    rows = frame.select("doc_id", "text").collect()
+    left = brute_windows(rows)
+    split = lambda x: re.findall(r"[^\x20\x09-\x0D]+", x)
+    want = [
+        (r.doc_id, [x for x in left[r.doc_id is not None, r.doc_id or 0, r.text or ""] if x]) for r in rows
+    ]
+    found = ss.remove_passages(frame).collect()
+    got = [(r.doc_id, [split(x) for x in (r.text or "").split("\n") if split(x)]) for r in found]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(got, key=key) == sorted(want, key=key)
+    texts = {(r.doc_id, r.text) for r in rows}
+    assert all(r.removed_words > 0 or (r.doc_id, r.text) in texts for r in found)
+    return found
+
+
+def test_windows_equal_brute_force(spark, odd, none):
+    found = check_windows(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert sum(r.removed_passages for r in found) > 0
+    check_windows(odd)
+    assert ss.remove_passages(none).count() == 0
+
+
+def test_passages_inside_lines(spark):
+    shared, other = passage(11, 55), passage(12, 49)
+    line = lambda seed, part: " ".join([*passage(seed, 40), *part, *passage(seed + 1, 30)])
+    rows = [
+        (1, "first\n" + line(20, shared)),
+        (2, line(30, [x.upper() for x in shared]) + "\nend of two"),
+        (3, line(40, other)),
+        (4, line(50, other)),
+        (5, "five\n" + "\n".join([" ".join(shared[:20]), " ".join(shared[20:]) + "  tail of five"])),
+        (6, line(60, shared)),
+        (6, line(60, shared)),
+        (None, "null id " + " ".join(other)),
+    ]
+    found = ss.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == 8 and [got[i].text for i in (1, 3, 4, None)] == [rows[i][1] for i in (0, 2, 3, 7)]
+    assert got[2].text == line(30, []) + "\nend of two" and got[2].kept_in == [1]
+    assert got[5].text == "five\ntail of five" and got[5].removed_words == 55
+    assert [r.text for r in found if r.doc_id == 6] == [line(60, [])] * 2
+    assert got[6].removed_passages == 1 and got[6].removed_paragraphs == 0
