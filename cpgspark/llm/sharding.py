@@ -4,8 +4,9 @@ Rows are keyed by a hash of their text, so equal texts lie together.  A sample i
 row's chance follows its size gives splitters at equal steps of weight; they cut the keys
 into many more ranges than shards.  The exact bytes of every range are then counted and
 overfull ranges subdivided: a range of many keys evenly along the key, a range of one key
-(copies of one text) by a hash of the id.  Copies stay in one shard unless they outweigh a
-shard, in which case their slices spread.  The pieces, whose number is bounded by the
+(copies of one text) by a hash of the id.  Rows equal in id and text are counted first and
+go on in bundles of at most a piece, which are drawn and cut one by one.  Copies stay in
+one shard unless they outweigh a shard, in which case their slices spread.  The pieces, whose number is bounded by the
 number of shards and of rows per piece, go to shards largest first, each to the lightest.
 
 A row's slot is the start of its piece in the shard plus its rank in the piece, so no
@@ -37,7 +38,8 @@ DRAWS = 8
 
 
 def keyed(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``size``, ``text_crc32`` and ``key`` (53 bits of a hash), stored once."""
+    """``doc_id``, ``size``, ``text_crc32``, ``key`` (53 bits of a hash) and ``rows``, how many
+    rows are equal in all of them; stored once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return store(
         df.select(
@@ -45,11 +47,27 @@ def keyed(df: DataFrame, text_col: str = "text") -> DataFrame:
             (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
             F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
             F.shiftright(F.xxhash64(text), 11).alias("key"),
-        ),
+        )
+        .groupBy("doc_id", "size", "text_crc32", "key")
+        .agg(F.count(F.lit(1)).alias("rows")),
         "shard-keys",
     )
 
 
+def bundled(rows: DataFrame, ideal: float) -> DataFrame:
+    """Equal rows in bundles that weigh at most a piece, or are one row; with ``weight``."""
+    most = F.greatest(F.floor(F.lit(ideal) / F.col("size")), F.lit(1))
+    most = F.least(most, F.lit(ROWS_PER_PIECE)).cast("long")
+    cut = rows.withColumn("most", most).withColumn(
+        "bundle", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(rows - 1) div most")))
+    )
+    return (
+        cut.withColumn("rows", F.least("most", F.col("rows") - F.col("bundle") * F.col("most")))
+        .withColumn("weight", F.col("size") * F.col("rows"))
+        .drop("most")
+    )
+
+
 def _uniform(*columns: str) -> Column:
     """A number in [0, 1) that follows from the row."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
@@ -62,8 +80,8 @@ def splitters(rows: DataFrame, total: int, pieces: int) -> list[float]:
     """
     step = total / pieces
     draw = step / DRAWS
-    drawn = rows.where(_uniform("key", "doc_id", "size") * draw < F.col("size")).select(
-        "key", F.greatest(F.col("size").cast("double"), F.lit(draw)).alias("weight")
+    drawn = rows.where(_uniform("key", "doc_id", "size", "bundle") * draw < F.col("weight")).select(
+        "key", F.greatest(F.col("weight").cast("double"), F.lit(draw)).alias("weight")
     )
     # About DRAWS * pieces rows, and never more than twice that: one task sorts them.
     along = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -127,15 +145,18 @@ def shard_by_bytes(
     """``doc_id``, ``size``, ``text_crc32``, ``shard`` and ``slot`` of every row."""
     spark = df.sparkSession
     rows = keyed(df, text_col)
-    total, count = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
+    total, count = rows.agg(
+        F.sum(F.col("size") * F.col("rows")), F.coalesce(F.sum("rows"), F.lit(0))
+    ).first()
     number = shards * max(pieces, -(-count // (shards * ROWS_PER_PIECE)))
     ideal = max((total or 0) / number, 1.0)
+    rows = bundled(rows, ideal)
     ranged = _ranged(rows, splitters(rows, total, number) if count else [])
 
     # At most two ranges per piece come to the driver here, and the pieces below.
     ranges = (
         ranged.groupBy("range")
-        .agg(F.sum("size").alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high"))
+        .agg(F.sum("weight").alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high"))
         .where(F.col("bytes") > 2 * ideal)
     )
     overfull = [
@@ -149,26 +170,32 @@ def shard_by_bytes(
     along = F.floor(
         (F.col("key") - F.col("low")).cast("double") * F.col("parts") / F.col("width")
     ).cast("long")
-    across = -1 - F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    # Bundles of equal rows go round the parts.
+    across = -1 - F.pmod(F.pmod(F.xxhash64("doc_id"), F.col("parts")) + F.col("bundle"), F.col("parts"))
     part = F.when(F.col("parts").isNull(), 0).when(F.col("width") > 1, along).otherwise(across)
     cut = ranged.join(F.broadcast(plan), "range", "left").select(
-        "doc_id", "size", "text_crc32", "key", F.col("range").cast("long"), part.alias("part")
+        *rows.columns, F.col("range").cast("long"), part.alias("part")
     )
     totals = cut.groupBy("range", "part").agg(
-        F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")
+        F.sum("weight").alias("bytes"), F.sum("rows").alias("rows")
     )
     placed = place([tuple(r) for r in totals.collect()], shards, (total or 0) / shards)
     names = ("range", "part", "shard", "first")
     where = spark.createDataFrame(placed, StructType([StructField(n, LongType()) for n in names]))
-    inside = Window.partitionBy("range", "part").orderBy("key", "doc_id", "size", "text_crc32")
+    inside = (
+        Window.partitionBy("range", "part")
+        .orderBy("key", "doc_id", "size", "text_crc32", "bundle")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     return (
-        cut.withColumn("row", F.row_number().over(inside) - 1)
+        cut.withColumn("before", F.sum("rows").over(inside) - F.col("rows"))
+        .withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
         .join(F.broadcast(where), ["range", "part"])
         .select(
             "doc_id",
             "size",
             "text_crc32",
             F.col("shard").cast("int").alias("shard"),
-            (F.col("first") + F.col("row")).cast("long").alias("slot"),
+            (F.col("first") + F.col("before") + F.col("row")).cast("long").alias("slot"),
         )
     )

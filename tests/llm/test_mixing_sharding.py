@@ -135,6 +135,21 @@ def test_copies_stay_together_unless_they_outweigh_a_shard(spark, documents):
     assert sum(len(s) > 1 for s in place.values()) <= 1
 
 
+@pytest.mark.parametrize("same", [7, None])
+def test_rows_equal_in_id_and_text_spread(spark, documents, same):
+    bulk = documents.select("doc_id", "text")
+    total = bulk.agg(F.sum(F.octet_length("text") + sharding.ROW_BYTES)).first()[0]
+    text = "one row many times " * 5
+    n = total // 2 // (len(text) + sharding.ROW_BYTES)
+    frame = bulk.unionByName(
+        spark.range(n).select(F.lit(same).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    )
+    rows, load = shards_of(frame, shards=8)
+    held = [r.shard for r in rows if r["size"] == len(text) + sharding.ROW_BYTES]
+    assert len(rows) == documents.count() + n and len(held) >= n and len(set(held)) > 2
+    assert max(load.values()) <= 1.1 * sum(load.values()) / 8
+
+
 def test_shards_of_odd_rows(odd, none):
     shards_of(odd)
     assert sharding.shard_by_bytes(none).count() == 0
