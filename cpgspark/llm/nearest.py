@@ -3,7 +3,8 @@
 Both halves of a vector are quantised on their own, so ``cells`` centroids for each half
 make ``cells * cells`` cells.  A query walks the centroid pairs in falling order of their
 summed inner products, with a heap over the two sorted lists, until the cells it has
-visited hold ``visit`` of all rows; their entries are reranked by the exact inner product.
+visited hold ``visit`` of all rows and ``k`` rows at least, those of its own id not
+counted; their entries are reranked by the exact inner product.
 
 Centroids come from a bounded sample drawn by a hash of the id; every row is indexed.
 Entries are laid out by groups of first-half centroids and cut into chunks, queries into
@@ -175,7 +176,10 @@ def search(
     sizes = np.zeros(shape, dtype=np.int64)
     for row in counts:
         sizes.flat[row["cell"]] = row["count"]
-    need = visit * sizes.sum()
+    total = int(sizes.sum())
+    # Rows of the query's own id are no answers: they come on top of what it visits.
+    own = placed.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own"))
+    asked = asked.join(own, "vec_id", "left").select("vec_id", "v", F.coalesce("own", F.lit(0)).alias("own"))
     group_of = np.arange(shape[0]) * GROUPS // shape[0]
     chunks = np.maximum(-(-np.bincount(group_of, sizes.sum(1), GROUPS) // CHUNK), 1).astype(int)
     blocks = -(-asked.count() // BLOCK) or 1
@@ -186,7 +190,8 @@ def search(
             x = _matrix(batch.column(1))
             first, second = x[:, :half] @ index[0].T, x[:, half:] @ index[1].T
             out: dict[str, list[Any]] = {"query": [], "v": [], "group": [], "bits": []}
-            for row, (query, vector) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:2]))):
+            for row, (query, vector, own) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]))):
+                need = own + max(visit * (total - own), k)
                 seen = walk(first[row], second[row], sizes, need)
                 for group in range(GROUPS):
                     if (mask := seen[group_of == group]).any():

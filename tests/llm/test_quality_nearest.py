@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from cpgspark.llm import nearest, quality
@@ -124,3 +125,15 @@ def test_few_candidates_and_none(spark):
     empty = spark.createDataFrame([], kind)
     assert nearest.search(empty, empty).count() == 0
     assert nearest.search(frame, empty).count() == 0
+
+
+@pytest.mark.parametrize("n", [20, 30])
+def test_small_tables_fill_the_answer(spark, n):
+    vectors = np.random.default_rng(n).normal(size=(n, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    for more in ([], [rows[0]] * n):
+        frame = spark.createDataFrame(rows + more, "vec_id long, embedding array<float>")
+        found = nearest.search(frame, frame).collect()
+        held = {q: [r.vec_id for r in found if r.query_id == q] for q in range(n)}
+        assert all(q not in x for q, x in held.items()) and len(held[0]) == min(20, n - 1)
+        assert all(len(x) == min(20, n - 1 + len(more)) for q, x in held.items() if q)
