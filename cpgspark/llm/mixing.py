@@ -14,9 +14,10 @@ positions come from range-cut running totals; blocks meet documents by an equi-j
 (source, block).  Nothing is gathered by source.
 
 Defined cases: a null text has no words and none are taken of it; a null source is a
-source of its own, last in order; repeated rows are separate documents; rows with equal
-digests are ordered by id and size; an empty table, or one without words, gives targets
-of zero.
+source of its own, last in order; repeated rows are separate documents, each under its own
+source and columns; rows with equal digests (null ids, for one) are ordered by size and a
+hash of the text; an empty table, or one without words, gives targets of zero; columns of
+any name are kept as they are.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cpgspark.llm.ordered import ordered_totals
-from cpgspark.llm.rows import row_key
+from cpgspark.llm.rows import numbered
 from cpgspark.llm.text import WORD, word_count
 from cpgspark.plans.durable import store
 
@@ -38,13 +39,16 @@ BLOCK = 256
 _CHUNK = 4096
 
 
-def sized(df: DataFrame, seed: int = 0) -> DataFrame:
-    """``doc_id``, ``source``, a key of the row, ``size`` in words and the shuffling digest.
+def sized(df: DataFrame, seed: int = 0, row: Column | None = None) -> DataFrame:
+    """``doc_id``, ``source``, ``row``, ``size`` in words and the shuffling digest.
 
-    Stored once, as all further work is on these narrow rows.
+    Stored once, as all further work is on these narrow rows.  ``row`` is a number of the
+    row's own: it makes the order total, so that repeated rows can be cut into ranges.
     """
+    number = F.monotonically_increasing_id() if row is None else row
     rows = df.select(
-        "doc_id", "source", row_key().alias("key"), word_count("text").alias("size")
+        "doc_id", "source", number.alias("row"), F.xxhash64("text").alias("hash"),
+        word_count("text").alias("size"),
     )
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     return store(rows.withColumn("digest", digest), "mix-sizes")
@@ -165,7 +169,7 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def _lined(docs: DataFrame, goals: DataFrame) -> DataFrame:
     """Documents with their goal and their place ``at`` on the source's line of words."""
-    lined = ordered_totals(docs, ["source", "digest", "doc_id", "size", "key"], {"size": "at"}, "row")
+    lined = ordered_totals(docs, ["source", "digest", "doc_id", "size", "hash", "row"], {"size": "at"}, "place")
     starts = ordered_totals(
         goals.select("source", "source_size"), ["source"], {"source_size": "begin"}, "place"
     ).select("source", "begin")
@@ -177,7 +181,7 @@ def _lined(docs: DataFrame, goals: DataFrame) -> DataFrame:
     )
     return store(
         known.select(
-            "row", "doc_id", "key", "size", "source_size", "target", "source_rank",
+            "row", "doc_id", "size", "source_size", "target", "source_rank",
             (F.col("at") - F.col("begin")).alias("at"),
         ),
         "mix-lined",
@@ -199,6 +203,27 @@ def _overlap(stop: Column, block: int) -> Column:
     return F.greatest(F.least(F.col("at") + F.col("size"), stop) - begin, F.lit(0))
 
 
+def ordered_mix(
+    docs: DataFrame,
+    weights: Sequence[int] = WEIGHTS,
+    max_passes: int = MAX_PASSES,
+    block: int = BLOCK,
+) -> tuple[DataFrame, DataFrame]:
+    """The documents with their goals, and the mix: one row per slot and document in it.
+
+    ``docs`` is what :func:`sized` gives.  The mix has ``turn`` (its order), ``source_rank``,
+    ``pass``, ``block``, ``row`` and ``words``, those that the slot takes of the document.
+    """
+    goals = store(targets(docs, weights, max_passes), "mix-targets")
+    known = _lined(docs, goals)
+    slots = schedule(goals, block).select("source_rank", "turn", "pass", "block", "stop")
+    words = _overlap(F.col("stop"), block).cast("long")
+    taken = _spans(known, block).join(slots, ["source_rank", "block"]).select(
+        "turn", "source_rank", "pass", "block", "row", words.alias("words")
+    )
+    return known, taken.where("words > 0")
+
+
 def mix(
     df: DataFrame,
     weights: Sequence[int] = WEIGHTS,
@@ -208,32 +233,18 @@ def mix(
 ) -> DataFrame:
     """One row per document: sizes, its source's target, and words the mix takes of it.
 
+    ``first_turn`` is the turn at which the mix first takes words of it, null if never.
     Needs ``doc_id``, ``source`` and ``text``.
     """
-    docs = sized(df, seed)
-    goals = store(targets(docs, weights, max_passes), "mix-targets")
-    taken = schedule(goals, block).groupBy("source_rank", "block").agg(
-        F.count(F.lit(1)).alias("times"),
-        F.min("stop").alias("least_stop"),
-        F.max("stop").alias("stop"),
-    )
-    known = _lined(docs, goals)
-    # Only the last slot of a source is cut short, so a block has at most one such slot.
-    words = _overlap(F.col("stop"), block) * (F.col("times") - 1) + _overlap(
-        F.col("least_stop"), block
-    )
-    got = (
-        _spans(known, block)
-        .join(taken, ["source_rank", "block"])
-        .groupBy("row")
-        .agg(F.sum(words).cast("long").alias("taken"))
-    )
+    known, slots = ordered_mix(sized(df, seed), weights, max_passes, block)
+    got = slots.groupBy("row").agg(F.sum("words").alias("taken"), F.min("turn").alias("first_turn"))
     return known.join(got, "row", "left").select(
         "doc_id",
         "size",
         "source_size",
         "target",
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        "first_turn",
     )
 
 
@@ -246,42 +257,23 @@ def mixed(
 ) -> DataFrame:
     """The mix itself: the rows of ``df``, once for each pass that takes words of them.
 
-    The one document of a source at which its target ends is cut to the words taken.
+    Rows come in the order in which the mix first meets them in that pass.  The one
+    document of a source at which its target ends is cut to the words taken.
     """
-    docs = sized(df, seed)
-    goals = store(targets(docs, weights, max_passes), "mix-targets")
-    known = _lined(docs, goals)
-    slots = schedule(goals, block).select("source_rank", "block", "pass", "stop")
-    passes = (
-        _spans(known, block)
-        .join(slots, ["source_rank", "block"])
-        .groupBy("row", "pass")
-        .agg(F.sum(_overlap(F.col("stop"), block)).cast("long").alias("words"))
-        .where("words > 0")
+    held = numbered(df, "mix-rows")
+    docs = sized(held.select("row", "all.doc_id", "all.source", "all.text"), seed, F.col("row"))
+    known, slots = ordered_mix(docs, weights, max_passes, block)
+    passes = slots.groupBy("row", "pass").agg(
+        F.sum("words").alias("words"), F.min("turn").alias("turn")
     )
-    taken = (
-        known.join(passes, "row")
-        .groupBy(F.col("key").alias("__row"))
-        .agg(
-            F.collect_list(F.struct("words", "size")).alias("__taken"),
-        )
-    )
-    # Rows equal in id and text share a key: one of them stands for all their passes.
-    taken = store(taken, "mix-taken")
-    keyed = df.withColumn("__row", row_key()).join(taken, "__row")
-    equal = docs.groupBy("key").count().where("count > 1")
-    if equal.head(1):
-        several = equal.select(F.col("key").alias("__row"))
-        keyed = keyed.join(several, "__row", "left_anti").unionByName(
-            keyed.join(several, "__row", "left_semi").dropDuplicates(["__row"])
-        )
+    wanted = known.select("row", "size").join(passes, "row")
+    text = F.col("all.text")
     cut = F.array_join(
-        F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), F.col("__one.words").cast("int")),
-        " ",
+        F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), F.lit(1), F.col("words").cast("int")), " "
     )
-    whole = F.col("__one.words") >= F.col("__one.size")
     return (
-        keyed.withColumn("__one", F.explode("__taken"))
-        .withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
-        .select(*df.columns)
+        held.join(wanted, "row")
+        .withColumn("all", F.col("all").withField("text", F.when(F.col("words") >= F.col("size"), text).otherwise(cut)))
+        .orderBy("turn", "row")
+        .select("all.*")
     )

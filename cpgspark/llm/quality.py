@@ -287,7 +287,9 @@ def train(
 ) -> AdditiveModel:
     """Fit on labelled rows outside the held-out part.
 
-    ``labels`` has the id and ``quality``.  Which rows are drawn depends on ids alone.
+    ``labels`` has the id and ``quality``.  Which rows are drawn depends on ids and texts
+    alone; a labelled document found several times counts once, and ``max_rows`` bounds both
+    the labels drawn and the documents under them.
     """
     sample = (
         labels.select(F.col(id_col).alias("__id"), F.col("quality").cast("double").alias("__y"))
@@ -299,13 +301,20 @@ def train(
     # At most max_rows pairs of numbers: safe to broadcast at any size of the tables.
     labelled = texts.join(F.broadcast(sample), "__id")
     names = [f"f{i}" for i in range(len(FEATURES))]
-    rows = _map_features(
-        labelled,
-        ["__y"],
-        "__text",
-        [StructField(name, DoubleType()) for name in names],
-        lambda x: {name: pa.array(x[:, i]) for i, name in enumerate(names)},
-    ).toPandas()
+    rows = (
+        _map_features(
+            labelled,
+            ["__id", "__y"],
+            "__text",
+            [StructField(name, DoubleType()) for name in names],
+            lambda x: {name: pa.array(x[:, i]) for i, name in enumerate(names)},
+        )
+        .distinct()
+        .orderBy(F.xxhash64("__id"), "__id", "__y", *names)
+        .limit(max_rows)
+        .drop("__id")
+        .toPandas()
+    )
     order = np.lexsort(rows.to_numpy().T[::-1]) if len(rows) else []
     values = rows.to_numpy(dtype=np.float64)[order] if len(rows) else np.zeros((0, 1))
     return fit(values[:, 1:], values[:, 0])
@@ -332,7 +341,7 @@ def score(
 
 
 def accepted(df: DataFrame, model: AdditiveModel, text_col: str = "text") -> DataFrame:
-    """The rows the model accepts, with their own columns."""
-    marked = df.withColumnsRenamed({"score": "__score", "predicted": "__predicted"})
-    kept = score(marked, model, text_col).where(F.col("predicted") == 1).drop("score", "predicted")
-    return kept.withColumnsRenamed({"__score": "score", "__predicted": "predicted"})
+    """The rows the model accepts, with their own columns, whatever their names."""
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    kept = score(df.toDF(*plain), model, plain[df.columns.index(text_col)]).where("predicted = 1")
+    return kept.select(*plain).toDF(*df.columns)

@@ -147,16 +147,41 @@ WITH d AS (
          least(most::DOUBLE, (SELECT arg_min(lev, n) FROM l WHERE fill >= lev) * weight) AS target
   FROM f
 ), q AS (
-  SELECT d.doc_id, d.size, g.source_size, g.target, round(g.target)::BIGINT AS quota,
+  SELECT row_number() OVER () AS rid, d.doc_id, d.size, d.source, g.source_size, g.target,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest, d.doc_id, d.size
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+), n AS (
+  SELECT *, (source_size + {mixing.BLOCK - 1}) // {mixing.BLOCK} AS blocks,
+         (quota // source_size) * ((source_size + {mixing.BLOCK - 1}) // {mixing.BLOCK})
+         + (quota % source_size + {mixing.BLOCK - 1}) // {mixing.BLOCK} AS slots
+  FROM (SELECT source, source_size, round(target)::BIGINT AS quota FROM g WHERE source_size > 0)
+), lined AS (
+  SELECT *, coalesce(sum(slots) OVER (ORDER BY source NULLS LAST
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_slot,
+         length(bin((SELECT greatest(sum(slots), 1)::BIGINT FROM n))) AS bits
+  FROM n
+), points AS (
+  SELECT * EXCLUDE (i), (first_slot + i) AS j FROM (SELECT *, unnest(range(slots)) AS i FROM lined)
+), turns AS (
+  SELECT *, list_sum(list_transform(range(bits), lambda b: ((j >> b) & 1) << (bits - 1 - b)))::BIGINT AS turn
+  FROM points
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY turn) - 1 AS r FROM turns
+), placed AS (
+  SELECT source, turn, (r % blocks) * {mixing.BLOCK} AS start,
+         least((r % blocks) * {mixing.BLOCK} + {mixing.BLOCK}, source_size,
+               quota - (r // blocks) * source_size) AS stop
+  FROM ranked
+), met AS (
+  SELECT rid, sum(least(begins + size, stop) - greatest(begins, start))::BIGINT AS taken,
+         min(turn) AS first_turn
+  FROM q JOIN placed p ON q.source IS NOT DISTINCT FROM p.source
+       AND q.begins < p.stop AND q.begins + q.size > p.start AND q.size > 0
+  GROUP BY rid
 )
-SELECT doc_id, size, source_size, target,
-       CASE WHEN source_size = 0 THEN 0
-            ELSE (quota // source_size) * size
-                 + greatest(least(begins + size, quota % source_size) - begins, 0) END::BIGINT AS taken
-FROM q
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_turn
+FROM q LEFT JOIN met USING (rid)
 """
 
 

@@ -1,4 +1,4 @@
-"""Rows named by their id and text."""
+"""Rows named by a number or by their id and text, with their columns out of the way."""
 
 from __future__ import annotations
 
@@ -8,20 +8,21 @@ from cpgspark.plans.durable import store
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A 64-bit key; rows equal in id and text share it."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    """The id beside a 64-bit hash of the text; rows equal in id and text share it.
+
+    Only different texts under one id could collide.  Null ids equal each other in it.
+    """
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns of ``df`` as one, so that no name of theirs meets a name used inside."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def one_per_key(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``keyed`` whose ``__row`` is wanted, one for each, without the key.
+def numbered(df: DataFrame, label: str) -> DataFrame:
+    """The rows stored once, each with a number of its own: ``row`` and ``all``, its columns.
 
-    ``wanted`` has each ``__row`` once and in ``__equal`` how many rows share it; only
-    keys with several rows take the shuffle that drops their repeats.
+    The numbers lie in the stored files, so later jobs and re-runs see the same ones.
     """
-    wanted = store(wanted.select("__row", "__equal"), "row-keys")
-    found = keyed.join(wanted, "__row")
-    if wanted.where("__equal > 1").head(1):
-        found = found.where("__equal = 1").unionByName(
-            found.where("__equal > 1").dropDuplicates(["__row"])
-        )
-    return found.drop("__row", "__equal")
+    return store(df.select(F.monotonically_increasing_id().alias("row"), packed(df).alias("all")), label)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from cpgspark.llm.components import connected_components
-from cpgspark.llm.rows import one_per_key, row_key
+from cpgspark.llm.rows import numbered
 from cpgspark.llm.text import as_bytes, map_text
 from cpgspark.plans.durable import store
 
@@ -65,22 +65,19 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > last, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``row`` (a key of id and text) and ``fp``, the fingerprint as a signed long."""
-    named = df.select(
-        F.col(id_col).alias("doc_id"),
-        row_key(id_col, text_col).alias("row"),
-        F.col(text_col).alias("__text"),
-    )
-    schema = StructType(
-        [named.schema["doc_id"], named.schema["row"], StructField("fp", LongType())]
-    )
+def fingerprints(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None
+) -> DataFrame:
+    """``doc_id``, what ``keep`` names, and ``fp``, the fingerprint as a signed long."""
+    kept = {"doc_id": F.col(id_col), **(keep or {})}
+    named = df.select(*[c.alias(name) for name, c in kept.items()], F.col(text_col).alias("__text"))
+    schema = StructType([*[named.schema[name] for name in kept], StructField("fp", LongType())])
 
     def make(column: pa.Array) -> dict[str, pa.Array]:
         found = [fingerprint(t) for t in as_bytes(column).to_pylist()]
         return {"fp": pa.array(np.array(found, dtype=np.uint64).view(np.int64))}
 
-    return map_text(named, ["doc_id", "row"], "__text", schema, make)
+    return map_text(named, list(kept), "__text", schema, make)
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -270,16 +267,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, one of each component: that with the smallest id, nulls last."""
-    prints = store(fingerprints(df, id_col, text_col), "simhash")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    """The rows of ``df``, one of each component: that with the smallest id, nulls last.
+
+    Rows equal in id are ordered by a hash of all their columns.
+    """
+    held = numbered(df, "simhash-rows")
+    prints = store(
+        fingerprints(
+            held,
+            f"all.`{id_col}`",
+            f"all.`{text_col}`",
+            {"row": F.col("row"), "hash": F.xxhash64("all")},
+        ),
+        "simhash",
+    )
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "row")
     first = prints.groupBy("fp").agg(F.min(order).alias("first"))
     stay = (
         first.join(_classes(prints), "fp")
         .groupBy("root")
         .agg(F.min("first").alias("first"))
-        .select(F.col("first.row").alias("__row"))
+        .select(F.col("first.row").alias("row"))
     )
-    equal = prints.groupBy(F.col("row").alias("__row")).agg(F.count(F.lit(1)).alias("__equal"))
-    keyed = df.withColumn("__row", row_key(id_col, text_col))
-    return one_per_key(keyed, stay.join(equal, "__row"))
+    return held.join(stay, "row", "left_semi").select("all.*")

@@ -36,12 +36,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from cpgspark.llm.components import connected_components
-from cpgspark.llm.rows import row_key
-from cpgspark.llm.text import pieces, split_words, whole
+from cpgspark.llm.rows import packed, row_key
+from cpgspark.llm.text import pieces, split_words, whole, word_count
 from cpgspark.plans.durable import store
 from cpgspark.plans.sizing import small_side
 
@@ -365,6 +365,30 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _left_out(text: Column, lines: Column) -> Column:
+    """The text without these lines."""
+    left = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(lines, i))
+    return F.when(lines.isNull(), text).otherwise(F.array_join(left, "\n"))
+
+
+def _with_changes(df: DataFrame, changes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``all`` (the columns of ``df``) beside the changes of its ``row``, null where there are none."""
+    held = df.select(packed(df).alias("all"), row_key(id_col, text_col).alias("row"))
+    return held.join(changes, "row", "left")
+
+
+def _returned(cleaned: DataFrame, df: DataFrame, text_col: str, added: list[str]) -> DataFrame:
+    """The columns of ``df`` with the cleaned text, then the added ones, which win equal names."""
+    return cleaned.select(
+        *[
+            F.col("cleaned").alias(c) if c == text_col else F.col("all").getField(c).alias(c)
+            for c in df.columns
+            if c not in added
+        ],
+        *added,
+    )
+
+
 def remove_repeated(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
 ) -> DataFrame:
@@ -373,39 +397,32 @@ def remove_repeated(
     Adds ``removed_paragraphs``, ``removed_words``, ``class_ids`` and ``kept_in`` (ids of
     the documents that keep the removed passages); columns of these names are replaced.
     """
-    df = df.drop("removed_paragraphs", "removed_words", "class_ids", "kept_in")
-    removed = (
+    added = ["removed_paragraphs", "removed_words", "class_ids", "kept_in"]
+    removed = _removed_by_row(df, id_col, text_col, min_words)
+    none = F.array().cast("array<long>")
+    cleaned = _with_changes(df, removed, id_col, text_col).select(
+        "all",
+        _left_out(F.col("all").getField(text_col), F.col("lines")).alias("cleaned"),
+        F.coalesce("removed_paragraphs", F.lit(0)).alias("removed_paragraphs"),
+        F.coalesce("removed_words", F.lit(0)).alias("removed_words"),
+        F.coalesce("class_ids", none).alias("class_ids"),
+        F.coalesce("kept_in", F.array().cast(removed.schema["kept_in"].dataType)).alias("kept_in"),
+    )
+    return _returned(cleaned, df, text_col, added)
+
+
+def _removed_by_row(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
+    """``row``, its removed ``lines``, their number, words, classes and keepers."""
+    return (
         repeated_paragraphs(df, id_col, text_col, min_words)
         .groupBy("row")
         .agg(
-            F.collect_set("line").alias("__lines"),
+            F.collect_set("line").alias("lines"),
             F.count(F.lit(1)).alias("removed_paragraphs"),
             F.sum("words").cast("long").alias("removed_words"),
             F.array_sort(F.collect_set("class_id")).alias("class_ids"),
             F.array_sort(F.collect_set("kept_in")).alias("kept_in"),
         )
-        .withColumnRenamed("row", "__row")
-    )
-    left = F.filter(
-        F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__lines"), i)
-    )
-    none = F.array().cast("array<long>")
-    return (
-        df.withColumn("__row", row_key(id_col, text_col))
-        .join(removed, "__row", "left")
-        .withColumn(
-            text_col,
-            F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")),
-        )
-        .withColumns(
-            {
-                "removed_paragraphs": F.coalesce("removed_paragraphs", F.lit(0)),
-                "removed_words": F.coalesce("removed_words", F.lit(0)),
-                "class_ids": F.coalesce("class_ids", none),
-                "kept_in": F.coalesce("kept_in", none),
-            }
-        )
-        .drop("__row", "__lines")
     )
 
 
@@ -505,7 +522,8 @@ def repeated_windows(docs: DataFrame, lines: DataFrame) -> DataFrame:
     ``docs`` has ``row``, ``doc_id`` and ``text``; ``lines`` the removed lines of a ``row``
     as an array.
     """
-    runs = docs.select("row", "text").mapInArrow(_named, "row long, name long, low int, high int")
+    named = StructType([docs.schema["row"], *StructType.fromDDL("name long, low int, high int").fields])
+    runs = docs.select("row", "text").mapInArrow(_named, named)
     stands = F.col("lines").isNull() | (
         F.size(F.array_except(F.sequence("low", "high"), "lines")) > 0
     )
@@ -615,52 +633,47 @@ def remove_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``kept_in`` count them too.
     """
     added = ["removed_paragraphs", "removed_words", "class_ids", "kept_in", "removed_passages"]
-    df = df.drop(*added)
-    removed = store(
-        repeated_paragraphs(df, id_col, text_col)
-        .groupBy("row")
-        .agg(
-            F.collect_set("line").alias("lines"),
-            F.count(F.lit(1)).alias("removed_paragraphs"),
-            F.sum("words").cast("long").alias("removed_words"),
-            F.array_sort(F.collect_set("class_id")).alias("class_ids"),
-            F.collect_set("kept_in").alias("kept_in"),
-        ),
-        "para-removed",
-    )
+    return _returned(_without_passages(df, id_col, text_col), df, text_col, added)
+
+
+def without_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The columns of ``df`` alone, with the text cleaned; documents left without a word go.
+
+    ``length_col`` holds the number of characters and follows the cleaned text.
+    """
+    cleaned = _without_passages(df, id_col, text_col)
+    changed = F.col("removed_words") > 0
+    cleaned = cleaned.where(~(changed & (word_count("cleaned") == 0)))
+    if length_col is not None:
+        length = F.when(changed, F.length("cleaned").cast(df.schema[length_col].dataType))
+        kept = F.coalesce(length, F.col("all").getField(length_col))
+        cleaned = cleaned.withColumn("all", F.col("all").withField(f"`{length_col}`", kept))
+    return _returned(cleaned, df, text_col, [])
+
+
+def _without_passages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``all``, the columns of ``df``, the text ``cleaned`` and what was taken out of it."""
+    removed = store(_removed_by_row(df, id_col, text_col), "para-removed")
     windows = repeated_windows(_keyed(df, id_col, text_col), removed.select("row", "lines"))
     cuts = windows.groupBy("row").agg(
-        F.collect_set("at").alias("__starts"), F.collect_set("kept_in").alias("__keepers")
-    )
-    changes = removed.join(cuts, "row", "full").withColumnsRenamed({"row": "__row", "lines": "__lines"})
-    changes = store(changes, "passages")
-    left = F.filter(
-        F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__lines"), i)
+        F.collect_set("at").alias("starts"), F.collect_set("kept_in").alias("keepers")
     )
-    is_cut = F.col("__starts").isNotNull()
+    changes = store(removed.join(cuts, "row", "full"), "passages")
+    text = F.col("all").getField(text_col)
+    is_cut = F.col("starts").isNotNull()
     ids = F.array().cast(changes.schema["kept_in"].dataType)
     none = F.array().cast("array<long>")
-    return (
-        df.withColumn("__row", row_key(id_col, text_col))
-        .join(changes, "__row", "left")
-        .withColumn("__cut", _cut(F.when(is_cut, F.col(text_col)), "__lines", "__starts"))
-        .withColumn(
-            text_col,
-            F.when(is_cut, F.col("__cut.text"))
-            .when(F.col("__lines").isNull(), F.col(text_col))
-            .otherwise(F.array_join(left, "\n")),
-        )
-        .withColumns(
-            {
-                "removed_paragraphs": F.coalesce("removed_paragraphs", F.lit(0)),
-                "removed_words": F.coalesce("removed_words", F.lit(0))
-                + F.coalesce("__cut.words", F.lit(0)),
-                "class_ids": F.coalesce("class_ids", none),
-                "kept_in": F.array_sort(
-                    F.array_union(F.coalesce("kept_in", ids), F.coalesce("__keepers", ids))
-                ),
-                "removed_passages": F.coalesce("__cut.runs", F.lit(0)),
-            }
-        )
-        .drop("__row", "__lines", "__starts", "__keepers", "__cut")
+    held = _with_changes(df, changes, id_col, text_col).withColumn(
+        "cut", _cut(F.when(is_cut, text), "lines", "starts")
+    )
+    return held.select(
+        "all",
+        F.when(is_cut, F.col("cut.text")).otherwise(_left_out(text, F.col("lines"))).alias("cleaned"),
+        F.coalesce("removed_paragraphs", F.lit(0)).alias("removed_paragraphs"),
+        (F.coalesce("removed_words", F.lit(0)) + F.coalesce("cut.words", F.lit(0))).alias("removed_words"),
+        F.coalesce("class_ids", none).alias("class_ids"),
+        F.array_sort(
+            F.array_union(F.coalesce("kept_in", ids), F.coalesce("keepers", ids))
+        ).alias("kept_in"),
+        F.coalesce("cut.runs", F.lit(0)).alias("removed_passages"),
     )

@@ -71,6 +71,42 @@ def test_mix_equals_its_rows(odd, documents):
         assert sum(words(r.text) for r in rows.collect()) == taken
 
 
+def test_every_stretch_of_the_mix_holds_the_shares(documents):
+    known, slots = mixing.ordered_mix(mixing.sized(documents), block=16)
+    rank = {r.source_rank: (r.target, r.source_rank) for r in known.select("source_rank", "target").distinct().collect()}
+    total = sum(t for t, _ in rank.values())
+    taken = defaultdict(Counter)
+    for r in slots.collect():
+        taken[r.turn][r.source_rank] += r.words
+    assert all(len(c) == 1 and sum(c.values()) <= 16 for c in taken.values())
+    turns, seen = sorted(taken), Counter()
+    for n, turn in enumerate(turns, 1):
+        seen.update(taken[turn])
+        if n % 64 == 0:
+            words_so_far = sum(seen.values())
+            assert all(abs(seen[s] - t / total * words_so_far) <= 16 * 16 for s, (t, _) in rank.items())
+
+
+def test_equal_texts_of_two_sources_stay_apart(spark):
+    rows = [(1, "one two three four", "a"), (1, "one two three four", "b"), (2, "five six seven", "b")]
+    rows += [(None, "x y z", s) for s in ("a", "b", None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, sizes, taken = mixing.mixed(frame).collect(), Counter(), Counter()
+    for _, t, s in rows:
+        sizes[s] += words(t)
+    for r in got:
+        taken[r.source] += words(r.text)
+    assert all(abs(taken[s] - t) <= 1 for s, t in expected_targets(sizes).items())
+
+
+def test_one_repeated_row_is_cut_into_ranges(spark, documents):
+    bulk = documents.select("doc_id", "source", "text")
+    hot = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("hot").alias("source"), F.lit("a b c").alias("text"))
+    lined = mixing._lined(docs := mixing.sized(bulk.unionByName(hot)), mixing.targets(docs))
+    rows = lined.where("doc_id = 7 and size = 3").select("at").collect()
+    assert sorted(r["at"] for r in rows if r["at"] < 12000) == list(range(0, 12000, 3))
+
+
 def test_schedule_spreads_sources(spark):
     goals = spark.createDataFrame(
         [("a", 0, 10_000, 1, 20_000.0), ("b", 1, 40_000, 1, 20_000.0), ("c", 2, 9_999, 1, 10_000.0)],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,8 @@ import pyarrow as pa
 import pytest
 from test_mixing_sharding import expected_targets, words
 from test_simhash import brute_labels, brute_print
-from test_substrings import brute as brute_passages
+from test_substrings import brute_windows
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -22,7 +24,7 @@ from cpgspark.plans.durable import store
 def expect_quality(rows, labels):
     """Fit on labelled rows outside the held-out part, features of one text at a time."""
     x, y = [], []
-    for r in rows:
+    for r in {(r.doc_id, r.text): r for r in rows}.values():
         if r.doc_id in labels and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
             x.append(quality.text_features(pa.array([r.text], pa.string()))[0])
             y.append(float(labels[r.doc_id]))
@@ -46,18 +48,20 @@ def expect_near(rows):
 
 
 def expect_passages(rows):
-    gone = brute_passages(rows)
+    """Words of each line left, by a table of all windows of 50 words; emptied documents go."""
+    left = brute_windows(rows)
     out = []
     for r in rows:
-        lines = gone.get((r.doc_id is not None, r.doc_id or 0, r.text or ""), set())
-        text = "\n".join(x for i, x in enumerate((r.text or "").split("\n")) if i not in lines)
-        if not lines:
-            out.append((r.doc_id, r.text))
-        elif words(text):
-            out.append((r.doc_id, text))
+        lines = [x for x in left[r.doc_id is not None, r.doc_id or 0, r.text or ""] if x]
+        if lines or not words(r.text):
+            out.append((r.doc_id, lines))
     return out
 
 
+def word_lines(text):
+    return [x for x in (re.findall(r"[^\x20\x09-\x0D]+", y) for y in (text or "").split("\n")) if x]
+
+
 def check_mix(before, after):
     sizes, taken = defaultdict(int), defaultdict(int)
     for r in before:
@@ -88,10 +92,12 @@ def key(rows):
 def run_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     columns, out = docs.columns, [docs.collect()]
+    extra = {r.doc_id: tuple(r)[4:] for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES:
         docs = store(stage(spark, docs, folder), name)
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == columns
+            assert all(tuple(r)[5:] == extra[r.doc_id][1:] for r in docs.collect())
         out.append(docs.collect())
     return out
 
@@ -103,9 +109,9 @@ def check(spark, folder):
     }
     assert key(good) == key(expect_quality(raw, labels))
     assert key(single) == key(expect_near(good))
-    assert key(clean) == sorted(
-        (i is None, i or 0, t or "") for i, t in expect_passages(single)
-    )
+    order = lambda x: (x[0] is None, x[0] or 0, x[1])
+    got = [(r.doc_id, word_lines(r.text)) for r in clean]
+    assert sorted(got, key=order) == sorted(expect_passages(single), key=order)
     check_mix(clean, mixed)
     check_ids(mixed, coded)
     assert all(r.n_chars == len(r.text) for r in mixed if r.text is not None)
@@ -126,7 +132,8 @@ def test_documents_through_all_stages(spark, sf):
 
 @pytest.mark.parametrize("empty", [False, True])
 def test_odd_and_empty_tables(spark, odd, tmp_path, empty):
-    frame = odd.drop("row", "size", "score", "shard", "words")
+    names = ["row", "all", "__row", "removed_words", "class_ids", "kept_in", "turn", "cleaned"]
+    frame = odd.select("*", *[F.lit(f"{c} of the user").alias(c) for c in names if c not in odd.columns])
     folder = str(tmp_path)
     (frame.limit(0) if empty else frame).write.parquet(f"{folder}/documents.parquet")
     rows = [(i, 1, 0) for i in (1, 2, 6, 9, 11, 13, 12)] + [(14, 0, 0), (8, 0, 1)]
