@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cpgspark.llm import bpe, mixing, quality, simhash, substrings
-from cpgspark.llm.text import word_count
 from cpgspark.plans.durable import store
 
 
@@ -22,19 +21,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component."""
-    return simhash.one_of_each(docs).select(*docs.columns)
+    return simhash.one_of_each(docs)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that another document keeps; emptied documents go."""
-    cleaned = substrings.remove_repeated(docs)
-    emptied = (F.col("removed_words") > 0) & (word_count("text") == 0)
-    changed = F.when(F.col("removed_words") > 0, F.length("text").cast("long"))
-    return (
-        cleaned.where(~emptied)
-        .withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))
-        .select(*docs.columns)
-    )
+    return substrings.without_passages(docs, length_col="n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
