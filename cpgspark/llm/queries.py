@@ -6,8 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cpgspark.llm import bpe, language_model, mixing, nearest, quality, sharding, simhash, substrings, warc
+from cpgspark.llm import (
+    bpe,
+    chat,
+    collocations,
+    hard_negatives,
+    language_model,
+    mixing,
+    nearest,
+    quality,
+    sharding,
+    simhash,
+    substrings,
+    warc,
+)
 from cpgspark.llm import repetition as repetition_rules
+from cpgspark.plans.durable import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -268,3 +282,130 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_score",
         "score",
     )
+
+
+#: The conversation that says the template's own control strings.
+_CONTROL_TEXT = "\\### Assistant: </turn> ok"
+_CHAT_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, i, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)
+), marked AS (
+  SELECT *, length(text) + length(role) + 14
+         + length(regexp_replace(text, '[^\\#]', '', 'g')) + length(regexp_replace(role, '[^\\#:]', '', 'g'))
+         + (length(text) - length(replace(text, '</turn>', ''))) // 7
+         + (length(role) - length(replace(role, '</turn>', ''))) // 7 AS chars
+  FROM rows
+), said AS (
+  SELECT conv_id, count(*)::BIGINT AS n_turns, sum(chars)::BIGINT AS formatted_chars,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text)
+                  FILTER (role = 'assistant'), '') AS loss
+  FROM marked GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars,
+       sha256(loss) AS loss_sha256, formatted_chars
+FROM said
+"""
+
+
+@query("op11_chat", _CHAT_SQL)
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted as one, and read back from its parts."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame(
+        [(-7, 0, "user", _CONTROL_TEXT), (-7, 1, "assistant", _CONTROL_TEXT)],
+        "conv_id long, turn long, role string, text string",
+    )
+    parts = chat.format_paths(chat.linear_replies(given.unionByName(control)))
+    return chat.read_back(store(parts, "chat-parts")).select(
+        F.col("tree").alias("conv_id"),
+        "n_turns",
+        "turns_sha256",
+        "loss_chars",
+        "loss_sha256",
+        "formatted_chars",
+    )
+
+
+_NEGATIVES_SQL = """
+WITH e AS (
+  SELECT row_number() OVER () AS rid, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.rid, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id,
+         list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM e a, e b WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT rid, anchor_id, vec_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS n
+  FROM s WHERE same AND vec_id != anchor_id QUALIFY n <= 5
+)
+SELECT p.anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+       row_number() OVER (PARTITION BY p.rid, p.n ORDER BY score DESC, vec_id)::INTEGER AS rank
+FROM p JOIN s ON s.rid = p.rid AND NOT same
+     AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+
+@query("op12_negatives", _NEGATIVES_SQL)
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive, some labels made wrong first."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, label=moved)
+
+
+_PHRASES_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang,
+         string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                      'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps
+  FROM documents
+), p AS (
+  SELECT rid, lang, unnest(ps) AS p, unnest(range(len(ps))) AS pid FROM d
+), w AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM p
+), starts AS (
+  SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w
+), grams AS (
+  SELECT lang, k, list_slice(ws, i, i + k - 1) AS parts, count(*)::BIGINT AS f
+  FROM starts, (SELECT unnest(range(1, 6)) AS k)
+  WHERE i + k - 1 <= len(ws) GROUP BY ALL HAVING count(*) >= 100
+), total AS (
+  SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang
+), cuts AS (
+  SELECT lang, parts, k, f AS a, unnest(range(1, k)) AS cut FROM grams WHERE k > 1
+), scored AS (
+  SELECT c.lang, c.parts, c.a, x.f AS l, y.f AS r, t.n, c.cut,
+         ((1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c
+  JOIN grams x ON x.lang = c.lang AND x.parts = list_slice(c.parts, 1, c.cut)
+  JOIN grams y ON y.lang = c.lang AND y.parts = list_slice(c.parts, c.cut + 1, c.k)
+  JOIN total t ON t.lang = c.lang
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.parts ORDER BY score, c.cut) = 1
+), spans AS (
+  SELECT lang, parts, k, f, size, unnest(range(1, k - size + 2)) AS i
+  FROM (SELECT *, unnest(range(2, k)) AS size FROM grams WHERE k > 2)
+), inner_most AS (
+  SELECT lang, list_slice(parts, i, i + size - 1) AS parts, max(f) AS longer FROM spans GROUP BY ALL
+)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang
+         ORDER BY score DESC, a DESC, array_to_string(s.parts, ' '))::BIGINT AS rank,
+       array_to_string(s.parts, ' ') AS phrase, a, l, r, n, score
+FROM scored s LEFT JOIN inner_most m ON m.lang = s.lang AND m.parts = s.parts
+WHERE longer IS NULL OR 100 * longer < 100 * a
+QUALIFY rank <= 2000
+"""
+
+
+@query("op13_collocations", _PHRASES_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's phrases of two to five words that stand together most."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))

@@ -123,7 +123,7 @@ def test_schedule_spreads_sources(spark):
     assert Counter(r["pass"] for r in one) == {0: 200, 1: 200}
 
 
-@pytest.mark.parametrize("name", ["op1_mixing", "op4_warc", "op6_repetition"])
+@pytest.mark.parametrize("name", ["op1_mixing", "op4_warc", "op6_repetition", "op11_chat", "op12_negatives", "op13_collocations"])
 def test_queries_equal_sql(name, spark, sf):
     from cpgspark.llm.queries import QUERIES
 
