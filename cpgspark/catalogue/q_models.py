@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cpgspark.catalogue import fixtures as fx
-from cpgspark.catalogue.registry import query
-from cpgspark.operators import cohort, design, dm, metrics, predict, qc, splits, train
+from cpgspark.catalogue.registry import query, rounded
+from cpgspark.operators import cohort, design, dm, metrics, predict, qc, search, splits, train
 from cpgspark.operators.tree import ROOT, samples_at_level
 from cpgspark.operators.vectors import feature_places, sample_vectors
 from cpgspark.plans.durable import store
@@ -55,6 +55,48 @@ def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     return train.top_importance(train.feature_importance(model, spark), 30)
 
 
+def _folded(spark: SparkSession, sf: str) -> DataFrame:
+    """All labelled samples in three folds."""
+    rows = fx.labels(spark, sf).select(F.lit("task").alias("node"), "sample_id", "class")
+    return store(splits.node_folds(rows, 0.0, 3), "cohort")
+
+
+#: The 20 probes of the highest F on the rows of all folds but one, and on all rows.
+_FOLD_SQL = f"""WITH {fx.LM},
+folds AS (SELECT sample_id, (row_number() OVER (PARTITION BY class
+            ORDER BY md5('42:' || sample_id), sample_id) - 1) % 3 AS fold FROM lab),
+parts AS (SELECT unnest([-1, 0, 1, 2]) AS left_out),
+rows AS (SELECT left_out, probe_id, class, coalesce(value, 0) AS v
+         FROM lm JOIN folds USING (sample_id) JOIN parts ON fold != left_out),
+a AS (SELECT left_out, probe_id, class, count(v) AS n, avg(v) AS mu, var_pop(v) * count(v) AS m2
+      FROM rows GROUP BY ALL),
+g AS (SELECT left_out, probe_id, sum(n) AS n, sum(n * mu) / sum(n) AS mu, count(*) AS k, sum(m2) AS w
+      FROM a GROUP BY ALL),
+b AS (SELECT a.left_out, a.probe_id, sum(a.n * pow(a.mu - g.mu, 2)) AS b
+      FROM a JOIN g ON g.left_out = a.left_out AND g.probe_id = a.probe_id GROUP BY ALL),
+f AS (SELECT g.left_out, g.probe_id, b / (k - 1) / (w / (n - k)) AS f
+      FROM g JOIN b ON g.left_out = b.left_out AND g.probe_id = b.probe_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY left_out ORDER BY f DESC, probe_id) AS place FROM f)
+SELECT CAST(left_out AS INTEGER) AS left_out, CAST(place AS INTEGER) AS place, probe_id,
+       round(f, 6) + 0.0 AS f_score FROM p WHERE place <= 20"""
+
+
+@query("fold_features", _FOLD_SQL)
+def fold_features(spark: SparkSession, sf: str) -> DataFrame:
+    scores = dm.fold_scores(fx.measurements(spark, sf), _folded(spark, sf))
+    chosen = dm.fold_features(scores, 20)
+    return chosen.select("left_out", "place", "probe_id", rounded("f_score").alias("f_score"))
+
+
+@query("train_task")
+def train_task(spark: SparkSession, sf: str) -> DataFrame:
+    """Probes chosen in every fold, the better of two settings, both metric rows."""
+    parts = splits.split_ids(fx.labels(spark, sf), "sample_id")
+    rows = fx.labels(spark, sf).join(parts, "sample_id")
+    settings = search.grid(top_k=(_TOP // 4, _TOP), n_trees=(20,), max_depth=(10,))
+    return search.train_task(fx.measurements(spark, sf), rows, settings).summary
+
+
 @query("grid_search")
 def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     vectors, features = chosen_vectors(spark, sf)
@@ -99,7 +141,10 @@ def calibrate_isotonic(spark: SparkSession, sf: str) -> DataFrame:
 
 def _models(spark: SparkSession, sf: str) -> dict[str, train.NodeModel]:
     nodes, held = fx.class_tree(spark, sf)
-    return train.train_tree(fx.measurements(spark, sf), nodes, held, n_trees=_TREES, top_k=_TOP)
+    settings = search.grid(top_k=(_TOP,), n_trees=(10, 20), max_depth=(10,))
+    return train.train_tree(
+        fx.measurements(spark, sf), nodes, held, settings=settings, calibration="sigmoid", folds=2
+    )
 
 
 @query("train_tree")

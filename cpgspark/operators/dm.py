@@ -401,6 +401,11 @@ def anova_f(labelled: DataFrame, zero_fill: bool = False) -> DataFrame:
         arrays = arrays.withColumn("sizes", sizes.scalar()).withColumn(
             "parts", F.transform("sizes", lambda s: _zero_filled(F.col("parts"), s))
         )
+    return _f_of_parts(arrays, ["probe_id"])
+
+
+def _f_of_parts(arrays: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """F of every row from ``parts``, its array of class moments."""
     arrays = arrays.withColumn("parts", F.filter("parts", lambda p: p["n"] > 0))
     pooled = arrays.withColumn("pool", _merged(F.col("parts")))
     within = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["m2"])
@@ -423,8 +428,90 @@ def anova_f(labelled: DataFrame, zero_fill: bool = False) -> DataFrame:
                 (F.col("between") / F.col("df_between")) / (F.col("within") / F.col("df_within")),
             ),
         )
-        .select("probe_id", "f_score", "df_between", "df_within")
+        .select(*keep, "f_score", "df_between", "df_within")
+    )
+
+
+#: Stands for no fold: the scores over all training rows.
+ALL_FOLDS = -1
+
+
+def fold_scores(
+    m: DataFrame, cohort: DataFrame, zero_fill: bool = True, complete: bool = False
+) -> DataFrame:
+    """F per probe on the training part of every fold of every node, in one pass.
+
+    ``cohort`` is ``node, sample_id, class, fold``; rows of a null fold train nothing.  Gives
+    ``node, left_out, probe_id, f_score, df_between, df_within``: the scores over the rows
+    of all folds but ``left_out``, and over all of them for :data:`ALL_FOLDS`.
+
+    The measurements go into one aggregate keyed by (node, probe, class, fold); a
+    training part merges the moments of its folds, an array of at most classes times
+    folds per probe.  ``zero_fill`` counts missing values as 0.  ``complete`` keeps the
+    probes that every sample of the node has, those of a null fold included.
+    """
+    moments = (
+        m.join(small_side(cohort), "sample_id")
+        .groupBy("node", "probe_id", "class", "fold")
+        .agg(
+            F.count("value").alias("n"),
+            F.avg("value").alias("mean"),
+            (F.var_pop("value") * F.count("value")).alias("m2"),
+        )
+    )
+    cells = moments.groupBy("node", "probe_id").agg(
+        F.collect_list(F.struct("class", "fold", "n", "mean", "m2")).alias("cells")
+    )
+    if complete:
+        known = F.aggregate("cells", F.lit(0).cast("long"), lambda a, c: a + c["n"])
+        everyone = cohort.groupBy("node").agg(F.count(F.lit(1)).alias("everyone"))
+        cells = cells.join(small_side(everyone), "node").where(known == F.col("everyone"))
+    # One row for each node, class and fold.
+    counted = cohort.where("fold IS NOT NULL").groupBy("node", "class", "fold").count()
+    parts = counted.select("node", F.col("fold").alias("left_out")).distinct()
+    parts = parts.unionByName(parts.select("node", F.lit(ALL_FOLDS).alias("left_out")).distinct())
+    sizes = (
+        counted.join(parts, "node")
+        .where("fold != left_out")
+        .groupBy("node", "left_out", "class")
+        .agg(F.sum("count").alias("n_samples"))
+        .groupBy("node", "left_out")
+        .agg(F.array_sort(F.collect_list(F.struct("class", "n_samples"))).alias("sizes"))
+    )
+
+    def trains(size: Column):
+        return lambda c: (
+            (c["class"] == size["class"]) & c["fold"].isNotNull() & (c["fold"] != F.col("left_out"))
+        )
+
+    def part(held: Column) -> Column:
+        pool, size = held["pool"], held["size"]
+        merged = F.struct(
+            size["class"].alias("class"),
+            pool["n"].alias("n"),
+            pool["mean"].alias("mean"),
+            _pooled_m2(pool).alias("m2"),
+        )
+        return _zero_filled(F.array(merged), size) if zero_fill else merged
+
+    pooled = F.transform(
+        "sizes",
+        lambda s: F.struct(s.alias("size"), _merged(F.filter("cells", trains(s))).alias("pool")),
+    )
+    arrays = cells.join(small_side(sizes), "node").select("node", "left_out", "probe_id", pooled.alias("held"))
+    arrays = arrays.withColumn("parts", F.transform("held", part))
+    return _f_of_parts(arrays, ["node", "left_out", "probe_id"])
+
+
+def fold_features(scores: DataFrame, k: int | None = 5000) -> DataFrame:
+    """``node, left_out, place, probe_id``: the k probes of the highest F of each part."""
+    best = Window.partitionBy("node", "left_out").orderBy(
+        F.col("f_score").desc_nulls_last(), "probe_id"
+    )
+    placed = scores.select(
+        "node", "left_out", F.row_number().over(best).alias("place"), "probe_id", "f_score"
     )
+    return placed if k is None else placed.where(F.col("place") <= int(k))
 
 
 def select_k_best(scores: DataFrame, k: int | None = 5000) -> DataFrame:

@@ -228,6 +228,29 @@ def stratified_folds(
     return ranked.withColumn("fold", fold).drop("rank", "group_size")
 
 
+def node_folds(
+    cohort: DataFrame, test_size: float = 0.0, folds: int | None = None, seed: int = SEED
+) -> DataFrame:
+    """``node, sample_id, class, fold``: each node's samples dealt to folds, class by class.
+
+    A share ``test_size`` of each node, rounded up, is held out: its fold is null.  A node has
+    ``folds`` folds, or, without it, as many as its smallest class has samples, two to five.
+    """
+    held = seeded_rank(cohort.select("node", "sample_id", "class"), "sample_id", seed, ["node"])
+    n_test = F.ceil(F.col("group_size").cast("double") * F.lit(float(test_size)))
+    held = held.select("node", "sample_id", "class", (F.col("rank") <= n_test).alias("test"))
+    ranked = seeded_rank(held.where(~F.col("test")), "sample_id", seed, ["node", "class"])
+    smallest = Window.partitionBy("node")  # one row per class
+    sizes = ranked.groupBy("node", "class").agg(F.first("group_size").alias("n"))
+    count = F.lit(folds) if folds else F.least(F.lit(5), F.greatest(F.lit(2), F.min("n").over(smallest)))
+    sizes = sizes.select("node", "class", count.alias("folds"))
+    fold = F.pmod(F.col("rank") - 1, F.col("folds")).cast("int")
+    dealt = ranked.join(sizes, ["node", "class"]).select("node", "sample_id", "class", fold.alias("fold"))
+    return dealt.unionByName(
+        held.where("test").select("node", "sample_id", "class", F.lit(None).cast("int").alias("fold"))
+    )
+
+
 def adaptive_folds(labelled: DataFrame, label_col: str) -> DataFrame:
     """One row: smallest class, number of folds, and how settings are chosen."""
     smallest = labelled.groupBy(label_col).count().agg(F.min("count").alias("min_count"))

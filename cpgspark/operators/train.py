@@ -5,20 +5,21 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from urllib.parse import quote
 
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
+    LogisticRegressionModel,
     OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -57,12 +58,16 @@ class NodeModel:
     model: Model
     metrics: dict[str, float] = field(default_factory=dict)
     path: tuple[str, ...] = ()
+    calibrator: Calibrator | None = None
+    held_out: DataFrame | None = None
 
     def __post_init__(self) -> None:
         self.path = tuple(self.path) or (self.name,)
 
     def predict(self, vectors: DataFrame) -> DataFrame:
         """``sample_id, prediction, probability, scores`` (scores in class order)."""
+        if self.calibrator is not None:
+            return self.calibrator.transform(replace(self, calibrator=None).predict(vectors))
         out = self.model.transform(vectors)
         names = F.array(*[F.lit(c) for c in self.classes])
         kept = [c for c in vectors.columns if c != "features"]
@@ -84,19 +89,21 @@ def _indexed(vectors: DataFrame) -> tuple[Model, list[str]]:
     return fitted, list(fitted.labels)
 
 
-def _forest(n_trees: int, max_depth: int, seed: int, **extra: object) -> RandomForestClassifier:
+def forest(
+    n_trees: int, max_depth: int, seed: int, max_features: str = "sqrt", **extra: object
+) -> RandomForestClassifier:
     return RandomForestClassifier(
         numTrees=n_trees,
         maxDepth=max_depth,
         seed=seed,
         weightCol="weight",
-        featureSubsetStrategy="sqrt",
+        featureSubsetStrategy=max_features,
         maxMemoryInMB=512,
         **extra,
     )
 
 
-def train_forest(
+def trainforest(
     vectors: DataFrame,
     features: list[str],
     name: str = "ROOT",
@@ -107,7 +114,7 @@ def train_forest(
     """Class-weighted random forest on ``sample_id, features, class``."""
     indexer, classes = _indexed(vectors)
     weighted = indexer.transform(class_weights(vectors))
-    model = _forest(n_trees, max_depth, seed).fit(weighted)
+    model = forest(n_trees, max_depth, seed).fit(weighted)
     return NodeModel(name, features, classes, model)
 
 
@@ -205,7 +212,7 @@ def grid_search(
     """
     indexer, classes = _indexed(vectors)
     folded = stratified_folds(class_weights(vectors), "sample_id", "class", k, seed)
-    forest = _forest(n_trees[0], max_depth[0], seed)
+    forest = forest(n_trees[0], max_depth[0], seed)
     grid = (
         ParamGridBuilder()
         .addGrid(forest.numTrees, list(n_trees))
@@ -254,7 +261,7 @@ def select_on_validation(
     best: NodeModel | None = None
     best_score, rows = -1.0, []
     for n in n_trees:
-        model = train_forest(train, features, name, n, seed=seed)
+        model = trainforest(train, features, name, n, seed=seed)
         calls = model.predict(val).select(
             F.col("class").alias("actual"), F.col("prediction").alias("predicted")
         )
@@ -273,7 +280,8 @@ def cv_curve(results: DataFrame, score_col: str = "mean_test_score") -> DataFram
 
 def feature_importance(model: NodeModel, spark: SparkSession) -> DataFrame:
     """``probe_id, importance`` of every feature; bounded by the feature list."""
-    values = model.model.featureImportances.toArray().tolist()
+    last = model.model.stages[-1] if isinstance(model.model, PipelineModel) else model.model
+    values = last.featureImportances.toArray().tolist()
     return spark.createDataFrame(
         list(zip(model.features, values, strict=True)), "probe_id string, importance double"
     )
@@ -408,7 +416,7 @@ def train_node(
     vectors = store(
         sample_vectors(rows, features).join(cohort, "sample_id"), "vectors"
     )
-    model = train_forest(
+    model = trainforest(
         vectors.filter("split = 'train'").drop("split"), features, path[-1], n_trees, seed=seed
     )
     calls = model.predict(vectors.filter("split = 'test'")).select(
@@ -429,15 +437,35 @@ def train_tree(
     per_class: int | None = None,
     parallel: int = 4,
     seed: int = SEED,
+    settings: Sequence[object] | None = None,
+    calibration: str | None = None,
+    folds: int | None = None,
 ) -> dict[str, NodeModel]:
     """Train every node that passes the gates; models by :func:`path_key`.
 
-    The gates are one aggregate for all nodes.  The nodes then run as concurrent
-    Spark jobs; each is distributed in itself.
+    The gates, the hold-outs, the folds and the probe scores of all nodes are one pass
+    each, and the measurements are read as often as for one node; only the fits run node
+    by node, as concurrent Spark jobs.  Several ``settings`` (:class:`search.Settings`) are
+    chosen among by cross-validation in every node; ``calibration`` (sigmoid or isotonic)
+    fits the node's probabilities to its out-of-fold scores.  With ``per_class`` the probes
+    are chosen by moderated statistics, node by node.
     """
+    from cpgspark.operators import search
+
     design = store(
         design_ops.node_design(nodes, tree_samples, m.select("sample_id")), "design"
     )
+    if per_class is None:
+        found = search.train_nodes(
+            m,
+            design,
+            settings or [search.Settings(top_k=top_k, n_trees=n_trees)],
+            calibration,
+            parallel,
+            seed,
+            folds=folds,
+        )
+        return {path_key(x.path): x for x in found}
     ready = design_ops.trainable_nodes(design).filter("trainable").select("node_path")
     paths = [r["node_path"] for r in ready.orderBy("node_path").collect()]
 
@@ -487,7 +515,7 @@ def refit_full(
     features = feature_places(rows)
     labels = cohort.select("sample_id", F.col("cancerType").alias("class"))
     vectors = sample_vectors(rows, features).join(labels, "sample_id")
-    return train_forest(
+    return trainforest(
         vectors,
         features,
         name,
@@ -506,12 +534,20 @@ def save_model(model: NodeModel, folder: str, spark: SparkSession) -> None:
     """Write the fitted model and one metadata row below a folder of its path."""
     place = _folder(folder, model.path)
     PipelineModel([model.model]).write().overwrite().save(f"{place}/model")
+    method, mapped = None, []
+    if model.calibrator is not None:
+        method, mapped = model.calibrator.method, list(model.calibrator.maps)
+        for i, cls in enumerate(mapped):
+            model.calibrator.maps[cls].write().overwrite().save(f"{place}/calibrator{i}")
     row = [
-        (model.name, list(model.path), model.features, model.classes, json.dumps(model.metrics))
-    ]
+        (
+            model.name, list(model.path), model.features, model.classes, json.dumps(model.metrics),
+            method, mapped,
+        )
+    ]
     schema = (
         "name string, path array<string>, features array<string>, classes array<string>, "
-        "metrics string"
+        "metrics string, calibration string, calibrated array<string>"
     )
     spark.createDataFrame(row, schema).write.mode("overwrite").parquet(f"{place}/meta")
 
@@ -521,7 +557,12 @@ def load_model(path: Sequence[str], folder: str, spark: SparkSession) -> NodeMod
     place = _folder(folder, path)
     meta = spark.read.parquet(f"{place}/meta").first()
     model = PipelineModel.load(f"{place}/model").stages[0]
+    calibrator = None
+    if meta["calibration"]:
+        kind = LogisticRegressionModel if meta["calibration"] == "sigmoid" else IsotonicRegressionModel
+        maps = {c: kind.load(f"{place}/calibrator{i}") for i, c in enumerate(meta["calibrated"])}
+        calibrator = Calibrator(list(meta["classes"]), maps, meta["calibration"])
     return NodeModel(
         meta["name"], list(meta["features"]), list(meta["classes"]), model,
-        json.loads(meta["metrics"]), tuple(meta["path"]),
+        json.loads(meta["metrics"]), tuple(meta["path"]), calibrator,
     )

@@ -83,7 +83,8 @@ def sample_vectors(m: DataFrame, features: list[str]) -> DataFrame:
 def pick(arrays: DataFrame, names: list[str], features: list[str]) -> DataFrame:
     """``features`` vectors of one model out of arrays over ``names``; other columns stay."""
     place = {name: i for i, name in enumerate(names)}
-    places = F.array(*[F.lit(place[f]) for f in features])
+    # One value in the plan, folded to an array, however many the features.
+    places = F.split(F.lit(",".join(str(place[f]) for f in features)), ",").cast("array<int>")
     values = F.transform(places, lambda i: F.get("values", i))
     return arrays.withColumn("features", array_to_vector(values)).drop("values")
 
