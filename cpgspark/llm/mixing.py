@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cpgspark.llm.ordered import ordered_totals
-from cpgspark.llm.rows import numbered
+from cpgspark.llm.rows import one_per_key, packed
 from cpgspark.llm.text import WORD, word_count
 from cpgspark.plans.durable import store
 
@@ -39,15 +39,18 @@ BLOCK = 256
 _CHUNK = 4096
 
 
-def sized(df: DataFrame, seed: int = 0, row: Column | None = None) -> DataFrame:
-    """``doc_id``, ``source``, ``row``, ``size`` in words and the shuffling digest.
+def sized(df: DataFrame, seed: int = 0, keep: Column | None = None) -> DataFrame:
+    """``doc_id``, ``source``, ``row``, ``key``, ``size`` in words and the shuffling digest.
 
     Stored once, as all further work is on these narrow rows.  ``row`` is a number of the
     row's own: it makes the order total, so that repeated rows can be cut into ranges.
+    ``key`` is what ``keep`` says, a hash of the text by default.
     """
-    number = F.monotonically_increasing_id() if row is None else row
     rows = df.select(
-        "doc_id", "source", number.alias("row"), F.xxhash64("text").alias("hash"),
+        "doc_id",
+        "source",
+        F.monotonically_increasing_id().alias("row"),
+        (F.xxhash64("text") if keep is None else keep).alias("key"),
         word_count("text").alias("size"),
     )
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
@@ -169,7 +172,7 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def _lined(docs: DataFrame, goals: DataFrame) -> DataFrame:
     """Documents with their goal and their place ``at`` on the source's line of words."""
-    lined = ordered_totals(docs, ["source", "digest", "doc_id", "size", "hash", "row"], {"size": "at"}, "place")
+    lined = ordered_totals(docs, ["source", "digest", "doc_id", "size", "key", "row"], {"size": "at"}, "place")
     starts = ordered_totals(
         goals.select("source", "source_size"), ["source"], {"source_size": "begin"}, "place"
     ).select("source", "begin")
@@ -181,7 +184,7 @@ def _lined(docs: DataFrame, goals: DataFrame) -> DataFrame:
     )
     return store(
         known.select(
-            "row", "doc_id", "size", "source_size", "target", "source_rank",
+            "row", "doc_id", "key", "size", "source_size", "target", "source_rank",
             (F.col("at") - F.col("begin")).alias("at"),
         ),
         "mix-lined",
@@ -260,20 +263,27 @@ def mixed(
     Rows come in the order in which the mix first meets them in that pass.  The one
     document of a source at which its target ends is cut to the words taken.
     """
-    held = numbered(df, "mix-rows")
-    docs = sized(held.select("row", "all.doc_id", "all.source", "all.text"), seed, F.col("row"))
+    # Rows that share a key are equal in all columns (by two hashes, the id and the source).
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    key = F.struct(
+        F.col("doc_id").alias("id"), F.col("source").alias("source"),
+        F.xxhash64(*columns).alias("all"), F.xxhash64("text").alias("text"),
+    )
+    docs = sized(df, seed, key)
     known, slots = ordered_mix(docs, weights, max_passes, block)
     passes = slots.groupBy("row", "pass").agg(
         F.sum("words").alias("words"), F.min("turn").alias("turn")
     )
-    wanted = known.select("row", "size").join(passes, "row")
+    equal = docs.groupBy("key").agg(F.count(F.lit(1)).alias("equal"))
+    wanted = known.select("row", "key", "size").join(passes, "row").join(equal, "key").select(
+        F.col("key").alias("row"), "equal", "words", "size", "turn"
+    )
+    found = one_per_key(df.select(key.alias("row"), packed(df).alias("all")), store(wanted, "mix-taken"))
     text = F.col("all.text")
     cut = F.array_join(
         F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), F.lit(1), F.col("words").cast("int")), " "
     )
+    taken = F.when(F.col("words") >= F.col("size"), text).otherwise(cut)
     return (
-        held.join(wanted, "row")
-        .withColumn("all", F.col("all").withField("text", F.when(F.col("words") >= F.col("size"), text).otherwise(cut)))
-        .orderBy("turn", "row")
-        .select("all.*")
+        found.withColumn("all", F.col("all").withField("text", taken)).orderBy("turn").select("all.*")
     )

@@ -1,18 +1,18 @@
-"""Rows named by a number or by their id and text, with their columns out of the way."""
+"""Rows named by their id and text or content, with their columns out of the way."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cpgspark.plans.durable import store
+from cpgspark.plans.sizing import small_side
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """The id beside a 64-bit hash of the text; rows equal in id and text share it.
+    """The id beside a 64-bit hash of id and text; rows equal in both share it.
 
     Only different texts under one id could collide.  Null ids equal each other in it.
     """
-    return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("text"))
 
 
 def packed(df: DataFrame) -> Column:
@@ -20,9 +20,18 @@ def packed(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def numbered(df: DataFrame, label: str) -> DataFrame:
-    """The rows stored once, each with a number of its own: ``row`` and ``all``, its columns.
+def one_per_key(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``all`` of ``keyed`` beside the columns of ``wanted``, one row of ``all`` for each key.
 
-    The numbers lie in the stored files, so later jobs and re-runs see the same ones.
+    ``keyed`` has ``row`` and ``all``; ``wanted`` has ``row``, in ``equal`` how many rows share
+    the key, and may hold a key several times.  Of rows that share a key the one with the
+    smallest hash of its columns stands for all; only those are grouped by it.
     """
-    return store(df.select(F.monotonically_increasing_id().alias("row"), packed(df).alias("all")), label)
+    alone = keyed.join(wanted.where("equal = 1"), "row")
+    several = wanted.where("equal > 1")
+    first = (
+        keyed.join(small_side(several.select("row").distinct()), "row", "left_semi")
+        .groupBy("row")
+        .agg(F.min_by("all", F.xxhash64("all")).alias("all"))
+    )
+    return alone.unionByName(first.join(several, "row"))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from cpgspark.llm.components import connected_components
-from cpgspark.llm.rows import numbered
+from cpgspark.llm.rows import one_per_key, packed, row_key
 from cpgspark.llm.text import as_bytes, map_text
 from cpgspark.plans.durable import store
 
@@ -269,24 +269,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, one of each component: that with the smallest id, nulls last.
 
-    Rows equal in id are ordered by a hash of all their columns.
+    Of rows equal in id and text the one with the smallest hash of its columns stays.
     """
-    held = numbered(df, "simhash-rows")
-    prints = store(
-        fingerprints(
-            held,
-            f"all.`{id_col}`",
-            f"all.`{text_col}`",
-            {"row": F.col("row"), "hash": F.xxhash64("all")},
-        ),
-        "simhash",
-    )
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "row")
-    first = prints.groupBy("fp").agg(F.min(order).alias("first"))
+    key = row_key(id_col, text_col)
+    prints = store(fingerprints(df, id_col, text_col, {"row": key}), "simhash")
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     stay = (
         first.join(_classes(prints), "fp")
         .groupBy("root")
         .agg(F.min("first").alias("first"))
         .select(F.col("first.row").alias("row"))
     )
-    return held.join(stay, "row", "left_semi").select("all.*")
+    equal = prints.groupBy("row").agg(F.count(F.lit(1)).alias("equal"))
+    wanted = store(stay.join(equal, "row"), "simhash-kept")
+    return one_per_key(df.select(key.alias("row"), packed(df).alias("all")), wanted).select("all.*")

@@ -302,13 +302,14 @@ def similar_paragraphs(docs: DataFrame, found: DataFrame) -> DataFrame:
     wanted = (
         found.join(met, "phash", "left_semi")
         .groupBy("phash")
-        .agg(F.min(F.struct("row", "line")).alias("at"))
-        .groupBy("at.row")
+        .agg(F.min(F.struct("row", "doc_id", "line")).alias("at"))
+        .groupBy("at.row", F.struct("at.doc_id").alias("of"))
         .agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "phash")).alias("wanted"))
     )
     sets = (
-        docs.dropDuplicates(["row"])
-        .join(wanted, "row")
+        docs.dropDuplicates(["row", "doc_id"])
+        .withColumn("of", F.struct("doc_id"))
+        .join(wanted, ["row", "of"])
         .select("text", "wanted")
         .mapInArrow(_shingle_sets, "phash long, shingles array<long>")
     )
@@ -344,22 +345,23 @@ def repeated_paragraphs(
     classes = (
         placed.groupBy("class_id")
         .agg(F.min(owner).alias("first"), F.max(owner).alias("last"))
-        .where("first.row != last.row")
+        .where("first != last")
     )
     shared = placed.join(classes, "class_id")
-    order = Window.partitionBy("row").orderBy("idx")
+    order = Window.partitionBy("row", "doc_id").orderBy("idx")
     runs = shared.withColumn("run", F.col("idx") - F.row_number().over(order))
-    in_run = Window.partitionBy("row", "run")
+    in_run = Window.partitionBy("row", "doc_id", "run")
     return (
         runs.withColumn("run_words", F.sum("words").over(in_run))
-        .where((F.col("run_words") >= min_words) & (F.col("row") != F.col("first.row")))
+        .where((F.col("run_words") >= min_words) & (owner != F.col("first")))
         .select("row", "doc_id", "line", "words", "class_id", F.col("first.doc_id").alias("kept_in"))
     )
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row`` is a hash of id and text; what is decided goes by it and the id together."""
     return df.select(
-        row_key(id_col, text_col).alias("row"),
+        row_key(id_col, text_col)["text"].alias("row"),
         F.col(id_col).alias("doc_id"),
         F.col(text_col).alias("text"),
     )
@@ -373,8 +375,9 @@ def _left_out(text: Column, lines: Column) -> Column:
 
 def _with_changes(df: DataFrame, changes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``all`` (the columns of ``df``) beside the changes of its ``row``, null where there are none."""
-    held = df.select(packed(df).alias("all"), row_key(id_col, text_col).alias("row"))
-    return held.join(changes, "row", "left")
+    held = df.select(packed(df).alias("all"), row_key(id_col, text_col).alias("key"))
+    key = F.struct(F.col("doc_id").alias("id"), F.col("row").alias("text"))
+    return held.join(changes.withColumn("key", key), "key", "left")
 
 
 def _returned(cleaned: DataFrame, df: DataFrame, text_col: str, added: list[str]) -> DataFrame:
@@ -412,10 +415,10 @@ def remove_repeated(
 
 
 def _removed_by_row(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """``row``, its removed ``lines``, their number, words, classes and keepers."""
+    """``doc_id``, ``row``, its removed ``lines``, their number, words, classes and keepers."""
     return (
         repeated_paragraphs(df, id_col, text_col, min_words)
-        .groupBy("row")
+        .groupBy("doc_id", "row")
         .agg(
             F.collect_set("line").alias("lines"),
             F.count(F.lit(1)).alias("removed_paragraphs"),
@@ -517,7 +520,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_windows(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """``row``, ``at`` (the first word) and ``kept_in`` of each window that goes.
+    """``doc_id``, ``row``, ``at`` (the first word) and ``kept_in`` of each window that goes.
 
     ``docs`` has ``row``, ``doc_id`` and ``text``; ``lines`` the removed lines of a ``row``
     as an array.
@@ -547,7 +550,7 @@ def repeated_windows(docs: DataFrame, lines: DataFrame) -> DataFrame:
     kinds = [docs.schema["row"], docs.schema["doc_id"], *StructType.fromDDL("at int, hash long").fields]
     windows = (
         docs.join(small_side(wanted.select("row")), "row", "left_semi")
-        .dropDuplicates(["row"])
+        .dropDuplicates(["row", "doc_id"])
         .join(wanted, "row")
         .select("row", "doc_id", "text", "wanted", "lines")
         .mapInArrow(_compared, StructType(kinds))
@@ -557,13 +560,13 @@ def repeated_windows(docs: DataFrame, lines: DataFrame) -> DataFrame:
     first = (
         windows.groupBy("hash")
         .agg(F.min(owner).alias("first"), F.max(owner).alias("last"))
-        .where("first.row != last.row")
+        .where("first != last")
         .select("hash", "first")
     )
     return (
         windows.join(first, "hash")
-        .where(F.col("row") != F.col("first.row"))
-        .select("row", "at", F.col("first.doc_id").alias("kept_in"))
+        .where(owner != F.col("first"))
+        .select("doc_id", "row", "at", F.col("first.doc_id").alias("kept_in"))
     )
 
 
@@ -654,11 +657,14 @@ def without_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _without_passages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``all``, the columns of ``df``, the text ``cleaned`` and what was taken out of it."""
     removed = store(_removed_by_row(df, id_col, text_col), "para-removed")
-    windows = repeated_windows(_keyed(df, id_col, text_col), removed.select("row", "lines"))
-    cuts = windows.groupBy("row").agg(
+    lines = removed.groupBy("row").agg(F.flatten(F.collect_list("lines")).alias("lines"))
+    windows = repeated_windows(_keyed(df, id_col, text_col), lines)
+    key = F.struct("doc_id", "row")
+    cuts = windows.groupBy(key.alias("key")).agg(
         F.collect_set("at").alias("starts"), F.collect_set("kept_in").alias("keepers")
     )
-    changes = store(removed.join(cuts, "row", "full"), "passages")
+    both = removed.withColumn("key", key).drop("doc_id", "row").join(cuts, "key", "full")
+    changes = store(both.select("key.*", *[c for c in both.columns if c != "key"]), "passages")
     text = F.col("all").getField(text_col)
     is_cut = F.col("starts").isNotNull()
     ids = F.array().cast(changes.schema["kept_in"].dataType)
