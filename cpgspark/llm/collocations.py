@@ -28,7 +28,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cpgspark.llm.text import pieces, split_words, whole
@@ -39,6 +38,8 @@ LONGEST = 5
 TOP = 2000
 #: Percent of a candidate's count at which a longer one holding it takes its place.
 SUBSUMED_PERCENT = 100
+#: Phrases up to so many words are counted by hash first; longer ones are few by then.
+COUNTED_FIRST = 3
 #: A chunk ends at one word in so many.
 TRIGGER = 32
 BITMAP_BITS = 1 << 26
@@ -60,10 +61,29 @@ def _folded(column: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(texts), [None, offsets, pa.py_buffer(changed.tobytes())])
 
 
+_OF_BYTE = np.random.default_rng(_SEED + 1).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
 def _hashes(coded: pa.DictionaryArray) -> np.ndarray:
-    """Hash of every distinct word."""
-    kinds = coded.dictionary.cast(pa.large_binary()).to_pylist()
-    return np.array([xxhash.xxh64_intdigest(w, _SEED) for w in kinds], dtype=np.uint64)
+    """Hash of every distinct word: a polynomial over its bytes, all words at once."""
+    kinds = coded.dictionary.cast(pa.large_binary())
+    if not len(kinds):
+        return np.zeros(0, dtype=np.uint64)
+    _, offsets, data = kinds.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[kinds.offset : kinds.offset + len(kinds) + 1]
+    values = _OF_BYTE[np.frombuffer(data or b"", dtype=np.uint8)[ends[0] : ends[-1]]]
+    ends = ends - ends[0]
+    powers = np.full(len(values) + 1, _BASE, dtype=np.uint64)
+    powers[0] = 1
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * np.cumprod(powers)[:-1], out=sums[1:])
+    powers[1:] = _INVERSE
+    mixed = (sums[ends[1:]] - sums[ends[:-1]]) * np.cumprod(powers)[ends[:-1]]
+    for shift, factor in ((33, _FACTORS[14]), (29, _FACTORS[15])):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * factor
+    return mixed ^ (mixed >> np.uint64(32))
 
 
 def _joined(words: pa.Array, start: np.ndarray, length: np.ndarray) -> pa.Array:
@@ -120,8 +140,8 @@ class _Chunks:
 
     def __init__(self, batch: pa.RecordBatch):
         langs = batch.column(0).dictionary_encode()
-        lists = pc.split_pattern(whole(batch.column(2)), " ")
-        self.words = lists.flatten()
+        lists = pc.split_pattern(batch.column(2), " ")
+        self.words = lists.flatten().cast(pa.large_string())
         self.row = np.asarray(pc.list_parent_indices(lists), dtype=np.int64)
         coded = self.words.dictionary_encode()
         self.code, self.kinds = np.asarray(coded.indices).astype(np.int64), len(coded.dictionary)
@@ -200,7 +220,7 @@ def frequent_phrases(chunks: DataFrame, least: int = LEAST, longest: int = LONGE
     """``lang``, ``phrase``, ``words`` and the exact count ``f`` of all phrases frequent enough."""
     context = chunks.sparkSession.sparkContext
     shared: list = []
-    for n in range(1, longest):
+    for n in range(1, min(longest, COUNTED_FIRST + 1)):
         shared.append(context.broadcast(_bitmap(chunks, list(shared), n, least)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
