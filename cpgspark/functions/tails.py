@@ -104,6 +104,46 @@ def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return out
 
 
+def chi2_upper(x: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """P(chi-square > x), the incomplete gamma function by series or by fraction."""
+    x, df = np.broadcast_arrays(np.asarray(x, float) / 2, np.asarray(df, float) / 2)
+    out = np.where(x > 0, np.nan, 1.0)
+    out[x == np.inf] = 0.0
+    front = np.exp(df * np.log(np.where(x > 0, x, 1.0)) - x - _lgamma(df))
+    small = (x > 0) & (x < df + 1)
+    if small.any():
+        a, v = df[small], x[small]
+        term = total = 1 / a
+        for n in range(1, 300 + int(10 * math.sqrt(a.max()))):
+            term = term * v / (a + n)
+            total = total + term
+        out[small] = 1 - front[small] * total
+    large = (x >= df + 1) & np.isfinite(x)
+    if large.any():
+        a, v = df[large], x[large]
+        fraction = np.zeros_like(v)
+        for n in range(300 + int(10 * math.sqrt(a.max())), 0, -1):
+            fraction = n * (n - a) / (v + 2 * n + 1 - a - fraction)
+        out[large] = front[large] / (v + 1 - a - fraction)
+    return out
+
+
+def f_upper(ratio: np.ndarray, df: np.ndarray, prior_df: np.ndarray) -> np.ndarray:
+    """P(F > ratio) of F on ``df`` and ``prior_df``; infinite ``prior_df`` is a chi-square."""
+    ratio, df, prior_df = np.broadcast_arrays(
+        np.asarray(ratio, float), np.asarray(df, float), np.asarray(prior_df, float)
+    )
+    out = np.full(ratio.shape, np.nan)
+    limit = np.isinf(prior_df) & (ratio >= 0) & (df > 0)
+    if limit.any():
+        out[limit] = chi2_upper(df[limit] * ratio[limit], df[limit])
+    known = np.isfinite(prior_df) & (prior_df > 0) & (ratio >= 0) & (df > 0)
+    if known.any():
+        d = prior_df[known]
+        out[known] = incomplete_beta(d / 2, df[known] / 2, d / (d + df[known] * ratio[known]))
+    return out
+
+
 def _nullable(values: np.ndarray) -> pd.Series:
     return pd.Series(values).where(~np.isnan(values), None).astype("Float64")
 
@@ -117,6 +157,13 @@ def _student_t_p(t: pd.Series, df: pd.Series) -> pd.Series:
 student_t_p = F.pandas_udf(_student_t_p, T.DoubleType()).asNondeterministic()
 
 
+def _f_upper_tail(ratio: pd.Series, df: pd.Series, prior_df: pd.Series) -> pd.Series:
+    return _nullable(f_upper(ratio.to_numpy(float), df.to_numpy(float), prior_df.to_numpy(float)))
+
+
+f_upper_tail = F.pandas_udf(_f_upper_tail, T.DoubleType()).asNondeterministic()
+
+
 def _shifted(x: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
     """Ten steps of the recurrence: the sum they contribute and the raised argument."""
     x = np.asarray(x, float)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cpgspark.functions.tails import (
     digamma,
+    f_upper,
+    f_upper_tail,
     inverse_trigamma,
     log_variance_noise,
     log_variance_shift,
@@ -21,7 +23,7 @@ from cpgspark.functions.tails import (
     winsorised_log_ratio,
 )
 from cpgspark.plans.durable import store
-from cpgspark.plans.ordering import running_totals
+from cpgspark.plans.ordering import running_extreme, running_totals
 from cpgspark.plans.sizing import small_side
 
 ALPHA = 0.05
@@ -180,28 +182,9 @@ def bh_fdr_large(
     ties = rows.groupBy(*group, p_col).agg(F.count(F.lit(1)).alias("__ties"))
     ranked = running_totals(ties, group, p_col, {"__ties": "__rank"}, descending=False)
     n = F.col("__rank_all")
-    # The share of rows at or below a p cuts a group into at most 257 even pieces.
-    raw = ranked.withColumn("__raw", F.col(p_col) * n / F.col("__rank")).withColumn(
-        "__piece", F.floor(F.col("__rank") * 256 / n)
-    )
-    from_above = F.col("__rank").desc()
-    inside = (
-        Window.partitionBy(*group, "__piece")
-        .orderBy(from_above)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
-    above = whole.orderBy(F.col("__piece").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    beyond = (
-        raw.groupBy(*group, "__piece")
-        .agg(F.min("__raw").alias("__low"))
-        .select(*group, "__piece", F.min("__low").over(above).alias("__above"))
-    )
-    q = (
-        raw.withColumn("__here", F.min("__raw").over(inside))
-        .join(beyond, [*group, "__piece"])
-        .select(*group, p_col, F.least("__here", "__above", F.lit(1.0)).alias(q_col))
-    )
+    raw = ranked.withColumn("__raw", F.least(F.col(p_col) * n / F.col("__rank"), F.lit(1.0)))
+    best = running_extreme(raw, group, "__rank", "__raw", q_col, largest=False, descending=True)
+    q = best.select(*group, p_col, q_col)
     return rows.join(q, [*group, p_col])
 
 
@@ -259,9 +242,10 @@ def moderated_stats(labelled: DataFrame, robust: bool = True) -> DataFrame:
     Each class has its own prior variance, fitted by moments to the log variances
     of all its probes, tiny ones raised to a floor.  One row of moments per class
     reaches the driver.  With ``robust`` the moments are those of the winsorised log
-    variances, so that a few probes of extreme variance do not widen the prior; all
-    probes share that prior.  The degrees of freedom are at most those of all probes of
-    the class pooled, so an infinite prior leaves a t tail.
+    variances, so that a few probes of extreme variance do not widen the prior, and such
+    probes get a looser prior of their own (:func:`outlier_priors`).  The degrees of
+    freedom are at most those of all probes of the class pooled, so an infinite prior
+    leaves a t tail.
     """
     stats = one_vs_rest(class_moments(labelled))
     n, nr = F.col("n_class"), F.col("n_rest")
@@ -275,6 +259,8 @@ def moderated_stats(labelled: DataFrame, robust: bool = True) -> DataFrame:
         F.percentile_approx("s2", 0.5, 10_000).alias("middle"), F.sum("df").alias("df_pooled")
     )
     middle = F.when(F.col("middle") > 0, F.col("middle")).otherwise(1.0)
+    # One row per class: read off once, as several steps below use it.
+    spread = labelled.sparkSession.createDataFrame(spread.collect(), spread.schema)
     raised = rows.join(F.broadcast(spread), "class").withColumn(  # one row per class
         "s2", F.greatest("s2", VARIANCE_FLOOR * middle)
     )
@@ -282,6 +268,12 @@ def moderated_stats(labelled: DataFrame, robust: bool = True) -> DataFrame:
     prior = labelled.sparkSession.createDataFrame(
         priors, "class string, d0 double, s02 double"
     ).join(spread.select("class", "df_pooled"), "class")
+    priored = rows.join(F.broadcast(prior), "class")  # one row per class
+    if robust:
+        own = outlier_priors(raised.select("probe_id", "class", "df", "s2"), prior)
+        own = own.withColumnRenamed("d0", "own_d0")
+        priored = priored.join(own, ["probe_id", "class"], "left")
+        priored = priored.withColumn("d0", F.coalesce("own_d0", "d0"))
     d0, s02 = F.col("d0"), F.col("s02")
     pooled = F.when(d0 == float("inf"), s02).otherwise(
         (d0 * s02 + F.col("df") * F.col("s2")) / (d0 + F.col("df"))
@@ -290,8 +282,7 @@ def moderated_stats(labelled: DataFrame, robust: bool = True) -> DataFrame:
         F.sqrt(pooled) * F.sqrt(1 / F.col("n_class") + 1 / F.col("n_rest"))
     )
     return (
-        rows.join(F.broadcast(prior), "class")  # one row per class
-        .withColumn("t_mod", F.when(pooled > 0, t))
+        priored.withColumn("t_mod", F.when(pooled > 0, t))
         .withColumn("df_total", F.least(d0 + F.col("df"), F.col("df_pooled")))
         .withColumn("p_value", student_t_p(F.col("t_mod"), F.col("df_total")))
         .select("probe_id", "class", "t_mod", "df_total", "p_value")
@@ -353,6 +344,78 @@ def _robust_priors(rows: DataFrame) -> list[tuple[str, float, float]]:
     return priors
 
 
+def _median_df(ratio: float, df: float, d0: float) -> float:
+    """Degrees of freedom, at most ``d0``, at which the ratio is the median of its F."""
+
+    def above(d: float) -> float:
+        return float(f_upper(ratio, df, d))
+
+    low, high = 1e-6, min(d0, 1e6)
+    if above(high) >= 0.5:
+        return d0
+    for _ in range(60):
+        mid = math.sqrt(low * high)
+        low, high = (mid, high) if above(mid) >= 0.5 else (low, mid)
+    return math.sqrt(low * high)
+
+
+def outlier_priors(rows: DataFrame, prior: DataFrame) -> DataFrame:
+    """``probe_id, class, d0``: prior degrees of freedom of each probe of its own.
+
+    ``rows`` is ``probe_id, class, df, s2``; ``prior``, one row per class, is ``class, d0,
+    s02, df_pooled``.  The tail of a variance under the scaled F of its class, over the
+    share of probes at least as extreme, tells how likely the probe is no outlier.  With
+    that weight its degrees of freedom lie between the prior's and those for which the
+    most extreme variance is a median.  They never rise towards the extremes: the most
+    extreme probes share the least running mean, the others the running maximum.  Where
+    the prior is infinite, an outlier gets its weight's part of the pooled ones.  Probes
+    whose variance is no number get no row.
+
+    One row per class reaches the driver; ranks and running values go by pieces.
+    """
+    ratio = F.col("s2") / F.col("s02")
+    tails = (
+        rows.join(F.broadcast(prior), "class")
+        .withColumn("ratio", ratio)
+        .withColumn("tail", f_upper_tail(F.col("ratio"), F.col("df"), F.col("d0")))
+        .where("tail IS NOT NULL")
+    )
+    tails = store(tails.select("probe_id", "class", "tail", "ratio", "df"), "tails")
+    extreme = tails.groupBy("class").agg(
+        F.min_by(F.struct("ratio", "df"), F.struct("tail", -F.col("ratio"))).alias("top")
+    )
+    loosest = [
+        (r["class"], _median_df(r["top"]["ratio"], r["top"]["df"], r["d0"]))
+        for r in extreme.join(F.broadcast(prior), "class").collect()
+    ]
+    least = rows.sparkSession.createDataFrame(loosest, "class string, d_least double")
+    ties = tails.groupBy("class", "tail").agg(F.count(F.lit(1)).alias("ties"))
+    ranked = running_totals(ties, ["class"], "tail", {"ties": "rank"}, descending=False)
+    share = (F.col("rank") - F.col("ties") / 2) / F.col("rank_all")
+    weight = F.least(F.col("tail") / share, F.lit(1.0))
+    mixed = F.when(weight >= 1, F.col("d0")).otherwise(
+        F.when(F.col("d0") == float("inf"), weight * F.col("df_pooled")).otherwise(
+            weight * F.col("d0") + (1 - weight) * F.col("d_least")
+        )
+    )
+    own = (
+        ranked.join(F.broadcast(prior), "class")  # one row per class, twice
+        .join(F.broadcast(least), "class")
+        .select("class", "tail", "rank", "ties", mixed.alias("own"))
+        .withColumn("sum", F.col("own") * F.col("ties"))
+    )
+    means = running_totals(own, ["class"], "tail", {"sum": "so_far"}, descending=False)
+    means = means.withColumn("mean", F.col("so_far") / F.col("rank"))
+    lowest = means.groupBy("class").agg(
+        F.min("mean").alias("floor"), F.min_by("rank", F.struct("mean", "rank")).alias("until")
+    )
+    held = means.join(F.broadcast(lowest), "class").withColumn(
+        "own", F.when(F.col("rank") <= F.col("until"), F.col("floor")).otherwise(F.col("own"))
+    )
+    fallen = running_extreme(held, ["class"], "rank", "own", "d0").select("class", "tail", "d0")
+    return tails.join(fallen, ["class", "tail"]).select("probe_id", "class", "d0")
+
+
 def moderated_dm(
     labelled: DataFrame, top: int = TOP_PER_CLASS, robust: bool = True
 ) -> DataFrame:

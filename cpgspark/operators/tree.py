@@ -24,33 +24,77 @@ def expand_edges(edges: DataFrame, root: str = ROOT) -> DataFrame:
     """Every node reachable from the root, one row per path.
 
     ``edges`` holds ``parent, child`` and optionally ``ordinal``, the place among
-    the siblings; without it siblings go by name.  An edge cycle makes Spark stop
-    with its recursion-level error.
+    the siblings; without it siblings go by name.  A cycle that the root reaches is
+    refused.
+
+    The walk doubles its reach: known walks of fewer than n edges, each followed by every
+    segment of exactly n edges, give those of n to 2n - 1.  A tree of any depth takes
+    as many steps as its depth has binary digits.
     """
     columns = "parent, child, " + ("ordinal" if "ordinal" in edges.columns else "child AS ordinal")
     typed = edges.selectExpr(*[c.strip() for c in columns.split(",")]).distinct()
-    typed = store(typed, "edges")  # read once per level
     kind = dict(typed.dtypes)["ordinal"]
-    start = f"CAST(array() AS array<{kind}>)"
-    return edges.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(name, node_path, order_path) AS (
-          SELECT :root, array(:root), {start}
-          UNION ALL
-          SELECT e.child, array_append(w.node_path, e.child), array_append(w.order_path, e.ordinal)
-          FROM walk w JOIN {{edges}} e ON e.parent = w.name
-        )
-        SELECT node_path, name,
-               CASE WHEN size(node_path) > 1
-                    THEN slice(node_path, 1, size(node_path) - 1) END AS parent_path,
-               size(node_path) AS level, order_path
-        FROM walk
-        """,
-        args={"root": root},
-        edges=typed,
+    segments = store(
+        typed.select(
+            F.col("parent").alias("start"),
+            F.col("child").alias("end"),
+            F.array("child").alias("names"),
+            F.array("ordinal").alias("places"),
+        ),
+        "segments",
+    )
+    known = edges.sparkSession.range(1).select(
+        F.array(F.lit(root)).alias("node_path"),
+        F.lit(root).alias("name"),
+        F.array().cast(f"array<{kind}>").alias("order_path"),
+    )
+    while True:
+        longer = store(_followed(known, segments), "walk")
+        if longer.isEmpty():
+            break
+        again = longer.filter(F.size(F.array_distinct("node_path")) < F.size("node_path")).first()
+        if again is not None:
+            raise ValueError(f"edges form a cycle at {again['name']}: RECURSION without end")
+        known = known.unionByName(longer)
+        segments = store(_doubled(segments), "segments")
+    size = F.size("node_path")
+    parent = F.when(size > 1, F.slice("node_path", F.lit(1), size - 1))
+    return known.select(
+        "node_path", "name", parent.alias("parent_path"), size.alias("level"), "order_path"
+    )
+
+
+def _followed(known: DataFrame, segments: DataFrame) -> DataFrame:
+    """Each known walk, continued by each segment that starts where it ends."""
+    return known.join(segments, F.col("name") == F.col("start")).select(
+        F.concat("node_path", "names").alias("node_path"),
+        F.col("end").alias("name"),
+        F.concat("order_path", "places").alias("order_path"),
     )
 
 
+def _doubled(segments: DataFrame) -> DataFrame:
+    """Segments of twice the length; only the last name may be one passed before.
+
+    A walk that first closes a cycle at its end thus keeps its last segment, and cycles out
+    of the root's reach do not grow.
+    """
+    ahead = segments.select(
+        F.col("start").alias("end"), F.col("end").alias("far"), F.col("names").alias("more"),
+        F.col("places").alias("further"),
+    )
+    names = F.concat("names", "more")
+    passed = F.concat(F.array("start"), F.slice(names, F.lit(1), F.size(names) - 1))
+    return (
+        segments.join(ahead, "end")
+        .filter(F.size(F.array_distinct(passed)) == F.size(passed))
+        .select(
+            "start", F.col("far").alias("end"), names.alias("names"),
+            F.concat("places", "further").alias("places"),
+        )
+    )
+
+
 def attach_samples(nodes: DataFrame, samples: DataFrame) -> DataFrame:
     """Put each sample at every node that bears its disease name."""
     return samples.join(

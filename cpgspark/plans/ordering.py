@@ -13,6 +13,13 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cpgspark.plans.durable import store
+
+#: Rows that one task orders at a time; the number of buckets follows from it.
+ROWS_PER_BUCKET = 65_536
+# The cut points are constants of the plan; beyond this many, buckets grow instead.
+MAX_BUCKETS = 10_000
+
 _BUCKET = "__bucket"
 
 
@@ -58,8 +65,10 @@ def seeded_rank(
     )
 
 
-def value_bounds(df: DataFrame, value_col: str, buckets: int = 256) -> list[float]:
+def value_bounds(df: DataFrame, value_col: str, buckets: int) -> list[float]:
     """Cut points that split the rows into about equal shares (at most ``buckets``)."""
+    if buckets < 2:
+        return []
     shares = [i / buckets for i in range(1, buckets)]
     cuts = df.approxQuantile(value_col, shares, 1.0 / (4 * buckets))
     return sorted({c for c in cuts if abs(c) != float("inf")})
@@ -85,15 +94,21 @@ def running_totals(
     value_col: str,
     totals: dict[str, str],
     descending: bool = True,
-    buckets: int = 256,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Cumulative sums along ``value_col`` inside each group.
 
     ``totals`` maps an input column to the output name of its running sum.  Rows
     must already be unique per (group, value), so ties need no rule.  The sum over
     the whole group is added as ``<output>_all``.
+
+    The input runs once: its rows are stored, and the count in the file footers gives
+    the number of buckets unless ``buckets`` names it.
     """
     group_cols = list(group_cols)
+    df = store(df, "running")
+    if buckets is None:
+        buckets = min(MAX_BUCKETS, -(-df.count() // ROWS_PER_BUCKET))
     bucketed = with_bucket(df, value_col, value_bounds(df, value_col, buckets))
     order = F.col(value_col).desc() if descending else F.col(value_col).asc()
     inside = (
@@ -125,3 +140,45 @@ def running_totals(
         joined = joined.withColumn(out, F.col(f"__before_{out}") + F.col(f"__in_{out}"))
     hidden = [f"__before_{o}" for o in totals.values()] + [f"__in_{o}" for o in totals.values()]
     return joined.drop(_BUCKET, *hidden)
+
+
+def running_extreme(
+    df: DataFrame,
+    group_cols: Sequence[str],
+    rank_col: str,
+    value_col: str,
+    out: str,
+    largest: bool = True,
+    descending: bool = False,
+    piece: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """Add the running maximum (minimum) of ``value_col`` along a rank inside each group.
+
+    ``rank_col`` holds distinct whole numbers from 1 on per group.  A window runs inside
+    each stretch of ``piece`` ranks, and one row per stretch carries the extreme onward.
+    """
+    group_cols = list(group_cols)
+    extreme, pick = (F.max, F.greatest) if largest else (F.min, F.least)
+    cut = df.withColumn(_BUCKET, F.floor((F.col(rank_col) - 1) / piece))
+
+    def order(column: str) -> Column:
+        return F.col(column).desc() if descending else F.col(column).asc()
+
+    inside = (
+        Window.partitionBy(*group_cols, _BUCKET)
+        .orderBy(order(rank_col))
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    whole = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(1))
+    before = whole.orderBy(order(_BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        cut.groupBy(*group_cols, _BUCKET)
+        .agg(extreme(value_col).alias("__best"))
+        .select(*group_cols, _BUCKET, extreme("__best").over(before).alias("__before"))
+    )
+    return (
+        cut.withColumn("__here", extreme(value_col).over(inside))
+        .join(carried, [*group_cols, _BUCKET])
+        .withColumn(out, pick("__here", "__before"))
+        .drop(_BUCKET, "__here", "__before")
+    )

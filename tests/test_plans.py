@@ -41,6 +41,36 @@ def test_running_totals_of_one_value(spark):
     assert (row["s"], row["s_all"]) == (2, 2)
 
 
+@pytest.mark.parametrize("largest, descending", [(True, False), (False, True), (True, True)])
+def test_running_extreme_equals_plain_window(spark, largest, descending):
+    df = _skewed(spark).select("g", "id", ((F.col("id") * 37) % 1999).alias("v"))
+    w = Window.partitionBy("g")
+    df = df.withColumn("r", F.row_number().over(w.orderBy("id")))
+    along = w.orderBy(F.col("r").desc() if descending else F.col("r")).rowsBetween(Window.unboundedPreceding, 0)
+    plain = df.select("g", "r", (F.max if largest else F.min)("v").over(along).alias("x"))
+    got = ordering.running_extreme(df, ["g"], "r", "v", "x", largest, descending, piece=100)
+    assert sorted(map(tuple, got.select("g", "r", "x").collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_running_totals_run_their_input_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        read.add(1)
+        return v
+
+    once = F.udf(seen, "double").asNondeterministic()
+    df = spark.range(500).select(F.lit("g").alias("g"), once(F.col("id").cast("double")).alias("v"), F.lit(1).alias("k"))
+    out = ordering.running_totals(df, ["g"], "v", {"k": "s"}, buckets=8)
+    assert out.agg(F.max("s")).first()[0] == 500
+    assert read.value == 500
+
+
+def test_running_totals_of_nothing(spark):
+    df = spark.createDataFrame([], "g string, v double, k int")
+    assert ordering.running_totals(df, ["g"], "v", {"k": "s"}).count() == 0
+
+
 def test_broadcast_only_when_small(spark):
     big, small = spark.range(1000), spark.range(10)
 

@@ -219,6 +219,73 @@ def test_robust_prior_resists_wild_probes(spark):
     assert clean / 2 < held < clean * 2
 
 
+def _own_priors(s2, df, d0, s02, pooled):
+    """Degrees of freedom of each probe by plain loops over the sorted probes."""
+    tail = tails.f_upper(s2 / s02, df, d0)
+    share = np.array([(np.sum(tail < v) + np.sum(tail == v) / 2) / len(tail) for v in tail])
+    weight = np.minimum(tail / share, 1)
+    low = dm._median_df((s2 / s02)[np.argmin(tail)], df, d0)
+    own = np.where(weight < 1, weight * pooled if np.isinf(d0) else weight * d0 + (1 - weight) * low, d0)
+    order = np.argsort(tail, kind="stable")
+    sorted_own = own[order]
+    means = np.cumsum(sorted_own) / np.arange(1, len(own) + 1)
+    cut = int(np.argmin(means))
+    sorted_own[: cut + 1] = means[cut]
+    own[order] = np.maximum.accumulate(sorted_own)
+    return own
+
+
+@pytest.mark.parametrize("d0", [8.0, math.inf])
+def test_outliers_get_a_looser_prior(spark, d0):
+    rng = np.random.default_rng(21)
+    probes, df, s02 = 300, 12.0, 1.5
+    prior = np.ones(probes) if np.isinf(d0) else d0 / rng.chisquare(d0, probes)
+    s2 = s02 * prior * rng.chisquare(df, probes) / df
+    s2[:6] *= [1e4, 900, 80, 1, 1, 1]
+    s2[10] = s2[11]  # a tie
+    rows = [(f"p{i}", c, df, float(s2[i])) for i in range(probes) for c in "ab"]
+    rows.append(("none", "a", df, math.nan))
+    cells = spark.createDataFrame(rows, "probe_id string, class string, df double, s2 double")
+    given = [(c, float(d0), s02, probes * df) for c in "ab"]
+    prior = spark.createDataFrame(given, "class string, d0 double, s02 double, df_pooled double")
+    got = {(r["probe_id"], r["class"]): r["d0"] for r in dm.outlier_priors(cells, prior).collect()}
+    assert len(got) == 2 * probes
+    want = _own_priors(s2, df, d0, s02, probes * df)
+    for c in "ab":
+        have = np.array([got[(f"p{i}", c)] for i in range(probes)])
+        assert np.allclose(have, want, rtol=1e-9)
+    by_variance = have[np.argsort(s2)]
+    assert (np.diff(by_variance[np.isfinite(by_variance)]) <= 1e-9).all()
+    assert have[0] < 2 and have[np.argsort(s2)[:50]].min() == d0
+
+
+def test_median_df():
+    d = dm._median_df(50.0, 10.0, 20.0)
+    assert float(tails.f_upper(50.0, 10.0, d)) == pytest.approx(0.5, abs=1e-6)
+    assert dm._median_df(0.2, 10.0, 20.0) == 20.0
+
+
+def test_a_wild_probe_is_held_back(spark):
+    """A probe of huge variance loses degrees of freedom; the others keep theirs."""
+    rng = np.random.default_rng(13)
+    n, probes = 20, 300
+    x = rng.normal(size=(probes, n)) * np.sqrt(10 / rng.chisquare(10, probes))[:, None]
+    x[0] *= 60
+    cells = [(f"s{j}", f"p{i}", float(x[i, j]), "a" if j < 9 else "b") for i in range(probes) for j in range(n)]
+    df = spark.createDataFrame(cells, "sample_id string, probe_id string, value double, class string")
+    got = {r["probe_id"]: r["df_total"] for r in dm.moderated_stats(df).filter("class = 'a'").collect()}
+    usual = np.median(list(got.values()))
+    assert len(got) == probes and got["p0"] < n - 2 + 2 < usual
+
+
+def test_f_and_chi_square_tails():
+    x = np.array([0.0, 0.1, 1, 3, 10, 50, 700])
+    assert np.allclose(tails.chi2_upper(x, 2.0), np.exp(-x / 2), rtol=1e-11, atol=0)
+    assert np.allclose(tails.chi2_upper(x, 1.0), [math.erfc(math.sqrt(v / 2)) for v in x], rtol=1e-11, atol=0)
+    assert np.allclose(tails.f_upper(x, 2.0, 7.0), (1 + 2 * x / 7) ** -3.5, rtol=1e-11, atol=0)
+    assert np.allclose(tails.f_upper(x, 4.0, math.inf), tails.chi2_upper(4 * x, 4.0))
+
+
 def test_tails_against_the_standard_library():
     x = np.logspace(-3, 8, 2000)
     assert np.allclose(tails._lgamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12)

@@ -46,6 +46,34 @@ def test_cycle_is_refused(spark):
         tree.expand_edges(edges).collect()
 
 
+@pytest.mark.parametrize(
+    "links", ["ROOT>A A>A", "ROOT>A A>ROOT", "ROOT>A A>B B>C C>D D>E E>F F>B", "ROOT>A ROOT>B B>C C>B"]
+)
+def test_cycles_of_any_length_are_refused(spark, links):
+    edges = spark.createDataFrame([tuple(e.split(">")) for e in links.split()], "parent string, child string")
+    with pytest.raises(ValueError, match="cycle"):
+        tree.expand_edges(edges).collect()
+
+
+def test_cycles_out_of_reach_do_not_matter(spark):
+    rows = [("ROOT", "A"), ("X", "Y"), ("Y", "X"), ("X", "A"), (None, "Z"), ("Q", None)]
+    edges = spark.createDataFrame(rows, "parent string, child string")
+    assert _paths(tree.expand_edges(edges)) == [("ROOT",), ("ROOT/A",)]
+    none = spark.createDataFrame([], "parent string, child string")
+    assert _paths(tree.expand_edges(none)) == [("ROOT",)]
+
+
+def test_a_chain_far_beyond_the_recursion_limit(spark):
+    depth = 3000
+    parent = F.when(F.col("id") == 0, "ROOT").otherwise(F.concat(F.lit("n"), F.col("id")))
+    edges = spark.range(depth).select(parent.alias("parent"), F.concat(F.lit("n"), F.col("id") + 1).alias("child"))
+    nodes = tree.expand_edges(edges)
+    last = nodes.filter(F.col("level") == depth + 1).first()
+    assert nodes.count() == depth + 1
+    assert last["node_path"] == ["ROOT", *[f"n{i}" for i in range(1, depth + 1)]]
+    assert last["order_path"] == last["node_path"][1:] and last["parent_path"] == last["node_path"][:-1]
+
+
 def test_order_follows_ordinals(small):
     nodes, held = small
     assert tree.find_node(nodes, "X").first()["node_path"] == ["ROOT", "B", "X"]
