@@ -228,6 +228,26 @@ def split_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("split", "part", F.array_join("ids", ",").alias("ids"), "n_ids", "total", "seed")
 
 
+@query(
+    "manifest_file",
+    f"""WITH ids AS (SELECT CAST(doc_id AS VARCHAR) AS id FROM documents), {_SPLIT_IDS}
+    SELECT id AS sample_id, split, 'documents' AS input_csv, 42 AS seed, 'doc_id' AS id_col,
+           count(*) OVER ()::INTEGER AS total,
+           (count(*) FILTER (split = 'val') OVER ())::INTEGER AS n_val FROM asg""",
+)
+def manifest_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest written as one JSON document and read back."""
+    target = scratch_path(spark, "manifest-file")
+    parts = splits.split_ids(fx.table(spark, sf, "documents"), "doc_id")
+    sinks.write_manifest(parts, target, "doc_id", "documents")
+    settings = sinks.written_settings(spark, target)
+    rows = sinks.written_assignments(spark, target)
+    return rows.withColumn("doc", settings.select(F.struct("*")).scalar()).select(
+        "sample_id", "split", "doc.input_csv", "doc.seed", "doc.id_col",
+        F.col("doc.counts.total").alias("total"), F.col("doc.counts.val").alias("n_val"),
+    )
+
+
 @query(
     "manifest_counts",
     f"""WITH ids AS (SELECT CAST(doc_id AS VARCHAR) AS id FROM documents), {_SPLIT_IDS}

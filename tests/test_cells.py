@@ -351,6 +351,35 @@ def test_stored_manifest(spark):
         ("a", "train"), ("b", "train"), ("c", "val")]
 
 
+@pytest.mark.parametrize("per_line", [1000, 3])
+def test_manifest_file_is_one_json_document(spark, tmp_path, monkeypatch, per_line):
+    monkeypatch.setattr(sinks, "IDS_PER_LINE", per_line)
+    odd = ['a"b', "c,d", ",e", "[f]", "g\\h", "\u00e9\n", "", "]}}"] + [f"s{i}" for i in range(90)]
+    parts = splits.split_ids(spark.createDataFrame([(i,) for i in odd], "biosample_id string"), "biosample_id")
+    target = str(tmp_path / "manifest")
+    sinks.write_manifest(parts, target, "biosample_id", 'data/"x".csv')
+    files = sorted((tmp_path / "manifest").glob("section=*/part-*.txt"))
+    doc = json.loads("".join(f.read_text() for f in files))
+    assert list(doc) == ["input_csv", "ratios", "seed", "id_col", "counts", "ids"]
+    assert doc["input_csv"] == 'data/"x".csv' and doc["ratios"] == [0.7, 0.15, 0.15]
+    assert doc["counts"] == {"total": 98, "train": 68, "val": 14, "test": 16}
+    want = _rows(parts.withColumnRenamed("biosample_id", "sample_id"), "sample_id", "split")
+    assert sorted((i, s) for s, ids in doc["ids"].items() for i in ids) == want
+    assert _rows(sinks.written_assignments(spark, target), "sample_id", "split") == want
+    whole = spark.createDataFrame([(json.dumps(doc),)], "value string")
+    assert _rows(splits.manifest_assignments(whole), "sample_id", "split") == want
+    assert sinks.written_settings(spark, target).first()["counts"]["val"] == 14
+
+
+def test_manifest_file_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "id string, split string")
+    target = str(tmp_path / "none")
+    sinks.write_manifest(none, target, "id")
+    files = sorted((tmp_path / "none").glob("section=*/part-*.txt"))
+    assert json.loads("".join(f.read_text() for f in files))["ids"] == {"train": [], "val": [], "test": []}
+    assert sinks.written_assignments(spark, target).count() == 0
+
+
 def test_adaptive_folds(spark):
     rows = spark.createDataFrame([("a",)] * 9 + [("b",)], "label string")
     assert tuple(splits.adaptive_folds(rows, "label").first()) == (1, 2, "validation_set")
