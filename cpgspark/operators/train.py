@@ -103,7 +103,7 @@ def forest(
     )
 
 
-def trainforest(
+def train_forest(
     vectors: DataFrame,
     features: list[str],
     name: str = "ROOT",
@@ -261,7 +261,7 @@ def select_on_validation(
     best: NodeModel | None = None
     best_score, rows = -1.0, []
     for n in n_trees:
-        model = trainforest(train, features, name, n, seed=seed)
+        model = train_forest(train, features, name, n, seed=seed)
         calls = model.predict(val).select(
             F.col("class").alias("actual"), F.col("prediction").alias("predicted")
         )
@@ -416,7 +416,7 @@ def train_node(
     vectors = store(
         sample_vectors(rows, features).join(cohort, "sample_id"), "vectors"
     )
-    model = trainforest(
+    model = train_forest(
         vectors.filter("split = 'train'").drop("split"), features, path[-1], n_trees, seed=seed
     )
     calls = model.predict(vectors.filter("split = 'test'")).select(
@@ -515,7 +515,7 @@ def refit_full(
     features = feature_places(rows)
     labels = cohort.select("sample_id", F.col("cancerType").alias("class"))
     vectors = sample_vectors(rows, features).join(labels, "sample_id")
-    return trainforest(
+    return train_forest(
         vectors,
         features,
         name,
