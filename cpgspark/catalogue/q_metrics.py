@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cpgspark.catalogue import fixtures as fx
 from cpgspark.catalogue.registry import query, rounded
-from cpgspark.operators import cohort, metrics, predict, qc, train, tree
+from cpgspark.operators import cohort, isotonic, metrics, predict, qc, train, tree
 
 _CORE = """SELECT round(sum(tp) * 1e0 / sum(support), 6) AS accuracy,
   round(avg(CASE WHEN support + called > 0 THEN 2e0 * tp / (support + called) ELSE 0 END), 6) AS f1_macro,
@@ -190,6 +190,31 @@ def metrics_summary(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.metrics_summary(rows.filter(closed), rows.filter(~closed), 0.81)
 
 
+@query(
+    "isotonic_blocks",
+    # The fit at a score: the largest, over starts up to it, of the least mean from there on.
+    f"""WITH {fx.SCORES},
+    p AS (SELECT class, score, pos, pos + neg AS n, sum(pos) OVER w AS upto, sum(pos + neg) OVER w AS cum_n,
+                 row_number() OVER w AS i FROM pts WINDOW w AS (PARTITION BY class ORDER BY score)),
+    pairs AS (SELECT a.class, a.i AS a, b.i AS b,
+                     (b.upto - a.upto + a.pos) * 1e0 / (b.cum_n - a.cum_n + a.n) AS mean
+              FROM p a JOIN p b ON a.class = b.class AND a.i <= b.i),
+    least_on AS (SELECT class, a, b, min(mean) OVER (PARTITION BY class, a ORDER BY b DESC) AS m FROM pairs),
+    fit AS (SELECT class, b AS i, max(m) AS share FROM least_on GROUP BY 1, 2)
+    SELECT p.class, min(score) AS low, max(score) AS high, CAST(sum(pos) AS BIGINT) AS positives,
+           CAST(sum(n) AS BIGINT) AS n, round(share, 6) + 0.0 AS probability
+    FROM p JOIN fit ON fit.class = p.class AND fit.i = p.i GROUP BY p.class, share""",
+)
+def isotonic_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.scores(spark, sf)
+    made = [
+        isotonic.isotonic_blocks(rows.filter(F.col("class") == c)).withColumn("class", F.lit(c))
+        for c in ("quality", "toxic")
+    ]
+    share = rounded(F.col("positives") / F.col("n")).alias("probability")
+    return made[0].unionByName(made[1]).select("class", "low", "high", "positives", "n", share)
+
+
 # --- step predictions -------------------------------------------------------------------
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cpgspark.operators import design as design_ops
 from cpgspark.operators.dm import anova_f, moderated_dm, restrict_to, select_k_best
+from cpgspark.operators.isotonic import block_ends, isotonic_blocks
 from cpgspark.operators.metrics import core_metrics, one_vs_rest_scores, roc_auc
 from cpgspark.operators.splits import SEED, random_holdout, stratified_folds
 from cpgspark.operators.vectors import class_weights, feature_places, sample_vectors
@@ -348,7 +349,8 @@ def calibrate(
 
     Each class is fitted against the rest; of two classes only the second is.  The
     sigmoid is fitted to softened targets (n+ + 1)/(n+ + 2) and 1/(n- + 2), written
-    as two weighted rows per sample; isotonic is fitted to the plain 0 and 1.
+    as two weighted rows per sample; isotonic is fitted to the plain 0 and 1, which are
+    pooled on the executors, so that only the ends of its blocks reach the driver.
     """
     if method not in ("sigmoid", "isotonic"):
         raise ValueError(f"unknown calibration method: {method}")
@@ -362,9 +364,10 @@ def calibrate(
         truth = F.col("class") == cls
         rows = kept.select(truth.alias("truth"), F.get("scores", F.lit(spots[cls])).alias("score"))
         if method == "isotonic":
-            maps[cls] = IsotonicRegression(featuresCol="score", labelCol="label").fit(
-                rows.select("score", F.col("truth").cast("double").alias("label"))
-            )
+            ends = block_ends(isotonic_blocks(rows))
+            maps[cls] = IsotonicRegression(
+                featuresCol="score", labelCol="label", weightCol="weight"
+            ).fit(ends)
             continue
         pos = sizes.get(cls, 0)
         high, low = (pos + 1.0) / (pos + 2.0), 1.0 / (total - pos + 2.0)
