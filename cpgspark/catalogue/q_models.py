@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cpgspark.catalogue import fixtures as fx
 from cpgspark.catalogue.registry import query, rounded
-from cpgspark.operators import cohort, design, dm, metrics, predict, qc, search, splits, train
+from cpgspark.operators import cohort, components, design, dm, metrics, predict, qc, search, splits, train
 from cpgspark.operators.tree import ROOT, samples_at_level
-from cpgspark.operators.vectors import feature_places, sample_vectors
+from cpgspark.operators.vectors import feature_places, sample_arrays, sample_vectors
 from cpgspark.plans.durable import store
 
 _TREES = train.TREES[0]
@@ -182,23 +182,46 @@ def refit_full(spark: SparkSession, sf: str) -> DataFrame:
     return train.feature_importance(model, spark)
 
 
-def _embedded(spark: SparkSession, sf: str):
+def _used(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Clean measurements and the importances of a model over all probes."""
     m = qc.clean_values(fx.measurements(spark, sf))
     _, held = fx.class_tree(spark, sf)
     model = train.refit_full(m, samples_at_level(held, 2), ROOT, {"n_trees": _TREES}, fx.PROBES)
-    importances = train.feature_importance(model, spark)
-    parts = splits.split_ids(fx.labels(spark, sf), "sample_id")
-    old = parts.filter("split <> 'test'").select("sample_id")
-    placed = cohort.embed_cohort(m.join(old, "sample_id", "left_semi"), importances)
-    return m, placed
+    return m, train.feature_importance(model, spark)
 
 
 @query("embed_cohort")
 def embed_cohort(spark: SparkSession, sf: str) -> DataFrame:
-    return _embedded(spark, sf)[1][0]
+    return cohort.embed_cohort(*_used(spark, sf))[0]
 
 
 @query("project_samples")
 def project_samples(spark: SparkSession, sf: str) -> DataFrame:
-    m, (embedding, model, features) = _embedded(spark, sf)
+    """The test part joins an embedding of the others."""
+    m, importances = _used(spark, sf)
+    parts = splits.split_ids(fx.labels(spark, sf), "sample_id")
+    old = parts.filter("split <> 'test'").select("sample_id")
+    embedding, model, features = cohort.embed_cohort(
+        m.join(old, "sample_id", "left_semi"), importances
+    )
     return cohort.project_samples(embedding, m, fx.labels(spark, sf), model, features)
+
+
+@query(
+    "component_covariances",
+    f"""WITH {fx.M}, f AS (SELECT sample_id, probe_id, coalesce(value, 0) AS value FROM m)
+    SELECT a.probe_id AS probe_a, b.probe_id AS probe_b,
+           round(covar_samp(a.value, b.value), 6) + 0.0 AS covariance
+    FROM f a JOIN f b ON a.sample_id = b.sample_id AND a.probe_id <= b.probe_id GROUP BY 1, 2""",
+)
+def component_covariances(spark: SparkSession, sf: str) -> DataFrame:
+    """All components together give back the covariance of every two probes."""
+    arrays = store(sample_arrays(fx.measurements(spark, sf), fx.PROBES), "arrays")
+    size = len(fx.PROBES)
+    found = components.principal_components(arrays, size, size)
+    scaled = (found.directions * found.variances) @ found.directions.T
+    rows = [
+        (fx.PROBES[i], fx.PROBES[j], float(scaled[i, j])) for i in range(size) for j in range(i, size)
+    ]
+    out = spark.createDataFrame(rows, "probe_a string, probe_b string, covariance double")
+    return out.withColumn("covariance", rounded("covariance"))

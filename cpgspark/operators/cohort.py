@@ -7,17 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, PCAModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
+from cpgspark.operators.components import Components, principal_components
 from cpgspark.operators.ingest import missing_probes
-from cpgspark.operators.vectors import (
-    feature_places,
-    probe_names,
-    sample_arrays,
-    sample_vectors,
-)
+from cpgspark.operators.vectors import feature_places, probe_names, sample_arrays
 from cpgspark.plans.durable import store
 
 NEIGHBOURS = 5
@@ -25,33 +19,36 @@ NEIGHBOURS = 5
 _BLOCK_BYTES = 64 << 20
 
 
-def _coordinates(vectors: DataFrame, model: PCAModel) -> DataFrame:
-    p = vector_to_array("embedding")
-    return model.transform(vectors).select(
-        *[F.get(p, F.lit(i)).alias(c) for i, c in enumerate("xyz")], "sample_id"
+def _coordinates(arrays: DataFrame, model: Components) -> DataFrame:
+    values = F.col("values")
+    return arrays.select(
+        *[model.coordinate(values, i).alias(c) for i, c in enumerate("xyz")], "sample_id"
     )
 
 
-def embed_cohort(m: DataFrame, importances: DataFrame) -> tuple[DataFrame, PCAModel, list[str]]:
-    """``x, y, z, sample_id`` from the probes a model uses (importance above 0)."""
+def embed_cohort(m: DataFrame, importances: DataFrame) -> tuple[DataFrame, Components, list[str]]:
+    """``x, y, z, sample_id`` from the probes a model uses (importance above 0).
+
+    The coordinates are centred, uncorrelated, and fall in variance from x to z.
+    """
     used = importances.filter(F.col("importance") > 0)
     features = feature_places(used)
     if len(features) < 3:
         raise ValueError("three coordinates need at least three used features")
-    vectors = sample_vectors(m, features)
-    model = PCA(k=3, inputCol="features", outputCol="embedding").fit(vectors)
-    return _coordinates(vectors, model), model, features
+    arrays = store(sample_arrays(m, features), "arrays")
+    model = principal_components(arrays, len(features))
+    return _coordinates(arrays, model), model, features
 
 
 def project_samples(
-    embedding: DataFrame, m: DataFrame, samples: DataFrame, model: PCAModel, features: list[str]
+    embedding: DataFrame, m: DataFrame, samples: DataFrame, model: Components, features: list[str]
 ) -> DataFrame:
     """Add the listed samples that the embedding lacks and that have data."""
     absent = samples.select("sample_id").distinct().join(
         embedding.select("sample_id"), "sample_id", "left_anti"
     )
     rows = m.join(absent, "sample_id", "left_semi")
-    placed = _coordinates(sample_vectors(rows, features), model)
+    placed = _coordinates(sample_arrays(rows, features), model)
     return embedding.select("x", "y", "z", "sample_id").unionByName(placed)
 
 
