@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cpgspark.operators.components import Components, principal_components
 from cpgspark.operators.ingest import missing_probes
@@ -15,8 +16,10 @@ from cpgspark.operators.vectors import feature_places, probe_names, sample_array
 from cpgspark.plans.durable import store
 
 NEIGHBOURS = 5
-#: Bytes of one block's values in a task; a block has at least one sample.
-_BLOCK_BYTES = 64 << 20
+#: Probes of one range: a task holds the values of one range only.
+_RANGE = 4096
+#: Bytes of one block's values in a range; a block has at least one sample.
+_BLOCK_BYTES = 16 << 20
 
 
 def _coordinates(arrays: DataFrame, model: Components) -> DataFrame:
@@ -78,68 +81,145 @@ def mean_impute(m: DataFrame) -> DataFrame:
     return known.unionByName(filled)
 
 
-def _nearest(
-    targets: pd.DataFrame, donors: pd.DataFrame, k: int
-) -> Iterator[tuple[str, int, float, str, float]]:
-    """Best donors inside one block for every missing cell of the targets.
+def _tile_sums(
+    targets: pd.DataFrame, donors: pd.DataFrame
+) -> Iterator[tuple[str, list[float], list[int]]]:
+    """Of every target the squared distance and shared probes to each donor, in one range.
 
-    Distance is Euclidean over the shared probes, scaled up by the share that is
-    shared.
+    Donors come in name order; a sample shares nothing with itself.
     """
+    donors = donors.sort_values("donor")
     a, b = np.stack(targets["values"]), np.stack(donors["donor_values"])
     ka, kb = ~np.isnan(a), ~np.isnan(b)
     a0, b0 = np.where(ka, a, 0.0), np.where(kb, b, 0.0)
     names = donors["donor"].to_numpy()
     for i, target in enumerate(targets["sample_id"]):
-        common = kb[:, ka[i]].sum(axis=1)
-        gap = np.where(kb & ka[i], b0 - a0[i], 0.0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            distance = np.sqrt(a.shape[1] / common * (gap * gap).sum(axis=1))
-        distance[(common == 0) | (names == target)] = np.nan
-        order = np.lexsort((names, distance))
+        both = kb & ka[i]
+        gap = np.where(both, b0 - a0[i], 0.0)
+        common = np.where(names == target, 0, both.sum(axis=1))
+        yield target, (gap * gap).sum(axis=1).tolist(), common.tolist()
+
+
+def _tile_guesses(
+    targets: pd.DataFrame, donors: pd.DataFrame, k: int, first: int
+) -> Iterator[tuple[str, int, float, str, float]]:
+    """The k nearest donors of one block that have a missing cell, in one range."""
+    donors = donors.sort_values("donor")
+    b = np.stack(donors["donor_values"])
+    names = donors["donor"].to_numpy()
+    for target, values, distance in zip(
+        targets["sample_id"], targets["values"], targets["distances"], strict=True
+    ):
+        order = np.argsort(distance, kind="stable")  # ties stay in name order
         order = order[~np.isnan(distance[order])]
-        gaps = np.flatnonzero(~ka[i])
-        have = kb[np.ix_(order, gaps)]
+        gaps = np.flatnonzero(np.isnan(values))
+        have = ~np.isnan(b[np.ix_(order, gaps)])
         # Of each gap the first k donors that have the cell.
         row, gap_at = np.nonzero(have & (np.cumsum(have, axis=0) <= k))
-        for j, place in zip(order[row].tolist(), gaps[gap_at].tolist()):
-            yield target, place, float(distance[j]), names[j], float(b[j, place])
+        for j, place in zip(order[row].tolist(), gaps[gap_at].tolist(), strict=True):
+            yield target, first + place, float(distance[j]), names[j], float(b[j, place])
 
 
 def knn_impute(m: DataFrame, targets: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """``sample_id, probe_id, value`` of the target samples, every cell filled.
 
     A missing cell takes the mean of the ``k`` nearest samples that have it, or the
-    probe's mean if none does.  Samples are cut into blocks; each block of targets
-    meets each block of donors in one task that hands on at most ``k`` donors per
-    missing cell, so pairs of samples are never written out.
+    probe's mean if none does.  Distance is Euclidean over the shared probes, scaled up
+    by the share that is shared.
+
+    Samples are cut into blocks and probes into ranges.  A block of targets with gaps
+    meets each block of donors range by range; what the ranges add to the distances is
+    summed as it arrives, so no task holds more than one range of two blocks and one
+    distance per pair of them, however many the probes.  A range then gets the distances
+    of those targets that have a gap in it, and hands on at most ``k`` donors per gap
+    and block.
     """
     features = probe_names(m)
+    width = max(1, min(_RANGE, len(features)))
+    ranges = max(1, math.ceil(len(features) / width))
+    per_block = max(1, _BLOCK_BYTES // (8 * width))
     arrays = store(sample_arrays(m, features, fill=float("nan")), "arrays")
-    per_block = max(1, _BLOCK_BYTES // (8 * max(len(features), 1)))
-    blocks = max(1, math.ceil(arrays.count() / per_block))
-    block = F.pmod(F.xxhash64("sample_id"), F.lit(blocks))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-
     wanted = targets.select("sample_id").distinct()
     gappy = F.exists("values", F.isnan)
     asked = arrays.join(wanted, "sample_id", "left_semi").filter(gappy)
-    left = asked.withColumn("tblock", block).withColumn("dblock", every)
-    right = arrays.select(
-        F.col("sample_id").alias("donor"), F.col("values").alias("donor_values"), block.alias("dblock")
-    ).withColumn("tblock", every)
-
-    def pair(t: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        columns = ["sample_id", "place", "distance", "donor", "value"]
-        if t.empty or d.empty:
-            return pd.DataFrame(columns=columns)
-        return pd.DataFrame(_nearest(t, d, k), columns=columns)
-
-    schema = "sample_id string, place int, distance double, donor string, value double"
+    tblocks, dblocks = (max(1, math.ceil(d.count() / per_block)) for d in (asked, arrays))
+
+    def numbers(size: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+
+    def tiles(rows: DataFrame, blocks: int, block_col: str) -> DataFrame:
+        cut = F.transform(
+            F.sequence(F.lit(0), F.lit(ranges - 1)),
+            lambda r: F.struct(
+                r.alias("range"), F.slice("values", r * width + 1, F.lit(width)).alias("values")
+            ),
+        )
+        block = F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int").alias(block_col)
+        return rows.select("sample_id", block, F.explode(cut).alias("tile")).select(
+            "sample_id", block_col, "tile.*"
+        )
+
+    keys = ["tblock", "dblock", "range"]
+    left = tiles(asked, tblocks, "tblock")
+    right = tiles(arrays, dblocks, "dblock").withColumnsRenamed(
+        {"sample_id": "donor", "values": "donor_values"}
+    )
+    given = right.withColumn("tblock", numbers(tblocks))
+
+    def sums(key: tuple, t: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        made = _tile_sums(t, d) if len(t) and len(d) else ()
+        out = pd.DataFrame(made, columns=["sample_id", "squares", "shared"])
+        return out.assign(tblock=key[0], dblock=key[1])
+
+    parts = (
+        left.withColumn("dblock", numbers(dblocks))
+        .groupBy(keys)
+        .cogroup(given.groupBy(keys))
+        .applyInPandas(
+            sums,
+            "sample_id string, squares array<double>, shared array<long>, tblock int, dblock int",
+        )
+    )
+    probes = len(features)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, list[np.ndarray]] = {}
+        block = None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                target = batch.column("sample_id")[row].as_py()
+                new = [batch.column(c)[row].values.to_numpy() for c in ("squares", "shared")]
+                if target in totals:
+                    totals[target] = [x + y for x, y in zip(totals[target], new, strict=True)]
+                else:
+                    totals[target] = [np.array(x) for x in new]
+                block = batch.column("dblock")[row].as_py()
+        for target, (squares, shared) in totals.items():
+            with np.errstate(divide="ignore", invalid="ignore"):
+                distance = np.sqrt(probes / shared * squares)
+            distance[shared == 0] = np.nan
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([target]), pa.array([block], pa.int32()), pa.array([distance.tolist()])],
+                ["sample_id", "dblock", "distances"],
+            )
+
+    distances = parts.groupBy("tblock", "dblock").applyInArrow(
+        add_up, "sample_id string, dblock int, distances array<double>"
+    )
+    open_tiles = left.filter(gappy)
+    needed = open_tiles.select("tblock", "range").distinct()
+
+    def guess(key: tuple, t: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        made = _tile_guesses(t, d, k, int(key[2]) * width) if len(t) and len(d) else ()
+        return pd.DataFrame(made, columns=["sample_id", "place", "distance", "donor", "value"])
+
     found = (
-        left.groupBy("tblock", "dblock")
-        .cogroup(right.groupBy("tblock", "dblock"))
-        .applyInPandas(pair, schema)
+        open_tiles.join(distances, "sample_id")
+        .groupBy(keys)
+        .cogroup(given.join(needed, ["tblock", "range"], "left_semi").groupBy(keys))
+        .applyInPandas(
+            guess, "sample_id string, place int, distance double, donor string, value double"
+        )
     )
     nearest = Window.partitionBy("sample_id", "place").orderBy("distance", "donor")
     names = m.sparkSession.createDataFrame(list(enumerate(features)), "place int, probe_id string")

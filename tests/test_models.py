@@ -198,6 +198,39 @@ def test_neighbours_over_many_probes_go_in_blocks(spark, monkeypatch):
     assert whole == pytest.approx(base[5] + 0.01 * np.mean([1, 2, 4, 5, 0]), abs=0.02)
 
 
+@pytest.mark.parametrize("width", [1, 3, 64])
+def test_neighbours_do_not_depend_on_probe_ranges(spark, monkeypatch, width):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(25, 10))
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[2, 3:6] = np.nan  # a range of one target without any value
+    x[:, 9] = np.nan
+    x[4, 9] = 1.5
+    rows = [(f"s{i:02d}", f"p{j}", float(x[i, j])) for i in range(25) for j in range(10) if not np.isnan(x[i, j])]
+    m = spark.createDataFrame(rows, M)
+    wanted = spark.createDataFrame([("s02",), ("s07",), ("s20",)], "sample_id string")
+    whole = {r[:2]: r[2] for r in cohort.knn_impute(m, wanted, 3).select("sample_id", "probe_id", "value").collect()}
+    monkeypatch.setattr(cohort, "_RANGE", width)
+    monkeypatch.setattr(cohort, "_BLOCK_BYTES", 8 * width * 6)
+    cut = {r[:2]: r[2] for r in cohort.knn_impute(m, wanted, 3).select("sample_id", "probe_id", "value").collect()}
+    assert len(whole) == 30 and cut == pytest.approx(whole)
+
+
+def test_neighbours_of_seventy_thousand_probes(spark):
+    """Every sample is a shift of one profile, so the nearest are the next shifts."""
+    cells = spark.range(200 * 70_000).select(
+        F.format_string("s%03d", F.floor(F.col("id") / 70_000)).alias("sample_id"),
+        F.format_string("p%05d", F.col("id") % 70_000).alias("probe_id"),
+        (F.floor(F.col("id") / 70_000) + (F.col("id") % 70_000) % 17).cast("double").alias("value"),
+    )
+    gap = "(sample_id = 's100' and probe_id in ('p00004', 'p69999'))"
+    m = cells.filter(f"not {gap}")
+    wanted = spark.createDataFrame([("s100",), ("s101",)], "sample_id string")
+    out = cohort.knn_impute(m, wanted, 2)
+    found = {r[1]: r[2] for r in out.filter(gap).select("sample_id", "probe_id", "value").collect()}
+    assert found == {"p00004": pytest.approx(100 + 4), "p69999": pytest.approx(100 + 69_999 % 17)}
+
+
 def test_models_survive_storage(spark, grown):
     m, _, held, models = grown
     folder = scratch_path(spark, "models")
