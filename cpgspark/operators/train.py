@@ -213,16 +213,16 @@ def grid_search(
     """
     indexer, classes = _indexed(vectors)
     folded = stratified_folds(class_weights(vectors), "sample_id", "class", k, seed)
-    forest = forest(n_trees[0], max_depth[0], seed)
+    estimator = forest(n_trees[0], max_depth[0], seed)
     grid = (
         ParamGridBuilder()
-        .addGrid(forest.numTrees, list(n_trees))
-        .addGrid(forest.maxDepth, list(max_depth))
-        .addGrid(forest.impurity, list(impurity))
+        .addGrid(estimator.numTrees, list(n_trees))
+        .addGrid(estimator.maxDepth, list(max_depth))
+        .addGrid(estimator.impurity, list(impurity))
         .build()
     )
     search = CrossValidator(
-        estimator=forest,
+        estimator=estimator,
         estimatorParamMaps=grid,
         evaluator=ClassScore(score, classes),
         numFolds=k,
@@ -233,9 +233,9 @@ def grid_search(
     fitted = search.fit(store(indexer.transform(folded), "folds"))
     rows = [
         (
-            int(p[forest.numTrees]),
-            int(p[forest.maxDepth]),
-            str(p[forest.impurity]),
+            int(p[estimator.numTrees]),
+            int(p[estimator.maxDepth]),
+            str(p[estimator.impurity]),
             float(s),
         )
         for p, s in zip(grid, fitted.avgMetrics, strict=True)
