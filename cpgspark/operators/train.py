@@ -14,7 +14,6 @@ from pyspark.ml.classification import (
     LogisticRegression,
     LogisticRegressionModel,
     OneVsRest,
-    RandomForestClassifier,
 )
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StringIndexer
@@ -25,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cpgspark.operators import design as design_ops
 from cpgspark.operators.dm import anova_f, moderated_dm, restrict_to, select_k_best
+from cpgspark.operators.forests import Forest
 from cpgspark.operators.isotonic import block_ends, isotonic_blocks
 from cpgspark.operators.metrics import core_metrics, one_vs_rest_scores, roc_auc
 from cpgspark.operators.splits import SEED, random_holdout, stratified_folds
@@ -92,8 +92,8 @@ def _indexed(vectors: DataFrame) -> tuple[Model, list[str]]:
 
 def forest(
     n_trees: int, max_depth: int, seed: int, max_features: str = "sqrt", **extra: object
-) -> RandomForestClassifier:
-    return RandomForestClassifier(
+) -> Forest:
+    return Forest(
         numTrees=n_trees,
         maxDepth=max_depth,
         seed=seed,
