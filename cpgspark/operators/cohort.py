@@ -20,6 +20,8 @@ NEIGHBOURS = 5
 _RANGE = 4096
 #: Bytes of one block's values in a range; a block has at least one sample.
 _BLOCK_BYTES = 16 << 20
+#: Samples of one block at most, however few the probes.
+_BLOCK_ROWS = 8192
 
 
 def _coordinates(arrays: DataFrame, model: Components) -> DataFrame:
@@ -97,7 +99,53 @@ def _tile_sums(
         both = kb & ka[i]
         gap = np.where(both, b0 - a0[i], 0.0)
         common = np.where(names == target, 0, both.sum(axis=1))
-        yield target, (gap * gap).sum(axis=1).tolist(), common.tolist()
+        yield target, (gap * gap).sum(axis=1), common
+
+
+def _distance(probes: int, squares: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Distances scaled up by the share of the probes that is shared; NaN if none is."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        distance = np.sqrt(probes / shared * squares)
+    distance[shared == 0] = np.nan
+    return distance
+
+
+def _fill(
+    target: str, values: np.ndarray, distance: np.ndarray, b: np.ndarray, names: np.ndarray, k: int, first: int
+) -> Iterator[tuple[str, int, float, str, float]]:
+    """Of each missing cell of one target the first k donors that have it, ties in name order."""
+    gaps = np.flatnonzero(np.isnan(values))
+    near = np.flatnonzero(~np.isnan(distance))
+    some = 16 * k
+    while True:
+        part = near
+        if some < near.size:
+            # The nearest alone, with all of equal distance, unless they leave a gap short.
+            part = near[distance[near] <= np.partition(distance[near], some)[some]]
+        order = part[np.argsort(distance[part], kind="stable")]  # ties stay in name order
+        have = ~np.isnan(b[np.ix_(order, gaps)])
+        if part.size == near.size or (have.sum(axis=0) >= k).all():
+            break
+        some = near.size
+    row, gap_at = np.nonzero(have & (np.cumsum(have, axis=0) <= k))
+    for j, place in zip(order[row].tolist(), gaps[gap_at].tolist(), strict=True):
+        yield target, first + place, float(distance[j]), names[j], float(b[j, place])
+
+
+def _block_guesses(
+    targets: pd.DataFrame, donors: pd.DataFrame, k: int, probes: int
+) -> Iterator[tuple[str, int, float, str, float]]:
+    """The k nearest donors of one block that have a missing cell, where one range has all probes.
+
+    The distances of one target at a time are held.
+    """
+    donors = donors.sort_values("donor")
+    b = np.stack(donors["donor_values"])
+    names = donors["donor"].to_numpy()
+    for values, (target, squares, shared) in zip(
+        targets["values"], _tile_sums(targets, donors), strict=True
+    ):
+        yield from _fill(target, values, _distance(probes, squares, shared), b, names, k, 0)
 
 
 def _tile_guesses(
@@ -110,14 +158,7 @@ def _tile_guesses(
     for target, values, distance in zip(
         targets["sample_id"], targets["values"], targets["distances"], strict=True
     ):
-        order = np.argsort(distance, kind="stable")  # ties stay in name order
-        order = order[~np.isnan(distance[order])]
-        gaps = np.flatnonzero(np.isnan(values))
-        have = ~np.isnan(b[np.ix_(order, gaps)])
-        # Of each gap the first k donors that have the cell.
-        row, gap_at = np.nonzero(have & (np.cumsum(have, axis=0) <= k))
-        for j, place in zip(order[row].tolist(), gaps[gap_at].tolist(), strict=True):
-            yield target, first + place, float(distance[j]), names[j], float(b[j, place])
+        yield from _fill(target, values, np.asarray(distance), b, names, k, first)
 
 
 def knn_impute(m: DataFrame, targets: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
@@ -127,7 +168,9 @@ def knn_impute(m: DataFrame, targets: DataFrame, k: int = NEIGHBOURS) -> DataFra
     probe's mean if none does.  Distance is Euclidean over the shared probes, scaled up
     by the share that is shared.
 
-    Samples are cut into blocks and probes into ranges.  A block of targets with gaps
+    Samples are cut into blocks and probes into ranges.  Where one range has all probes, a
+    block of targets with gaps meets each block of donors once and hands on at most ``k``
+    donors per gap; the distances of one target at a time are held.  Else a block of targets
     meets each block of donors range by range; what the ranges add to the distances is
     summed as it arrives, so no task holds more than one range of two blocks and one
     distance per pair of them, however many the probes.  A range then gets the distances
@@ -137,12 +180,15 @@ def knn_impute(m: DataFrame, targets: DataFrame, k: int = NEIGHBOURS) -> DataFra
     features = probe_names(m)
     width = max(1, min(_RANGE, len(features)))
     ranges = max(1, math.ceil(len(features) / width))
-    per_block = max(1, _BLOCK_BYTES // (8 * width))
+    per_block = max(1, min(_BLOCK_ROWS, _BLOCK_BYTES // (8 * width)))
     arrays = store(sample_arrays(m, features, fill=float("nan")), "arrays")
     wanted = targets.select("sample_id").distinct()
     gappy = F.exists("values", F.isnan)
     asked = arrays.join(wanted, "sample_id", "left_semi").filter(gappy)
     tblocks, dblocks = (max(1, math.ceil(d.count() / per_block)) for d in (asked, arrays))
+    if ranges == 1:
+        # Enough pairs of blocks for all cores, however few the samples of a block.
+        tblocks = max(tblocks, math.ceil(2 * m.sparkSession.sparkContext.defaultParallelism / dblocks))
 
     def numbers(size: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
@@ -166,9 +212,17 @@ def knn_impute(m: DataFrame, targets: DataFrame, k: int = NEIGHBOURS) -> DataFra
     )
     given = right.withColumn("tblock", numbers(tblocks))
 
+    probes = len(features)
+    found_schema = "sample_id string, place int, distance double, donor string, value double"
+
+    def direct(key: tuple, t: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        made = _block_guesses(t, d, k, probes) if len(t) and len(d) else ()
+        return pd.DataFrame(made, columns=["sample_id", "place", "distance", "donor", "value"])
+
     def sums(key: tuple, t: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         made = _tile_sums(t, d) if len(t) and len(d) else ()
-        out = pd.DataFrame(made, columns=["sample_id", "squares", "shared"])
+        lists = ((target, squares.tolist(), shared.tolist()) for target, squares, shared in made)
+        out = pd.DataFrame(lists, columns=["sample_id", "squares", "shared"])
         return out.assign(tblock=key[0], dblock=key[1])
 
     parts = (
@@ -180,7 +234,6 @@ def knn_impute(m: DataFrame, targets: DataFrame, k: int = NEIGHBOURS) -> DataFra
             "sample_id string, squares array<double>, shared array<long>, tblock int, dblock int",
         )
     )
-    probes = len(features)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, list[np.ndarray]] = {}
@@ -195,9 +248,7 @@ def knn_impute(m: DataFrame, targets: DataFrame, k: int = NEIGHBOURS) -> DataFra
                     totals[target] = [np.array(x) for x in new]
                 block = batch.column("dblock")[row].as_py()
         for target, (squares, shared) in totals.items():
-            with np.errstate(divide="ignore", invalid="ignore"):
-                distance = np.sqrt(probes / shared * squares)
-            distance[shared == 0] = np.nan
+            distance = _distance(probes, squares, shared)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([target]), pa.array([block], pa.int32()), pa.array([distance.tolist()])],
                 ["sample_id", "dblock", "distances"],
@@ -217,10 +268,18 @@ def knn_impute(m: DataFrame, targets: DataFrame, k: int = NEIGHBOURS) -> DataFra
         open_tiles.join(distances, "sample_id")
         .groupBy(keys)
         .cogroup(given.join(needed, ["tblock", "range"], "left_semi").groupBy(keys))
-        .applyInPandas(
-            guess, "sample_id string, place int, distance double, donor string, value double"
-        )
+        .applyInPandas(guess, found_schema)
     )
+    if ranges == 1:
+        # Distances are whole within a block: no pair of samples leaves its task.
+        pairs = tblocks * dblocks
+        found = (
+            left.withColumn("dblock", numbers(dblocks))
+            .repartition(pairs, *keys)
+            .groupBy(keys)
+            .cogroup(given.repartition(pairs, *keys).groupBy(keys))
+            .applyInPandas(direct, found_schema)
+        )
     nearest = Window.partitionBy("sample_id", "place").orderBy("distance", "donor")
     names = m.sparkSession.createDataFrame(list(enumerate(features)), "place int, probe_id string")
     guesses = (

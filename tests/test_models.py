@@ -303,3 +303,19 @@ def test_svm_choice_of_c(spark, grown):
     assert calls.filter(F.col("class") == F.col("prediction")).count() >= 55
     with pytest.raises(ValueError):
         train.search_linear_svm(vectors, features, score="roc_auc")
+
+
+def test_one_range_holds_no_pairs_of_samples(spark, monkeypatch):
+    """Few probes and many samples: no distances leave a task, and far ties leave no gap short."""
+    def refused(*_):
+        raise AssertionError("distances of a whole block were made")
+
+    monkeypatch.setattr(cohort, "_tile_guesses", refused)
+    monkeypatch.setattr(cohort, "_BLOCK_ROWS", 40)
+    # All but six far samples lack p1, so the nearest sixteen times k cannot fill it.
+    rows = [(f"s{i:03d}", "p0", float(i)) for i in range(150)]
+    rows += [(f"s{i:03d}", "p1", float(i)) for i in range(144, 150)]
+    rows += [(f"s{i:03d}", "p1", None) for i in range(144)]
+    m = spark.createDataFrame(rows, M)
+    out = cohort.knn_impute(m, m.filter("sample_id = 's000'"), 2)
+    assert out.filter("probe_id = 'p1'").first()["value"] == pytest.approx(144.5)
