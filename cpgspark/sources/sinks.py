@@ -37,12 +37,12 @@ def scan_filter_sink(
 def write_samples(values: DataFrame, target: str) -> None:
     """Per-sample M and Beta outputs: one folder per kind and sample.
 
-    Rows are brought together by (kind, sample), so each folder gets one file and
-    each task holds few open writers.
+    Rows are brought together by (kind, sample), so each task holds few open writers.
+    Small samples give one file; a task never gets the whole of a large one.
     """
     (
         values.select("kind", "meth_sample_id", "probeName", "value")
-        .repartition("kind", "meth_sample_id")
+        .hint("rebalance", "kind", "meth_sample_id")
         .write.mode("append")
         .partitionBy("kind", "meth_sample_id")
         .parquet(target)
