@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from cpgspark.functions.identifiers import REPORT_SUFFIX, base_name, sample_id_from_file
 from cpgspark.functions.numeric import finite
+from cpgspark.plans.durable import store
+from cpgspark.plans.sizing import small_side
 
 # Column names of the input files.
 REPORT_V1 = T.StructType(
@@ -118,26 +120,32 @@ def parse_reports(lines: DataFrame) -> DataFrame:
     """
     quote = F.lit('"')
     cells = F.transform(F.split("value", "\t", -1), lambda x: F.btrim(x, quote))
-    split = lines.filter(F.col("value") != "").withColumn("cells", cells).drop("value")
-    is_header = F.array_contains("cells", "Name")
+    # The text is searched first: only lines that can be headers are cut up for the test.
+    is_header = F.col("value").contains("Name") & F.array_contains(cells, "Name")
+    filled = lines.filter(F.col("value") != "")
     headers = (
-        split.filter(is_header)
+        filled.filter(is_header)
         .groupBy("file")
-        .agg(F.min("cells").alias("header"))
+        .agg(F.min(cells).alias("header"), F.min("meth_sample_id").alias("meth_sample_id"))
         .filter(F.array_contains("header", "MValue"))
     )
+    version = F.when(F.array_contains("header", "EPICv1_Loci"), "v2").otherwise("v1")
+    places = [F.array_position("header", f.name).alias(f"__{f.name}") for f in REPORT_V2.fields]
+    # Read once and sent to the rows, which are not shuffled; the id, cut out of a file's path,
+    # is worked out for its header alone.
+    known = small_side(store(headers.select("meth_sample_id", "file", version.alias("version"), *places), "headers"))
 
     def cell(field: T.StructField) -> Column:
-        place = F.array_position("header", field.name)
-        text = F.when(place > 0, F.get("cells", (place - 1).cast("int")))
+        place = F.col(f"__{field.name}")
+        text = F.when(place > 0, F.btrim(F.get("cells", (place - 1).cast("int")), quote))
         known = F.when(~text.isin("NA", ""), text)
         if isinstance(field.dataType, T.DoubleType):
             known = finite(known.try_cast("double"))
         return known.alias(field.name)
 
-    version = F.when(F.array_contains("header", "EPICv1_Loci"), "v2").otherwise("v1")
-    return split.filter(~is_header).join(headers, "file").select(
-        "meth_sample_id", "file", version.alias("version"), *[cell(f) for f in REPORT_V2.fields]
+    split = filled.filter(~is_header).select("file", F.split("value", "\t", -1).alias("cells"))
+    return split.join(known, "file").select(
+        "meth_sample_id", "file", "version", *[cell(f) for f in REPORT_V2.fields]
     )
 
 

@@ -385,3 +385,32 @@ def test_adaptive_folds(spark):
     assert tuple(splits.adaptive_folds(rows, "label").first()) == (1, 2, "validation_set")
     rows = spark.createDataFrame([("a",)] * 9 + [("b",)] * 8, "label string")
     assert tuple(splits.adaptive_folds(rows, "label").first()) == (8, 5, "cross_validation")
+
+
+def test_report_rows_meet_their_headers_without_a_shuffle(spark, tmp_path):
+    folder = tmp_path / "S1_methylation_anno_hg38.txt"
+    folder.mkdir()
+    lines = ["MValue\tName\tEPICv1_Loci", '0.5\t"a"\tx', "NA\tName2\ty"]
+    (folder / "part-0").write_text("\n".join(lines) + "\n")
+    found = tables.read_array_report(spark, str(tmp_path), folders=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "regexp_extract" not in plan
+    rows = [tuple(r) for r in found.select("meth_sample_id", "Name", "EPICv1_Loci", "MValue", "Beta").collect()]
+    assert sorted(rows, key=str) == [("S1", "Name2", "y", None, None), ("S1", "a", "x", 0.5, None)]
+
+
+def test_a_large_sample_is_written_by_several_tasks(spark, tmp_path):
+    values = spark.range(0, 40_000, 1, 8).select(
+        F.lit("M").alias("kind"), F.lit("s1").alias("meth_sample_id"),
+        F.col("id").cast("string").alias("probeName"), F.rand(1).alias("value"),
+    )
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "32k")
+    try:
+        sinks.write_samples(values, str(tmp_path / "out"))
+    finally:
+        spark.conf.set(key, before)
+    files = list((tmp_path / "out" / "kind=M" / "meth_sample_id=s1").glob("*.parquet"))
+    assert len(files) > 1
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 40_000
