@@ -12,6 +12,7 @@ run again after a failure it replaces its own files.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -68,6 +69,7 @@ def keep_reports(batch: DataFrame, batch_id: int, target: str, suffix: str) -> D
         F.col("batch_id") != batch_id
     )
     claims = parsed.select("meth_sample_id", "report", F.lit(1).alias("turn")).distinct()
+    claims = store(claims, "claims")
     # The earliest claim wins; within a batch the first by name.
     owner = (
         earlier.select("meth_sample_id", "report", F.lit(0).alias("turn"))
@@ -76,11 +78,13 @@ def keep_reports(batch: DataFrame, batch_id: int, target: str, suffix: str) -> D
         .agg(F.min_by("report", F.struct("turn", "report")).alias("report"))
     )
     _part(spark, f"{target}/raw", RAW_SCHEMA)
-    mine = parsed.join(owner, ["meth_sample_id", "report"], "left_semi")
-    mine = store(mine, "claimed")
-    _own(mine.select("meth_sample_id", "report").distinct(), f"{target}/reports", batch_id)
+    # A line for each report: the rows themselves are written once, not again for their claims.
+    mine = store(claims.join(owner, ["meth_sample_id", "report"], "left_semi").drop("turn"), "claimed")
+    _own(mine, f"{target}/reports", batch_id)
     _own(
-        mine.select("meth_sample_id", "version", "Name", "EPICv1_Loci", "MValue"),
+        parsed.join(small_side(mine), ["meth_sample_id", "report"], "left_semi").select(
+            "meth_sample_id", "version", "Name", "EPICv1_Loci", "MValue"
+        ),
         f"{target}/raw",
         batch_id,
     )
@@ -116,12 +120,18 @@ def ingest_reports(
 
     ``samples`` gives ``sample_id`` for each ``meth_sample_id``.
     """
-    # The lists are the same for every batch: work them out once.
-    mapping = store(mapping, "probe-map")
-    features = store(features.select("probe_id").distinct(), "features")
-    named = store(samples.select("sample_id", "meth_sample_id").distinct(), "named")
+
+    @functools.cache
+    def lists() -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The same for every batch: worked out once, by the first."""
+        return (
+            store(mapping, "probe-map"),
+            store(features.select("probe_id").distinct(), "features"),
+            store(samples.select("sample_id", "meth_sample_id").distinct(), "named"),
+        )
 
     def work_out(touched: DataFrame, batch_id: int) -> None:
+        mapping, features, named = lists()
         raw = _part(spark, f"{target}/raw", RAW_SCHEMA).join(touched, "meth_sample_id", "left_semi")
         second = harmonise_v2(raw.filter("version = 'v2'"), mapping, ["MValue"]).select(
             "meth_sample_id", F.col("probeName").alias("probe_id"), "value"
@@ -140,6 +150,7 @@ def ingest_reports(
             .select("meth_sample_id")
             .join(done, "meth_sample_id", "left_anti")
         )
+        named = lists()[2]
         touched = fresh.unionByName(waiting).distinct().join(named, "meth_sample_id", "left_semi")
         work_out(store(touched, "touched"), batch_id)
 
