@@ -40,6 +40,8 @@ from cpgspark.plans.durable import store
 from cpgspark.plans.sizing import small_side
 
 _TASK = "task"
+#: Folds of a search that are fitted at once.
+FITS = 4
 
 
 @dataclass(frozen=True)
@@ -146,13 +148,20 @@ class FoldedCohorts:
             raise ValueError("select fewer probes before building vectors")
         return sorted(some)
 
-    def rows(self, node: str) -> "NodeRows":
-        """Samples of a node with the values of the probes chosen in any part of it, stored once."""
+    def rows(self, node: str, marks: DataFrame | None = None) -> "NodeRows":
+        """Samples of a node with the values of the probes chosen in any part of it, stored once.
+
+        ``marks`` has further columns by ``sample_id``.
+        """
         names = sorted({p for (of, _), some in self.lists.items() if of == node for p in some})
         own = self.cohort.where(F.col("node") == node).drop("node")
+        extra: list[str] = []
+        if marks is not None:
+            own = own.join(marks, "sample_id")
+            extra = [c for c in marks.columns if c != "sample_id"]
         picked = pick(self.arrays.join(small_side(own), "sample_id"), self.names, names)
         values = vector_to_array("features").alias("values")
-        return NodeRows(store(picked.select("sample_id", "class", "fold", values), "node-rows"), names)
+        return NodeRows(store(picked.select("sample_id", "class", "fold", *extra, values), "node-rows"), names)
 
 
 @dataclass
@@ -178,23 +187,36 @@ def search_node(
     name: str | None = None,
     seed: int = SEED,
     rows: NodeRows | None = None,
+    pool: ThreadPoolExecutor | None = None,
 ) -> Searched:
     """Every setting on every fold, the best refitted on all training rows of the node.
 
     The first of equally good settings is kept.  With ``calibration`` the kept setting's
-    out-of-fold scores give the maps to probabilities.
+    out-of-fold scores give the maps to probabilities.  The fits of the folds run as
+    concurrent Spark jobs, as many as ``pool`` has threads.
     """
+    if pool is None:
+        with ThreadPoolExecutor(FITS) as own_pool:
+            return search_node(held, node, settings, score, calibration, name, seed, rows, own_pool)
     label, rows = name or node, rows or held.rows(node)
-    found: list[tuple[int, int, float]] = []
+
+    def fit_fold(some: Settings, fold: int) -> tuple[NodeModel, DataFrame]:
+        features = held.features(node, fold, some.top_k)
+        vectors = rows.vectors(features)
+        model = fit(vectors.where(F.col("fold") != fold), features, some, label, seed)
+        return model, vectors.where(F.col("fold") == fold)
+
+    def tried(at: tuple[int, int]) -> tuple[NodeModel, float]:
+        model, outside = fit_fold(settings[at[0]], at[1])
+        return model, _score(model, outside, score)
+
     best, models = 0, {}
     folds = held.folds(node) if len(settings) > 1 or calibration else []
-    for i, some in enumerate(settings if len(settings) > 1 else []):
-        for fold in folds:
-            features = held.features(node, fold, some.top_k)
-            vectors = rows.vectors(features)
-            model = fit(vectors.where(F.col("fold") != fold), features, some, label, seed)
-            found.append((i, fold, _score(model, vectors.where(F.col("fold") == fold), score)))
-            models[i, fold] = model
+    places = [(i, fold) for i in range(len(settings)) for fold in folds] if len(settings) > 1 else []
+    found: list[tuple[int, int, float]] = []
+    for at, (model, value) in zip(places, pool.map(tried, places), strict=True):
+        found.append((*at, value))
+        models[at] = model
     if found:
         means = [sum(s for i, _, s in found if i == j) / len(folds) for j in range(len(settings))]
         best = means.index(max(means))
@@ -206,12 +228,14 @@ def search_node(
         model.metrics["cv_best"] = max(means)
     if calibration:
         outside = None
-        for fold in folds:
-            own = held.features(node, fold, chosen.top_k)
-            vectors = rows.vectors(own)
-            part = models.get((best, fold)) or fit(vectors.where(F.col("fold") != fold), own, chosen, label, seed)
+
+        def part_of(fold: int) -> NodeModel:
+            return models.get((best, fold)) or fit_fold(chosen, fold)[0]
+
+        for fold, part in zip(folds, pool.map(part_of, folds), strict=True):
             if part.classes != model.classes:
                 continue  # a class too small to be in every training part
+            vectors = rows.vectors(held.features(node, fold, chosen.top_k))
             scored = part.predict(vectors.where(F.col("fold") == fold)).select("class", "scores")
             outside = scored if outside is None else outside.unionByName(scored)
         if outside is not None:
@@ -257,6 +281,7 @@ def train_task(
     kept.  The summary has the metrics of the validation and the test rows.
     """
     spark = m.sparkSession
+    cohort = store(cohort.select("sample_id", "class", "split"), "task-cohort")
     training = cohort.where("split = 'train'")
     plan = adaptive_folds(training, "class").first()
     dealt = node_folds(
@@ -267,8 +292,8 @@ def train_task(
     )
     sizes = [s.top_k for s in settings]
     held = FoldedCohorts(m, dealt.unionByName(rest), None if None in sizes else max(sizes), False)
-    rows = held.rows(_TASK)
-    rows = NodeRows(rows.frame.join(cohort.select("sample_id", "split"), "sample_id"), rows.names)
+    # Stored with their split: every fit reads the rows several times.
+    rows = held.rows(_TASK, cohort.select("sample_id", "split"))
 
     def part(model: NodeModel, split: str) -> DataFrame:
         return _called(model, rows.where(F.col("split") == split).vectors(model.features))
@@ -332,12 +357,14 @@ def train_nodes(
         if (node, ALL_FOLDS) not in held.lists:
             return None  # no probe that all its samples have
         rows = held.rows(node)
-        model = search_node(held, node, settings, score, calibration, paths[node][-1], seed, rows).model
+        model = search_node(
+            held, node, settings, score, calibration, paths[node][-1], seed, rows, fits
+        ).model
         calls = _called(model, rows.where("fold IS NULL").vectors(model.features))
         kept = {k: v for k, v in core_metrics(calls).first().asDict().items() if v is not None}
         model.metrics = {**model.metrics, **kept}
         model.held_out = held.cohort.where((F.col("node") == node) & F.col("fold").isNull()).select("sample_id", "class")
         return replace(model, path=tuple(paths[node]))
 
-    with ThreadPoolExecutor(max(1, parallel)) as pool:
+    with ThreadPoolExecutor(max(1, parallel)) as pool, ThreadPoolExecutor(max(1, parallel)) as fits:
         return [x for x in pool.map(one, nodes) if x is not None]

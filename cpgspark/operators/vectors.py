@@ -96,12 +96,17 @@ def class_weights(labelled: DataFrame, label_col: str = "class") -> DataFrame:
     weight = F.sum("n_class").over(everyone) / (
         F.count(F.lit(1)).over(everyone) * F.col("n_class")
     )
-    # One map value with an entry per class: no shuffle by class, however uneven.
+    # One map value with an entry per class: no shuffle by class, however uneven.  It is
+    # counted here, once; as part of the plan every pass over the rows would count it again.
     entry = F.struct(F.col(label_col).alias("key"), F.col("weight").alias("value"))
     table = sizes.withColumn("weight", weight).agg(
         F.map_from_entries(F.collect_list(entry)).alias("weights")
     )
-    return labelled.withColumn("weight", F.element_at(table.scalar(), F.col(label_col)))
+    weights = table.first()["weights"]
+    if not weights:
+        return labelled.withColumn("weight", F.lit(None).cast("double"))
+    known = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    return labelled.withColumn("weight", F.element_at(known, F.col(label_col)))
 
 
 def standard_scale(m: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from cpgspark.operators import design, dm, predict, search, splits, train, tree
+from cpgspark.operators.forests import Forest
 from cpgspark.operators.vectors import sample_vectors
 
 M = "sample_id string, probe_id string, value double"
@@ -102,6 +104,42 @@ def test_pure_noise_scores_at_chance(spark):
     assert len(set.union(*kept.values())) >= 20  # every fold chose its own
 
 
+def test_task_fits_read_stored_rows(spark, monkeypatch):
+    """A fit reads the rows several times: no join, split or class count is left in its plan."""
+    rng = np.random.default_rng(6)
+    m, rows = task(spark, rng.normal(size=(40, 4)), [f"k{i % 2}" for i in range(40)])
+    rows = rows.withColumn("split", F.max("split").over(Window.partitionBy("sample_id")))
+    plans, plain = [], Forest._fit
+
+    def spied(self, data):
+        plans.append(data._jdf.queryExecution().optimizedPlan().toString())
+        return plain(self, data)
+
+    monkeypatch.setattr(Forest, "_fit", spied)
+    search.train_task(m, rows, search.grid(top_k=(2,), n_trees=(3,), max_depth=(2,)))
+    assert plans
+    for plan in plans:
+        assert "Join" not in plan and "Window" not in plan and "Aggregate" not in plan
+
+
+def test_folds_are_fitted_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    m, rows = task(spark, rng.normal(size=(40, 4)), [f"k{i % 2}" for i in range(40)])
+    both, plain = threading.Barrier(2), search.fit
+
+    def met(vectors, *given):
+        if both.n_waiting or not met.done:
+            both.wait(60)  # two fits are under way
+            met.done = True
+        return plain(vectors, *given)
+
+    met.done = False
+    monkeypatch.setattr(search, "fit", met)
+    found = search.train_task(m, rows, search.grid(top_k=(2, 4), n_trees=(3,), max_depth=(2,)))
+    table = found.scores.orderBy("setting").collect()
+    assert [(r.top_k, r.n_folds) for r in table] == [(2, 5), (4, 5)]
+
+
 def test_signal_is_found_and_scaling_is_kept(spark, tmp_path):
     rng = np.random.default_rng(4)
     classes = [f"k{i % 3}" for i in range(60)]
