@@ -69,7 +69,8 @@ def unpack(words: np.ndarray, bits: int, at: np.ndarray) -> np.ndarray:
     """The packed numbers at the given places."""
     if not bits:
         return np.zeros(len(at), dtype=np.int64)
-    first, shift = at * bits // 64, (at * bits % 64).astype(np.uint64)
+    place = at * bits
+    first, shift = place >> 6, (place & 63).astype(np.uint64)
     low = words[first] >> shift
     over = np.flatnonzero(shift + np.uint64(bits) > 64)
     low[over] |= words[first[over] + 1] << (np.uint64(64) - shift[over])
@@ -93,6 +94,22 @@ def elias_fano(values: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+#: Place of the n-th set bit of a byte, in row n.
+_BIT = np.array(
+    [[([i for i in range(8) if b >> i & 1] + [0] * 8)[n] for b in range(256)] for n in range(8)], np.int64
+)
+
+
+def _select(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Place of the set bit of each 64-bit word that ``rank`` others precede."""
+    octets = np.ascontiguousarray(words, "<u8").view(np.uint8)
+    # The product adds up the counts of the bytes so far, each in its own byte.
+    so_far = np.bitwise_count(octets).view("<u8") * np.uint64(0x0101010101010101)
+    octet = (so_far.view(np.uint8).reshape(-1, 8) <= rank[:, None].astype(np.uint8)).sum(axis=1)
+    before = ((so_far << np.uint64(8)) >> (octet.astype(np.uint64) << np.uint64(3))) & np.uint64(255)
+    return (octet << 3) + _BIT[rank - before.astype(np.int64), octets[np.arange(len(words)) * 8 + octet]]
+
+
 def elias_fano_at(code: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
     """The numbers at the given places."""
     out = np.empty(len(at), dtype=np.int64)
@@ -101,10 +118,7 @@ def elias_fano_at(code: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
         i = at[start : start + (1 << 16)].astype(np.int64)
         word = np.searchsorted(code["ones"], i, side="right") - 1
         rank = i - code["ones"][word]
-        flags = np.unpackbits(
-            np.ascontiguousarray(code["high"][word]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"
-        )
-        place = word * 64 + np.argmax(np.cumsum(flags, axis=1, dtype=np.uint8) > rank[:, None], axis=1)
+        place = (word << 6) + _select(code["high"][word], rank)
         out[start : start + (1 << 16)] = (place - i) << bits | unpack(code["low"], bits, i)
     return out
 

@@ -54,6 +54,7 @@ def open_arrays(path: str) -> dict[str, np.ndarray]:
                     copy.write(piece)
             copy.flush()
             data = np.memmap(copy, np.uint8, "r")
+        data = np.asarray(data)  # numpy does less for each access than with its own class of maps
         size = struct.unpack("<Q", data[:8].tobytes())[0]
         base = 8 + size
         _OPEN[path] = {

@@ -18,6 +18,15 @@ def test_elias_fano_gives_back_its_numbers(values):
     assert np.array_equal(lm.elias_fano_at(lm.elias_fano(values), np.arange(len(values))), values)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, (1 << 64) - 1), min_size=1, max_size=30))
+def test_select_finds_every_set_bit(words):
+    words = [*words, (1 << 64) - 1, 1 << 63, 1]
+    bits = [(w, n, place) for w in words for n, place in enumerate(i for i in range(64) if w >> i & 1)]
+    given_words, rank, place = zip(*bits)
+    assert lm._select(np.array(given_words, dtype=np.uint64), np.array(rank)).tolist() == list(place)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 40), st.lists(st.integers(0, (1 << 40) - 1), max_size=200))
 def test_packed_numbers(bits, values):
