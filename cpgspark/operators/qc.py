@@ -71,11 +71,15 @@ def drop_sparse_samples(m: DataFrame, max_missing: int = MAX_MISSING) -> DataFra
     return m.join(kept.select("sample_id"), "sample_id", "left_semi")
 
 
+def complete_probes(m: DataFrame) -> DataFrame:
+    """``probe_id`` of every probe that no sample of ``m`` lacks."""
+    present = m.groupBy("probe_id").agg(F.count("value").alias("present"))
+    return present.filter(F.col("present") == _n_distinct(m, "sample_id")).select("probe_id")
+
+
 def drop_incomplete_probes(m: DataFrame) -> DataFrame:
     """Drop every probe that any sample of ``m`` lacks."""
-    present = m.groupBy("probe_id").agg(F.count("value").alias("present"))
-    kept = present.filter(F.col("present") == _n_distinct(m, "sample_id"))
-    return m.join(kept.select("probe_id"), "probe_id", "left_semi")
+    return m.join(complete_probes(m), "probe_id", "left_semi")
 
 
 def drop_incomplete_samples(m: DataFrame) -> DataFrame:

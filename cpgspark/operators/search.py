@@ -10,6 +10,7 @@ fits themselves go fold by fold and node by node, as concurrent Spark jobs.
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
@@ -23,9 +24,10 @@ from pyspark.sql import DataFrame, functions as F
 from cpgspark.operators import design as design_ops
 from cpgspark.operators.dm import ALL_FOLDS, fold_features, fold_scores
 from cpgspark.operators.metrics import core_metrics, metrics_summary
-from cpgspark.operators.qc import drop_incomplete_probes
+from cpgspark.operators.qc import complete_probes
 from cpgspark.operators.splits import SEED, adaptive_folds, node_folds
 from cpgspark.operators.train import (
+    FITS,
     MAX_DEPTH,
     TREES,
     ClassScore,
@@ -40,8 +42,6 @@ from cpgspark.plans.durable import store
 from cpgspark.plans.sizing import small_side
 
 _TASK = "task"
-#: Folds of a search that are fitted at once.
-FITS = 4
 
 
 @dataclass(frozen=True)
@@ -74,17 +74,25 @@ def grid(**choices: Iterable) -> list[Settings]:
 
 
 def fit(
-    vectors: DataFrame, features: list[str], settings: Settings, name: str = "ROOT", seed: int = SEED
+    vectors: DataFrame,
+    features: list[str],
+    settings: Settings,
+    name: str = "ROOT",
+    seed: int = SEED,
+    counted: dict[str, int] | None = None,
 ) -> NodeModel:
-    """Scaling and model on ``sample_id, features, class``; both are kept in the model."""
-    indexer, classes = _indexed(vectors)
+    """Scaling and model on ``sample_id, features, class``; both are kept in the model.
+
+    ``counted`` has the number of rows of every class, where they were counted before.
+    """
+    indexer, classes = _indexed(vectors, counted)
     rows = indexer.transform(vectors)
     column = "scaled" if settings.scale else "features"
     if settings.kind == "svm":
         machine = LinearSVC(maxIter=settings.max_iter, regParam=1.0 / (settings.c * rows.count()), featuresCol=column)
         last = OneVsRest(classifier=machine, featuresCol=column)
     elif settings.kind == "forest":
-        rows = class_weights(rows) if settings.balanced else rows.withColumn("weight", F.lit(1.0))
+        rows = class_weights(rows, counted=counted) if settings.balanced else rows.withColumn("weight", F.lit(1.0))
         last = forest(
             settings.n_trees,
             settings.max_depth,
@@ -177,6 +185,21 @@ class NodeRows:
     def vectors(self, features: list[str]) -> DataFrame:
         return pick(self.frame, self.names, features)
 
+    def class_sizes(self, folds: Sequence[int]) -> dict[int, dict[str, int] | None]:
+        """Rows of every class outside each of the folds, and in all of them by :data:`ALL_FOLDS`.
+
+        None stands for rows that have no class.
+        """
+        found = self.frame.where("fold IS NOT NULL").groupBy("class", "fold").count().collect()
+        sizes: dict[int, dict[str, int] | None] = {}
+        for left_out in (*folds, ALL_FOLDS):
+            some: Counter = Counter()
+            for r in found:
+                if r["fold"] != left_out:
+                    some[r["class"]] += r["count"]
+            sizes[left_out] = None if None in some else dict(some)
+        return sizes
+
 
 def search_node(
     held: FoldedCohorts,
@@ -199,11 +222,13 @@ def search_node(
         with ThreadPoolExecutor(FITS) as own_pool:
             return search_node(held, node, settings, score, calibration, name, seed, rows, own_pool)
     label, rows = name or node, rows or held.rows(node)
+    folds = held.folds(node) if len(settings) > 1 or calibration else []
+    sizes = rows.class_sizes(folds)
 
     def fit_fold(some: Settings, fold: int) -> tuple[NodeModel, DataFrame]:
         features = held.features(node, fold, some.top_k)
         vectors = rows.vectors(features)
-        model = fit(vectors.where(F.col("fold") != fold), features, some, label, seed)
+        model = fit(vectors.where(F.col("fold") != fold), features, some, label, seed, sizes[fold])
         return model, vectors.where(F.col("fold") == fold)
 
     def tried(at: tuple[int, int]) -> tuple[NodeModel, float]:
@@ -211,7 +236,6 @@ def search_node(
         return model, _score(model, outside, score)
 
     best, models = 0, {}
-    folds = held.folds(node) if len(settings) > 1 or calibration else []
     places = [(i, fold) for i in range(len(settings)) for fold in folds] if len(settings) > 1 else []
     found: list[tuple[int, int, float]] = []
     for at, (model, value) in zip(places, pool.map(tried, places), strict=True):
@@ -223,7 +247,7 @@ def search_node(
     chosen = settings[best]
     features = held.features(node, ALL_FOLDS, chosen.top_k)
     training = rows.vectors(features).where("fold IS NOT NULL")
-    model = fit(training, features, chosen, label, seed)
+    model = fit(training, features, chosen, label, seed, sizes[ALL_FOLDS])
     if found:
         model.metrics["cv_best"] = max(means)
     if calibration:
@@ -350,7 +374,9 @@ def train_nodes(
     if not nodes:
         return []
     sizes = [s.top_k for s in settings]
-    whole = drop_incomplete_probes(m)
+    # The probes that all samples have are found once: two passes over the measurements use them.
+    kept = store(complete_probes(m), "complete-probes")
+    whole = m.join(small_side(kept), "probe_id", "left_semi")
     held = FoldedCohorts(whole, cohort, None if None in sizes else max(sizes), True)
 
     def one(node: str) -> NodeModel | None:

@@ -16,7 +16,7 @@ from pyspark.ml.classification import (
     OneVsRest,
 )
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import StringIndexer
+from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -35,6 +35,8 @@ TREES = (200, 400)
 #: Spark's deepest tree; a forest is otherwise not limited in depth.
 MAX_DEPTH = 30
 SCORES = ("f1_macro", "accuracy", "roc_auc")
+#: Folds of a search, or classes of a calibration, that are fitted at once.
+FITS = 4
 
 
 def path_key(path: Sequence[str]) -> str:
@@ -84,7 +86,13 @@ class NodeModel:
         )
 
 
-def _indexed(vectors: DataFrame) -> tuple[Model, list[str]]:
+def _indexed(
+    vectors: DataFrame, counted: dict[str, int] | None = None
+) -> tuple[Model, list[str]]:
+    """Classes in the order of code points; those of ``counted``, where they are known."""
+    if counted:
+        classes = sorted(counted)
+        return StringIndexerModel.from_labels(classes, inputCol="class", outputCol="label"), classes
     indexer = StringIndexer(inputCol="class", outputCol="label", stringOrderType="alphabetAsc")
     fitted = indexer.fit(vectors)
     return fitted, list(fitted.labels)
@@ -347,7 +355,8 @@ def calibrate(
 ) -> Calibrator:
     """Fit score-to-probability maps on ``class, scores`` (array in class order).
 
-    Each class is fitted against the rest; of two classes only the second is.  The
+    Each class is fitted against the rest, as concurrent Spark jobs; of two classes only
+    the second is.  The
     sigmoid is fitted to softened targets (n+ + 1)/(n+ + 2) and 1/(n- + 2), written
     as two weighted rows per sample; isotonic is fitted to the plain 0 and 1, which are
     pooled on the executors, so that only the ends of its blocks reach the driver.
@@ -359,16 +368,15 @@ def calibrate(
     kept = store(scored.select("class", "scores"), "calibration")
     sizes = {r["class"]: r["count"] for r in kept.groupBy("class").count().collect()}
     total = sum(sizes.values())
-    maps: dict[str, Model] = {}
-    for cls in targets:
+
+    def fitted(cls: str) -> Model:
         truth = F.col("class") == cls
         rows = kept.select(truth.alias("truth"), F.get("scores", F.lit(spots[cls])).alias("score"))
         if method == "isotonic":
             ends = block_ends(isotonic_blocks(rows))
-            maps[cls] = IsotonicRegression(
+            return IsotonicRegression(
                 featuresCol="score", labelCol="label", weightCol="weight"
             ).fit(ends)
-            continue
         pos = sizes.get(cls, 0)
         high, low = (pos + 1.0) / (pos + 2.0), 1.0 / (total - pos + 2.0)
         target = F.when(F.col("truth"), F.lit(high)).otherwise(F.lit(low))
@@ -379,7 +387,10 @@ def calibrate(
         soft = rows.select(
             array_to_vector(F.array("score")).alias("features"), F.explode(both).alias("b")
         ).select("features", "b.label", "b.w")
-        maps[cls] = LogisticRegression(weightCol="w", regParam=0.0, maxIter=100).fit(soft)
+        return LogisticRegression(weightCol="w", regParam=0.0, maxIter=100).fit(soft)
+
+    with ThreadPoolExecutor(FITS) as pool:
+        maps = dict(zip(targets, pool.map(fitted, targets), strict=True))
     return Calibrator(list(classes), maps, method)
 
 

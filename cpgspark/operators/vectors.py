@@ -89,8 +89,14 @@ def pick(arrays: DataFrame, names: list[str], features: list[str]) -> DataFrame:
     return arrays.withColumn("features", array_to_vector(values)).drop("values")
 
 
-def class_weights(labelled: DataFrame, label_col: str = "class") -> DataFrame:
-    """Add ``weight`` = n / (classes * n of the class)."""
+def class_weights(
+    labelled: DataFrame, label_col: str = "class", counted: dict[str, int] | None = None
+) -> DataFrame:
+    """Add ``weight`` = n / (classes * n of the class); ``counted`` has the n, where known."""
+    if counted:
+        whole = sum(counted.values())
+        weights = {c: whole / (len(counted) * n) for c, n in counted.items()}
+        return _weighted(labelled, label_col, weights)
     sizes = labelled.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_class"))
     everyone = Window.partitionBy()  # one row per class
     weight = F.sum("n_class").over(everyone) / (
@@ -105,6 +111,10 @@ def class_weights(labelled: DataFrame, label_col: str = "class") -> DataFrame:
     weights = table.first()["weights"]
     if not weights:
         return labelled.withColumn("weight", F.lit(None).cast("double"))
+    return _weighted(labelled, label_col, weights)
+
+
+def _weighted(labelled: DataFrame, label_col: str, weights: dict[str, float]) -> DataFrame:
     known = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
     return labelled.withColumn("weight", F.element_at(known, F.col(label_col)))
 

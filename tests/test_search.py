@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Window, functions as F
 
 from cpgspark.operators import design, dm, predict, search, splits, train, tree
@@ -238,3 +239,51 @@ def test_reads_of_the_measurements_do_not_grow_with_the_nodes(spark, grown):
         for (c, _), n in folds.items():
             by_class[c].append(n)
         assert all(max(n) - min(n) <= 1 for n in by_class.values())
+
+
+def test_a_tree_finds_complete_probes_and_counts_classes_once(spark, grown, monkeypatch):
+    """Passes over the measurements read stored probes; no fit counts its classes anew."""
+    m, nodes, held = grown
+    seen = []
+
+    class Cohorts(search.FoldedCohorts):
+        def __init__(self, rows, *rest):
+            seen.append(rows._jdf.queryExecution().optimizedPlan().toString())
+            super().__init__(rows, *rest)
+
+    def refused(*_):
+        raise AssertionError("a fit counted its classes")
+
+    monkeypatch.setattr(search, "FoldedCohorts", Cohorts)
+    monkeypatch.setattr(train.StringIndexer, "fit", refused)
+    settings = search.grid(top_k=(6,), n_trees=(3, 5), max_depth=(3,))
+    models = train.train_tree(m, nodes, held, settings=settings, folds=2)
+    assert set(models) == {"ROOT", "ROOT/g0", "ROOT/g1"}
+    assert [x.classes for x in models.values()] == [["g0", "g1"], ["c0", "c1"], ["c2", "c3"]]
+    assert len(seen) == 1 and "Aggregate" not in seen[0]
+
+
+def test_known_classes_fit_the_same_model(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"s{i}", Vectors.dense(rng.normal(size=3) + i % 3), "\U0001F600\uFFFFb"[i % 3]) for i in range(45)]
+    vectors = spark.createDataFrame(rows, ["sample_id", "features", "class"]).repartition(1).cache()
+    settings = search.Settings(n_trees=4, max_depth=3)
+    counted = dict(Counter(r[2] for r in rows))
+    told, asked = (search.fit(vectors, list("xyz"), settings, counted=n) for n in (counted, None))
+    assert told.classes == asked.classes == ["b", "\uFFFF", "\U0001F600"]
+    assert told.model._java_obj.toDebugString().split("\n")[1:] == asked.model._java_obj.toDebugString().split("\n")[1:]
+
+
+def test_classes_of_a_calibration_are_fitted_at_once(spark, monkeypatch):
+    gate = threading.Barrier(3, timeout=60)
+
+    class Waits(train.LogisticRegression):
+        def fit(self, rows):
+            gate.wait()
+            return super().fit(rows)
+
+    monkeypatch.setattr(train, "LogisticRegression", Waits)
+    rng = np.random.default_rng(6)
+    rows = [("abc"[i % 3], [float(v) for v in rng.dirichlet(np.ones(3) + (np.arange(3) == i % 3))]) for i in range(60)]
+    fitted = train.calibrate(spark.createDataFrame(rows, "class string, scores array<double>"), "abc")
+    assert list(fitted.maps) == list("abc")

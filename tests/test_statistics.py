@@ -186,6 +186,15 @@ def test_class_weights_balance(spark):
     assert got == {"a": pytest.approx(4 / 6), "b": pytest.approx(2.0)}
 
 
+def test_class_weights_of_known_counts(spark):
+    df = spark.createDataFrame([("a",)] * 3 + [("b",)], "class string")
+    got, want = (
+        {r["class"]: r["weight"] for r in vectors.class_weights(df, counted=n).collect()}
+        for n in ({"a": 3, "b": 1}, None)
+    )
+    assert got == want
+
+
 def test_udf_runs_once_when_filtered(spark):
     df, _ = _table(spark)
     plan = dm.welch_p(dm.dm_class_stats(df)).filter(F.col("p_value") < 0.5)
