@@ -34,17 +34,15 @@ def _places(m: DataFrame, features: list[str]) -> DataFrame:
     return small_side(m.sparkSession.createDataFrame(rows, "probe_id string, place int"))
 
 
-def _dense(cells: Column, size: int, fill: float) -> Column:
-    """Array of ``size`` values from sorted (place, value) cells; gaps get ``fill``."""
-
-    def piece(cell: Column, i: Column) -> Column:
-        previous = F.when(i > 0, F.get(cells, i - 1)["place"]).otherwise(F.lit(-1))
-        gap = F.array_repeat(F.lit(fill), cell["place"] - previous - 1)
-        return F.concat(gap, F.array(cell["value"]))
-
-    last = F.coalesce(F.get(cells, F.size(cells) - 1)["place"], F.lit(-1))
-    tail = F.array_repeat(F.lit(fill), F.lit(size - 1) - last)
-    return F.concat(F.flatten(F.transform(cells, piece)), tail)
+def _dense(size: int, fill: float) -> Column:
+    """Array of ``size`` values from lists of ``place`` and ``value``; gaps get ``fill``."""
+    # By native array functions: one lambda a gap, none for a sample that has every cell.
+    every = F.sequence(F.lit(0), F.lit(size - 1)) if size else F.array().cast("array<int>")
+    gaps = F.transform(
+        F.array_except(every, F.col("place")),
+        lambda i: F.struct(i.alias("place"), F.lit(fill).alias("value")),
+    )
+    return F.sort_array(F.concat(F.arrays_zip("place", "value"), gaps))["value"]
 
 
 def sample_arrays(m: DataFrame, features: list[str], fill: float = 0.0) -> DataFrame:
@@ -55,22 +53,15 @@ def sample_arrays(m: DataFrame, features: list[str], fill: float = 0.0) -> DataF
     they fold into their sample before the shuffle.  The group of a sample holds at most
     one cell per feature.
     """
+    held = F.col("value").isNotNull() & F.col("place").isNotNull()
+    # Two lists of plain numbers, filled row by row together, take half the time of one of pairs.
     known = (
         m.withColumn("value", finite(F.col("value").cast("double")))
         .join(_places(m, features), "probe_id", "left")
         .groupBy("sample_id")
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.when(
-                        F.col("value").isNotNull() & F.col("place").isNotNull(),
-                        F.struct("place", "value"),
-                    )
-                )
-            ).alias("cells")
-        )
+        .agg(*[F.collect_list(F.when(held, F.col(c))).alias(c) for c in ("place", "value")])
     )
-    return known.select("sample_id", _dense(F.col("cells"), len(features), fill).alias("values"))
+    return known.select("sample_id", _dense(len(features), fill).alias("values"))
 
 
 def sample_vectors(m: DataFrame, features: list[str]) -> DataFrame:
@@ -82,6 +73,9 @@ def sample_vectors(m: DataFrame, features: list[str]) -> DataFrame:
 
 def pick(arrays: DataFrame, names: list[str], features: list[str]) -> DataFrame:
     """``features`` vectors of one model out of arrays over ``names``; other columns stay."""
+    if features == names:  # nothing to look up
+        values = F.slice("values", 1, len(names))
+        return arrays.withColumn("features", array_to_vector(values)).drop("values")
     place = {name: i for i, name in enumerate(names)}
     # One value in the plan, folded to an array, however many the features.
     places = F.split(F.lit(",".join(str(place[f]) for f in features)), ",").cast("array<int>")

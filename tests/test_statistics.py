@@ -180,6 +180,26 @@ def test_sample_arrays_fill_gaps_in_order(spark):
     assert got == {"s": [0, 2, 0, 0, 0], "t": [1, 0, 0, 0, 0], "u": [0] * 5}
 
 
+def test_sample_arrays_sort_without_a_comparison_per_cell(spark):
+    """Values come in two plain lists; only a gap costs a lambda, and places that repeat stay."""
+    rows = [("s", "b", 2.0), ("s", "a", 5.0), ("s", "b", 1.0), ("t", "c", 3.0), ("t", "x", 4.0)]
+    df = spark.createDataFrame(rows, "sample_id string, probe_id string, value double")
+    out = vectors.sample_arrays(df, list("abc"), fill=-1.0)
+    assert {r["sample_id"]: list(r["values"]) for r in out.collect()} == {"s": [5, 1, 2, -1], "t": [-1, -1, 3]}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan and "flatten" not in plan
+    pairs = [line for line in plan.splitlines() if "collect_list" in line and "struct(" in line]
+    assert not [line for line in pairs if "Aggregate" in line]
+
+
+def test_a_model_of_all_stored_probes_looks_none_up(spark):
+    df = spark.createDataFrame([("s", [1.0, 2.0, 3.0]), ("t", [4.0, 5.0, 6.0, 7.0])], "sample_id string, values array<double>")
+    whole, part = (vectors.pick(df, list("abc"), some) for some in (list("abc"), ["c", "a"]))
+    assert {r["sample_id"]: list(r["features"]) for r in whole.collect()} == {"s": [1, 2, 3], "t": [4, 5, 6]}
+    assert {r["sample_id"]: list(r["features"]) for r in part.collect()} == {"s": [3, 1], "t": [6, 4]}
+    assert "lambda" not in whole._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_class_weights_balance(spark):
     df = spark.createDataFrame([("a",)] * 3 + [("b",)], "class string")
     got = {r["class"]: r["weight"] for r in vectors.class_weights(df).distinct().collect()}
