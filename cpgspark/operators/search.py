@@ -27,7 +27,6 @@ from cpgspark.operators.metrics import core_metrics, metrics_summary
 from cpgspark.operators.qc import complete_probes
 from cpgspark.operators.splits import SEED, adaptive_folds, node_folds
 from cpgspark.operators.train import (
-    FITS,
     MAX_DEPTH,
     TREES,
     ClassScore,
@@ -42,6 +41,8 @@ from cpgspark.plans.durable import store
 from cpgspark.plans.sizing import small_side
 
 _TASK = "task"
+#: Folds of a search that are fitted at once.
+FITS = 4
 
 
 @dataclass(frozen=True)
@@ -235,15 +236,22 @@ def search_node(
         model, outside = fit_fold(settings[at[0]], at[1])
         return model, _score(model, outside, score)
 
-    best, models = 0, {}
+    best, models, means = 0, {}, []
     places = [(i, fold) for i in range(len(settings)) for fold in folds] if len(settings) > 1 else []
     found: list[tuple[int, int, float]] = []
-    for at, (model, value) in zip(places, pool.map(tried, places), strict=True):
-        found.append((*at, value))
-        models[at] = model
-    if found:
-        means = [sum(s for i, _, s in found if i == j) / len(folds) for j in range(len(settings))]
-        best = means.index(max(means))
+    parts: dict[int, NodeModel] = {}
+    tries = pool.map(tried, places)
+    for i, fold in places:
+        model, value = next(tries)
+        found.append((i, fold, value))
+        parts[fold] = model
+        if fold != folds[-1]:
+            continue
+        means.append(sum(s for j, _, s in found if i == j) / len(folds))
+        # Only the parts of the best setting so far are kept, for the calibration.
+        if means[i] > means[best] or i == 0:
+            best, models = i, parts if calibration else {}
+        parts = {}
     chosen = settings[best]
     features = held.features(node, ALL_FOLDS, chosen.top_k)
     training = rows.vectors(features).where("fold IS NOT NULL")
@@ -254,7 +262,7 @@ def search_node(
         outside = None
 
         def part_of(fold: int) -> NodeModel:
-            return models.get((best, fold)) or fit_fold(chosen, fold)[0]
+            return models.get(fold) or fit_fold(chosen, fold)[0]
 
         for fold, part in zip(folds, pool.map(part_of, folds), strict=True):
             if part.classes != model.classes:
@@ -263,7 +271,7 @@ def search_node(
             scored = part.predict(vectors.where(F.col("fold") == fold)).select("class", "scores")
             outside = scored if outside is None else outside.unionByName(scored)
         if outside is not None:
-            model.calibrator = calibrate(outside, model.classes, calibration)
+            model.calibrator = calibrate(outside, model.classes, calibration, pool)
     return Searched(model, found)
 
 

@@ -35,8 +35,6 @@ TREES = (200, 400)
 #: Spark's deepest tree; a forest is otherwise not limited in depth.
 MAX_DEPTH = 30
 SCORES = ("f1_macro", "accuracy", "roc_auc")
-#: Folds of a search, or classes of a calibration, that are fitted at once.
-FITS = 4
 
 
 def path_key(path: Sequence[str]) -> str:
@@ -351,12 +349,15 @@ class Calibrator:
 
 
 def calibrate(
-    scored: DataFrame, classes: Sequence[str], method: str = "sigmoid"
+    scored: DataFrame,
+    classes: Sequence[str],
+    method: str = "sigmoid",
+    pool: ThreadPoolExecutor | None = None,
 ) -> Calibrator:
     """Fit score-to-probability maps on ``class, scores`` (array in class order).
 
-    Each class is fitted against the rest, as concurrent Spark jobs; of two classes only
-    the second is.  The
+    Each class is fitted against the rest, with ``pool`` as concurrent Spark jobs; of two
+    classes only the second is.  The
     sigmoid is fitted to softened targets (n+ + 1)/(n+ + 2) and 1/(n- + 2), written
     as two weighted rows per sample; isotonic is fitted to the plain 0 and 1, which are
     pooled on the executors, so that only the ends of its blocks reach the driver.
@@ -389,8 +390,8 @@ def calibrate(
         ).select("features", "b.label", "b.w")
         return LogisticRegression(weightCol="w", regParam=0.0, maxIter=100).fit(soft)
 
-    with ThreadPoolExecutor(FITS) as pool:
-        maps = dict(zip(targets, pool.map(fitted, targets), strict=True))
+    each = pool.map(fitted, targets) if pool else map(fitted, targets)
+    maps = dict(zip(targets, each, strict=True))
     return Calibrator(list(classes), maps, method)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 from collections import Counter, defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -285,5 +286,7 @@ def test_classes_of_a_calibration_are_fitted_at_once(spark, monkeypatch):
     monkeypatch.setattr(train, "LogisticRegression", Waits)
     rng = np.random.default_rng(6)
     rows = [("abc"[i % 3], [float(v) for v in rng.dirichlet(np.ones(3) + (np.arange(3) == i % 3))]) for i in range(60)]
-    fitted = train.calibrate(spark.createDataFrame(rows, "class string, scores array<double>"), "abc")
+    scored = spark.createDataFrame(rows, "class string, scores array<double>")
+    with ThreadPoolExecutor(3) as pool:
+        fitted = train.calibrate(scored, "abc", pool=pool)
     assert list(fitted.maps) == list("abc")
