@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cpgspark.operators.components import Components, principal_components
 from cpgspark.operators.ingest import missing_probes
+from cpgspark.operators.neighbours import Nearest, distances as _distance, held_bytes
 from cpgspark.operators.vectors import feature_places, probe_names, sample_arrays
 from cpgspark.plans.durable import store
+from cpgspark.plans.sizing import small_side
 
 NEIGHBOURS = 5
 #: Probes of one range: a task holds the values of one range only.
@@ -22,6 +24,8 @@ _RANGE = 4096
 _BLOCK_BYTES = 16 << 20
 #: Samples of one block at most, however few the probes.
 _BLOCK_ROWS = 8192
+#: Donors that one task meets at least, where there are so many.
+_DONORS = 32_768
 
 
 def _coordinates(arrays: DataFrame, model: Components) -> DataFrame:
@@ -102,14 +106,6 @@ def _tile_sums(
         yield target, (gap * gap).sum(axis=1), common
 
 
-def _distance(probes: int, squares: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """Distances scaled up by the share of the probes that is shared; NaN if none is."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        distance = np.sqrt(probes / shared * squares)
-    distance[shared == 0] = np.nan
-    return distance
-
-
 def _fill(
     target: str, values: np.ndarray, distance: np.ndarray, b: np.ndarray, names: np.ndarray, k: int, first: int
 ) -> Iterator[tuple[str, int, float, str, float]]:
@@ -132,20 +128,49 @@ def _fill(
         yield target, first + place, float(distance[j]), names[j], float(b[j, place])
 
 
-def _block_guesses(
-    targets: pd.DataFrame, donors: pd.DataFrame, k: int, probes: int
-) -> Iterator[tuple[str, int, float, str, float]]:
-    """The k nearest donors of one block that have a missing cell, where one range has all probes.
+def _cells(column: pa.Array) -> np.ndarray:
+    """The rows of a column of equally long arrays."""
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
 
-    The distances of one target at a time are held.
-    """
-    donors = donors.sort_values("donor")
-    b = np.stack(donors["donor_values"])
-    names = donors["donor"].to_numpy()
-    for values, (target, squares, shared) in zip(
-        targets["values"], _tile_sums(targets, donors), strict=True
-    ):
-        yield from _fill(target, values, _distance(probes, squares, shared), b, names, k, 0)
+
+def _met(
+    batches: Iterator[pa.RecordBatch], k: int, probes: int
+) -> Iterator[pa.RecordBatch]:
+    """Of each task, whose targets come before its donors, the k nearest of every missing cell."""
+    task, names, held, state = None, [], [], None
+
+    def found() -> Iterator[pa.RecordBatch]:
+        if state is not None:
+            target, place, distance, donor, value = state.result()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays(names).take(pa.array(target)), pa.array(place.astype(np.int32)),
+                    pa.array(distance), pa.array(donor), pa.array(value),
+                ],
+                ["sample_id", "place", "distance", "donor", "value"],
+            )
+
+    for batch in batches:
+        of, donors = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("task", "donor"))
+        cuts = np.flatnonzero((of[1:] != of[:-1]) | (donors[1:] != donors[:-1])) + 1
+        for start, end in zip([0, *cuts], [*cuts, len(of)], strict=True):
+            if start == end:
+                continue
+            part = batch.slice(start, end - start)
+            if of[start] != task:
+                yield from found()
+                task, names, held, state = of[start], [], [], None
+            given = _cells(part.column("values")), part.column("rank").to_numpy()
+            if not donors[start]:
+                names.append(part.column("sample_id"))
+                held.append(given)
+            elif held:
+                if state is None:
+                    values, ranks = (np.concatenate(x) for x in zip(*held, strict=True))
+                    state = Nearest(values, ranks, k, probes)
+                state.meet(*given)
+    yield from found()
 
 
 def _tile_guesses(
@@ -169,8 +194,8 @@ def knn_impute(m: DataFrame, targets: DataFrame, k: int = NEIGHBOURS) -> DataFra
     by the share that is shared.
 
     Samples are cut into blocks and probes into ranges.  Where one range has all probes, a
-    block of targets with gaps meets each block of donors once and hands on at most ``k``
-    donors per gap; the distances of one target at a time are held.  Else a block of targets
+    task holds a block of targets with gaps and meets donors one after another, in the order
+    of their names; it keeps ``k`` donors per gap (:class:`Nearest`).  Else a block of targets
     meets each block of donors range by range; what the ranges add to the distances is
     summed as it arrives, so no task holds more than one range of two blocks and one
     distance per pair of them, however many the probes.  A range then gets the distances
@@ -180,18 +205,91 @@ def knn_impute(m: DataFrame, targets: DataFrame, k: int = NEIGHBOURS) -> DataFra
     features = probe_names(m)
     width = max(1, min(_RANGE, len(features)))
     ranges = max(1, math.ceil(len(features) / width))
+    arrays = store(sample_arrays(m, features, fill=float("nan"), gaps=True), "arrays")
+    wanted = small_side(store(targets.select("sample_id").distinct(), "wanted"))
+    mine = arrays.join(wanted, "sample_id", "left_semi")
+    find = _find if ranges == 1 else _find_by_range
+    found = find(arrays, mine, k, len(features), width, ranges)
+    nearest = Window.partitionBy("sample_id", "place").orderBy("distance", "donor")
+    guesses = (
+        found.withColumn("nth", F.row_number().over(nearest))
+        .filter(F.col("nth") <= k)
+        .groupBy("sample_id", "place")
+        .agg(F.avg("value").alias("guess"))
+    )
+    known = (
+        m.join(wanted, "sample_id", "left_semi")
+        .filter(F.col("value").isNotNull())
+        .select("sample_id", "probe_id", "value")
+    )
+    named = [(i, p) for i, p in enumerate(features) if p is not None]
+    names = m.sparkSession.createDataFrame(named, "place int, probe_id string")
+    means = m.groupBy("probe_id").agg(F.avg("value").alias("mean"))
+    filled = (
+        mine.select("sample_id", F.explode("gaps").alias("place"))
+        .join(guesses, ["sample_id", "place"], "left")
+        .join(names.join(means, "probe_id", "left"), "place")
+        .select("sample_id", "probe_id", F.coalesce("guess", "mean").alias("value"))
+    )
+    return known.unionByName(filled)
+
+
+def _numbers(size: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+
+
+def _find(
+    arrays: DataFrame, mine: DataFrame, k: int, probes: int, width: int, ranges: int
+) -> DataFrame:
+    """Of every gap of ``mine`` the k nearest donors, each task's own."""
+    spark = arrays.sparkSession
+    # Ranks are numbers that rise with the names.
+    by_name = arrays.select("sample_id", F.slice("values", 1, width).alias("values")).orderBy(
+        F.col("sample_id").asc_nulls_last()
+    )
+    ranked = store(by_name.withColumn("rank", F.monotonically_increasing_id()), "ranked")
+    gaps = F.size(F.filter("values", F.isnan))
+    asked = ranked.join(mine.select("sample_id"), "sample_id", "left_semi").filter(gaps > 0)
+    asked = store(asked, "asked")
+    count, mean = asked.agg(F.count(F.lit(1)), F.avg(gaps)).first()
+    per_task = max(1, int(4 * _BLOCK_BYTES / held_bytes(width, mean or 0.0, k)))
+    tblocks = max(1, math.ceil(count / per_task))
+    # Enough tasks for all cores, however few the targets; each starts anew with its donors.
+    cores = spark.sparkContext.defaultParallelism
+    dblocks = max(1, min(math.ceil(2 * cores / tblocks), ranked.count() // _DONORS))
+    tblocks = max(tblocks, math.ceil(2 * cores / dblocks))
+    while tblocks * dblocks % cores and tblocks * dblocks < 4 * cores:
+        tblocks += 1
+
+    def dealt(size: int) -> Column:
+        return F.pmod(F.xxhash64("rank"), F.lit(size)).cast("int")
+
+    columns = ["task", "donor", "rank", "sample_id", "values"]
+    left = asked.withColumn("dblock", _numbers(dblocks)).withColumn("donor", F.lit(False))
+    left = left.withColumn("task", dealt(tblocks) * dblocks + F.col("dblock"))
+    right = ranked.withColumn("tblock", _numbers(tblocks)).withColumn("donor", F.lit(True))
+    right = right.withColumn("task", F.col("tblock") * dblocks + dealt(dblocks))
+    right = right.withColumn("sample_id", F.lit(None).cast("string"))
+    return (
+        left.select(*columns)
+        .unionByName(right.select(*columns))
+        .repartitionById(tblocks * dblocks, "task")
+        .sortWithinPartitions("task", "donor", "rank")
+        .mapInArrow(
+            lambda batches: _met(batches, k, probes),
+            "sample_id string, place int, distance double, donor long, value double",
+        )
+    )
+
+
+def _find_by_range(
+    arrays: DataFrame, mine: DataFrame, k: int, probes: int, width: int, ranges: int
+) -> DataFrame:
+    """Of every gap of ``mine`` the k nearest donors of each block."""
     per_block = max(1, min(_BLOCK_ROWS, _BLOCK_BYTES // (8 * width)))
-    arrays = store(sample_arrays(m, features, fill=float("nan")), "arrays")
-    wanted = targets.select("sample_id").distinct()
     gappy = F.exists("values", F.isnan)
-    asked = arrays.join(wanted, "sample_id", "left_semi").filter(gappy)
+    asked = mine.drop("gaps").filter(gappy)
     tblocks, dblocks = (max(1, math.ceil(d.count() / per_block)) for d in (asked, arrays))
-    if ranges == 1:
-        # Enough pairs of blocks for all cores, however few the samples of a block.
-        tblocks = max(tblocks, math.ceil(2 * m.sparkSession.sparkContext.defaultParallelism / dblocks))
-
-    def numbers(size: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
 
     def tiles(rows: DataFrame, blocks: int, block_col: str) -> DataFrame:
         cut = F.transform(
@@ -210,14 +308,7 @@ def knn_impute(m: DataFrame, targets: DataFrame, k: int = NEIGHBOURS) -> DataFra
     right = tiles(arrays, dblocks, "dblock").withColumnsRenamed(
         {"sample_id": "donor", "values": "donor_values"}
     )
-    given = right.withColumn("tblock", numbers(tblocks))
-
-    probes = len(features)
-    found_schema = "sample_id string, place int, distance double, donor string, value double"
-
-    def direct(key: tuple, t: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        made = _block_guesses(t, d, k, probes) if len(t) and len(d) else ()
-        return pd.DataFrame(made, columns=["sample_id", "place", "distance", "donor", "value"])
+    given = right.withColumn("tblock", _numbers(tblocks))
 
     def sums(key: tuple, t: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         made = _tile_sums(t, d) if len(t) and len(d) else ()
@@ -226,7 +317,7 @@ def knn_impute(m: DataFrame, targets: DataFrame, k: int = NEIGHBOURS) -> DataFra
         return out.assign(tblock=key[0], dblock=key[1])
 
     parts = (
-        left.withColumn("dblock", numbers(dblocks))
+        left.withColumn("dblock", _numbers(dblocks))
         .groupBy(keys)
         .cogroup(given.groupBy(keys))
         .applyInPandas(
@@ -264,39 +355,9 @@ def knn_impute(m: DataFrame, targets: DataFrame, k: int = NEIGHBOURS) -> DataFra
         made = _tile_guesses(t, d, k, int(key[2]) * width) if len(t) and len(d) else ()
         return pd.DataFrame(made, columns=["sample_id", "place", "distance", "donor", "value"])
 
-    found = (
+    return (
         open_tiles.join(distances, "sample_id")
         .groupBy(keys)
         .cogroup(given.join(needed, ["tblock", "range"], "left_semi").groupBy(keys))
-        .applyInPandas(guess, found_schema)
+        .applyInPandas(guess, "sample_id string, place int, distance double, donor string, value double")
     )
-    if ranges == 1:
-        # Distances are whole within a block: no pair of samples leaves its task.
-        pairs = tblocks * dblocks
-        found = (
-            left.withColumn("dblock", numbers(dblocks))
-            .repartition(pairs, *keys)
-            .groupBy(keys)
-            .cogroup(given.repartition(pairs, *keys).groupBy(keys))
-            .applyInPandas(direct, found_schema)
-        )
-    nearest = Window.partitionBy("sample_id", "place").orderBy("distance", "donor")
-    names = m.sparkSession.createDataFrame(list(enumerate(features)), "place int, probe_id string")
-    guesses = (
-        found.withColumn("nth", F.row_number().over(nearest))
-        .filter(F.col("nth") <= k)
-        .groupBy("sample_id", "place")
-        .agg(F.avg("value").alias("guess"))
-        .join(names, "place")
-        .select("sample_id", "probe_id", "guess")
-    )
-    mine = m.join(wanted, "sample_id", "left_semi")
-    known = mine.filter(F.col("value").isNotNull()).select("sample_id", "probe_id", "value")
-    means = m.groupBy("probe_id").agg(F.avg("value").alias("mean"))
-    filled = (
-        missing_probes(mine, m.select("probe_id"))
-        .join(guesses, ["sample_id", "probe_id"], "left")
-        .join(means, "probe_id", "left")
-        .select("sample_id", "probe_id", F.coalesce("guess", "mean").alias("value"))
-    )
-    return known.unionByName(filled)

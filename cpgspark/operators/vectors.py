@@ -45,23 +45,34 @@ def _dense(size: int, fill: float) -> Column:
     return F.sort_array(F.concat(F.arrays_zip("place", "value"), gaps))["value"]
 
 
-def sample_arrays(m: DataFrame, features: list[str], fill: float = 0.0) -> DataFrame:
+def sample_arrays(
+    m: DataFrame, features: list[str], fill: float = 0.0, gaps: bool = False
+) -> DataFrame:
     """``sample_id, values``: one array per sample in feature order.
 
     A missing value, or one that is no finite number, takes ``fill``.  A sample with
     rows for other probes only has ``fill`` everywhere: the join keeps such rows, and
     they fold into their sample before the shuffle.  The group of a sample holds at most
-    one cell per feature.
+    one cell per feature.  With ``gaps`` also the places without a row or with a null value only.
     """
     held = F.col("value").isNotNull() & F.col("place").isNotNull()
     # Two lists of plain numbers, filled row by row together, take half the time of one of pairs.
+    lists = [F.collect_list(F.when(held, F.col(c))).alias(c) for c in ("place", "value")]
+    if gaps:
+        odd = F.col("value").isNull() & F.col("__given")
+        lists.append(F.collect_list(F.when(odd, F.col("place"))).alias("odd"))
     known = (
-        m.withColumn("value", finite(F.col("value").cast("double")))
+        m.withColumn("__given", F.col("value").isNotNull())
+        .withColumn("value", finite(F.col("value").cast("double")))
         .join(_places(m, features), "probe_id", "left")
         .groupBy("sample_id")
-        .agg(*[F.collect_list(F.when(held, F.col(c))).alias(c) for c in ("place", "value")])
+        .agg(*lists)
     )
-    return known.select("sample_id", _dense(len(features), fill).alias("values"))
+    columns = ["sample_id", _dense(len(features), fill).alias("values")]
+    if gaps:
+        every = F.sequence(F.lit(0), F.lit(len(features) - 1)) if features else F.array().cast("array<int>")
+        columns.append(F.array_except(every, F.concat("place", "odd")).alias("gaps"))
+    return known.select(*columns)
 
 
 def sample_vectors(m: DataFrame, features: list[str]) -> DataFrame:
