@@ -11,11 +11,13 @@ votes are those of Spark's trees; the random numbers are not.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from threading import Lock
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Model
+from pyspark.ml.base import _FitMultipleIterator
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
@@ -360,14 +362,50 @@ class Forest(RandomForestClassifier):
     """Spark's random forest; one of many nodes is grown by the executors and stays in files."""
 
     def _fit(self, dataset: DataFrame) -> Model:
+        if self._in_files(dataset):
+            return self._grow(dataset) or super()._fit(dataset)
+        return super()._fit(dataset)
+
+    def _in_files(self, dataset: DataFrame) -> bool:
         trees = self.getNumTrees()
         plain = self.getBootstrap() and self.getSubsamplingRate() == 1.0 and self.getMinInfoGain() == 0.0
         plain = plain and self.getMinWeightFractionPerNode() == 0.0 and self.getMaxBins() <= 256
-        if plain and trees * 2 ** (self.getMaxDepth() + 1) > DRIVER_NODES:
-            # A tree has below two nodes for each of its rows, of which it has 63 %.
-            if trees * 1.26 * dataset.count() > DRIVER_NODES:
-                return self._grow(dataset) or super()._fit(dataset)
-        return super()._fit(dataset)
+        if not plain or trees * 2 ** (self.getMaxDepth() + 1) <= DRIVER_NODES:
+            return False
+        # A tree has below two nodes for each of its rows, of which it has 63 %.
+        return trees * 1.26 * dataset.count() > DRIVER_NODES
+
+    def fitMultiple(self, dataset: DataFrame, paramMaps: Sequence[dict]) -> Iterator[tuple[int, Model]]:
+        """Models by setting; of settings that differ in the number of trees alone the trees are grown once.
+
+        A tree in files depends on its own number and the seed, not on how many there are.
+        """
+        settings = [self.copy(p) for p in paramMaps]
+        groups: dict[tuple, list[int]] = {}
+        for i, p in enumerate(paramMaps):
+            rest = {k.name: v for k, v in p.items() if k.name != "numTrees"}
+            single = settings[i].getNumTrees() == 1  # "auto" takes all features for one tree
+            groups.setdefault((single, repr(sorted(rest.items()))), []).append(i)
+        group_of = {i: key for key, members in groups.items() for i in members}
+        locks = {key: Lock() for key in groups}
+        largest: dict[tuple, Model] = {}
+
+        def fit(i: int) -> Model:
+            key = group_of[i]
+            most = max(groups[key], key=lambda j: settings[j].getNumTrees())
+            if len(groups[key]) == 1 or not settings[i]._in_files(dataset):
+                return settings[i].fit(dataset)
+            with locks[key]:
+                if key not in largest:
+                    largest[key] = settings[most].fit(dataset)
+            model = largest[key]
+            if i == most:
+                return model
+            if not isinstance(model, FilesModel):
+                return settings[i].fit(dataset)
+            return model.first(settings[i].getNumTrees())
+
+        return _FitMultipleIterator(fit, len(paramMaps))
 
     def _grow(self, dataset: DataFrame) -> FilesModel | None:
         """The forest in files; None where rows of one class differ in weight."""
@@ -496,6 +534,13 @@ class FilesModel(Model, MLWritable, MLReadable):
         made._features_col = self._features_col
         return made
 
+    def first(self, trees: int) -> FilesModel:
+        """The forest of the first trees alone."""
+        made = self.copy()
+        made.nodes = self.nodes.where(F.col("tree") < trees)
+        made.trees, made.upper = self.trees[:trees], self.upper[:trees]
+        return made
+
     @property
     def featureImportances(self) -> DenseVector:
         """As in Spark: gains of a tree to a sum of 1, trees added up, that to a sum of 1."""

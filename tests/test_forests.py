@@ -115,3 +115,32 @@ def test_subtree_against_loops(impurity, min_rows):
     ends = -1 - left[forests._walk(x, feature, cut, left)]
     for r in range(60):
         assert shares[ends[r]] == pytest.approx(wanted[r])
+
+
+def _nodes(model):
+    rows = model.nodes.orderBy("tree", "unit").collect()
+    return [tuple(bytes(r[c]) if c in ("feature", "cut", "left", "dist") else r[c] for c in r.asDict()) for r in rows]
+
+
+def test_search_grows_shared_trees_once(spark, vectors, monkeypatch):
+    """A forest of fewer trees is the first trees of the larger one: grown once, equal to its own."""
+    _small(monkeypatch, 6_000)
+    alone = train.train_forest(vectors, NAMES, n_trees=5).model
+    indexer, _ = train._indexed(vectors)
+    rows = indexer.transform(train.class_weights(vectors))
+    estimator = train.forest(5, train.MAX_DEPTH, train.SEED)
+    grown = []
+    plain = forests.Forest._grow
+    monkeypatch.setattr(
+        forests.Forest, "_grow", lambda self, df: grown.append(self.getNumTrees()) or plain(self, df)
+    )
+    maps = [{estimator.numTrees: n, estimator.impurity: i} for i in ("gini", "entropy") for n in (5, 8)]
+    models = dict(estimator.fitMultiple(rows, maps))
+    assert sorted(grown) == [8, 8]
+    assert [len(models[i].trees) for i in range(4)] == [5, 8, 5, 8]
+    assert _nodes(models[0]) == _nodes(alone) and (models[0].upper == alone.upper).all()
+    assert _nodes(models[0]) == [r for r in _nodes(models[1]) if r[0] < 5]
+    assert _nodes(models[0]) != _nodes(models[2])
+    called = [models[0].transform(rows), alone.transform(rows)]
+    a, b = (sorted(map(str, c.select("sample_id", "probability").collect())) for c in called)
+    assert a == b
